@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing
+from . import bpe, exact_dedup, packing, token_counts, urlfilter
 from .common import read_table
 
 QUERIES = {}
@@ -39,3 +40,58 @@ FROM n
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+#: Rules that op1 is to judge by.
+URL_RULES = (
+    urlfilter.HostRule("net", "/", "block"), urlfilter.HostRule("example.net", "/en/", "allow"),
+    urlfilter.HostRule("example.com", "/de/", "block"), urlfilter.HostRule("org", "/fr/", "allow"),
+)
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLE_SQL["op1_url_filter"] = """
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id,
+        translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+g AS (SELECT *, CASE
+        WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule,
+      CASE WHEN contains(host || path, 'spam') THEN '*spam*'
+        WHEN contains(host || path, 'cheap-pills') THEN '*cheap-pills*'
+        WHEN contains(host || path, 'casino') THEN '*casino*'
+        WHEN contains(host || path, '/login') THEN '*/login*'
+        WHEN contains(host || path, '/cart/') THEN '*/cart/*' END AS fit FROM h)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN fit IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN rule IS NULL THEN fit END AS glob
+FROM g
+"""
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_counts.encoded_lengths(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return token_counts.suffix_sums(token_counts.length_histogram(lengths))
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode_documents(read_table(spark, sf_dir, "documents"), ranks, pattern)
+    return bpe.decode_documents(encoded, ranks, pattern).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
