@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, token_counts, topk, urlfilter
+from . import bpe, exact_dedup, langid, packing, token_counts, topk, toxicity, urlfilter
 from .common import read_table
 
 QUERIES = {}
@@ -125,3 +125,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc32_mod("doc_id", 4) == 2
     model = langid.train(docs.filter(~held_out).select("text", "lang"))
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Learns labels only from ids outside the held-out fold."""
+    return toxicity.train(documents.select("doc_id", "text"), labels, lambda c: crc32_mod(c, 5) != 0)
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
