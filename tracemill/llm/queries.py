@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, token_counts, topk, toxicity, urlfilter
+from . import bpe, exact_dedup, langid, packing, pii, token_counts, topk, toxicity, urlfilter
 from .common import read_table
 
 QUERIES = {}
@@ -137,3 +137,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity_model(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(pii.find_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
