@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, pii, token_counts, topk, toxicity, urlfilter
+from . import bpe, exact_dedup, langid, minhash, packing, pii, token_counts, topk, toxicity, urlfilter
 from .common import read_table
 
 QUERIES = {}
@@ -142,3 +142,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_report(pii.find_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
