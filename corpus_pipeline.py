@@ -1,3 +1,68 @@
-"""Corpus pipeline; stages follow."""
+"""Corpus pipeline: reject toxic documents, drop exact and near copies, sanitise, pack.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
+frame that is written as Parquet and read back as the next stage's documents. All but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracemill.llm import exact_dedup, minhash, packing, pii, toxicity
+from tracemill.llm.common import read_table, staged
+from tracemill.llm.queries import toxicity_model
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not predict toxic."""
+    return toxicity.reject_toxic(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one that exact dedup keeps."""
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id")
+    return _only(docs, staged(spark, kept, "pipeline-exact"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id; documents without words stay."""
+    kept = minhash.near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id")
+    return _only(docs, staged(spark, kept, "pipeline-near"))
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it become placeholders; ``n_chars`` follows the text."""
+    spans = staged(spark, pii.find_spans(docs.select("doc_id", "text")), "pipeline-spans")
+    return pii.sanitise(docs, spans).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenised pieces with their places in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("pii", sanitise),
+    ("packing", pack),
+]
+
+#: SQL can express neither the toxicity model nor the packing.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(spark, stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -72,17 +72,14 @@ def exact_dedup(
     winners = salted.groupBy("digest", "norm").agg(
         F.max("preference").alias("preference"), F.sum("n").alias("group_size")
     )
-    winners = winners.select("digest", _preferred_id(F.col("preference")).alias("keep_id"), "group_size",
-                             F.xxhash64("norm").alias("norm_hash"))
-    winners = staged(spark, winners, "dedup-winners")
-    ambiguous = winners.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").limit(1).count()
-    by = ["digest"]
-    if ambiguous:
-        by.append("norm_hash")
-        rows = rows.withColumn("norm_hash", F.xxhash64("norm"))
-    joined = rows.withColumn("text_sha256", F.sha2("norm", 256)).select("doc_id", "text_sha256", *by).join(
-        winners.select(*by, "keep_id", "group_size"), by
-    )
+    chosen = winners.select("digest", _preferred_id(F.col("preference")).alias("keep_id"), "group_size")
+    by, staged_winners = ["digest"], staged(spark, chosen, "dedup-winners")
+    if staged_winners.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").limit(1).count():
+        # two texts share a digest: rows find their winner by content
+        by, chosen = ["digest", "norm"], winners.select("digest", "norm", _preferred_id(F.col("preference")).alias("keep_id"), "group_size")
+        staged_winners = staged(spark, chosen, "dedup-winners-by-content")
+    rows = rows.withColumn("text_sha256", F.sha2("norm", 256)).select("doc_id", "text_sha256", *by)
+    joined = rows.join(staged_winners, by)
     return joined.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

@@ -322,6 +322,16 @@ def train(docs: DataFrame, labels: DataFrame, train_fold, id_col: str = "doc_id"
 _WORKERS: dict[str, tuple[Restorer, Features, np.ndarray]] = {}
 
 
+def _scores(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
+    """Scores of texts; what they need is kept per Python worker, from task to task."""
+    if model.name not in _WORKERS:
+        _WORKERS.clear()
+        _WORKERS[model.name] = Restorer(model.logs), Features(model.index), model.weights
+    restorer, features, weights = _WORKERS[model.name]
+    z = np.array([weights[features.present(restorer.restore(t or ""))].sum() + weights[-1] for t in texts])
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, score (0 to 1), predicted (1 if the score is at least 0.5).
 
@@ -333,15 +343,21 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        if own.name not in _WORKERS:  # one per Python worker, kept from task to task
-            _WORKERS.clear()
-            _WORKERS[own.name] = Restorer(own.logs), Features(own.index), own.weights
-        restorer, features, weights = _WORKERS[own.name]
         for batch in batches:
-            z = np.array([weights[features.present(restorer.restore(t))].sum() + weights[-1] for t in batch.column(1).to_pylist()])
-            scores = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            scores = _scores(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is not predicted toxic."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_scores(shared.value, batch.column(at).to_pylist()) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
