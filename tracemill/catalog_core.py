@@ -83,7 +83,7 @@ add("p13_zscore_column", lambda s, d: rounded(P.zscore_column(T(s, d).groupBy("r
 add("p14_dff", lambda s, d: rounded(P.dff(T(s, d).withColumn("value", F.col("value") + 2), 5, 20).select("recording_id", "unit_id", "frame", "dff")), "traces",
     f"""SELECT recording_id, unit_id, frame, {_r('(v - base) / base * 100', 'dff')} FROM (SELECT *, min(smooth) OVER {UNITW} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS base
         FROM (SELECT *, value + 2 AS v, avg(value + 2) OVER {UNITW} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS smooth FROM traces))""")
-add("p15_clip", lambda s, d: rounded(T(s, d).withColumn("value", P.clip(F.col("value"), -0.1, 0.1))), "traces", f"SELECT recording_id, unit_id, frame, {_r('least(greatest(value, -0.1), 0.1)', 'value')} FROM traces")
+add("p15_clip", lambda s, d: rounded(fx.gappy_traces(s, d).withColumn("value", P.clip(F.col("value"), -0.1, 0.1))), "gappy", f"SELECT recording_id, unit_id, frame, {_r('CASE WHEN value IS NOT NULL THEN least(greatest(value, -0.1), 0.1) END', 'value')} FROM gappy")
 add("p16_normalize01", lambda s, d: rounded(P.normalize01(fx.signals(s, d), ["subject_id", "cond"])), "sig",
     f"SELECT subject_id, cond, frame, {_r('CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) END', 'value')} FROM sig WINDOW w AS (PARTITION BY subject_id, cond)")
 add("p17_detrend", lambda s, d: rounded(P.detrend(fx.gappy_traces(s, d))), "gappy",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clean import clip
+
 
 def summary(df: DataFrame, by: list[str], col: str = "value") -> DataFrame:
     """n, mean, median, sd (n - 1) and standard error, without missing values."""
@@ -110,7 +112,7 @@ def to_long(df: DataFrame, keys: list[str], columns: list[str], name: str = "sce
 
 def fisher_z_mean(r: Column) -> Column:
     """tanh of the mean of atanh, with r held inside (-1, 1)."""
-    return F.tanh(F.avg(F.atanh(F.least(F.greatest(r, F.lit(-0.999999)), F.lit(0.999999)))))
+    return F.tanh(F.avg(F.atanh(clip(r, -0.999999, 0.999999))))
 
 
 def resultant(phase: Column) -> Column:

@@ -117,7 +117,8 @@ def dff(df: DataFrame, smooth: int, window: int) -> DataFrame:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """The value held inside [low, high]; a missing value stays missing (``greatest`` alone would skip it)."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def normalize01(df: DataFrame, by: list[str], col: str = "value") -> DataFrame:

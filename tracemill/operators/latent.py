@@ -241,7 +241,7 @@ def trajectory_summary(path: DataFrame, fps: float) -> DataFrame:
     t = Window.partitionBy("recording_id").orderBy("frame")
     nxt = [F.lead(c).over(t) for c in "xyz"]
     dot = sum((F.col(c) * n for c, n in zip("xyz", nxt)), F.lit(0.0)) / (F.col("radius") * F.lead("radius").over(t))
-    turn = path.withColumn("_a", F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))))
+    turn = path.withColumn("_a", F.when(dot.isNotNull(), F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0)))))
     return turn.groupBy("recording_id").agg(F.avg("radius").alias("radius"), F.avg("speed").alias("speed"), F.avg("angular").alias("angular"), (F.sum("_a") / (2 * math.pi)).alias("rotations"))
 
 

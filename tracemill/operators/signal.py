@@ -232,7 +232,7 @@ def speed(df: DataFrame, smooth: int, fps: float, keys: list[str] = UNIT) -> Dat
 
 def vigor(v: Column, b: tuple[float, float, float]) -> Column:
     """Quadratic calibration, not below 0."""
-    return F.greatest(b[0] + b[1] * v + b[2] * v * v, F.lit(0.0))
+    return F.when(v.isNotNull(), F.greatest(b[0] + b[1] * v + b[2] * v * v, F.lit(0.0)))
 
 
 def tail_signal(a0: Column, a1: Column, speed: Column, gate: float = 0.1, half_wave: bool = False) -> Column:
