@@ -99,6 +99,21 @@ add("r26_response_latency", lambda s, d: E.response_latency(fx.event_train(s, d)
     """WITH a AS (SELECT DISTINCT recording_id, frame FROM ev WHERE kind = 'error'), b AS (SELECT DISTINCT recording_id, frame AS f FROM ev WHERE kind = 'click')
        SELECT recording_id, frame, CASE WHEN dd <= 1 THEN dd END AS latency, coalesce(dd <= 1, false) AS responded FROM (SELECT a.recording_id, a.frame, min(f) - a.frame AS dd FROM a LEFT JOIN b ON b.recording_id = a.recording_id AND f >= a.frame GROUP BY 1, 2)""")
 
+CELLS = """sc AS (SELECT recording_id, unit_id, frame, value / sd AS x, lead(value / sd) OVER (PARTITION BY recording_id, unit_id ORDER BY frame) AS y FROM traces JOIN (SELECT recording_id, unit_id, stddev_samp(value) AS sd FROM traces GROUP BY 1, 2) USING (recording_id, unit_id) WHERE sd > 0),
+  kc AS (SELECT recording_id, CAST(least(greatest(floor((x + 3) / 0.6), 0), 9) AS INTEGER) AS gi, CAST(least(greatest(floor((y + 3) / 0.6), 0), 9) AS INTEGER) AS gj, count(*) AS n, count(CASE WHEN x < 0 AND y < 0 THEN 1 END) AS below FROM sc WHERE y IS NOT NULL GROUP BY 1, 2, 3),
+  tc AS (SELECT k.recording_id, k.gi, k.gj, k.n, k.below + coalesce(m.below, 0) AS noise FROM kc k LEFT JOIN kc m ON m.recording_id = k.recording_id AND m.gi = 9 - k.gi AND m.gj = 9 - k.gj)"""
+
+
+def cells(s, d):
+    sigma = T(s, d).groupBy("recording_id", "unit_id").agg(F.stddev_samp("value").alias("sigma"))
+    return E.transition_counts(T(s, d), sigma, 10, 3.0)
+
+
+add("e6_transition_counts", cells, "traces", f"WITH {CELLS} SELECT * FROM tc")
+add("e6_significant_cells", lambda s, d: E.significant_cells(cells(s, d), 10, 0.5), "traces", f"WITH {CELLS} SELECT recording_id, gi, gj FROM tc WHERE gi >= 5 AND gj >= 5 AND noise <= (1 - 0.5) * n")
+add("r25_trial_windows", lambda s, d: rounded(E.trial_windows(peri(s, d), 3)), "traces ev",
+    f"WITH {SE}, {PERI} SELECT recording_id, unit_id, {_r('avg(value) FILTER (lag BETWEEN -3 AND -1)', 'base')}, {_r('avg(value) FILTER (lag BETWEEN 0 AND 2)', 'stim')}, {_r('avg(value) FILTER (lag BETWEEN 3 AND 5)', 'tone')} FROM pe GROUP BY 1, 2")
+
 # tests
 SR = """rk AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY abs(dd)) + (count(*) OVER (PARTITION BY g, abs(dd)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY g, abs(dd)) AS t FROM df WHERE dd <> 0),
   st AS (SELECT g, count(*) AS n, coalesce(sum(r) FILTER (dd > 0), 0) AS w, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM rk GROUP BY 1), md AS (SELECT g, median(dd) AS median FROM df GROUP BY 1 HAVING count(*) >= 2)"""

@@ -176,3 +176,31 @@ def oscillator_core(traces: DataFrame, dom: DataFrame, low: float, high: float)
     inside = traces.join(dom, UNIT, "left")
     band = F.avg(F.when(F.col("dom").between(low, high), F.col("value")))
     return inside.groupBy("recording_id", "frame").agg(F.coalesce(band, F.avg("value")).alias("core"))
+
+
+def transition_counts(traces: DataFrame, sigma: DataFrame, bins: int, reach: float) -> DataFrame:
+    """(recording_id, gi, gj, n, noise): how often a scaled sample pair (x_t, x_t+1) falls in each cell of a bounded grid.
+
+    Samples are divided by the unit's noise sigma (recording_id, unit_id, sigma) and clamped to
+    [-reach, reach]. ``noise`` counts what Gaussian noise would put there: pairs below zero, which
+    hold no events, mirrored through the origin.
+    """
+    w = Window.partitionBy(*UNIT).orderBy("frame")
+    scaled = traces.join(sigma, UNIT).filter("sigma > 0").withColumn("_x", F.col("value") / F.col("sigma")).withColumn("_y", F.lead(F.col("value") / F.col("sigma")).over(w))
+    cell = lambda c: F.least(F.greatest(F.floor((F.col(c) + reach) / (2 * reach / bins)), F.lit(0)), F.lit(bins - 1)).cast("int")
+    known = scaled.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull()).select("recording_id", cell("_x").alias("gi"), cell("_y").alias("gj"), ((F.col("_x") < 0) & (F.col("_y") < 0)).alias("_neg"))
+    counts = known.groupBy("recording_id", "gi", "gj").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_neg"), 1)).alias("_below"))
+    mirror = counts.select("recording_id", (bins - 1 - F.col("gi")).alias("gi"), (bins - 1 - F.col("gj")).alias("gj"), F.col("_below").alias("_above"))
+    return counts.join(mirror, ["recording_id", "gi", "gj"], "left").select("recording_id", "gi", "gj", "n", (F.col("_below") + F.coalesce("_above", F.lit(0))).alias("noise"))
+
+
+def significant_cells(counts: DataFrame, bins: int, confidence: float = 0.99) -> DataFrame:
+    """(recording_id, gi, gj): cells with both samples above zero where noise explains at most 1 - confidence of the pairs."""
+    above = (F.col("gi") >= bins // 2) & (F.col("gj") >= bins // 2)
+    return counts.filter(above & (F.col("noise") <= (1 - confidence) * F.col("n"))).select("recording_id", "gi", "gj")
+
+
+def trial_windows(peri: DataFrame, d: int) -> DataFrame:
+    """(recording_id, unit_id, base, stim, tone): means over lags -d to -1, 0 to d - 1 and d to 2d - 1 around the stimuli."""
+    mean = lambda a, b: F.avg(F.when(F.col("lag").between(a, b - 1), F.col("value")))
+    return peri.groupBy(*UNIT).agg(mean(-d, 0).alias("base"), mean(0, d).alias("stim"), mean(d, 2 * d).alias("tone"))
