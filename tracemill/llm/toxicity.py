@@ -42,7 +42,7 @@ SEPARATORS = " .-_*"
 #: Log costs of the channel: a letter written as a sign, a sign that is itself, a separator put in, a letter repeated.
 SUBSTITUTED, LITERAL, SPACED, REPEATED = math.log(0.2), math.log(0.05), math.log(0.3), math.log(0.3)
 #: Spans beyond this length are read as they stand in windows of it; restored spans that a task remembers.
-SPAN_CHARS, MEMO_SPANS, MEMO_WORDS = 80, 300_000, 1_000_000
+SPAN_CHARS, MEMO_SPANS, MEMO_WORDS = 80, 50_000, 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -266,16 +266,21 @@ def _feature_counts(restored: DataFrame) -> DataFrame:
 
 def _fit(rows: list[list[int]], toxic: list[int], size: int) -> np.ndarray:
     """Weights of the features and, last, the constant: logistic regression by Newton steps with a quadratic penalty."""
-    x = np.zeros((len(rows), size + 1))
-    x[:, size] = 1
+    x = np.zeros((len(rows), size + 1), bool)
+    x[:, size] = True
     for i, found in enumerate(rows):
-        x[i, found] = 1
+        x[i, found] = True
     y, w = np.array(toxic, float), np.zeros(size + 1)
     penalty = np.full(size + 1, 0.5)
     penalty[size] = 1e-3
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        curve, slope = np.diag(penalty), -penalty * w
+        for at in range(0, len(y), 2048):  # a few rows at a time as numbers
+            part = x[at : at + 2048].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curve += (part * (p * (1 - p))[:, None]).T @ part
+            slope += part.T @ (y[at : at + 2048] - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
