@@ -41,6 +41,8 @@ LOOKALIKES = {
 SEPARATORS = " .-_*"
 #: Log costs of the channel: a letter written as a sign, a sign that is itself, a separator put in, a letter repeated.
 SUBSTITUTED, LITERAL, SPACED, REPEATED = math.log(0.2), math.log(0.05), math.log(0.3), math.log(0.3)
+#: At the ends of a word a sign is often just itself: marks behind it, marks before it, digits.
+MARK_BEHIND, MARK_BEFORE, DIGIT_AT_END = math.log(0.9), math.log(0.5), math.log(0.3)
 #: Spans beyond this length are read as they stand in windows of it; restored spans that a task remembers.
 SPAN_CHARS, MEMO_SPANS, MEMO_WORDS = 80, 50_000, 200_000
 
@@ -104,6 +106,17 @@ def character_model(counts: DataFrame) -> np.ndarray:
     return np.log(p3)
 
 
+def literal_cost(span: str, at: int) -> float:
+    """What it costs to read a sign as itself, by its place in the span."""
+    c = span[at]
+    if c not in LOOKALIKES:
+        return 0.0
+    behind, before = not any(map(str.isalpha, span[at:])), not any(map(str.isalpha, span[: at + 1]))
+    if not behind and not before:
+        return LITERAL
+    return DIGIT_AT_END if c.isdigit() else MARK_BEHIND if behind else MARK_BEFORE
+
+
 class Restorer(dict):
     """Reads disguised spans; remembers what it has read."""
 
@@ -161,7 +174,7 @@ class Restorer(dict):
                 if 0 < at and span[at - 1].lower() == low and (span[at - 2 : at - 1].lower() == low or span[at + 1 : at + 2].lower() == low):
                     readings.append((REPEATED, "", -1))
             else:
-                readings.append((LITERAL if c in LOOKALIKES else 0.0, " ", _EDGE))
+                readings.append((literal_cost(span, at), " ", _EDGE))
                 for letter in LOOKALIKES.get(c, ""):
                     readings.append((SUBSTITUTED, letter, ord(letter) - 96))
                 if c in SEPARATORS:
@@ -271,7 +284,7 @@ def _fit(rows: list[list[int]], toxic: list[int], size: int) -> np.ndarray:
     for i, found in enumerate(rows):
         x[i, found] = True
     y, w = np.array(toxic, float), np.zeros(size + 1)
-    penalty = np.full(size + 1, 0.5)
+    penalty = np.full(size + 1, 0.1)
     penalty[size] = 1e-3
     for _ in range(25):
         curve, slope = np.diag(penalty), -penalty * w
