@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,13 @@ def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*memories: dict) -> None:
+    """Empties what a task remembered, so that idle Python workers hold no more than their libraries."""
+    for memory in memories:
+        memory.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(col: str):
     """The text column with null counted as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -24,14 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import release, staged, text_or_empty
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
 #: Pieces that one task packs; bounds its memory and its share of unfilled sequences.
 PIECES_PER_TASK = 40_000
 #: Distinct chunks that a task remembers before it starts afresh.
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 500_000
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: What Python splits at and the tokenizer does not.
@@ -143,7 +143,7 @@ _MEMOS: dict[str, ChunkMemo] = {}
 
 
 def _memo(path: str, ranked) -> ChunkMemo:
-    """One memory per Python worker, kept from task to task."""
+    """One encoder per Python worker; what it remembers lasts for a task."""
     if path not in _MEMOS:
         _MEMOS[path] = ChunkMemo(path, ranked.value)
     return _MEMOS[path]
@@ -170,6 +170,7 @@ def tokenised_pieces(
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             columns = zip(*out) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=list(names))
+        release(encoder)
 
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return wanted.mapInArrow(run, _PIECES)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import release, staged, text_or_empty
 
 #: Labelled rows that the classifier is fitted on (the smallest hashes of their ids), and its features.
 SAMPLE_ROWS, FEATURES = 30_000, 600
@@ -341,7 +341,7 @@ _WORKERS: dict[str, tuple[Restorer, Features, np.ndarray]] = {}
 
 
 def _scores(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
-    """Scores of texts; what they need is kept per Python worker, from task to task."""
+    """Scores of texts; the model is kept per Python worker, what it remembers lasts for a task."""
     if model.name not in _WORKERS:
         _WORKERS.clear()
         _WORKERS[model.name] = Restorer(model.logs), Features(model.index), model.weights
@@ -364,6 +364,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         for batch in batches:
             scores = _scores(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        release(*_WORKERS.get(shared.value.name, ())[:2])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
@@ -377,5 +378,6 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(_scores(shared.value, batch.column(at).to_pylist()) < 0.5))
+        release(*_WORKERS.get(shared.value.name, ())[:2])
 
     return docs.mapInArrow(run, docs.schema)
