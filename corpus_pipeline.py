@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
 frame that is written as Parquet and read back as the next stage's documents. All but the last
 return the columns of ``documents``.
+
+Rows are told apart by keys of their own (``_keyed``), not by their ids. Defined cases: a row with
+a null id is a document of its own. Of rows that repeat an id and a text one stays; rows that
+repeat an id with different texts are different documents.
 """
 
 from __future__ import annotations
@@ -15,6 +19,9 @@ from tracemill.llm import exact_dedup, minhash, packing, pii, toxicity
 from tracemill.llm.common import read_table, staged
 from tracemill.llm.queries import toxicity_model
 
+#: Column of the keys that tell rows apart within a stage.
+ROW = "_row"
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not predict toxic."""
@@ -22,21 +29,24 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one that exact dedup keeps."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id")
-    return _only(docs, staged(spark, kept, "pipeline-exact"))
+    """Of equal texts one row: the one with the most code points, then the smallest id; null ids come last."""
+    rows = _keyed(spark, docs)
+    kept = exact_dedup.exact_dedup(rows, id_col=ROW).filter("kept").select(F.col("doc_id").alias(ROW))
+    return _only(rows, staged(spark, kept, "pipeline-exact")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; documents without words stay."""
-    kept = minhash.near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id")
-    return _only(docs, staged(spark, kept, "pipeline-near"))
+    """Of each group of near-duplicates one row, the one with the smallest id (null ids come last); documents without words stay."""
+    rows = _keyed(spark, docs)
+    kept = minhash.near_duplicates(rows.select(ROW, "text"), id_col=ROW).filter("kept").select(F.col("doc_id").alias(ROW))
+    return _only(rows, staged(spark, kept, "pipeline-near")).select(*docs.columns)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that reveal it become placeholders; ``n_chars`` follows the text."""
-    spans = staged(spark, pii.find_spans(docs.select("doc_id", "text")), "pipeline-spans")
-    return pii.sanitise(docs, spans).withColumn("n_chars", F.length("text").cast("long"))
+    rows = _keyed(spark, docs)
+    spans = staged(spark, pii.find_spans(rows.select(ROW, "text"), id_col=ROW), "pipeline-spans")
+    return pii.sanitise(rows, spans, id_col=ROW).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +54,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is listed. A merge join at every size: the list grows with the corpus, and Spark can split its skew."""
-    ids = ids.hint("merge")
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row that orders rows by id, null ids last.
+
+    Where every row has an id of its own, that is the key. Else rows are numbered in the order of their ids.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    shared = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1")
+    if not shared.limit(1).count():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    # the place in the input splits the rows of one id, so that no task sorts all null ids
+    placed = docs.withColumn("_place", F.monotonically_increasing_id()).orderBy(F.col("doc_id").cast("long").asc_nulls_last(), "_place")
+    return staged(spark, placed.drop("_place").withColumn(ROW, F.monotonically_increasing_id()), "pipeline-keyed")
+
+
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows whose key is listed. A merge join at every size: the list grows with the corpus, and Spark can split its skew."""
+    return docs.join(rows.hint("merge"), ROW, "left_semi")
 
 
 STAGES = [

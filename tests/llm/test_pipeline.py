@@ -53,3 +53,34 @@ def test_run_is_its_stages(spark):
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     memo = packing.ChunkMemo(public_tokenizers.path("word_bpe_49k.json"))
     assert got.count() > 0 and np.frombuffer(memo.encode("a b"), "<u4").size == 2
+
+
+def test_null_and_repeated_ids(spark):
+    words = ["amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "heath", "inlet", "jetty", "knoll", "ledge"]
+    text = lambda k: " ".join(words[(k * 5 + j * j * (k + 1)) % 12] + str(k) for j in range(30))
+    rows = [(3 * k if k % 3 else None, text(k)) for k in range(12)]
+    rows += [(50, text(20)), (50, text(20)), (50, text(21) + " mail a@b.c"), (50, text(22))]  # an id with copies and other texts
+    rows += [(None, text(23)), (None, text(23)), (None, text(1)), (2, text(0)), (None, text(24) + " mail ann@b.c"), (60, text(22) + "  ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)
+    order = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=str)
+
+    best = {}
+    for i, t in rows:
+        key = "".join(c for c in t if c not in exact_dedup.IGNORED)
+        best[key] = min(best.get(key, ((0,), 0)), ((-len(t), i is None, i or 0), (i, t)))
+    want = sorted((r for _, r in best.values()), key=str)
+    two = stage["exact dedup"](spark, docs, SF)
+    assert two.columns == docs.columns and order(two) == want
+    assert len(want) == 17 and sum(i is None for i, _ in want) == 5
+
+    three = stage["near dedup"](spark, two, SF)
+    assert three.columns == docs.columns and order(three) == want
+    long = " ".join(f"{words[k % 12]}{k}" for k in range(200))
+    copy = (None, long + " end"), (15, long)
+    near = stage["near dedup"](spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in copy], docs.schema), SF)
+    assert order(near) == [(15, long)]
+
+    four = stage["pii"](spark, three, SF)
+    assert four.columns == docs.columns
+    assert order(four) == sorted(((i, t.replace("a@b.c", "[EMAIL]").replace("ann@b.c", "[EMAIL]")) for i, t in want), key=str)
