@@ -112,3 +112,56 @@ def test_sanitise(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
     got = {r.doc_id: (r.text, r.kind) for r in pii.sanitise(docs, pii.find_spans(docs)).collect()}
     assert got == {1: ("mail [EMAIL] or [PHONE] now é", "s"), 2: ("nothing", None), 3: (None, "s"), None: ("a@b.c", "s"), 4: ("[IP]", "s")}
+
+
+def protected(kind, value):
+    """The entities of a span: its whole value, then its group."""
+    value, digits = value.lower(), re.sub("[^0-9]", "", value)
+    group = {"email": lambda: "domain:" + value.split("@")[-1], "ip": lambda: "network:" + ".".join(value.split(".")[:2]), "card": lambda: "issuer:" + digits[:6], "phone": lambda: "prefix:" + digits[:4]}[kind]()
+    return {(f"{kind}:{value}", True), (group, False)}
+
+
+def brute_whole(rows):
+    """Term spans by row with co-occurrence over whole documents, and (n_both, n_term, n_entity, whole) of what is told."""
+    words = [[(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]+", t)] for t in rows]
+    own = [set().union(*[protected(k, v) for k, _, _, v in base(t)]) for t in rows]
+    df = Counter(w for ws in words for w in {x[2] for x in ws})
+    ef = Counter(e for es in own for e in es)
+    both = Counter((e, w) for ws, es in zip(words, own) for w in {x[2] for x in ws} for e in es)
+    total, told = len(rows), {}
+    for (e, w), k in both.items():
+        n, t = ef[e], df[w]
+        chance = math.prod(((n - i) * (t - i)) / ((k - i) * (total - i)) for i in range(min(k, pii.BOUND_DOCS)))
+        chance *= sum(c >= min(k, pii.BOUND_DOCS) for c in df.values()) * sum(c >= min(k, pii.BOUND_DOCS) and x[1] == e[1] for x, c in ef.items())
+        if n < total and math.log(k * total / (t * n)) >= pii.DISCLOSURE * math.log(total / n) - 1e-12 and (chance < pii.CHANCE or (e[1] and k >= pii.LEAST_DOCS)):
+            told[e[0], w] = (k, t, n, e[1])
+    terms = {w for _, w in told}
+    clear = lambda i, s, e: not any(s < b[2] and e > b[1] for b in base(rows[i]))
+    return {i: sorted((s, e) for s, e, w in ws if w in terms and clear(i, s, e)) for i, ws in enumerate(words)}, told
+
+
+def test_terms_of_whole_documents(spark):
+    rng = random.Random(5)
+    words = [a + b for a in ("ha", "tre", "ri", "lam", "nor", "où") for b in ("us", "ver", "den", "pa", "sk")]
+    rows = []
+    for i in range(400):
+        line = [rng.choice(words) for _ in range(60)]
+        if i % 20 == 0:  # far from the address, in each document of it
+            line[2:2], line[50:50] = ["quixotic"], ["ann.lee@mail.org"]
+        if i % 40 == 7:  # different values of one domain
+            line[5:5], line[55:55] = ["zephyr"], [f"no{i}@far.example.com"]
+        if i in (100, 333):  # two documents only
+            line[1:1], line[40:40] = ["umbra"], ["+49 30 1234567"]
+        if i in (11, 371):  # once each: nothing to tell chance from
+            line[1:1], line[40:40] = [f"single{'ab'[i > 99]}"], [f"10.{i % 200}.3.4"]
+        if i == 6:  # without any entity
+            line[9:9] = ["Umbra", "of", "zephyr"]
+        rows.append(" ".join(line))
+    want, told = brute_whole(rows)
+    got = {r.doc_id: r for r in pii.span_report(pii.find_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3))).collect()}
+    places = {i: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term:")] for i, r in got.items()}
+    assert places == want and all(r.n_term == len(places[i]) for i, r in got.items())
+    shown = Counter(rows[i][s:e].lower() for i, p in places.items() for s, e in p)
+    assert shown["quixotic"] == 20 and shown["zephyr"] == 11 and shown["umbra"] == 3
+    assert not shown["singlea"] and not shown["singleb"] and set(shown) == {"quixotic", "zephyr", "umbra"}
+    assert ("domain:far.example.com", "zephyr") in told

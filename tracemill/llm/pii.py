@@ -3,12 +3,15 @@
 Base: patterns find e-mail, IP, card and phone spans. Each valid span is an occurrence of a
 protected entity (its kind and lower-cased text).
 
-Beyond: words near an entity can reveal it even when its own span is masked. Over the corpus,
+Beyond: words that stand in a document with an entity can reveal it even when its own span is
+masked. What many entities share recurs more often than they do, so that the groups they belong to
+are protected too: e-mail domain, network of an address, card issuer, phone prefix. Over the corpus,
 with probabilities as shares of documents, the point-wise mutual information of a term t and an
-entity e is ln(n(t,e) N / (n(t) n(e))), and what there is to reveal about e is its information
-content ln(N / n(e)). Their quotient is 1 where t never occurs without e nearby. Terms whose
-quotient reaches ``DISCLOSURE`` for an entity get a span of their own wherever they stand near
-that entity, and are generalised to a placeholder when the text is sanitised.
+entity e is ln(n(t,e) N / (n(t) n(e))), where n(t,e) counts whole documents, and what there is to
+reveal about e is its information content ln(N / n(e)). Their quotient is 1 where t never occurs
+without e. Terms whose quotient reaches ``DISCLOSURE`` for an entity, on evidence that is not
+chance (``revealing_terms``), get a span of their own wherever they stand in any document, and are
+generalised to a placeholder when the text is sanitised.
 
 Positions come from splitting a text at the matches of a pattern: the lengths of the parts and
 of the matches, summed in order, are the starts and ends, in code points.
@@ -23,12 +26,16 @@ from .common import staged, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Least quotient of mutual information and information content, and least documents behind each count.
-DISCLOSURE, LEAST_DOCS = 0.9, 3
-#: Words on each side of an entity that count as near, within so many characters.
-NEAR_WORDS, NEAR_CHARS = 5, 100
-#: Candidate terms up to which their list is broadcast; beyond it is joined by shuffle.
-BROADCAST_TERMS = 50_000
+#: Least quotient of mutual information and information content.
+DISCLOSURE = 0.9
+#: So many joint documents are evidence for a whole value without a test.
+LEAST_DOCS = 3
+#: Chance findings expected in a corpus stay below this for each number of joint documents.
+CHANCE = 0.05
+#: Joint documents that enter the bound on a pair's probability; more of them can only lower it.
+BOUND_DOCS = 64
+#: Rows or terms up to which a list is broadcast; beyond it is joined by shuffle.
+BROADCAST_ROWS = 50_000
 
 # The contract's patterns in forms that Java matches in linear time and without recursion. A run
 # can only be entered at its start, or (\G) where the last match ended; possessive repeats are
@@ -72,103 +79,125 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _matches(kind: str, text: Column) -> Column:
-    """Array of (kind, at, lead, value, before, after) for one pattern; lead is the length of the part before."""
+    """Array of (kind, at, lead, value) for one pattern; lead is the length of the part before."""
     pattern = _PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if kind in _NEEDS:
         found = F.when(F.contains(text, F.lit(_NEEDS[kind])), found)
     parts, n = F.split(text, pattern, -1), F.size(found)
     # zipped, so that the parts are made once and not for each match
-    zipped = F.arrays_zip(F.slice(parts, 1, n).alias("part"), F.slice(parts, 2, n).alias("rest"), found.alias("value"))
+    zipped = F.arrays_zip(F.slice(parts, 1, n).alias("part"), found.alias("value"))
 
     def entry(m: Column, i: Column) -> Column:
-        part, rest = m["part"], m["rest"]
-        return F.struct(
-            F.lit(kind).alias("kind"), i.alias("at"), F.length(part).alias("lead"), m["value"].alias("value"),
-            F.when(F.length(part) > NEAR_CHARS, F.regexp_replace(F.right(part, F.lit(NEAR_CHARS)), r"^\p{L}+", "")).otherwise(part).alias("before"),
-            F.when(F.length(rest) > NEAR_CHARS, F.regexp_replace(F.left(rest, F.lit(NEAR_CHARS)), r"\p{L}+$", "")).otherwise(rest).alias("after"),
-        )
-
-    none = F.array().cast("array<struct<kind:string,at:int,lead:int,value:string,before:string,after:string>>")
+        return F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.length(m["part"]).alias("lead"), m["value"].alias("value"))
+
+    none = F.array().cast("array<struct<kind:string,at:int,lead:int,value:string>>")
     return F.when(n > 0, F.transform(zipped, entry)).otherwise(none)
 
 
-def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, kind, start, end, value, before, after): the valid spans of each input row.
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, text): ``row`` tells rows with equal ids apart. Written once, so that it stays the same."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return staged(docs.sparkSession, rows, "pii-rows")
+
 
-    A row without any gets one line with a null kind. ``row`` tells rows with equal ids apart.
+def base_spans(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, kind, start, end, value): the valid spans of each of the ``numbered`` rows.
+
+    A row without any gets one line with a null kind.
     """
-    text = text_or_empty(text_col)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     found = F.concat(*[_matches(kind, F.col("text")) for kind in KINDS])
     lines = rows.select("row", "doc_id", found.alias("found")).select("row", "doc_id", F.explode_outer("found").alias("m")).select("row", "doc_id", "m.*")
-    lines = staged(docs.sparkSession, lines, "pii-matches")
+    lines = staged(rows.sparkSession, lines, "pii-matches")
     so_far = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     hits = lines.filter(F.col("kind").isNotNull()).withColumn("end", F.sum(F.col("lead") + F.length("value")).over(so_far).cast("long"))
-    hits = hits.filter(_valid(F.col("kind"), F.col("value"))).select(
-        "row", "doc_id", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value", "before", "after"
-    )
+    hits = hits.filter(_valid(F.col("kind"), F.col("value"))).select("row", "doc_id", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
     ids = lines.select("row", "doc_id").distinct()
     none = ids.select("row", "doc_id", *[F.lit(None).cast(t).alias(c) for c, t in hits.dtypes[2:]])
     return hits.unionByName(none)
 
 
-def _words_at(context: Column, origin: Column) -> Column:
-    """Array of (term, start, end) for the words of a short context that begins at ``origin``."""
-    words, parts = F.regexp_extract_all(context, F.lit(_WORD), F.lit(0)), F.split(context, _WORD, -1)
-    pairs = F.arrays_zip(F.slice(parts, 1, F.greatest(F.size(words), F.lit(0))).alias("p"), words.alias("w"))
-    empty = F.array().cast("array<struct<term:string,start:bigint,end:bigint>>")
+def entities(spans: DataFrame) -> DataFrame:
+    """(row, entity, whole): the protected entities of each row, its values (whole) and the groups they belong to."""
+    kind, value = F.col("kind"), F.lower("value")
+    group = (
+        F.when(kind == "email", F.concat(F.lit("domain:"), F.substring_index(value, "@", -1)))
+        .when(kind == "ip", F.concat(F.lit("network:"), F.substring_index(value, ".", 2)))
+        .when(kind == "card", F.concat(F.lit("issuer:"), F.left(_digits(value), F.lit(6))))
+        .when(kind == "phone", F.concat(F.lit("prefix:"), F.left(_digits(value), F.lit(4))))
+    )
+    both = F.array(F.struct(F.concat_ws(":", kind, value).alias("entity"), F.lit(True).alias("whole")), F.struct(group.alias("entity"), F.lit(False).alias("whole")))
+    return spans.filter(kind.isNotNull()).select("row", F.explode(both).alias("e")).select("row", "e.entity", "e.whole").distinct()
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["pos"] + F.length(pair["p"])
-        end = start + F.length(pair["w"])
-        term = F.struct(F.lower(pair["w"]).alias("term"), start.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct(end.cast("long").alias("pos"), F.concat(state["out"], F.array(term)).alias("out"))
 
-    return F.aggregate(pairs, F.struct(origin.cast("long").alias("pos"), empty.alias("out")), step, lambda s: s["out"])
+def _terms(text: str) -> Column:
+    """The different words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0)), F.lower))
 
 
-def near_terms(spans: DataFrame) -> DataFrame:
-    """(row, doc_id, entity, term, start, end): words near each base span."""
-    own = spans.filter(F.col("kind").isNotNull()).withColumn("entity", F.concat_ws(":", "kind", F.lower("value")))
-    before = _words_at(F.col("before"), F.col("start") - F.length("before"))
-    after = _words_at(F.col("after"), F.col("end"))
-    last = F.slice(before, F.greatest(F.size(before) - NEAR_WORDS + 1, F.lit(1)), NEAR_WORDS)
-    near = F.concat(last, F.slice(after, 1, NEAR_WORDS))
-    return own.select("row", "doc_id", "entity", F.explode(near).alias("t")).select("row", "doc_id", "entity", "t.term", "t.start", "t.end")
+def _joined(table: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """``table`` joined with a staged list, by broadcast if that is short."""
+    return table.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed, key)
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n_term): in how many rows each of the given terms occurs, over all whole texts."""
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(_WORD), F.lit(0)))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        return words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term")
+def _at_least(table: DataFrame, count: str) -> list[int]:
+    """How many rows have a count of at least 1, 2, ... ``BOUND_DOCS``."""
+    held = dict(table.groupBy(F.least(F.col(count), F.lit(BOUND_DOCS)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect())
+    return [sum(n for k, n in held.items() if k >= least) for least in range(1, BOUND_DOCS + 1)]
 
 
-def revealing_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(entity, term): the terms that reveal an entity beyond the threshold."""
-    spark = docs.sparkSession
-    pairs = near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    pairs = staged(spark, pairs.filter(F.col("n_both") >= least_docs), "pii-pairs")
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    counts = document_counts(docs, staged(spark, pairs.select("term").distinct(), "pii-terms"), text_col)
-    total = docs.count()
+def revealing_terms(rows: DataFrame, owned: DataFrame, disclosure: float = DISCLOSURE, least_docs: int = LEAST_DOCS, chance: float = CHANCE) -> DataFrame:
+    """(term,): the terms that reveal an entity beyond the threshold, counted over whole documents.
+
+    Evidence is enough where chance does not explain it: were the n(t) documents of a term dealt at
+    random, k of them or more would be among the n(e) of an entity with a probability of at most
+    the product of (n(e) - i)(n(t) - i) / ((k - i)(N - i)) for i < j, for any j up to k. That bound
+    times the number of pairs that could have k joint documents (words in k documents at least,
+    times values or groups in as many) must be below ``chance``. For whole values ``least_docs``
+    joint documents are enough without it.
+    """
+    spark = rows.sparkSession
+    lists = staged(spark, owned.groupBy("row").agg(F.collect_list(F.struct("entity", "whole")).alias("list")), "pii-lists-of-rows")
+    near = _joined(rows.select("row", "text"), lists, "row").select("list", F.explode(_terms("text")).alias("term")).select("term", F.explode("list").alias("e"))
+    pairs = near.groupBy("term", "e.entity", "e.whole").agg(F.count(F.lit(1)).alias("n_both"))
+    known = staged(spark, owned.groupBy("entity", "whole").agg(F.count(F.lit(1)).alias("n_entity")), "pii-entities")
+    counts = staged(spark, rows.select(F.explode(_terms("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "pii-words")
+    total = rows.count()
+    of_words, of_values, of_groups = _at_least(counts, "n_term"), _at_least(known.filter("whole"), "n_entity"), _at_least(known.filter("not whole"), "n_entity")
+    tests = lambda own: F.element_at(F.array(*[F.lit(float(max(w * e, 1))) for w, e in zip(of_words, own)]), F.least(F.col("n_both"), F.lit(BOUND_DOCS)).cast("int"))
     info = F.log(F.lit(float(total)) / F.col("n_entity"))
     mutual = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    known = pairs.join(entities, "entity").join(counts, "term")
-    return known.filter((info > 0) & (mutual >= disclosure * info - 1e-12)).select("entity", "term")
+    factor = lambda i: F.log((F.col("n_entity") - i) * (F.col("n_term") - i) / ((F.col("n_both") - i) * (F.lit(float(total)) - i)))
+    steps = F.sequence(F.lit(0).cast("long"), F.least(F.col("n_both"), F.lit(BOUND_DOCS)) - 1)
+    bound = F.aggregate(steps, F.lit(0.0), lambda a, i: a + factor(i))
+    enough = (F.col("whole") & (F.col("n_both") >= least_docs)) | (F.exp(bound) * F.when(F.col("whole"), tests(of_values)).otherwise(tests(of_groups)) < chance)
+    told = pairs.join(known, ["entity", "whole"]).join(counts, "term").filter((info > 0) & (mutual >= disclosure * info - 1e-12))
+    return told.filter(enough).select("term").distinct()
+
+
+def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, doc_id, start, end): every place of the given terms, in all rows."""
+    spark = rows.sparkSession
+    where = _joined(rows.select("row", F.explode(_terms("text")).alias("term")), terms, "term").groupBy("row").agg(F.collect_list("term").alias("terms"))
+    held = _joined(rows, staged(spark, where, "pii-rows-with-terms"), "row")
+    words = F.regexp_extract_all(F.col("text"), F.lit(_WORD), F.lit(0))
+    pairs = F.arrays_zip(F.slice(F.split("text", _WORD, -1), 1, F.size(words)).alias("part"), words.alias("word"))
+    lines = held.select("row", "doc_id", "terms", F.posexplode(pairs).alias("at", "m"))
+    lines = lines.select("row", "doc_id", "at", F.length("m.part").alias("lead"), F.length("m.word").alias("size"), F.array_contains("terms", F.lower("m.word")).alias("told"))
+    so_far = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("end", F.sum(F.col("lead") + F.col("size")).over(so_far).cast("long"))
+    return lines.filter("told").select("row", "doc_id", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(row, doc_id, kind, start, end): base spans, then terms that reveal them, one line each.
 
-    A row without spans has one line with a null kind. Terms never overlap base spans.
+    A row without base spans has one line with a null kind. Terms never overlap base spans.
     """
     spark = docs.sparkSession
-    base = staged(spark, base_spans(docs, id_col, text_col), "pii-spans")
-    near = staged(spark, near_terms(base), "pii-near")
-    terms = near.join(revealing_terms(docs, near, text_col, disclosure, least_docs), ["entity", "term"]).select("row", "doc_id", "start", "end").distinct()
+    rows = numbered(docs, id_col, text_col)
+    base = staged(spark, base_spans(rows), "pii-spans")
+    terms = term_spans(rows, staged(spark, revealing_terms(rows, staged(spark, entities(base), "pii-owned"), disclosure, least_docs), "pii-terms"))
     taken = base.filter(F.col("kind").isNotNull()).select("row", F.col("start").alias("s"), F.col("end").alias("e"))
     clash = (terms["row"] == taken["row"]) & (terms["start"] < taken["e"]) & (terms["end"] > taken["s"])
     terms = terms.join(taken, clash, "left_anti").select("row", "doc_id", F.lit(TERM).alias("kind"), "start", "end")
