@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -42,6 +43,40 @@ def test_documents_round_trip(spark):
     assert bpe.decode_documents(bpe.encode_documents(docs.limit(0), RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+EDGES = [(1, None, 5), (2, "", 6), (3, "It's 12 apples", None), (3, "It's 12 apples", None), (None, "no id é", 7), (4, "word " * 50_000 + "x" * 50_000, 8), (5, " \n\t ", 9)]
+
+
+def test_encoded_lengths_of_every_kind_of_row(spark):
+    docs = spark.createDataFrame(EDGES, "doc_id long, text string, n_tokens int").repartition(3)
+    got = sorted(((r.doc_id, r.n_tokens) for r in token_counts.encoded_lengths(docs, RANKS, public_tokenizers.PATTERN).collect()), key=str)
+    assert got == sorted(((i, len(whole(t or ""))) for i, t, _ in EDGES), key=str)
+    assert token_counts.encoded_lengths(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_query_of_token_counts_against_counting(spark):
+    from tracemill.llm.queries import op4_token_counts
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    known = [len(bpe.codec(path, public_tokenizers.PATTERN).direct(t or "")) for t in texts]
+    rows = {r.n_tokens: r for r in op4_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert {n: r.n_docs for n, r in rows.items()} == {n: known.count(n) for n in known}
+    assert all(r.truncated_total == sum(min(n, at) for n in known) and r.tokens_total == sum(known) for at, r in rows.items())
+
+
+def test_query_of_bpe_against_the_library(spark):
+    from tracemill.llm.queries import op8_bpe
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in op8_bpe(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(docs)
+    for i, text in docs.items():
+        ids = whole(text)
+        assert got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_histogram_answers_every_limit(spark):
     lengths = [0, 3, 3, 7, 600, 601, 5000, 5000, 5000, None]
     frame = spark.createDataFrame([(n,) for n in lengths], "n_tokens long")

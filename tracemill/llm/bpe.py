@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 
 #: Code points that are encoded at once, and the window with which a join begins.
 LEAF_CHARS = 4096
@@ -87,8 +87,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """One row per document: doc_id, ids.
 
     Defined cases: a null or empty text has no ids. Very long texts and texts without any blank
-    are encoded whole. Repeated rows and null ids stay. Other columns are ignored.
+    are encoded whole. Repeated rows and null ids stay; equal texts have equal ids. An empty table
+    gives an empty result. Other columns are ignored, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(path, pattern).encode
@@ -112,7 +114,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) with the decoded bytes added: doc_id, ids, decoded."""
+    """(doc_id, ids) with the decoded bytes added: doc_id, ids, decoded.
+
+    Defined cases: no ids decode to no bytes. Repeated rows and null ids stay. An empty table gives
+    an empty result. Other columns are ignored, whatever their names.
+    """
+    bounded_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = codec(path, pattern).decode

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import staged, text_or_empty
+from .common import bounded_batches, staged, text_or_empty
 
 #: Lengths that share a range of the two-level sums.
 RANGE = 512
@@ -54,7 +54,13 @@ _COUNTERS: dict[tuple[str, str], ChunkCounts] = {}
 
 
 def encoded_lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens. A null text has 0 tokens."""
+    """One row per document: doc_id, n_tokens.
+
+    Defined cases: a null or empty text has 0 tokens. Whole texts count, however long. Repeated
+    rows and null ids stay. An empty table gives an empty result. Other columns are ignored,
+    whatever their names.
+    """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _COUNTERS.setdefault((path, pattern), ChunkCounts(path, pattern))
