@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tracemill.llm import minhash
 
@@ -66,6 +67,62 @@ def test_groups_against_brute_force(spark, block):
     assert got == brute(rows)
 
 
+def test_lanes_of_a_large_group_against_brute_force(spark):
+    """A list of many lanes: near copies around one text, some of them linked only through others, and texts that share most of their words."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            own[rng.randrange(120)] = f"c{i}x{rng.randrange(9)}"
+        rows.append((5000 - i, " ".join(own)))
+    for i in range(60):  # 60 % in common with the group
+        rows.append((100 + i, " ".join(base[:72] + [f"d{i}x{k}" for k in range(48)])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (4, 16):
+        got = sorted(map(tuple, minhash.near_duplicates(frame, block=block).collect()), key=str)
+        assert got == brute(rows)
+
+
+def test_pairs_of_equal_first_coordinates_are_kept():
+    """Two signatures whose values agree only in part of their bits at an early coordinate are still compared."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**32, minhash.COORDINATES, dtype=np.uint64).astype("<u4")
+    b = a.copy()
+    b[:20] ^= np.uint32(0x00010001)  # equal under a 16-bit fold of high and low half
+    table = pa.table({"key": [np.int64((20 << 32) | int(a[20]))] * 2, "lane": [0, 0], "side": [-1, -1], "part": [0, 0], "rep": [1, 2], "n": [50, 50], "mask": np.array([-1, -1]), "sig": [a.tobytes(), b.tobytes()]})
+    assert minhash.Lane(table).candidates(0, 75).tolist() == [1]
+
+
+def test_recall_on_whole_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str)
+    sets, lists = {}, {}
+    for i, t in rows:
+        sets[i] = shingles(t)
+        for x in sets[i]:
+            lists.setdefault(x, []).append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, own in sets.items():
+        shared = {}
+        for x in own:
+            for j in lists[x]:
+                shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if 100 * n >= 75 * (len(own) + len(sets[j]) - n):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert got == sorted(((i, len(s), find(i), find(i) == i) for i, s in sets.items()), key=str)
+
+
 def test_long_text_and_empty_table(spark):
     long = " ".join(f"w{k % 9973}" for k in range(150_000))
     frame = spark.createDataFrame([(1, long), (2, long + " more"), (3, "x" * 400_000)], "doc_id long, text string")

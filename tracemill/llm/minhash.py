@@ -10,13 +10,17 @@
    the first k - t + 1 of their values in any common order; only these prefixes are posted, rarest
    values first, where a value is rare unless the corpus count says otherwise (the order decides
    how much work there is, never the result).
-4. In each posting list the matches of two documents are counted. A pair is looked at in the list
-   of its first common coordinate only. Long lists are dealt out as pairs of blocks, so no task
-   holds more than two blocks, however many rows share a value.
-5. Documents with a candidate get their texts back, and the candidates of a list are confirmed on
-   full sets; pairs already connected within the list are skipped, so a list yields fewer links
+4. In each posting list the matches of two documents are counted on whole signatures. A pair is
+   looked at in the list of its first common coordinate only. A long list is dealt to lanes of
+   bounded size in members and in shingles; each lane also gets the list's smallest document, so
+   that near copies of one another are connected across lanes by comparisons in proportion to the
+   members.
+5. Documents with a candidate get their texts back, and the candidates of a lane are confirmed on
+   full sets; pairs already connected within the lane are skipped, so a lane yields fewer links
    than it has members, and no table of all candidate pairs ever exists.
 6. Links become components by propagating the smallest id with pointer jumping.
+7. In lists of several lanes only pairs of different components are left: what is outside the
+   largest component of a list meets all of the list, block by block; then 5 and 6 once more.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import bounded_batches, staged, text_or_empty
 
 SHINGLE_WORDS = 5
 #: Linked are pairs with 100 * intersection >= SIMILARITY * union.
@@ -38,8 +42,10 @@ COORDINATES, LEAST_MATCHES = 64, 33
 PREFIX = COORDINATES - LEAST_MATCHES + 1
 #: A value is common from so many representatives on; this many of the most common are told to every task.
 COMMON_FROM, COMMON_VALUES = 16, 200_000
-#: Members of a posting list that are compared as one block.
-BLOCK = 1024
+#: Members of a posting list that are compared in one lane, and their shingles together (one larger set is a lane's share too).
+BLOCK, BLOCK_SHINGLES = 1024, 300_000
+#: Signatures whose values are counted at a time.
+COUNTED_ROWS = 10_000
 
 _RNG = np.random.default_rng(20240601)
 _WORD_FACTORS = _RNG.integers(1, 2**62, SHINGLE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,13 +103,22 @@ def _keys(sigs: list[bytes]) -> np.ndarray:
 def common_values(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most common coordinate values, sorted, and how often each was counted.
 
-    Each task counts what it reads and passes on values that it has met twice.
+    A task counts a bounded number of rows at a time and passes on values that it has met twice among them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = [_keys(b.column(0).to_pylist()).ravel() for b in batches if b.num_rows]
-        found, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+        held: list[bytes] = []
+
+        def counted() -> pa.RecordBatch:
+            found, n = np.unique(_keys(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            if len(held) >= COUNTED_ROWS:
+                yield counted()
+        yield counted()
 
     counts = classes.select("sig").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "key").limit(COMMON_VALUES).collect()
@@ -112,7 +127,7 @@ def common_values(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(classes: DataFrame, common) -> DataFrame:
-    """(rep, n, digest, mask, tags, keys): the posted prefix as a bit mask of coordinates and as keys; tags are 16-bit values."""
+    """(rep, n, digest, mask, sig, keys): the posted prefix as a bit mask of coordinates and as keys."""
     shared = classes.sparkSession.sparkContext.broadcast(common)  # at most COMMON_VALUES pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,29 +145,46 @@ def _features(classes: DataFrame, common) -> DataFrame:
             chosen = np.argsort(weight, axis=1, kind="stable")[:, :PREFIX]
             mask = np.bitwise_or.reduce(np.uint64(1) << chosen.astype(np.uint64), axis=1).view(np.int64)
             posted = np.take_along_axis(keys, chosen, axis=1).astype(np.int64)
-            values = keys & np.uint64(0xFFFFFFFF)
-            tags = ((values ^ (values >> np.uint64(16))) & np.uint64(0xFFFF)).astype("<u2")
             offsets = pa.array(np.arange(0, posted.size + 1, PREFIX, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(mask), pa.array([t.tobytes() for t in tags], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(posted.ravel()))],
-                names=["rep", "n", "digest", "mask", "tags", "keys"],
+                [*batch.columns[:3], pa.array(mask), batch.column(3), pa.ListArray.from_arrays(offsets, pa.array(posted.ravel()))],
+                names=["rep", "n", "digest", "mask", "sig", "keys"],
             )
 
-    return classes.select("rep", "n", "digest", "sig").mapInArrow(run, "rep long, n long, digest binary, mask long, tags binary, keys array<long>")
+    return classes.select("rep", "n", "digest", "sig").mapInArrow(run, "rep long, n long, digest binary, mask long, sig binary, keys array<long>")
 
 
-def candidates_of(i: int, tags: np.ndarray, mask: np.ndarray, n: np.ndarray, side: np.ndarray, coordinate: int, similarity: int) -> np.ndarray:
-    """Later members of a posting list that may be similar to member ``i`` and are looked at in this list."""
-    agree = tags[i + 1 :] == tags[i]
-    enough = agree.sum(axis=1) >= LEAST_MATCHES
-    small, large = np.minimum(n[i + 1 :], n[i]), np.maximum(n[i + 1 :], n[i])
-    enough &= (100 * small >= similarity * large) & ((side[i + 1 :] != side[i]) | (side[i] < 0))
-    at = np.flatnonzero(enough)
-    if len(at):
-        both = np.packbits(agree[at], axis=1, bitorder="little").view("<u8").ravel() & mask[i + 1 + at] & mask[i]
-        first = both & (~both + np.uint64(1))
-        at = at[first == np.uint64(1 << coordinate)]
-    return at + i + 1
+class Lane:
+    """Members of a posting list that are compared with one another.
+
+    In a lane of the first kind (side -1) each member meets the later ones. In a lane of the second
+    kind members of side 0 meet those of side 1 (the list's largest part) and those later ones of
+    side 2 (the rest of the list) that belong to another part.
+    """
+
+    def __init__(self, table: pa.Table):
+        column = lambda name: table.column(name).to_numpy()
+        self.coordinate = int(table.column("key")[0].as_py()) >> 32
+        self.side, self.part, self.rep, self.n = column("side"), column("part"), column("rep"), column("n")
+        self.mask = column("mask").astype(np.int64).view(np.uint64)
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, COORDINATES)
+        self.firsts = np.flatnonzero(self.side <= 0)
+
+    def candidates(self, i: int, similarity: int) -> np.ndarray:
+        """Members that may be similar to member ``i`` and are looked at in this lane."""
+        if self.side[i] < 0:
+            at = np.arange(i + 1, len(self.n))
+        else:
+            at = np.flatnonzero(((self.side == 1) | ((self.side == 2) & (self.rep > self.rep[i]))) & (self.part != self.part[i]))
+        small, large = np.minimum(self.n[at], self.n[i]), np.maximum(self.n[at], self.n[i])
+        at = at[100 * small >= similarity * large]
+        agree = self.sig[at] == self.sig[i]
+        enough = agree.sum(axis=1) >= LEAST_MATCHES
+        at, agree = at[enough], agree[enough]
+        if len(at):
+            both = np.packbits(agree, axis=1, bitorder="little").view("<u8").ravel() & self.mask[at] & self.mask[i]
+            at = at[both & (~both + np.uint64(1)) == np.uint64(1 << self.coordinate)]
+        return at
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -175,24 +207,18 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """tags, mask, n, side and coordinate of a list (columns key, lane, side, rep, n, mask, tags)."""
-    tags = np.frombuffer(b"".join(table.column(6).to_pylist()), "<u2").reshape(-1, COORDINATES)
-    return tags, table.column(5).to_numpy().astype(np.int64).view(np.uint64), table.column(4).to_numpy(), table.column(2).to_numpy(), int(table.column(0)[0].as_py()) >> 32
-
-
-_MEMBER = "key long, lane long, side int, rep long, n long, mask long, tags binary"
+_MEMBER = "key long, lane long, side int, part long, rep long, n long, mask long, sig binary"
 
 
 def _active_members(lists: DataFrame, similarity: int) -> DataFrame:
-    """The members of posting lists that have a candidate there."""
+    """The members of lanes that have a candidate there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _lists(batches):
-            tags, mask, n, side, coordinate = _columns(table)
-            active = np.zeros(len(n), bool)
-            for i in range(len(n) - 1):
-                at = candidates_of(i, tags, mask, n, side, coordinate, similarity)
+            lane = Lane(table)
+            active = np.zeros(len(lane.n), bool)
+            for i in lane.firsts:
+                at = lane.candidates(i, similarity)
                 if len(at):
                     active[i] = active[at] = True
             if active.any():
@@ -218,25 +244,30 @@ class Groups:
 
 
 def _confirmed(members: DataFrame, similarity: int) -> DataFrame:
-    """(a, b): links confirmed on full sets that connect the members of a list; rows carry their text last."""
+    """(a, b): links confirmed on full sets that connect the members of a lane; rows carry their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _lists(batches):
-            tags, mask, n, side, coordinate = _columns(table)
-            rep = table.column(3).to_numpy()
-            sets = [shingle_set(t) for t in table.column(7).to_pylist()]
-            groups, links = Groups(len(n)), []
-            for i in range(len(n) - 1):
-                at = candidates_of(i, tags, mask, n, side, coordinate, similarity)
+            lane, texts = Lane(table), table.column("text")
+            sets: dict[int, np.ndarray] = {}
+
+            def shingles(i: int) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = shingle_set(texts[i].as_py())
+                return sets[i]
+
+            groups, links = Groups(len(lane.n)), []
+            for i in lane.firsts.tolist():
+                at = lane.candidates(i, similarity)
                 at = at[groups.root[at] != groups.root[i]]
                 if not len(at):
                     continue
-                sizes = np.array([len(sets[j]) for j in at])
-                joined = np.concatenate([sets[j] for j in at])
-                place = np.minimum(np.searchsorted(sets[i], joined), len(sets[i]) - 1)
-                shared = np.add.reduceat((sets[i][place] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
-                near = at[100 * shared >= similarity * (sizes + len(sets[i]) - shared)]
-                links += [(int(rep[i]), int(rep[j])) for j in groups.join(i, near)]
+                own, others = shingles(i), [shingles(j) for j in at.tolist()]
+                sizes, joined = np.array([len(x) for x in others]), np.concatenate(others)
+                place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+                shared = np.add.reduceat((own[place] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
+                near = at[100 * shared >= similarity * (sizes + len(own) - shared)]
+                links += [(int(lane.rep[i]), int(lane.rep[j])) for j in groups.join(i, near)]
             if links:
                 a, b = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -244,6 +275,45 @@ def _confirmed(members: DataFrame, similarity: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
+def _links(members: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): the links of lanes (key, lane, side, part, rep, n, mask, sig)."""
+    spark, order = members.sparkSession, ("key", "lane", "rep", "side")
+    active = _active_members(members.repartition("key", "lane").sortWithinPartitions(*order), similarity)
+    full = staged(spark, active, "near-active").join(texts, "rep").select("key", "lane", "side", "part", "rep", "n", "mask", "sig", "text")
+    return staged(spark, _confirmed(full.repartition("key", "lane").sortWithinPartitions(*order), similarity), "near-links")
+
+
+def _lanes(members: Column, shingles: Column, block: int) -> Column:
+    return F.greatest(F.ceil(members / block), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("long")
+
+
+def _first_lanes(posted: DataFrame, lists: DataFrame) -> DataFrame:
+    """(key, lane, side, part, rep): each member in one lane of its list, the list's first document in all of them."""
+    own = F.pmod(F.xxhash64("rep"), F.col("lanes"))
+    members = posted.join(lists, "key").select("key", own.alias("lane"), "rep")
+    told = lists.filter("lanes > 1").select("key", "lanes", F.col("first").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)).alias("lane"))
+    told = told.filter(F.col("lane") != own).select("key", "lane", "rep")
+    return members.unionByName(told).select("key", "lane", F.lit(-1).alias("side"), F.lit(0).cast("long").alias("part"), "rep")
+
+
+def _second_lanes(posted: DataFrame, lists: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """(key, lane, side, part, rep): for lists of several lanes, what is outside the list's largest part against all of it."""
+    spark = posted.sparkSession
+    part = F.coalesce("component", "rep")
+    members = posted.join(lists.filter("lanes > 1").select("key", "lanes"), "key").join(found, F.col("rep") == F.col("node"), "left")
+    members = staged(spark, members.select("key", "lanes", "rep", "n", part.alias("part")), "near-parts")
+    parts = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    largest = F.max(F.struct("members", (-F.col("part")).alias("part"), "shingles"))
+    whole = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), largest.alias("l"))
+    rest = _lanes(F.col("members") - F.col("l.members"), F.col("shingles") - F.col("l.shingles"), block)
+    whole = staged(spark, whole.filter("parts > 1").select("key", (-F.col("l.part")).alias("largest"), rest.alias("rest")), "near-wholes")
+    rows = members.join(whole, "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    few = rows.filter("part <> largest").select("*", F.pmod(F.xxhash64("rep"), F.col("rest")).alias("a"), every("lanes").alias("b"), F.lit(0).alias("side"))
+    all_ = rows.select("*", every("rest").alias("a"), F.pmod(F.xxhash64("rep"), F.col("lanes")).alias("b"), F.when(F.col("part") == F.col("largest"), 1).otherwise(2).alias("side"))
+    return few.unionByName(all_).select("key", (F.col("a") * F.col("lanes") + F.col("b")).alias("lane"), "side", "part", "rep")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): for every linked node the smallest node it can reach; links are (a, b), in any direction."""
     spark = links.sparkSession
@@ -270,32 +340,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Defined cases: null, empty and blank texts have no shingles and are linked with nothing. Rows
     with a null id are linked with nothing, have a null component and are not kept. Rows that
-    repeat an id are one document: linked with whatever any of them is linked with. An empty table
-    gives an empty result. Other columns are ignored.
+    repeat an id are one document: linked with whatever any of them is linked with. Whole texts
+    count, however long; equal texts and ties need no rule, as the smallest id names a group. An
+    empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     if similarity < SIMILARITY:
         raise ValueError(f"similarity is {SIMILARITY} at least")
     spark = docs.sparkSession
+    bounded_batches(spark)
     sigs = staged(spark, signatures(docs, id_col, text_col), "near-signatures")
     with_set = sigs.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = staged(spark, with_set.groupBy("digest", "n", "sig").agg(F.min("doc_id").alias("rep")), "near-classes")
     features = staged(spark, _features(classes, common_values(classes)), "near-features")
-    posted = features.select("rep", F.explode("keys").alias("key"))
-    lists = staged(spark, posted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "near-lists")
-    blocks = F.ceil(F.col("members") / block)
-    own = F.pmod(F.xxhash64("rep"), blocks)
-    members = posted.join(lists, "key").select("key", "rep", blocks.alias("blocks"), own.alias("own"))
-    members = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(low == high, F.lit(-1)).otherwise((F.col("own") == high).cast("int"))
-    members = members.select("key", (low * F.col("blocks") + high).alias("lane"), side.alias("side"), "rep")
-    members = members.join(features.select("rep", "n", "mask", "tags"), "rep").select("key", "lane", "side", "rep", "n", "mask", "tags")
-    active = _active_members(members.repartition("key", "lane").sortWithinPartitions("key", "lane", "rep"), similarity)
-    active = staged(spark, active, "near-active")
+    posted = features.select("rep", "n", F.explode("keys").alias("key"))
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("rep").alias("first")).filter("members > 1")
+    lists = staged(spark, lists.select("key", "first", _lanes(F.col("members"), F.col("shingles"), block).alias("lanes")), "near-lists")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).alias("text"))
-    full = active.join(texts, "rep").select("key", "lane", "side", "rep", "n", "mask", "tags", "text")
-    links = _confirmed(full.repartition("key", "lane").sortWithinPartitions("key", "lane", "rep"), similarity)
-    found = components(staged(spark, links, "near-links"))
+    signed = lambda lanes: lanes.join(features.select("rep", "n", "mask", "sig"), "rep").select("key", "lane", "side", "part", "rep", "n", "mask", "sig")
+    links = _links(signed(_first_lanes(posted, lists)), texts, similarity)
+    found = components(links)
+    if lists.filter("lanes > 1").limit(1).count():
+        found = components(links.unionByName(_links(signed(_second_lanes(posted, lists, found, block)), texts, similarity)))
     known = features.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left")
     known = staged(spark, known.select("digest", F.coalesce("component", "rep").alias("component_id")), "near-components")
     linked = with_set.join(known, "digest").select("doc_id", "n", "component_id")
