@@ -1,7 +1,10 @@
 import random
+from fractions import Fraction
+from math import floor
 
 import numpy as np
-from tracemill.llm.topk import SlicedBlock, top_k
+
+from tracemill.llm.topk import SlicedBlock, order_key, top_k
 
 
 def brute(rows, is_query, k=5):
@@ -35,3 +38,22 @@ def test_top_k_against_brute_force(spark):
     few = top_k(frame.filter("vec_id < 3"), lambda c: c % 50 == 0)
     assert few.count() == 2
     assert top_k(frame.limit(0), lambda c: c % 50 == 0).count() == 0
+
+
+def test_components_of_any_size(spark):
+    rng = random.Random(9)
+    sizes = [1.0, 5000.0, -5000.0, 3e9, -7.5e17, 1e300, -1.7e308, 5e-324, 0.0]
+    rows = [(i, [rng.choice(sizes) * rng.choice([1.0, 0.5, 1.0]) if i % 4 == 0 else rng.uniform(-1, 1) for _ in range(5)]) for i in range(300)]
+    exact = {i: [floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 300, 50):
+        hits = sorted((-sum(a * b for a, b in zip(exact[q], v)), i) for i, v in exact.items() if i != q)[:5]
+        want += [(q, n + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(hits)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, top_k(frame, lambda c: c % 50 == 0, block_rows=64, block_queries=3).collect()))
+    assert got == sorted(want)
+
+
+def test_order_of_keys():
+    scores = sorted({s * 2**e + d for s in (-1, 1) for e in (0, 7, 8, 63, 64, 900) for d in (-1, 0, 1)} | {0})
+    assert sorted(scores, key=order_key) == scores

@@ -7,7 +7,8 @@ meet at weight i + j (complemented slices stand for negative components), and ca
 reduce each weight to one bitmap. The sum's own slices then give the best rows, read from the
 most significant slice downward: rows are taken while fewer than k are certain, and the rows
 tied at the boundary are settled exactly, by id. Each block yields k rows per query; these are
-merged at the end.
+merged at the end. Vectors whose products could pass 64 bits have small blocks of their own, with
+integers of any size.
 
 The stated queries meet the rows in blocks: query blocks are dealt to groups of row blocks by a
 key, so no task holds more than a block of each side.
@@ -15,7 +16,9 @@ key, so no task holds more than a block of each side.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +28,39 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Rows of an index block and of a query block.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 128
-#: Largest absolute quantised component; sums over any usual dimension then fit in 64 bits.
-LARGEST = 2**20
+#: Rows of an index block, of one with large components, and of a query block.
+BLOCK_ROWS, LARGE_ROWS, BLOCK_QUERIES = 16_384, 512, 128
+
+
+def narrow_limit(dim: int) -> int:
+    """Largest absolute component for which inner products of ``dim`` components stay within 62 bits."""
+    return math.isqrt(2**62 // max(dim, 1))
+
+
+def quantise(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x): 64-bit integers, or integers of any size where a component is past ``narrow_limit``."""
+    q = np.floor(vectors * scale)
+    if not q.size or np.abs(q).max() <= narrow_limit(vectors.shape[1]):
+        return q.astype("<i8")
+    exact = [[math.floor(Fraction(x) * scale) for x in row] for row in vectors.tolist()]
+    return np.array(exact, dtype=object).reshape(vectors.shape)
+
+
+def inner(values: np.ndarray, query: np.ndarray) -> list[int]:
+    if values.dtype == object or query.dtype == object:
+        values, query = values.astype(object), query.astype(object)
+    return (values @ query).tolist() if len(values) else []
+
+
+def order_key(score: int) -> bytes:
+    """Bytes that are ordered as the scores are, whatever their size."""
+    size = (abs(score).bit_length() + 7) // 8
+    body = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\x01" + body if score >= 0 else b"\x00" + bytes(255 - b for b in body)
+
+
+#: Ends of the range that a score is reported in.
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 class SlicedBlock:
@@ -101,28 +133,27 @@ class SlicedBlock:
         return np.concatenate([chosen, rest[: k - len(chosen)]])
 
 
-def _quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
+def _whole(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, dim, v) of the vectors that take part."""
     v = F.col(vector_col).cast("array<double>")
     whole = F.col(vector_col).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    q = F.transform(v, lambda x: F.floor(x * scale).cast("long"))
-    return vectors.filter(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.size(q).alias("dim"), q.alias("v"))
+    return vectors.filter(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.size(v).alias("dim"), v.alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows packed into blocks of up to ``size``: dim, block, n, ids, payload (both little-endian 64-bit)."""
+def _blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
+    """Rows packed into blocks of up to ``size``: dim, block, n, ids (64-bit integers), payload (the vectors as doubles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
         made = 0
 
-        def block(dim: int) -> pa.RecordBatch:
+        def block(kind: tuple[int, bool]) -> pa.RecordBatch:
             nonlocal made
-            ids, values = (np.concatenate(x) for x in zip(*held.pop(dim)))
+            ids, values = (np.concatenate(x) for x in zip(*held.pop(kind)))
             order = np.argsort(ids, kind="stable")
             made += 1
             name = (TaskContext.get().partitionId() << 32) + made
-            data = [[dim], [name], [len(ids)], [ids[order].tobytes()], [values[order].tobytes()]]
+            data = [[kind[0]], [name], [len(ids)], [ids[order].tobytes()], [values[order].tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["dim", "block", "n", "ids", "payload"])
 
         for batch in batches:
@@ -133,15 +164,17 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
                 parts = [(int(d), batch.filter(pa.array(dims == d))) for d in np.unique(dims)]
             for dim, part in parts:
                 ids = part.column(0).to_numpy().astype("<i8")
-                values = part.column(2).flatten().to_numpy().astype("<i8").reshape(len(ids), dim)
-                if values.size and np.abs(values).max() > LARGEST:
-                    raise ValueError(f"a quantised component is over {LARGEST}")
-                for at in range(0, len(ids), size):
-                    held.setdefault(dim, []).append((ids[at : at + size], values[at : at + size]))
-                    if sum(len(x) for x, _ in held[dim]) >= size:
-                        yield block(dim)
-        for dim in list(held):
-            yield block(dim)
+                values = part.column(2).flatten().to_numpy().astype("<f8").reshape(len(ids), dim)
+                large = np.abs(values).max(axis=1, initial=0.0) > narrow_limit(dim) / scale - 1
+                for is_large, most in ((False, size), (True, min(size, LARGE_ROWS))):
+                    at = np.flatnonzero(large == is_large)
+                    for one in range(0, len(at), most):
+                        own = at[one : one + most]
+                        held.setdefault((dim, is_large), []).append((ids[own], values[own]))
+                        if sum(len(x) for x, _ in held[dim, is_large]) >= most:
+                            yield block((dim, is_large))
+        for kind in list(held):
+            yield block(kind)
 
     return rows.mapInArrow(run, "dim int, block long, n long, ids binary, payload binary")
 
@@ -152,9 +185,10 @@ def top_k(
 ) -> DataFrame:
     """For each row where ``is_query`` (a condition on vec_id): query_id, rank, vec_id, score.
 
-    Components count as floor(scale * x). The score is the integer inner product; the k highest
-    are returned (all, if fewer), ties to the smaller vec_id. Rows with the query's id are its own
-    and not candidates.
+    Components count as floor(scale * x), exactly, whatever their size. The score is the integer inner
+    product; the k highest are returned (all, if fewer), ties to the smaller vec_id. Ranks go by
+    exact scores; a score past 64 bits is reported as the nearest 64-bit integer. Rows with the
+    query's id are its own and not candidates.
 
     Defined cases: vectors that are null, or hold a null or non-finite component, and rows with a
     null id take no part. Vectors are compared with those of equal length only. Rows that repeat
@@ -163,9 +197,9 @@ def top_k(
     empty result. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = _quantised(vectors, id_col, vector_col, scale)
-    index = staged(spark, _blocks(rows, block_rows), "topk-index")
-    queries = staged(spark, _blocks(rows.filter(is_query(F.col("vec_id"))), block_queries), "topk-queries")
+    rows = _whole(vectors, id_col, vector_col)
+    index = staged(spark, _blocks(rows, block_rows, scale), "topk-index")
+    queries = staged(spark, _blocks(rows.filter(is_query(F.col("vec_id"))), block_queries, scale), "topk-queries")
     groups = max(1, index.count())
     lanes = min(groups, 4096)
     left = index.select("dim", F.pmod(F.hash("block"), F.lit(lanes)).alias("lane"), F.col("ids").alias("row_ids"), F.col("payload").alias("row_payload"))
@@ -179,20 +213,21 @@ def top_k(
                 dim, row_ids, row_payload, q_block, ids, payload = (c[i].as_py() for c in batch.columns)
                 if last is None or last[0] != row_ids:
                     names = np.frombuffer(row_ids, "<i8")
-                    last = row_ids, SlicedBlock(np.frombuffer(row_payload, "<i8").reshape(len(names), dim)), names
+                    last = row_ids, SlicedBlock(quantise(np.frombuffer(row_payload, "<f8").reshape(len(names), dim), scale)), names
                 _, index_block, names = last
                 query_ids = np.frombuffer(ids, "<i8")
-                found: list[tuple[int, int, int, int]] = []
-                for n, (query_id, query) in enumerate(zip(query_ids.tolist(), np.frombuffer(payload, "<i8").reshape(len(query_ids), dim))):
+                found: list[tuple[int, int, int, bytes, int]] = []
+                for n, (query_id, query) in enumerate(zip(query_ids.tolist(), quantise(np.frombuffer(payload, "<f8").reshape(len(query_ids), dim), scale))):
                     others = index_block.all.copy()
                     for own in range(*np.searchsorted(names, [query_id, query_id + 1]).tolist()):
                         others[own >> 6] &= ~np.uint64(1 << (own & 63))
                     best = index_block.top(query, k, others)
-                    scores = index_block.values[best] @ query
-                    found += [(q_block + (n << 48), query_id, v, s) for v, s in zip(names[best].tolist(), scores.tolist())]
-                columns = list(zip(*found)) if found else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["q", "query_id", "vec_id", "score"])
-
-    hits = pairs.select("dim", "row_ids", "row_payload", "q_block", "ids", "payload").mapInArrow(run, "q long, query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+                    scores = inner(index_block.values[best], query)
+                    found += [(q_block + (n << 48), query_id, v, order_key(s), min(max(s, _LEAST), _MOST)) for v, s in zip(names[best].tolist(), scores)]
+                columns = list(zip(*found)) if found else [()] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["q", "query_id", "vec_id", "order", "score"])
+
+    hits = pairs.select("dim", "row_ids", "row_payload", "q_block", "ids", "payload").mapInArrow(run, "q long, query_id long, vec_id long, `order` binary, score long")
+    best = Window.partitionBy("query_id", "q").orderBy(F.desc("order"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
