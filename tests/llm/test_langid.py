@@ -1,34 +1,66 @@
 import math
+import random
+import re
 from collections import Counter
 
+import pytest
 from tracemill.llm import langid
 
 TRAIN = [("en", "the cat and the dog and the house"), ("de", "der hund und die katze und das haus"), (None, "the the"), ("de", None), ("en", "")]
 
 
-def test_word_and_gram_counts_and_scores(spark):
-    docs = spark.createDataFrame(TRAIN, "lang string, text string").repartition(2)
-    model = langid.train(docs)
-    assert model.langs == ["de", "en"]
-    words = {lang: Counter(w for x, t in TRAIN if x == lang and t for w in t.split()) for lang in model.langs}
-    for lang, counts in words.items():
-        for w, n in counts.items():
-            got = model.logs[model.row["w" + w]][model.langs.index(lang)]
-            assert math.isclose(got, math.log(n / counts.total()))
-        for size in range(1, 5):
-            grams = Counter(m[i : i + size] for w in counts for m in [f"^{w}$"] for i in range(len(m) - size + 1))
-            for g, n in grams.items():
-                assert math.isclose(model.logs[model.row["g" + g]][model.langs.index(lang)], math.log(n / grams.total()))
-    scorer = langid.Scorer(model)
-    rows = scorer["undhouse"]  # unseen: longest known n-grams from the left
-    names = {r: k for k, r in model.row.items()}
-    at, want = 0, []
-    marked = "^undhouse$"
-    while at < len(marked):
-        size = next(s for s in (4, 3, 2, 1) if "g" + marked[at : at + s] in model.row)
-        want.append("g" + marked[at : at + size])
-        at += size
-    assert [names[r] for r in rows] == want
+def brute(train, texts):
+    """(best language, share) of each text by plain counting."""
+    langs = sorted({x for x, _ in train if x is not None})
+    words = {x: Counter(w for lang, t in train if lang == x for w in re.findall(r"[^\W\d_]+", (t or "").lower())) for x in langs}
+    grams = {x: Counter(m[i : i + size] for w in words[x] for m in [f"^{w}$"] for size in range(1, 5) for i in range(len(m) - size + 1)) for x in langs}
+    totals = {(x, size): sum(n for g, n in grams[x].items() if len(g) == size) or 1 for x in langs for size in range(1, 5)}
+    out = []
+    for text in texts:
+        own = re.findall(r"[^\W\d_]+", (text or "").lower())
+        sums, parts = {x: 0.0 for x in langs}, 0
+        for w in own:
+            if any(w in words[x] for x in langs):
+                parts += 1
+                for x in langs:
+                    sums[x] += math.log((words[x][w] or 0.5) / (words[x].total() or 1))
+                continue
+            at, marked = 0, f"^{w}$"
+            while at < len(marked):
+                size = next((s for s in (4, 3, 2, 1) if at + s <= len(marked) and any(marked[at : at + s] in grams[x] for x in langs)), 0)
+                parts += 1
+                for x in langs:
+                    sums[x] += math.log((grams[x][marked[at : at + size]] if size else 0) / totals[x, size]) if size and grams[x][marked[at : at + size]] else math.log(0.5 / totals[x, max(size, 1)])
+                at += size or 1
+        if not own or not any(c.isalpha() for w in own for c in w):
+            out.append(("und", 0.0))
+            continue
+        best = max(sums.values())
+        out.append((min(x for x in langs if math.isclose(sums[x], best, rel_tol=1e-12)), 1 / sum(math.exp((s - best) / math.sqrt(parts)) for s in sums.values())))
+    return out
+
+
+@pytest.mark.parametrize("cells", [langid.CORE_CELLS, 40, 0])
+def test_query_against_plain_counting(spark, cells):
+    rng = random.Random(6)
+    stems = {"en": ["the", "cat", "house", "river", "walk"], "de": ["der", "hund", "haus", "fluss", "gehen"], "fr": ["le", "chat", "maison", "fleuve", "été"]}
+    sentence = lambda x: " ".join(rng.choice(stems[x]) + rng.choice(["", "s", "en", "ing", "é"]) for _ in range(rng.randrange(1, 30)))
+    train = TRAIN + [(x, sentence(x)) for x in stems for _ in range(25)]
+    texts = [sentence(x) for x in stems for _ in range(20)] + ["undhouse", "zzz qqq", "日本 hund", "x" * 3000 + " the", "a1b2 _ der", "4 5", "", None]
+    model = langid.train(spark.createDataFrame(train, "lang string, text string").repartition(3), cells=cells)
+    assert model.whole == (cells > 1000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    want = brute(train, texts)
+    assert len(got) == len(texts)
+    for i, (lang, score) in enumerate(want):
+        assert got[i][0] == lang and math.isclose(got[i][1], score, rel_tol=1e-4), (texts[i], got[i], want[i])
+
+
+def test_ties_go_to_the_first_language(spark):
+    model = langid.train(spark.createDataFrame([("b", "same word"), ("a", "same word"), ("c", "same word")], "lang string, text string"))
+    got = langid.identify(spark.createDataFrame([(1, "word same word")], "doc_id long, text string"), model).first()
+    assert (got.lang_pred, round(got.score, 6)) == ("a", round(1 / 3, 6))
 
 
 def test_edges(spark):

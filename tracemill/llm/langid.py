@@ -1,13 +1,14 @@
 """Language identification, words first and shorter and shorter character n-grams behind them.
 
 Training counts words per language over all training documents and derives character n-gram
-counts from the distinct words. A word (or n-gram) enters the model when it makes up at least
-``MIN_SHARE`` of its language's words (or n-grams of its length); so a language has at most
-1 / MIN_SHARE entries of each kind, however large the corpus, and the model is broadcast under
-that bound. Shares of what enters are exact counts over everything.
+counts from the distinct words. Every counted word and n-gram is in the model: the most frequent
+ones, as many as ``CORE_CELLS`` allows, are broadcast; the rest stays in a table that words are
+joined with.
 
 Scoring: a known word adds its log frequency in each language. An unseen word is covered from
-the left by the longest known n-grams, four characters at most, and adds theirs.
+the left by the longest known n-grams, four characters at most, and adds theirs. A task scores
+what the broadcast core can tell; if the core is not the whole model, the other words of a
+document are listed, joined with the tables, and their scores added. Both ways give the same.
 """
 
 from __future__ import annotations
@@ -20,17 +21,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import bounded_batches, release, staged, text_or_empty
 
-#: An entry's least share of its language; bounds the model at 1 / MIN_SHARE entries per language and kind.
-MIN_SHARE = 2e-5
+#: Numbers (entries times languages) of each kind, words and n-grams, that are broadcast.
+CORE_CELLS = 1_000_000
 LONGEST_GRAM = 4
+#: What a word or n-gram of another language counts in a language that never had it.
+UNSEEN = 0.5
 #: Counts that a task gathers before it passes them on, and words a scorer remembers.
-HELD_WORDS, MEMO_WORDS = 400_000, 1_000_000
-#: Words beyond this length are covered by n-grams like unseen ones, but not remembered.
+HELD_WORDS, MEMO_WORDS = 400_000, 300_000
+#: Words beyond this length are scored like any other, but not remembered.
 MEMO_CHARS = 48
 #: Language of texts without a letter.
 UNDETERMINED = "und"
@@ -88,109 +92,214 @@ def gram_counts(words: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
     return words.select("lang", "word").mapInArrow(run, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
+def _log_table(counts: DataFrame, name: str, langs: list[str], totals: Column) -> DataFrame:
+    """(name, total, logs): log frequency per language of each counted word or n-gram; ``totals`` is an array per row."""
+    wide = counts.groupBy(F.col(name).alias("name")).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("own"))
+    log = lambda lang, i: F.log(F.coalesce(F.try_element_at("own", lang).cast("double"), F.lit(UNSEEN)) / F.element_at(totals, i + 1))
+    return wide.select("name", "total", F.transform(F.lit(langs), log).alias("logs"))
+
+
+class Core:
+    """The most frequent entries of a table by their hash: sorted hashes, and a row of logs for each."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray, whole: bool):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.logs, self.whole = keys[order], logs[order], whole
+
+    def row(self, name: str) -> int:
+        """Row of an entry, -1 if it is not in the core."""
+        key = np.uint64(xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), 42))
+        at = int(self.keys.searchsorted(key))
+        return at if at < len(self.keys) and self.keys[at] == key else -1
+
+
+def _core(table: DataFrame, langs: int, cells: int) -> Core:
+    """Entries above a frequency that is chosen so that ``cells`` numbers suffice; equal frequencies go together."""
+    step = F.floor(F.log2(F.col("total").cast("double")) * 8)
+    sizes = sorted(table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)  # some 500 rows at most
+    left, lowest = cells // max(langs, 1), None
+    for at, n in sizes:
+        left -= n
+        if left < 0:
+            break
+        lowest = at
+    if lowest is None:
+        return Core(np.zeros(0, np.uint64), np.zeros((0, langs), np.float32), not sizes)
+    got = table.filter(step >= lowest).select(F.xxhash64("name").alias("key"), F.col("logs").cast("array<float>").alias("logs")).toArrow()
+    keys = got.column("key").to_numpy().view(np.uint64)
+    logs = got.column("logs").combine_chunks().flatten().to_numpy().reshape(len(keys), langs)
+    return Core(keys, logs, left >= 0)
+
+
 class Model:
-    """Log frequencies per language: one row for each known word or n-gram."""
-
-    def __init__(self, langs: list[str], words: dict[str, dict[str, float]], grams: dict[str, dict[str, float]], floor: float):
-        self.name, self.langs, self.floor = uuid.uuid4().hex, langs, floor
-        self.row = {}
-        table: list[list[float]] = []
-        for kind, entries in (("w", words), ("g", grams)):
-            for name in sorted(entries):
-                self.row[kind + name] = len(table)
-                table.append([entries[name].get(lang, floor) for lang in langs])
-        table.append([floor] * len(langs))  # a character that no language has
-        self.logs = np.array(table, np.float64).reshape(len(table), len(langs))
-        self.longest = max([0, *map(len, grams)])
-
-
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE) -> Model:
-    """Counts everything, then gathers the bounded model to the driver."""
-    words = staged(docs.sparkSession, word_counts(docs, text_col, lang_col), "lang-words")
-    totals = {r.lang: (r.n, r.k) for r in words.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
-    if not totals:
-        return Model([], {}, {}, 0.0)
-    grams = staged(docs.sparkSession, gram_counts(words), "lang-grams")
+    """Languages, the broadcast cores of words and n-grams, and the tables behind them."""
+
+    def __init__(self, langs: list[str], words: Core, grams: Core, unknown: list[float], tables: tuple[DataFrame, DataFrame] | None):
+        self.langs, self.words, self.grams, self.unknown, self.tables = langs, words, grams, unknown, tables
+        self.whole = words.whole and grams.whole
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", cells: int = CORE_CELLS) -> Model:
+    """Counts everything; only totals and the bounded cores come to the driver.
+
+    Rows with a null language are left out; without any other the model knows no language.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    words = staged(spark, word_counts(docs, text_col, lang_col), "lang-words")
+    totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(totals)
+    if not langs:
+        nothing = Core(np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), True)
+        return Model([], nothing, nothing, [], None)
+    grams = staged(spark, gram_counts(words), "lang-grams")
     gram_totals = {(r.lang, r["size"]): r.n for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    floor = float(np.log(min_share / 10))
-    known: dict[str, dict[str, float]] = {}
-    # share of the language's words, tested per row against its own total
-    least = F.create_map(*chain.from_iterable((F.lit(lang), F.lit(min_share * n)) for lang, (n, _) in totals.items()))
-    for r in words.filter(F.col("n") >= least[F.col("lang")]).toLocalIterator():
-        known.setdefault(r.word, {})[r.lang] = float(np.log(r.n / totals[r.lang][0]))
-    parts: dict[str, dict[str, float]] = {}
-    key = F.concat_ws("\0", "lang", F.col("size").cast("string"))
-    least = F.create_map(*chain.from_iterable((F.lit(f"{lang}\0{size}"), F.lit(min_share * n)) for (lang, size), n in gram_totals.items()))
-    for r in grams.filter(F.col("n") >= least[key]).toLocalIterator():
-        parts.setdefault(r.gram, {})[r.lang] = float(np.log(r.n / gram_totals[r.lang, r["size"]]))
-    return Model(sorted(totals), known, parts, floor)
+    by_size = [[float(max(gram_totals.get((lang, size), 0), 1)) for lang in langs] for size in range(1, LONGEST_GRAM + 1)]
+    word_table = staged(spark, _log_table(words, "word", langs, F.lit([float(max(totals[x], 1)) for x in langs])), "lang-word-logs")
+    of_size = F.element_at(F.array(*[F.lit(t) for t in by_size]), F.length("name"))
+    gram_table = staged(spark, _log_table(grams, "gram", langs, of_size), "lang-gram-logs")
+    unknown = [float(np.log(UNSEEN / t)) for t in by_size[0]]  # a character that no language has
+    return Model(langs, _core(word_table, len(langs), cells), _core(gram_table, len(langs), cells), unknown, (word_table, gram_table))
+
+
+def cover(marked: str, known) -> list[str | None]:
+    """The longest n-grams for which ``known`` holds, from the left; None for a character that is in none."""
+    out, at = [], 0
+    while at < len(marked):
+        for size in range(min(LONGEST_GRAM, len(marked) - at), 0, -1):
+            if known(marked[at : at + size]):
+                out.append(marked[at : at + size])
+                at += size
+                break
+        else:
+            out.append(None)
+            at += 1
+    return out
 
 
 class Scorer(dict):
-    """Word to the rows of the model that it adds."""
+    """Word to the rows of logs that it adds; empty for a word that the core cannot tell."""
+
+    def __init__(self, langs: int, words: Core, grams: Core, unknown: list[float]):
+        self.words, self.grams, self.whole = words, grams, words.whole and grams.whole
+        self.logs = np.concatenate([words.logs, grams.logs, np.array(unknown, np.float32).reshape(1, langs)])
+        self.gram_rows: dict[str, int] = {}
 
-    def __init__(self, model: Model):
-        self.model = model
+    def _gram(self, gram: str) -> int:
+        if gram not in self.gram_rows:
+            if len(self.gram_rows) > MEMO_WORDS:
+                self.gram_rows.clear()
+            self.gram_rows[gram] = self.grams.row(gram)
+        return self.gram_rows[gram]
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        row = self.model.row
-        rows = (row["w" + word],) if "w" + word in row else self._cover(f"^{word}$")
+        at = self.words.row(word)
+        if at >= 0:
+            rows = (at,)
+        elif self.whole:
+            first = len(self.words.keys)
+            rows = tuple(len(self.logs) - 1 if g is None else first + self._gram(g) for g in cover(f"^{word}$", lambda g: self._gram(g) >= 0))
+        else:
+            rows = ()
         if len(word) <= MEMO_CHARS:
             self[word] = rows
         return rows
 
-    def _cover(self, marked: str) -> tuple[int, ...]:
-        row, longest, unknown = self.model.row, self.model.longest, len(self.model.logs) - 1
-        out, at = [], 0
-        while at < len(marked):
-            for size in range(min(longest, len(marked) - at), 0, -1):
-                found = row.get("g" + marked[at : at + size])
-                if found is not None:
-                    out.append(found)
-                    at += size
-                    break
-            else:
-                out.append(unknown)
-                at += 1
-        return tuple(out)
-
-    def judge(self, text: str) -> tuple[str, float]:
+    def add_up(self, text: str) -> tuple[bool, np.ndarray, int, list[tuple[str, int]]]:
+        """Whether there is a letter, the summed logs, how many parts they have, and the words left over with their counts."""
         words = _WORD.findall(text.lower())
-        if not self.model.langs or not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
-            return UNDETERMINED, 0.0
-        rows = list(chain.from_iterable(map(self.__getitem__, words)))
+        if not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
+            return False, np.zeros(self.logs.shape[1]), 0, []
+        own = list(map(self.__getitem__, words))
+        rows = list(chain.from_iterable(own))
         if len(self) > MEMO_WORDS:
             self.clear()
-        logs = self.model.logs[rows].sum(axis=0)
-        best = int(logs.argmax())
-        return self.model.langs[best], float(1 / np.exp((logs - logs[best]) / np.sqrt(len(rows))).sum())
+        rest = [] if self.whole else list(Counter(w for w, r in zip(words, own) if not r).items())
+        return True, self.logs[rows].sum(axis=0, dtype=np.float64), len(rows), rest
 
 
 _SCORERS: dict[str, Scorer] = {}
 
 
+def _added(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, doc_id, letters, sums, parts, rest) of each of (row, doc_id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast((len(model.langs), model.words, model.grams, model.unknown))  # bounded by CORE_CELLS
+    name = uuid.uuid4().hex
+    pair = pa.struct([("word", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _SCORERS:  # one scorer per Python worker, what it remembers lasts for a task
+            _SCORERS.clear()
+            _SCORERS[name] = Scorer(*shared.value)
+        scorer = _SCORERS[name]
+        for batch in batches:
+            found = [scorer.add_up(t) for t in batch.column(2).to_pylist()]
+            rest = [[{"word": w, "n": n} for w, n in x[3]] for x in found]
+            data = [[x[0] for x in found], [x[1].tolist() for x in found], [x[2] for x in found], rest]
+            kinds = (pa.bool_(), pa.list_(pa.float64()), pa.int64(), pa.list_(pair))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, k) for c, k in zip(data, kinds)]], names=["row", "doc_id", "letters", "sums", "parts", "rest"])
+        release(scorer, scorer.gram_rows)
+
+    return docs.mapInArrow(run, "row long, doc_id long, letters boolean, sums array<double>, parts long, rest array<struct<word: string, n: long>>")
+
+
+def _covered(words: DataFrame, model: Model) -> DataFrame:
+    """(word, logs, parts) of distinct words that no language has, by the n-gram table."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                marked = f"^{word}$"
+                own = sorted({marked[i : i + size] for size in range(1, LONGEST_GRAM + 1) for i in range(len(marked) - size + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([word] * len(own), pa.string()), pa.array(own, pa.string())], names=["word", "name"])
+
+    size, unknown = len(model.langs), np.array(model.unknown)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs, parts = [], []
+            for word, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                table = {g["name"]: g["logs"] for g in known or ()}
+                found = cover(f"^{word}$", table.__contains__)
+                logs.append(np.sum([unknown if g is None else table[g] for g in found], axis=0).tolist() if size else [])
+                parts.append(len(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(logs, pa.list_(pa.float64())), pa.array(parts, pa.int64())], names=["word", "logs", "parts"])
+
+    known = words.mapInArrow(grams, "word string, name string").join(model.tables[1].select("name", "logs"), "name")
+    lists = known.groupBy("word").agg(F.collect_list(F.struct("name", "logs")).alias("known"))
+    return words.join(lists, "word", "left").select("word", "known").mapInArrow(add_up, "word string, logs array<double>, parts long")
+
+
+def _rest_added(added: DataFrame, model: Model) -> DataFrame:
+    """``added`` with the words that the core could not tell added to the sums."""
+    spark, size = added.sparkSession, len(model.langs)
+    rest = staged(spark, added.select("row", F.explode("rest").alias("w")).select("row", "w.word", "w.n"), "lang-rest")
+    known = rest.join(model.tables[0].select(F.col("name").alias("word"), "logs"), "word", "left")
+    known = staged(spark, known.select("row", "word", "n", "logs"), "lang-rest-known")
+    unseen = staged(spark, known.filter("logs is null").select("word").distinct(), "lang-unseen")
+    covered = known.filter("logs is null").select("row", "word", "n").join(_covered(unseen, model), "word")
+    told = known.filter("logs is not null").select("row", "n", "logs", F.lit(1).cast("long").alias("parts")).unionByName(covered.select("row", "n", "logs", "parts"))
+    sums = told.groupBy("row").agg(F.sum(F.col("n") * F.col("parts")).alias("more_parts"), F.array(*[F.sum(F.col("n") * F.get("logs", F.lit(i))) for i in range(size)]).alias("more"))
+    both = added.drop("rest").join(sums, "row", "left")
+    total = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
+    return both.select("row", "doc_id", "letters", total.alias("sums"), (F.col("parts") + F.coalesce("more_parts", F.lit(0))).alias("parts"))
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score (0 to 1, the language's share against the others).
 
     Defined cases: null, empty and letterless texts (and every text, if nothing was learned) are
     ``und`` with score 0. Of equally likely languages the first in alphabetical order is taken.
     Whole texts count, however long. Repeated rows and null ids stay. An empty table gives an
-    empty result. Other columns are ignored.
+    empty result. Other columns are ignored, whatever their names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        if model.name not in _SCORERS:  # one scorer per Python worker, kept from task to task
-            _SCORERS.clear()
-            _SCORERS[model.name] = Scorer(model)
-        scorer = _SCORERS[model.name]
-        for batch in batches:
-            judged = [scorer.judge(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x for x, _ in judged], pa.string()), pa.array([s for _, s in judged], pa.float64())],
-                names=["doc_id", "lang_pred", "score"],
-            )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    added = _added(rows, model)
+    if not model.whole:
+        added = _rest_added(staged(docs.sparkSession, added, "lang-added"), model)
+    best = F.array_max("sums")
+    share = 1 / F.aggregate("sums", F.lit(0.0), lambda a, x: a + F.exp((x - best) / F.sqrt(F.col("parts").cast("double"))))
+    known = F.col("letters") & (F.size("sums") > 0)
+    lang = F.element_at(F.lit(model.langs or [UNDETERMINED]), F.array_position("sums", best).cast("int"))
+    return added.select("doc_id", F.when(known, lang).otherwise(UNDETERMINED).alias("lang_pred"), F.when(known, share).otherwise(0.0).alias("score"))
