@@ -8,12 +8,14 @@
    may be dropped. Viterbi search under the character model and the channel's costs restores the
    likeliest reading. Text outside such spans has one reading only: itself.
 3. The restored text is scored by a logistic model over the words and word beginnings in it. It
-   is fitted on a bounded sample of labelled rows; features are chosen by their likelihood ratio.
+   is fitted on a bounded sample of labelled rows; features are all those whose likelihood ratio
+   chance does not explain.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 import uuid
 from collections import Counter
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, staged, text_or_empty
+from .common import bounded_batches, release, staged, text_or_empty
 
-#: Labelled rows that the classifier is fitted on (the smallest hashes of their ids), and its features.
-SAMPLE_ROWS, FEATURES = 30_000, 600
+#: Labelled rows that the classifier is fitted on (the smallest hashes of their ids).
+SAMPLE_ROWS = 30_000
+#: Features that chance alone may bring past the likelihood ratio's threshold, expected over all that occur.
+CHANCE = 0.05
 #: Word beginnings that are features beside the words.
 STEMS = (4, 5, 6)
 #: Least labelled documents in which a feature occurs.
@@ -43,8 +47,10 @@ SEPARATORS = " .-_*"
 SUBSTITUTED, LITERAL, SPACED, REPEATED = math.log(0.2), math.log(0.05), math.log(0.3), math.log(0.3)
 #: At the ends of a word a sign is often just itself: marks behind it, marks before it, digits.
 MARK_BEHIND, MARK_BEFORE, DIGIT_AT_END = math.log(0.9), math.log(0.5), math.log(0.3)
-#: Spans beyond this length are read as they stand in windows of it; restored spans that a task remembers.
-SPAN_CHARS, MEMO_SPANS, MEMO_WORDS = 80, 50_000, 200_000
+#: Characters after which the paths of a span give up what they have in common.
+COMMIT_CHARS = 64
+#: Restored spans and words that a task remembers; longer spans are read but not remembered.
+MEMO_SPANS, MEMO_WORDS, MEMO_CHARS = 50_000, 200_000, 80
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -106,15 +112,12 @@ def character_model(counts: DataFrame) -> np.ndarray:
     return np.log(p3)
 
 
-def literal_cost(span: str, at: int) -> float:
-    """What it costs to read a sign as itself, by its place in the span."""
-    c = span[at]
-    if c not in LOOKALIKES:
-        return 0.0
-    behind, before = not any(map(str.isalpha, span[at:])), not any(map(str.isalpha, span[: at + 1]))
-    if not behind and not before:
-        return LITERAL
-    return DIGIT_AT_END if c.isdigit() else MARK_BEHIND if behind else MARK_BEFORE
+def literal_costs(span: str) -> list[float]:
+    """What it costs to read each sign of a span as itself, by its place; 0 for other characters."""
+    letters = [i for i, c in enumerate(span) if c.isalpha()]
+    first, last = (letters[0], letters[-1]) if letters else (len(span), -1)
+    place = lambda at, c: LITERAL if first < at < last else DIGIT_AT_END if c.isdigit() else MARK_BEHIND if at > last else MARK_BEFORE
+    return [place(at, c) if c in LOOKALIKES else 0.0 for at, c in enumerate(span)]
 
 
 class Restorer(dict):
@@ -158,12 +161,18 @@ class Restorer(dict):
         return sorted(found)
 
     def __missing__(self, span: str) -> str:
-        out = self[span] = self._read(span)
+        out = self._read(span)
+        if len(span) <= MEMO_CHARS:
+            self[span] = out
         return out
 
     def _read(self, span: str) -> str:
-        """The likeliest reading: letters, with a blank for whatever is kept between words."""
-        logs = self.logs
+        """The likeliest reading: letters, with a blank for whatever is kept between words.
+
+        Paths that survive soon agree on all but their ends; what they share is set aside now and
+        then, so that a span of any length is read whole in time and room proportional to it.
+        """
+        logs, kept, done = self.logs, literal_costs(span), []
         paths = {(_EDGE, _EDGE): (0.0, "")}
         for at, c in enumerate(span):
             low = c.lower()
@@ -174,7 +183,7 @@ class Restorer(dict):
                 if 0 < at and span[at - 1].lower() == low and (span[at - 2 : at - 1].lower() == low or span[at + 1 : at + 2].lower() == low):
                     readings.append((REPEATED, "", -1))
             else:
-                readings.append((literal_cost(span, at), " ", _EDGE))
+                readings.append((kept[at], " ", _EDGE))
                 for letter in LOOKALIKES.get(c, ""):
                     readings.append((SUBSTITUTED, letter, ord(letter) - 96))
                 if c in SEPARATORS:
@@ -189,7 +198,11 @@ class Restorer(dict):
                     if key not in ahead or (total, out) > ahead[key]:
                         ahead[key] = total, out
             paths = ahead
-        return max((score + (0.0 if b == _EDGE else logs[a][b][_EDGE]), text) for (a, b), (score, text) in paths.items())[1]
+            if at % COMMIT_CHARS == COMMIT_CHARS - 1:
+                done.append(os.path.commonprefix([text for _, text in paths.values()]))
+                paths = {key: (score, text[len(done[-1]) :]) for key, (score, text) in paths.items()}
+        best = max((score + (0.0 if b == _EDGE else logs[a][b][_EDGE]), text) for (a, b), (score, text) in paths.items())[1]
+        return "".join([*done, best])
 
     def restore(self, text: str) -> str:
         """The text with its disguised spans restored."""
@@ -201,7 +214,7 @@ class Restorer(dict):
             if start < done:
                 continue
             parts.append(text[done:start])
-            parts += [self[text[i : min(end, i + SPAN_CHARS)]] for i in range(start, end, SPAN_CHARS)]
+            parts.append(self[text[start:end]])
             done = end
         if len(self) > MEMO_SPANS:
             self.clear()
@@ -278,22 +291,29 @@ def _feature_counts(restored: DataFrame) -> DataFrame:
 
 
 def _fit(rows: list[list[int]], toxic: list[int], size: int) -> np.ndarray:
-    """Weights of the features and, last, the constant: logistic regression by Newton steps with a quadratic penalty."""
-    x = np.zeros((len(rows), size + 1), bool)
-    x[:, size] = True
-    for i, found in enumerate(rows):
-        x[i, found] = True
+    """Weights of the features and, last, the constant: logistic regression with a quadratic penalty.
+
+    Newton steps, each solved by conjugate gradients on the features that the rows hold.
+    """
+    at = np.array([i for found in rows for i in [*found, size]], np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(found) + 1 for found in rows])
+    times = lambda v: np.bincount(row, v[at], len(rows))
+    back = lambda v: np.bincount(at, v[row], size + 1)
     y, w = np.array(toxic, float), np.zeros(size + 1)
     penalty = np.full(size + 1, 0.1)
     penalty[size] = 1e-3
-    for _ in range(25):
-        curve, slope = np.diag(penalty), -penalty * w
-        for at in range(0, len(y), 2048):  # a few rows at a time as numbers
-            part = x[at : at + 2048].astype(float)
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            curve += (part * (p * (1 - p))[:, None]).T @ part
-            slope += part.T @ (y[at : at + 2048] - p)
-        step = np.linalg.solve(curve, slope)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        weight, rest = p * (1 - p), back(y - p) - penalty * w
+        step, towards, left = np.zeros(size + 1), rest.copy(), rest @ rest
+        for _ in range(200):
+            if left < 1e-16:
+                break
+            curve = back(weight * times(towards)) + penalty * towards
+            far = left / (towards @ curve)
+            step, rest = step + far * towards, rest - far * curve
+            left, was = rest @ rest, left
+            towards = rest + left / was * towards
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -306,9 +326,15 @@ class ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_fold, id_col: str = "doc_id", text_col: str = "text",
-          sample_rows: int = SAMPLE_ROWS, size: int = FEATURES) -> ToxicityModel:
-    """Character model over all of ``docs``; classifier over a bounded sample of its labelled rows."""
+          sample_rows: int = SAMPLE_ROWS, chance: float = CHANCE) -> ToxicityModel:
+    """Character model over all of ``docs``; classifier over a bounded sample of its labelled rows.
+
+    A feature counts if exp(-ratio), which bounds the chance of its likelihood ratio, times the number of
+    features is below ``chance``; so the sample bounds their number. Labels without two classes,
+    or none, give a model of the constant alone.
+    """
     spark = docs.sparkSession
+    bounded_batches(spark)
     logs = character_model(trigram_counts(docs, text_col))
     shared = spark.sparkContext.broadcast(logs)  # fixed size, 2 MB
     sample = labelled_sample(labels, train_fold, sample_rows, id_col)
@@ -323,8 +349,9 @@ def train(docs: DataFrame, labels: DataFrame, train_fold, id_col: str = "doc_id"
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     ratio = (part(a, F.col("n") * t / n) + part(b, F.col("n") * (n - t) / n)
              + part(t - a, (n - F.col("n")) * t / n) + part((n - t) - b, (n - F.col("n")) * (n - t) / n))
-    chosen = _feature_counts(restored).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc(F.round(ratio, 6)), "feature").limit(size).collect()
-    index = {r.feature: i for i, r in enumerate(chosen)}
+    seen = staged(spark, _feature_counts(restored).filter(F.col("n") >= LEAST_DOCS), "toxicity-features")
+    chosen = seen.filter(ratio > math.log(max(seen.count(), 1) / chance)).select("feature").collect()  # words of a bounded sample
+    index = {feature: i for i, feature in enumerate(sorted(r.feature for r in chosen))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(index)
@@ -332,7 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, train_fold, id_col: str = "doc_id"
             found = [features.present(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "found"])
 
-    # a bounded number of rows with at most ``size`` small numbers each
+    # a bounded number of rows with their features
     rows = sorted((r.doc_id, r.toxic, list(r.found)) for r in restored.mapInArrow(run, "doc_id long, toxic int, found array<int>").toLocalIterator())
     return ToxicityModel(logs, index, _fit([r[2] for r in rows], [r[1] for r in rows], len(index)))
 
@@ -355,9 +382,10 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     Defined cases: a null text counts as empty and gets the score of a text without features.
     Whole texts are scored, however long. Without two classes of labels every text gets the share
-    of toxic labels. Repeated rows and null ids stay. An empty table gives an empty result. Other
-    columns are ignored.
+    of toxic labels. Repeated rows and null ids stay; equal texts get equal scores. An empty table
+    gives an empty result. Other columns are ignored, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +399,12 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is not predicted toxic."""
+    """The rows of ``docs``, with all their columns, whose text is not predicted toxic.
+
+    Defined cases: as for ``score``; rows with a null text or id and repeated rows stay or go by
+    their text alone.
+    """
+    bounded_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
