@@ -4,10 +4,11 @@ Tokenising: a text is cut at ASCII white space, across which the tokenizer never
 each distinct chunk is encoded once per task and then looked up.
 
 Packing: a document (plus its end mark) longer than a sequence is cut into pieces; pieces are
-dealt to partitions by a hash of their identity, and each partition packs its own share. There
+dealt evenly to partitions, repeated ones too, and each partition packs its own share. There
 the state is the number of open sequences per residual gap; every piece goes where the sum of
 the squared counts becomes smallest. The state is bounded by the sequence length, partitions
-never exchange sequences, and a rerun of a lost partition gives the same packing.
+never exchange sequences, and a rerun of a lost partition gives the same packing, as Spark sorts
+rows before it deals them out.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, staged, text_or_empty
+from .common import bounded_batches, release, staged, text_or_empty
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
@@ -154,6 +155,7 @@ def tokenised_pieces(
     capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID,
 ) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32."""
+    bounded_batches(docs.sparkSession)
     end = np.asarray([end_id], dtype="<u4").tobytes()
     ranked = docs.sparkSession.sparkContext.broadcast(word_model(tokenizer_path))  # a vocabulary, about 1 MB
 
@@ -210,7 +212,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, per_task: int = PIECES_PER_TASK) -> DataFrame:
-    """Adds sequence_id and offset to (doc_id, piece, start, length, ids_crc32)."""
+    """Adds sequence_id and offset to (doc_id, piece, start, length, ids_crc32).
+
+    Repeated rows and rows with a null id are packed each on its own; no rows give none.
+    """
     tasks = max(1, -(-pieces.count() // per_task))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +228,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, per_task: in
         table = table.append_column("sequence_id", pa.array(where + base)).append_column("offset", pa.array(offset))
         yield from table.to_batches(max_chunksize=10_000)
 
-    return pieces.repartition(tasks, "doc_id", "piece", "ids_crc32").mapInArrow(run, _PACKED)
+    return pieces.repartition(tasks).mapInArrow(run, _PACKED)
 
 
 def pack_documents(
