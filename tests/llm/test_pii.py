@@ -108,10 +108,14 @@ def test_long_texts_and_empty_table(spark):
 
 
 def test_sanitise(spark):
-    rows = [(1, "mail a@b.c or +49 30 1234567 now é", "s"), (2, "nothing", None), (3, None, "s"), (None, "a@b.c", "s"), (4, "1.2.3.4a@b.cd", "s")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
-    got = {r.doc_id: (r.text, r.kind) for r in pii.sanitise(docs, pii.find_spans(docs)).collect()}
-    assert got == {1: ("mail [EMAIL] or [PHONE] now é", "s"), 2: ("nothing", None), 3: (None, "s"), None: ("a@b.c", "s"), 4: ("[IP]", "s")}
+    rows = [(1, "mail a@b.c or +49 30 1234567 now é", "s"), (2, "nothing", None), (3, None, "s"), (None, "a@b.c", "s"), (None, "zz", "t"), (4, "1.2.3.4a@b.cd", "s"), (8, "x mail q@r.s", "u"), (8, "zz", "u"), (8, "zz", "u"), (9, "y" * 100_000 + " q@r.s", "v")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, kind string, _row int").repartition(3)
+    found = pii.sanitise(docs)
+    assert found.columns == docs.columns and dict(found.dtypes) == dict(docs.dtypes)
+    got = {r["_row"]: (r.doc_id, r.text, r.kind) for r in found.collect()}
+    clean = {0: "mail [EMAIL] or [PHONE] now é", 3: "[EMAIL]", 5: "[IP]", 6: "x mail [EMAIL]", 9: "y" * 100_000 + " [EMAIL]"}
+    assert got == {i: (r[0], clean.get(i, r[1]), r[2]) for i, r in enumerate(rows)}
+    assert pii.sanitise(docs.limit(0)).count() == 0
 
 
 def protected(kind, value):

@@ -84,3 +84,28 @@ def test_null_and_repeated_ids(spark):
     four = stage["pii"](spark, three, SF)
     assert four.columns == docs.columns
     assert order(four) == sorted(((i, t.replace("a@b.c", "[EMAIL]").replace("ann@b.c", "[EMAIL]")) for i, t in want), key=str)
+
+
+def test_every_stage_on_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns, and empty tables."""
+    long = " ".join(f"w{k % 4999}" for k in range(60_000))
+    rows = [(1, None), (2, ""), (3, " \n\t "), (None, None), (None, "one two"), (4, long), (4, long), (5, long + " mail q@r.s"), (6, "x" * 100_000), (7, "short text"), (7, "short text"), (None, "mail a@b.c")]
+    data = [(i, t, None, None, None, k, "r") for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, score int, _row string").repartition(3)
+    rest = dict(corpus_pipeline.STAGES)
+    places = lambda d: sorted(r.score for r in d.collect())
+    assert places(rest["toxicity"](spark, docs, SF)) == list(range(len(rows)))
+    exact = places(rest["exact dedup"](spark, docs, SF))
+    # blank texts are one group, whose longest text stays; one of each pair of equal rows goes
+    assert len(exact) == 7 and 2 in exact and {4, 7, 8, 11} < set(exact) and len({5, 6} & set(exact)) == len({9, 10} & set(exact)) == 1
+    near = places(rest["near dedup"](spark, docs, SF))
+    assert {0, 1, 2, 3, 4, 8, 11} < set(near) and len({5, 6, 7} & set(near)) == 1 and len({9, 10} & set(near)) == 1
+    clean = {r.score: r for r in rest["pii"](spark, docs, SF).collect()}
+    assert set(clean) == set(range(len(rows))) and clean[11].text == "mail [EMAIL]" and clean[7].text == long + " mail [EMAIL]"
+    assert all(clean[k].text == t for k, (_, t) in enumerate(rows) if k not in (7, 11))
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) and r["_row"] == "r" for r in clean.values())
+    packed = rest["packing"](spark, docs, SF).collect()
+    assert sum(p.piece == 0 for p in packed) == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, docs.limit(0), SF)
+        assert nothing.count() == 0 and (name == "packing" or nothing.columns == docs.columns)

@@ -19,6 +19,8 @@ of the matches, summed in order, are the starts and ends, in code points.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,7 +137,7 @@ def _terms(text: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0)), F.lower))
 
 
-def _joined(table: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+def _joined(table: DataFrame, listed: DataFrame, key) -> DataFrame:
     """``table`` joined with a staged list, by broadcast if that is short."""
     return table.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed, key)
 
@@ -146,6 +148,11 @@ def _at_least(table: DataFrame, count: str) -> list[int]:
     return [sum(n for k, n in held.items() if k >= least) for least in range(1, BOUND_DOCS + 1)]
 
 
+def _least_evidence(tests: list[float], total: int, chance: float) -> int:
+    """The fewest joint documents that can be enough: a pair with k of them has a bound of at least 1 / C(total, k)."""
+    return next((k for k, n in enumerate(tests, 1) if k <= total and n / math.comb(total, k) < chance), BOUND_DOCS + 1)
+
+
 def revealing_terms(rows: DataFrame, owned: DataFrame, disclosure: float = DISCLOSURE, least_docs: int = LEAST_DOCS, chance: float = CHANCE) -> DataFrame:
     """(term,): the terms that reveal an entity beyond the threshold, counted over whole documents.
 
@@ -155,24 +162,37 @@ def revealing_terms(rows: DataFrame, owned: DataFrame, disclosure: float = DISCL
     times the number of pairs that could have k joint documents (words in k documents at least,
     times values or groups in as many) must be below ``chance``. For whole values ``least_docs``
     joint documents are enough without it.
+
+    Both rules tell beforehand what cannot count, so that only the rest is paired: entities and
+    words in fewer documents than any evidence needs, and words so frequent that an entity with
+    n(e) documents, all of them theirs, leaves the quotient below the threshold.
     """
     spark = rows.sparkSession
-    lists = staged(spark, owned.groupBy("row").agg(F.collect_list(F.struct("entity", "whole")).alias("list")), "pii-lists-of-rows")
-    near = _joined(rows.select("row", "text"), lists, "row").select("list", F.explode(_terms("text")).alias("term")).select("term", F.explode("list").alias("e"))
-    pairs = near.groupBy("term", "e.entity", "e.whole").agg(F.count(F.lit(1)).alias("n_both"))
     known = staged(spark, owned.groupBy("entity", "whole").agg(F.count(F.lit(1)).alias("n_entity")), "pii-entities")
     counts = staged(spark, rows.select(F.explode(_terms("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "pii-words")
     total = rows.count()
-    of_words, of_values, of_groups = _at_least(counts, "n_term"), _at_least(known.filter("whole"), "n_entity"), _at_least(known.filter("not whole"), "n_entity")
-    tests = lambda own: F.element_at(F.array(*[F.lit(float(max(w * e, 1))) for w, e in zip(of_words, own)]), F.least(F.col("n_both"), F.lit(BOUND_DOCS)).cast("int"))
+    of_words = _at_least(counts, "n_term")
+    tests = {whole: [float(max(w * e, 1)) for w, e in zip(of_words, _at_least(known.filter(F.col("whole") == whole), "n_entity"))] for whole in (True, False)}
+    least = {whole: _least_evidence(t, total, chance) for whole, t in tests.items()}
+    least[True] = min(least[True], least_docs)
+    # mutual information of at most ln(N / n(t)) reaches the threshold only for so few documents of a term
+    most = F.pow(F.col("n_entity").cast("double"), F.lit(disclosure)) * F.pow(F.lit(float(max(total, 1))), F.lit(1 - disclosure)) * (1 + 1e-9)
+    known = known.filter((F.col("n_entity") < total) & (F.col("n_entity") >= F.when(F.col("whole"), least[True]).otherwise(least[False]))).withColumn("most", most)
+    known = staged(spark, known, "pii-recurring")
+    limit = known.agg(F.max("most")).first()[0] or 0.0
+    counts = staged(spark, counts.filter((F.col("n_term") >= min(least.values())) & (F.col("n_term") <= limit)), "pii-candidates")
+    lists = _joined(owned, known, ["entity", "whole"]).groupBy("row").agg(F.collect_list(F.struct("entity", "whole", "n_entity", "most")).alias("list"))
+    near = _joined(rows.select("row", "text"), staged(spark, lists, "pii-lists-of-rows"), "row").select("list", F.explode(_terms("text")).alias("term"))
+    near = _joined(near, counts, "term").select("term", "n_term", F.explode(F.filter("list", lambda e: e["most"] >= F.col("n_term"))).alias("e"))
+    pairs = near.groupBy("term", "n_term", "e.entity", "e.whole", "e.n_entity").agg(F.count(F.lit(1)).alias("n_both"))
+    per_test = lambda own: F.element_at(F.lit(own), F.least(F.col("n_both"), F.lit(BOUND_DOCS)).cast("int"))
     info = F.log(F.lit(float(total)) / F.col("n_entity"))
     mutual = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     factor = lambda i: F.log((F.col("n_entity") - i) * (F.col("n_term") - i) / ((F.col("n_both") - i) * (F.lit(float(total)) - i)))
     steps = F.sequence(F.lit(0).cast("long"), F.least(F.col("n_both"), F.lit(BOUND_DOCS)) - 1)
     bound = F.aggregate(steps, F.lit(0.0), lambda a, i: a + factor(i))
-    enough = (F.col("whole") & (F.col("n_both") >= least_docs)) | (F.exp(bound) * F.when(F.col("whole"), tests(of_values)).otherwise(tests(of_groups)) < chance)
-    told = pairs.join(known, ["entity", "whole"]).join(counts, "term").filter((info > 0) & (mutual >= disclosure * info - 1e-12))
-    return told.filter(enough).select("term").distinct()
+    enough = (F.col("whole") & (F.col("n_both") >= least_docs)) | (F.exp(bound) * F.when(F.col("whole"), per_test(tests[True])).otherwise(per_test(tests[False])) < chance)
+    return pairs.filter((mutual >= disclosure * info - 1e-12) & enough).select("term").distinct()
 
 
 def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -189,13 +209,9 @@ def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return lines.filter("told").select("row", "doc_id", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(row, doc_id, kind, start, end): base spans, then terms that reveal them, one line each.
-
-    A row without base spans has one line with a null kind. Terms never overlap base spans.
-    """
-    spark = docs.sparkSession
-    rows = numbered(docs, id_col, text_col)
+def spans_of(rows: DataFrame, disclosure: float = DISCLOSURE, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(row, doc_id, kind, start, end): base spans of staged rows (row, doc_id, text), then terms that reveal them."""
+    spark = rows.sparkSession
     base = staged(spark, base_spans(rows), "pii-spans")
     terms = term_spans(rows, staged(spark, revealing_terms(rows, staged(spark, entities(base), "pii-owned"), disclosure, least_docs), "pii-terms"))
     taken = base.filter(F.col("kind").isNotNull()).select("row", F.col("start").alias("s"), F.col("end").alias("e"))
@@ -204,6 +220,15 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return base.select("row", "doc_id", "kind", "start", "end").unionByName(terms)
 
 
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(row, doc_id, kind, start, end): base spans, then terms that reveal them, one line each.
+
+    A row without base spans has one line with a null kind. Terms never overlap base spans. ``row``
+    numbers the input rows, so that equal ids are told apart. A null text counts as empty.
+    """
+    return spans_of(numbered(docs, id_col, text_col), disclosure, least_docs)
+
+
 def span_report(spans: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans.
 
@@ -219,19 +244,26 @@ def span_report(spans: DataFrame) -> DataFrame:
     return rows.select("doc_id", *[f"n_{k}" for k in (*KINDS, TERM)], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
 
 
-def sanitise(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``docs`` with the spans of each text replaced by placeholders; all columns stay.
 
-    Spans that overlap become one, named after the first. Documents are matched to spans by id:
-    rows that share an id must share their text. Rows with a null id lose no text and stay as they are.
+    Spans that overlap become one, named after the first. Defined cases: each row loses the spans
+    of its own text, whatever its id, null and repeated ones too. A null text stays null, texts
+    without spans stay as they are, very long ones are searched whole. An empty table gives an
+    empty result. Other columns are kept, whatever their names.
     """
-    own = spans.filter(F.col("kind").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "kind", "start", "end").distinct()
-    before = Window.partitionBy("doc_id").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("doc_id").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    spark, key = docs.sparkSession, "_row"
+    while key in docs.columns:
+        key += "_"
+    docs = staged(spark, docs.withColumn(key, F.monotonically_increasing_id()), "pii-documents")
+    spans = spans_of(docs.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), disclosure, least_docs)
+    own = spans.filter(F.col("kind").isNotNull()).select("row", "kind", "start", "end").distinct()
+    before = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("fresh", (F.coalesce(F.max("end").over(before), F.lit(-1)) <= F.col("start")).cast("int")).withColumn("cluster", F.sum("fresh").over(upto))
-    merged = own.groupBy("doc_id", "cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
-    lists = merged.groupBy(F.col("doc_id").alias("span_doc")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("span_list"))
-    text, marks = F.col(text_col), F.col("span_list")
+    merged = own.groupBy("row", "cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
+    lists = merged.groupBy(F.col("row").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias(f"{key}spans"))
+    text, marks = F.col(text_col), F.col(f"{key}spans")
     names = F.create_map(*[F.lit(x) for pair in _PLACEHOLDERS.items() for x in pair])
 
     def piece(x: Column, i: Column) -> Column:
@@ -240,5 +272,5 @@ def sanitise(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col
 
     tail = F.substring(text, (F.element_at(marks, -1)["end"] + 1).cast("int"), F.length(text))
     clean = F.concat(F.concat_ws("", F.transform(marks, piece)), tail)
-    out = docs.join(staged(docs.sparkSession, lists, "pii-lists"), F.col(id_col).cast("long") == F.col("span_doc"), "left")
-    return out.select(*[F.when(marks.isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    out = docs.join(staged(spark, lists, "pii-lists"), key, "left")
+    return out.select(*[F.when(marks.isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns if c != key])
