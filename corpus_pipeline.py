@@ -6,7 +6,8 @@ return the columns of ``documents``.
 
 Rows are told apart by keys of their own (``_keyed``), not by their ids. Defined cases: a row with
 a null id is a document of its own. Of rows that repeat an id and a text one stays; rows that
-repeat an id with different texts are different documents.
+repeat an id with different texts are different documents. Columns beyond those of ``documents``
+are carried along, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,58 +20,64 @@ from tracemill.llm import exact_dedup, minhash, packing, pii, toxicity
 from tracemill.llm.common import read_table, staged
 from tracemill.llm.queries import toxicity_model
 
-#: Column of the keys that tell rows apart within a stage.
-ROW = "_row"
-
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not predict toxic."""
+    """Documents that the toxicity model does not predict toxic; each row is judged by its whole text, a null one as empty."""
     return toxicity.reject_toxic(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row: the one with the most code points, then the smallest id; null ids come last."""
-    rows = _keyed(spark, docs)
-    kept = exact_dedup.exact_dedup(rows, id_col=ROW).filter("kept").select(F.col("doc_id").alias(ROW))
-    return _only(rows, staged(spark, kept, "pipeline-exact")).select(*docs.columns)
+    """Of equal texts one row: the one with the most code points, then the smallest id; null ids come last.
+
+    Null, empty and blank texts are equal. Whole texts count, however long.
+    """
+    rows, key = _keyed(spark, docs)
+    kept = exact_dedup.exact_dedup(rows, id_col=key).filter("kept").select(F.col("doc_id").alias(key))
+    return _only(rows, staged(spark, kept, "pipeline-exact"), key).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row, the one with the smallest id (null ids come last); documents without words stay."""
-    rows = _keyed(spark, docs)
-    kept = minhash.near_duplicates(rows.select(ROW, "text"), id_col=ROW).filter("kept").select(F.col("doc_id").alias(ROW))
-    return _only(rows, staged(spark, kept, "pipeline-near")).select(*docs.columns)
+    """Of each group of near-duplicates one row, the one with the smallest id (null ids come last).
+
+    Documents without words, null texts among them, all stay. Whole texts count, however long.
+    """
+    rows, key = _keyed(spark, docs)
+    kept = minhash.near_duplicates(rows.select(key, "text"), id_col=key).filter("kept").select(F.col("doc_id").alias(key))
+    return _only(rows, staged(spark, kept, "pipeline-near"), key).select(*docs.columns)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that reveal it become placeholders; ``n_chars`` follows the text."""
-    rows = _keyed(spark, docs)
-    spans = staged(spark, pii.find_spans(rows.select(ROW, "text"), id_col=ROW), "pipeline-spans")
-    return pii.sanitise(rows, spans, id_col=ROW).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Personal data and the terms that reveal it become placeholders in each row; ``n_chars`` follows the text, null ones have none."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenised pieces with their places in sequences."""
+    """Tokenised pieces with their places in sequences; repeated rows are packed each on its own, null texts are empty."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row that orders rows by id, null ids last.
+def _keyed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row that orders rows by id, null ids last, and the name of its column.
 
     Where every row has an id of its own, that is the key. Else rows are numbered in the order of their ids.
     """
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     shared = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1")
     if not shared.limit(1).count():
-        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
     # the place in the input splits the rows of one id, so that no task sorts all null ids
-    placed = docs.withColumn("_place", F.monotonically_increasing_id()).orderBy(F.col("doc_id").cast("long").asc_nulls_last(), "_place")
-    return staged(spark, placed.drop("_place").withColumn(ROW, F.monotonically_increasing_id()), "pipeline-keyed")
+    place = key + "place"
+    placed = docs.withColumn(place, F.monotonically_increasing_id()).orderBy(F.col("doc_id").cast("long").asc_nulls_last(), place)
+    return staged(spark, placed.drop(place).withColumn(key, F.monotonically_increasing_id()), "pipeline-keyed"), key
 
 
-def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _only(docs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Rows whose key is listed. A merge join at every size: the list grows with the corpus, and Spark can split its skew."""
-    return docs.join(rows.hint("merge"), ROW, "left_semi")
+    return docs.join(rows.hint("merge"), key, "left_semi")
 
 
 STAGES = [
