@@ -40,15 +40,15 @@ def brute(train, texts):
     return out
 
 
-@pytest.mark.parametrize("cells", [langid.CORE_CELLS, 40, 0])
-def test_query_against_plain_counting(spark, cells):
+@pytest.mark.parametrize("word_cells, gram_cells", [(langid.WORD_CELLS, langid.GRAM_CELLS), (40, 40), (40, langid.GRAM_CELLS), (langid.WORD_CELLS, 40), (0, 0)])
+def test_query_against_plain_counting(spark, word_cells, gram_cells):
     rng = random.Random(6)
     stems = {"en": ["the", "cat", "house", "river", "walk"], "de": ["der", "hund", "haus", "fluss", "gehen"], "fr": ["le", "chat", "maison", "fleuve", "été"]}
     sentence = lambda x: " ".join(rng.choice(stems[x]) + rng.choice(["", "s", "en", "ing", "é"]) for _ in range(rng.randrange(1, 30)))
     train = TRAIN + [(x, sentence(x)) for x in stems for _ in range(25)]
     texts = [sentence(x) for x in stems for _ in range(20)] + ["undhouse", "zzz qqq", "日本 hund", "x" * 3000 + " the", "a1b2 _ der", "4 5", "", None]
-    model = langid.train(spark.createDataFrame(train, "lang string, text string").repartition(3), cells=cells)
-    assert model.whole == (cells > 1000)
+    model = langid.train(spark.createDataFrame(train, "lang string, text string").repartition(3), word_cells=word_cells, gram_cells=gram_cells)
+    assert model.whole == (min(word_cells, gram_cells) > 1000)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
     want = brute(train, texts)

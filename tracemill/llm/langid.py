@@ -2,8 +2,8 @@
 
 Training counts words per language over all training documents and derives character n-gram
 counts from the distinct words. Every counted word and n-gram is in the model: the most frequent
-ones, as many as ``CORE_CELLS`` allows, are broadcast; the rest stays in a table that words are
-joined with.
+ones, as many as ``WORD_CELLS`` and ``GRAM_CELLS`` allow, are broadcast; the rest stays in tables
+that words are joined with.
 
 Scoring: a known word adds its log frequency in each language. An unseen word is covered from
 the left by the longest known n-grams, four characters at most, and adds theirs. A task scores
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, release, staged, text_or_empty
 
-#: Numbers (entries times languages) of each kind, words and n-grams, that are broadcast.
-CORE_CELLS = 1_000_000
+#: Numbers (entries times languages) of words and of n-grams that are broadcast.
+WORD_CELLS, GRAM_CELLS = 1_000_000, 8_000_000
 LONGEST_GRAM = 4
 #: What a word or n-gram of another language counts in a language that never had it.
 UNSEEN = 0.5
@@ -139,7 +139,7 @@ class Model:
         self.whole = words.whole and grams.whole
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", cells: int = CORE_CELLS) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", word_cells: int = WORD_CELLS, gram_cells: int = GRAM_CELLS) -> Model:
     """Counts everything; only totals and the bounded cores come to the driver.
 
     Rows with a null language are left out; without any other the model knows no language.
@@ -159,7 +159,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", cells
     of_size = F.element_at(F.array(*[F.lit(t) for t in by_size]), F.length("name"))
     gram_table = staged(spark, _log_table(grams, "gram", langs, of_size), "lang-gram-logs")
     unknown = [float(np.log(UNSEEN / t)) for t in by_size[0]]  # a character that no language has
-    return Model(langs, _core(word_table, len(langs), cells), _core(gram_table, len(langs), cells), unknown, (word_table, gram_table))
+    return Model(langs, _core(word_table, len(langs), word_cells), _core(gram_table, len(langs), gram_cells), unknown, (word_table, gram_table))
 
 
 def cover(marked: str, known) -> list[str | None]:
@@ -182,7 +182,7 @@ class Scorer(dict):
 
     def __init__(self, langs: int, words: Core, grams: Core, unknown: list[float]):
         self.words, self.grams, self.whole = words, grams, words.whole and grams.whole
-        self.logs = np.concatenate([words.logs, grams.logs, np.array(unknown, np.float32).reshape(1, langs)])
+        self.logs = np.concatenate([words.logs, grams.logs, np.array(unknown, np.float32).reshape(1, langs)]) if self.whole else words.logs
         self.gram_rows: dict[str, int] = {}
 
     def _gram(self, gram: str) -> int:
@@ -223,7 +223,9 @@ _SCORERS: dict[str, Scorer] = {}
 
 def _added(docs: DataFrame, model: Model) -> DataFrame:
     """(row, doc_id, letters, sums, parts, rest) of each of (row, doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((len(model.langs), model.words, model.grams, model.unknown))  # bounded by CORE_CELLS
+    nothing = Core(np.zeros(0, np.uint64), np.zeros((0, len(model.langs)), np.float32), False)
+    # bounded by WORD_CELLS and GRAM_CELLS
+    shared = docs.sparkSession.sparkContext.broadcast((len(model.langs), model.words, model.grams if model.whole else nothing, model.unknown))
     name = uuid.uuid4().hex
     pair = pa.struct([("word", pa.string()), ("n", pa.int64())])
 
@@ -244,7 +246,20 @@ def _added(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _covered(words: DataFrame, model: Model) -> DataFrame:
-    """(word, logs, parts) of distinct words that no language has, by the n-gram table."""
+    """(word, logs, parts) of distinct words that no language has, by the n-grams: from the core if that holds all, else joined."""
+    if model.grams.whole:
+        only = Core(np.zeros(0, np.uint64), np.zeros((0, len(model.langs)), np.float32), True)
+        shared = words.sparkSession.sparkContext.broadcast((len(model.langs), only, model.grams, model.unknown))
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(*shared.value)
+            for batch in batches:
+                rows = [scorer.__missing__(w) for w in batch.column(0).to_pylist()]
+                scorer.clear()
+                logs = [scorer.logs[list(r)].sum(axis=0, dtype=np.float64) for r in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(logs, pa.list_(pa.float64())), pa.array([len(r) for r in rows], pa.int64())], names=["word", "logs", "parts"])
+
+        return words.mapInArrow(told, "word string, logs array<double>, parts long")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
