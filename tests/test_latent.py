@@ -63,8 +63,94 @@ def test_varimax_recovers_simple_structure(spark):
 def test_kmeans_rows(spark):
     t = np.arange(60)
     x = np.array([np.sin(0.3 * t + (0 if u < 8 else 1.5)) + 0.1 * np.random.default_rng(u).normal(size=60) for u in range(16)])
-    c = {r.unit_id: r.cluster for r in L.kmeans_rows(arrays(spark, x), 2, 2).collect()}
+    got = L.kmeans_rows(arrays(spark, x), [2, 3], 4).collect()
+    c = {r.unit_id: r.cluster for r in got if r.k == 2}
     assert len({c[u] for u in range(8)}) == len({c[u] for u in range(8, 16)}) == 1 and c[0] != c[8]
+    assert len({r.cluster for r in got if r.k == 3}) == 3 and len(got) == 32
+
+
+def test_passes_agree_with_the_exact_solution(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 3)) @ rng.normal(size=(3, 50)) + 0.3 * rng.normal(size=(40, 50))
+    frame = arrays(spark, x, 1).unionByName(arrays(spark, x[:, :20] + 1, 2))
+    exact = {(r.recording_id, r.pc): r for r in L.pca(frame, 3).collect()}
+    passed = {(r.recording_id, r.pc): r for r in L.pca(frame, 3, gram_frames=30).collect()}
+    assert set(exact) == set(passed) and len(exact) == 6
+    for key, r in exact.items():
+        assert passed[key].share == pytest.approx(r.share, abs=1e-6) and np.allclose(passed[key].score, r.score, atol=1e-3)
+
+
+def test_time_components_against_numpy(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(25, 12))
+    z = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, ddof=1, keepdims=True)
+    c = z - z.mean(axis=0)
+    u, s, vt = np.linalg.svd(c, full_matrices=False)
+    patterns, scores = L.pca_time(arrays(spark, x), 3)
+    for r in patterns.collect():
+        assert r.variance == pytest.approx(s[r.pc] ** 2 / 24, rel=1e-6)
+        assert np.allclose(np.abs(r.pattern), np.abs(vt[r.pc]) * s[r.pc] / np.sqrt(24), atol=1e-6)
+    got = {(r.unit_id, r.pc): r.score for r in scores.collect()}
+    assert all(abs(got[i, p]) == pytest.approx(abs(u[i, p] * s[p]), abs=1e-6) for i in range(25) for p in range(3))
+
+
+def test_cosine_modes_against_numpy(spark):
+    x = np.random.default_rng(11).normal(size=(20, 30))
+    z = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, ddof=1, keepdims=True)
+    y = z / np.linalg.norm(z, axis=0)
+    u, s, _ = np.linalg.svd(y.T @ y)
+    r = np.array([[np.corrcoef(row, u[:, j])[0, 1] for j in range(3)] for row in z])
+    got = {g.unit_id: g for g in L.cosine_assign(arrays(spark, x), 3).collect()}
+    for i in range(20):
+        best = int(np.abs(r[i]).argmax())
+        assert got[i]["mode"] == best and abs(got[i].r) == pytest.approx(abs(r[i, best]), abs=1e-6)
+
+
+def test_varimax_against_the_whole_matrix(spark):
+    """The rotation found from moments gives the labels of the rotation of the whole coefficient matrix."""
+    x = np.random.default_rng(12).normal(size=(30, 40))
+    z = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, ddof=1, keepdims=True)
+    coefficients = np.linalg.svd(z, full_matrices=False)[0][:, :4]
+    rot, was = np.eye(4), 0.0
+    for _ in range(100):
+        turned = coefficients @ rot
+        u, s, vt = np.linalg.svd(coefficients.T @ (turned**3 - turned * (turned**2).sum(axis=0) / 30))
+        rot = u @ vt
+        if was and s.sum() / was < 1 + 1e-6:
+            break
+        was = s.sum()
+    want = np.abs(coefficients @ rot).argmax(axis=1)
+    pcs = L.pca(arrays(spark, x), 4)
+    got = {r.unit_id: r["mode"] for r in L.varimax_assign(L.loadings(arrays(spark, x), pcs, unit_norm=True)).collect()}
+    assert [got[i] for i in range(30)] == want.tolist()
+    q = L.varimax_components(L.pca(arrays(spark, x), 8)).first().q
+    share = np.cumsum(np.linalg.svd(z, compute_uv=False) ** 2) / (z**2).sum()
+    assert q == min(8, max(2, int(np.argmax(share >= 0.8)) + 1))
+
+
+def test_windows_of_fixed_latents(spark):
+    t = np.arange(400) / 10.0
+    rows = [(1, 0, np.sin(2 * np.pi * 0.5 * t).tolist()), (1, 1, np.cos(2 * np.pi * 0.5 * t).tolist())]
+    latent = spark.createDataFrame(rows, "recording_id int, pc int, trace array<double>")
+    picked = spark.createDataFrame([(1, "low", 0, 199), (1, "high", 200, 399)], "recording_id int, label string, start int, end int")
+    got = {r.label: r for r in L.fixed_latent_windows(latent, picked, 10.0, 0.2, 1.0, 100).collect()}
+    assert set(got) == {"full", "low", "high"}
+    for r in got.values():
+        assert r.pairs == 1 and r.freq_cv == pytest.approx(0, abs=1e-9) and r.plv > 0.95 and sum(r.fractions) == pytest.approx(1)
+        assert all(abs(f - 0.5) < 0.06 for f in r.freqs)
+    events = spark.createDataFrame([(1, 5), (1, 105), (1, 399)], "recording_id int, frame int")
+    slid = {r.start: r for r in L.sliding_oscillators(latent, events, 10.0, 100, 100, 0.2, 1.0, 100).collect()}
+    assert sorted(slid) == [0, 100, 200, 300] and [slid[s].events for s in sorted(slid)] == [1, 1, 0, 1]
+    assert slid[100].centre == 15.0 and all(r.pairs == 1 for r in slid.values())
+
+
+def test_labels_of_recordings(spark):
+    rows = [(1, 0.9, 0.0, 1, 0, L.ONE), (1, None, 0.0, 1, 0, L.MIXED), (2, 0.9, 0.2, 1, 0, L.SEVERAL), (2, 0.5, 0.0, 1, 0, L.SEVERAL), (2, None, 0.0, 2, 0, L.SEVERAL), (2, 0.8, 0.1, 1, 3, L.TRANSIENT), (0, 0.5, None, 1, 1, L.MIXED)]
+    df = spark.createDataFrame(rows, "pairs int, plv double, cv double, groups int, sliding int, want string")
+    from pyspark.sql import functions as F
+
+    got = df.select("want", L.interpretation(F.col("pairs"), F.col("plv"), F.col("cv"), F.col("groups"), F.col("sliding")).alias("label")).collect()
+    assert all(r.want == r.label for r in got)
 
 
 def test_trajectory_of_a_circle(spark):
@@ -79,6 +165,28 @@ def test_bad_trace_is_reported_not_fatal(spark):
     df = spark.createDataFrame([(1, 0, [1.0, 2.0, 3.0]), (1, 1, [])], "recording_id int, unit_id long, trace array<double>")
     got = {r.unit_id: r for r in R.acf(df, 2).collect()}
     assert got[0].error is None and len(got[0].acf) == 3 and got[1].acf is None and got[1].error
+    band = {r.unit_id: r for r in R.bandpass(df, 10.0, 1.0, 2.0).collect()}
+    assert band[0].error is None and len(band[0].trace) == 3 and band[1].trace is None and band[1].error == "empty trace"
+
+
+def test_events_of_traces(spark):
+    from tracemill.operators import events as E
+
+    rng = np.random.default_rng(13)
+    t = np.arange(600)
+    x = 0.2 * rng.normal(size=(12, 600)) + 3
+    for start in (100, 350):
+        x += np.where(t >= start, 3 * np.exp(-np.maximum(t - start, 0) / 12), 0)
+    frame = arrays(spark, x)
+    noise = {r.unit_id: r for r in E.baseline_noise(frame).collect()}
+    assert all(abs(n.mu - 3) < 0.15 and abs(n.sigma - 0.2) < 0.08 for n in noise.values())
+    own = E.scaled_by_noise(frame, E.baseline_noise(frame))
+    maps = E.odds_maps(own, 4.0, 300)
+    raster = np.stack([r.trace for r in E.significant_transients(own, maps, 300).orderBy("unit_id").collect()])
+    assert raster[:, 102:110].mean() > 0.8 and raster[:, :95].mean() < 0.02 and raster[:, 200:340].mean() < 0.02
+    cells = E.significant_cells(E.transition_counts(own, 300), maps, 300).collect()
+    zero = maps.first()
+    assert cells and all(c.gi > (0 - zero.low) / (zero.high - zero.low) * 299 - 60 for c in cells)
 
 
 def test_p_values(spark):

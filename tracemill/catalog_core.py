@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import aggregates as A
 from .operators import clean as P
+from .operators import signal as R
 from .operators import windows as W
 from .sources import fixtures as fx
 
@@ -31,7 +32,10 @@ def with_(names: str, body: str) -> str:
     for n in names.split():
         wanted += [x for x in [*_NEEDS.get(n, []), n] if x not in wanted]
     parts = ", ".join(f"{n} AS ({CTE[n]})" for n in wanted)
-    return f"WITH {parts}, {body[4:].lstrip()}" if body.lstrip().upper().startswith("WITH") else f"WITH {parts} {body}"
+    own = body.lstrip()
+    if own.upper().startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {parts}, {own[14:].lstrip()}"
+    return f"WITH {parts}, {own[4:].lstrip()}" if own.upper().startswith("WITH") else f"WITH {parts} {body}"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -61,8 +65,17 @@ add("p3_unit_qc_finite", lambda s, d: P.unit_qc_finite(fx.gappy_traces(s, d), 64
 add("p4_unit_qc_shared", lambda s, d: P.unit_qc_shared(fx.gappy_traces(s, d), fx.positions(s, d), (0, 15), (30, 49)), "gappy positions",
     """SELECT recording_id, unit_id FROM gappy SEMI JOIN positions USING (recording_id, unit_id) GROUP BY ALL
        HAVING count(CASE WHEN frame BETWEEN 0 AND 15 THEN value END) >= 0.8 * 16 AND count(CASE WHEN frame BETWEEN 30 AND 49 THEN value END) >= 0.8 * 20""")
-add("p5_drop_nan_zero", lambda s, d: P.drop_nan_zero_units(fx.gappy_traces(s, d).filter("frame < 4")), "gappy",
-    "SELECT * FROM gappy WHERE frame < 4 AND (recording_id, unit_id) IN (SELECT (recording_id, unit_id) FROM gappy WHERE frame < 4 GROUP BY recording_id, unit_id HAVING bool_and(value IS NOT NULL) AND bool_or(value <> 0))")
+
+
+def _mixed(s, d):
+    """Whole traces of which every third unit has gaps and every seventh is silent."""
+    silent = F.when(F.col("unit_id") % 7 == 1, 0.0).otherwise(F.col("value"))
+    return T(s, d).withColumn("value", F.when((F.col("unit_id") % 3 != 0) | (F.col("frame") % 5 != 0), silent))
+
+
+add("p5_drop_nan_zero", lambda s, d: P.drop_nan_zero_units(_mixed(s, d)), "traces",
+    """WITH m AS (SELECT recording_id, unit_id, frame, CASE WHEN unit_id % 3 <> 0 OR frame % 5 <> 0 THEN CASE WHEN unit_id % 7 = 1 THEN 0.0 ELSE value END END AS value FROM traces)
+       SELECT * FROM m WHERE (recording_id, unit_id) IN (SELECT (recording_id, unit_id) FROM m GROUP BY recording_id, unit_id HAVING bool_and(value IS NOT NULL) AND bool_or(value <> 0))""")
 add("p6_band_filter", lambda s, d: P.band_filter(fx.positions(s, d), 5.0, 9.0, "x"), "positions", "SELECT * FROM positions WHERE x BETWEEN 5 AND 9")
 add("p7_valid_frames", lambda s, d: P.valid_frames(fx.event_train(s, d), 500), "ev", "SELECT DISTINCT recording_id, frame FROM ev WHERE frame BETWEEN 0 AND 499")
 add("p8_peri_margin", lambda s, d: P.peri_margin(fx.event_train(s, d), 40, fx.EVENT_FRAMES).select("recording_id", "event_id", "frame"), "ev", "SELECT recording_id, event_id, frame FROM ev WHERE frame > 39 AND frame < 679")
@@ -152,6 +165,19 @@ add("a17_resultant", lambda s, d: rounded(T(s, d).groupBy("recording_id", "frame
     f"SELECT recording_id, frame, {_r('sqrt(pow(avg(cos(value * 10)), 2) + pow(avg(sin(value * 10)), 2))', 'r')} FROM traces GROUP BY ALL")
 
 # windows over frames
+#: Peaks by height, prominence and, tallest first, distance. A peak that is alive and taller than all alive ones near it is kept; a few rounds settle all.
+PEAKS = """WITH RECURSIVE src AS MATERIALIZED (SELECT *, lag(v) OVER (PARTITION BY recording_id, unit_id ORDER BY frame) AS p FROM ({src})), c AS MATERIALIZED (SELECT recording_id, unit_id, frame, v FROM src WHERE p IS NULL OR p <> v),
+  pk AS MATERIALIZED (SELECT recording_id, unit_id, frame, v FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM c WINDOW w AS (PARTITION BY recording_id, unit_id ORDER BY frame)) WHERE v > a AND v > b AND v >= {height}),
+  hi AS MATERIALIZED (SELECT k.recording_id, k.unit_id, k.frame, any_value(k.v) AS v, coalesce(max(s.frame) FILTER (s.frame < k.frame AND s.v > k.v), -1) AS l, coalesce(min(s.frame) FILTER (s.frame > k.frame AND s.v > k.v), 1000000) AS r
+         FROM pk k JOIN src s ON s.recording_id = k.recording_id AND s.unit_id = k.unit_id GROUP BY 1, 2, 3),
+  pr AS MATERIALIZED (SELECT h.recording_id, h.unit_id, h.frame, any_value(h.v) AS v, any_value(h.v) - greatest(min(s.v) FILTER (s.frame <= h.frame), min(s.v) FILTER (s.frame >= h.frame)) AS prom
+         FROM hi h JOIN src s ON s.recording_id = h.recording_id AND s.unit_id = h.unit_id AND s.frame > h.l AND s.frame < h.r GROUP BY 1, 2, 3),
+  ok AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY recording_id, unit_id ORDER BY v DESC, frame) AS o FROM pr WHERE prom >= {prominence}),
+  li AS (SELECT recording_id, unit_id, list(frame ORDER BY o) AS f FROM ok GROUP BY 1, 2),
+  gr AS (SELECT recording_id, unit_id, f, CAST([] AS INTEGER[]) AS kept FROM li
+         UNION ALL SELECT recording_id, unit_id, list_filter(f[2:], lambda x: abs(x - f[1]) >= {distance}), list_append(kept, CAST(f[1] AS INTEGER)) FROM gr WHERE len(f) > 0),
+  kp AS (SELECT recording_id, unit_id, unnest(kept) AS frame FROM gr WHERE len(f) = 0)
+  SELECT ok.recording_id, ok.unit_id, ok.frame, round(ok.v, 6) + 0.0 AS value, round(prom, 6) + 0.0 AS prominence FROM ok JOIN kp ON kp.recording_id = ok.recording_id AND kp.unit_id = ok.unit_id AND kp.frame = ok.frame"""
 add("w1_moving_mean", lambda s, d: rounded(W.moving_mean(fx.gappy_traces(s, d), 6)), "gappy", f"SELECT recording_id, unit_id, frame, {_r(f'avg(value) OVER {UNITW} ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)', 'value')} FROM gappy")
 _g = {i: f"exp(-0.5 * pow({i} / 1.0, 2))" for i in range(-2, 3)}
 add("w2_gaussian_smooth", lambda s, d: rounded(W.gaussian_smooth(fx.gappy_traces(s, d), 5)), "gappy",
@@ -192,9 +218,10 @@ add("w13_instantaneous_freq", lambda s, d: rounded(W.instantaneous_freq(T(s, d).
 add("w14_local_maxima", lambda s, d: rounded(W.local_maxima(T(s, d).withColumn("value", F.round("value", 1)), least=0.1)), "traces",
     f"""WITH c AS (SELECT * FROM (SELECT recording_id, unit_id, frame, round(value, 1) AS value, lag(round(value, 1)) OVER {UNITW}) AS p FROM traces) WHERE p IS NULL OR p <> value)
         SELECT recording_id, unit_id, frame, {_r('value', 'value')} FROM (SELECT *, lag(value) OVER {UNITW}) AS a, lead(value) OVER {UNITW}) AS b FROM c) WHERE value > a AND value > b AND value >= 0.1""")
+add("w14_find_peaks", lambda s, d: rounded(R.peak_list(fx.trace_arrays(s, d), 0.05, 0.1, 4)), "traces", PEAKS.format(src="SELECT recording_id, unit_id, frame, value AS v FROM traces", height=0.05, prominence=0.1, distance=4))
 add("w15_resize", lambda s, d: rounded(W.resize(T(s, d), 20)), "traces",
-    f"""SELECT t.recording_id, t.unit_id, CAST(k AS INTEGER) AS k, {_r('t.value + coalesce((k * 63 / 19.0 - t.frame) * (n.value - t.value), 0)', 'value')} FROM traces t JOIN range(20) q(k) ON t.frame = CAST(floor(k * 63 / 19.0 + 1e-9) AS INTEGER)
-        LEFT JOIN traces n ON n.recording_id = t.recording_id AND n.unit_id = t.unit_id AND n.frame = t.frame + 1""")
+    f"""WITH t AS (SELECT *, lead(value) OVER {UNITW}) AS nxt FROM traces), q AS (SELECT CAST(k AS INTEGER) AS k, CAST(floor(k * 63 / 19.0 + 1e-9) AS INTEGER) AS frame FROM range(20) r(k))
+        SELECT t.recording_id, t.unit_id, k, {_r('t.value + coalesce((k * 63 / 19.0 - t.frame) * (nxt - t.value), 0)', 'value')} FROM t JOIN q ON t.frame = q.frame""")
 add("w16_mean_rank", lambda s, d: W.mean_rank(fx.positions(s, d), ["recording_id"], "z").select("recording_id", "unit_id", "rank"), "positions",
     "SELECT recording_id, unit_id, rank() OVER (PARTITION BY recording_id ORDER BY z) + (count(*) OVER (PARTITION BY recording_id, z) - 1) / 2.0 AS rank FROM positions")
 add("w17_dominant_mode", lambda s, d: W.dominant_mode_per_frame(T(s, d).groupBy("recording_id", "frame", (F.col("unit_id") % 6).alias("mode")).agg(F.avg("value").alias("value"))), "traces",

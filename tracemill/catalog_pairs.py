@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from .catalog_core import WINS, UNITW, _r, recordings, rounded, synthetic_dom, with_
@@ -77,16 +79,17 @@ add("j9_rectangle_pairs", lambda s, d: J.rectangle_pairs(fx.positions(s, d), ["x
     "SELECT a.recording_id, a.unit_id AS a, b.unit_id AS b, a.x AS x_a, b.x AS x_b FROM positions a JOIN positions b ON a.recording_id = b.recording_id WHERE a.x < 5 AND NOT b.x < 5")
 
 
-def small_events(s, d):
-    return event_frames(s, d).filter("frame < 64 and frame % 4 = 0")
+def trace_events(s, d):
+    """The events on the clock of the traces, which have 64 frames."""
+    return P.valid_frames(fx.event_train(s, d), 64)
 
 
-SE = "se AS (SELECT DISTINCT recording_id, frame FROM ev WHERE frame BETWEEN 0 AND 63 AND frame % 4 = 0)"
+SE = "se AS (SELECT DISTINCT recording_id, frame FROM ev WHERE frame BETWEEN 0 AND 63)"
 PERI = "pe AS (SELECT t.recording_id, t.unit_id, e.frame AS event, t.frame - e.frame AS lag, t.value FROM traces t JOIN se e ON t.recording_id = e.recording_id AND t.frame BETWEEN e.frame - 6 AND e.frame + 6 WHERE e.frame >= 6 AND e.frame + 6 < 64)"
 
 
 def peri(s, d):
-    return J.peri_event(fx.trace_arrays(s, d), small_events(s, d), 6, 6)
+    return J.peri_event(fx.trace_arrays(s, d), trace_events(s, d), 6, 6)
 
 
 add("j10_peri_event", lambda s, d: rounded(peri(s, d).groupBy("recording_id", "unit_id", "lag").agg(F.count("*").alias("n"), F.sum("value").alias("total"))), "traces ev",
@@ -133,10 +136,17 @@ add("k1_top_fraction", lambda s, d: rounded(K.top_fraction(T(s, d).groupBy("reco
     f"SELECT recording_id, unit_id, {_r('m', 'm')} FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY m DESC, unit_id) AS k, count(*) OVER (PARTITION BY recording_id) AS n FROM (SELECT recording_id, unit_id, round(avg(value), 9) AS m FROM traces GROUP BY ALL)) WHERE k <= greatest(1, round(0.1 * n))")
 add("k2_mode_order", lambda s, d: K.position_in_order(fx.positions(s, d), ["recording_id"], [F.col("z"), F.desc(F.abs(F.col("x") - 18)), F.col("unit_id")]).select("recording_id", "unit_id", "place"), "positions",
     "SELECT recording_id, unit_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY z, abs(x - 18) DESC, unit_id) - 1 AS INTEGER) AS place FROM positions")
-add("k3_angle_order", lambda s, d: K.position_in_order(fx.positions(s, d), ["recording_id"], [F.atan2(F.col("y") - 11, F.col("x") - 18), F.col("unit_id")]).select("recording_id", "unit_id", "place"), "positions",
-    "SELECT recording_id, unit_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY atan2(y - 11, x - 18), unit_id) - 1 AS INTEGER) AS place FROM positions")
-add("k4_reset_order", lambda s, d: K.position_in_order(fx.positions(s, d), ["recording_id"], [F.desc("x"), F.col("unit_id")]).select("recording_id", "unit_id", "place"), "positions",
-    "SELECT recording_id, unit_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY x DESC, unit_id) - 1 AS INTEGER) AS place FROM positions")
+
+
+def _turns(s, d):
+    """Each trace's first Fourier coefficient: a point in the plane per unit."""
+    part = lambda f: F.round(F.avg(F.col("value") * f(2 * math.pi * F.col("frame") / 64)), 9)
+    return T(s, d).groupBy("recording_id", "unit_id").agg(part(F.cos).alias("c"), part(F.sin).alias("s"))
+
+
+add("k3_angle_order", lambda s, d: K.position_in_order(_turns(s, d), ["recording_id"], [F.round(F.atan2("s", "c"), 6), F.col("unit_id")]).select("recording_id", "unit_id", "place"), "traces",
+    """WITH f AS (SELECT recording_id, unit_id, round(avg(value * cos(2 * pi() * frame / 64)), 9) AS c, round(avg(value * sin(2 * pi() * frame / 64)), 9) AS s FROM traces GROUP BY 1, 2)
+       SELECT recording_id, unit_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY round(atan2(s, c), 6), unit_id) - 1 AS INTEGER) AS place FROM f""")
 add("k5_evenly_picked", lambda s, d: K.evenly_picked(fx.positions(s, d), ["recording_id"], "x", 5, "unit_id"), "positions",
     "SELECT recording_id, unit_id, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY x, unit_id) AS k, count(*) OVER (PARTITION BY recording_id) AS n FROM positions) WHERE list_contains(list_transform(range(5), lambda i: round(1 + i * (n - 1) / 4)), k)")
 add("k6_best_by_score", lambda s, d: K.keep_first(fx.positions(s, d).withColumn("score", F.col("x") * 3 - F.col("y")), ["recording_id"], [F.desc("score"), F.col("unit_id")]), "positions",
@@ -154,38 +164,81 @@ CORR = "cr AS (SELECT a.recording_id, a.unit_id AS a, b.unit_id AS b, corr(a.val
 DIST = "ds AS (SELECT a.recording_id, a.unit_id AS a, b.unit_id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.y AS y_a, b.y AS y_b FROM positions a JOIN positions b ON a.recording_id = b.recording_id AND a.unit_id < b.unit_id)"
 
 
-def corr(s, d):
-    return N.pair_corr(fx.trace_arrays(s, d))
-
-
-add("n1_pair_corr", lambda s, d: rounded(corr(s, d)), "traces", f"WITH {CORR} SELECT recording_id, a, b, {_r('r', 'r')} FROM cr")
-add("n2_band_vs_rest", lambda s, d: rounded(N.band_vs_rest(corr(s, d), synthetic_dom(s, d).filter("dom < 0.03"))), "traces positions",
+A = fx.trace_arrays
+add("n1_pair_corr", lambda s, d: rounded(N.pair_corr(A(s, d))), "traces", f"WITH {CORR} SELECT recording_id, a, b, {_r('r', 'r')} FROM cr")
+add("n1_pairwise_complete", lambda s, d: rounded(N.pair_corr(fx.gappy_arrays(s, d))), "gappy", f"WITH {CORR.replace('FROM traces a JOIN traces b', 'FROM gappy a JOIN gappy b')} SELECT recording_id, a, b, {_r('r', 'r')} FROM cr")
+add("n2_band_vs_rest", lambda s, d: rounded(N.band_vs_rest(A(s, d), synthetic_dom(s, d).filter("dom < 0.03"))), "traces positions",
     f"""WITH {CORR}, q AS (SELECT recording_id, unit_id FROM positions WHERE (unit_id * 37) % 128 < 30), m AS (SELECT cr.recording_id, r, CAST(p.unit_id IS NOT NULL AS INTEGER) + CAST(o.unit_id IS NOT NULL AS INTEGER) AS inside FROM cr
           LEFT JOIN q p ON p.recording_id = cr.recording_id AND p.unit_id = a LEFT JOIN q o ON o.recording_id = cr.recording_id AND o.unit_id = b)
         SELECT recording_id, {_r('avg(r) FILTER (inside = 2)', 'within')}, {_r('median(r) FILTER (inside = 2)', 'within_median')}, count(r) FILTER (inside = 2) AS within_pairs,
                {_r('avg(r) FILTER (inside = 1)', 'across')}, {_r('median(r) FILTER (inside = 1)', 'across_median')}, count(r) FILTER (inside = 1) AS across_pairs FROM m GROUP BY 1""")
-add("n3_corr_vs_distance", lambda s, d: rounded(N.corr_vs_distance(corr(s, d), N.pair_distances(fx.positions(s, d)), 5.0)), "traces positions",
+add("n3_corr_vs_distance", lambda s, d: rounded(N.corr_vs_distance(A(s, d), fx.positions(s, d), 5.0)), "traces positions",
     f"WITH {CORR}, {DIST} SELECT cr.recording_id, CAST(floor(d / 5) AS INTEGER) AS bin, {_r('avg(r)', 'r')}, count(r) AS pairs FROM cr JOIN ds ON cr.recording_id = ds.recording_id AND cr.a = ds.a AND cr.b = ds.b GROUP BY 1, 2")
-add("n3_corr_vs_distance_sides", lambda s, d: rounded(N.corr_vs_distance(corr(s, d), N.pair_distances(fx.positions(s, d)), 5.0, 11.0)), "traces positions",
+add("n3_corr_vs_distance_sides", lambda s, d: rounded(N.corr_vs_distance(A(s, d), fx.positions(s, d), 5.0, 11.0)), "traces positions",
     f"WITH {CORR}, {DIST} SELECT cr.recording_id, CAST(y_a >= 11 AS INTEGER) AS side, CAST(floor(d / 5) AS INTEGER) AS bin, {_r('avg(r)', 'r')}, count(r) AS pairs FROM cr JOIN ds ON cr.recording_id = ds.recording_id AND cr.a = ds.a AND cr.b = ds.b WHERE (y_a < 11) = (y_b < 11) GROUP BY 1, 2, 3")
 add("n4_distance_edges", lambda s, d: N.distance_edges(N.pair_distances(fx.positions(s, d))), "positions", f"WITH {DIST} SELECT DISTINCT recording_id, CAST(floor(top * i / 50) AS BIGINT) AS edge FROM (SELECT recording_id, max(d) AS top FROM ds GROUP BY 1), range(51) q(i)")
-PERM = """s AS (SELECT recording_id, unit_id, CAST(k AS INTEGER) AS seed, (unit_id * 7919 + k * 104729 + (unit_id * unit_id) % 7907 * k) % 1000003 AS key FROM positions, range(1, 6) q(k)),
+#: Shuffles of a curve and of a reliability, and permutations of a rank test.
+SHUFFLES, PERMUTATIONS = 100, 1000
+PERM = """s AS (SELECT recording_id, unit_id, CAST(k AS INTEGER) AS seed, (unit_id * 7919 + k * 104729 + (unit_id * unit_id) % 7907 * k) % 1000003 AS key FROM positions, range(1, 101) q(k)),
   rk AS (SELECT *, row_number() OVER (PARTITION BY recording_id, seed ORDER BY unit_id) AS i, row_number() OVER (PARTITION BY recording_id, seed ORDER BY key, unit_id) AS j FROM s),
   pm AS (SELECT a.recording_id, a.seed, a.unit_id, b.unit_id AS other FROM rk a JOIN rk b ON a.recording_id = b.recording_id AND a.seed = b.seed AND a.i = b.j)"""
-add("n5_shuffled_curve", lambda s, d: rounded(N.shuffled_curve(corr(s, d), fx.positions(s, d), 5.0, 5)), "traces positions",
+add("n5_shuffled_curve", lambda s, d: rounded(N.shuffled_curve(A(s, d), fx.positions(s, d), 5.0, SHUFFLES)), "traces positions",
     f"""WITH {CORR}, {PERM}, mv AS (SELECT pm.recording_id, seed, pm.unit_id, x, y FROM pm JOIN positions p ON p.recording_id = pm.recording_id AND p.unit_id = pm.other),
         ps AS (SELECT cr.recording_id, m.seed, floor(sqrt((m.x - o.x) ** 2 + (m.y - o.y) ** 2) / 5) AS bin, avg(r) AS r FROM cr JOIN mv m ON m.recording_id = cr.recording_id AND m.unit_id = cr.a JOIN mv o ON o.recording_id = cr.recording_id AND o.unit_id = cr.b AND o.seed = m.seed GROUP BY ALL)
         SELECT recording_id, CAST(bin AS INTEGER) AS bin, {_r('avg(r)', 'null_mean')}, {_r('stddev_samp(r) / sqrt(count(r))', 'null_sem')} FROM ps GROUP BY 1, 2""")
-add("n7_common_prefix", lambda s, d: rounded(N.common_prefix(N.corr_vs_distance(corr(s, d), N.pair_distances(fx.positions(s, d)), 5.0), "recording_id", "bin", "r", 6)), "traces positions",
+add("n7_common_prefix", lambda s, d: rounded(N.common_prefix(N.corr_vs_distance(A(s, d), fx.positions(s, d), 5.0), "recording_id", "bin", "r", 6)), "traces positions",
     f"""WITH {CORR}, {DIST}, c AS (SELECT cr.recording_id, CAST(floor(d / 5) AS INTEGER) AS bin, avg(r) AS r, count(r) AS pairs FROM cr JOIN ds ON cr.recording_id = ds.recording_id AND cr.a = ds.a AND cr.b = ds.b GROUP BY 1, 2)
         SELECT recording_id, bin, {_r('r', 'r')}, pairs FROM c WHERE bin <= 6 AND bin <= (SELECT min(l) FROM (SELECT max(bin) AS l FROM c GROUP BY recording_id))""")
+CURVE = "c AS (SELECT cr.recording_id, floor(d / 5) * 5 + 2.5 AS x, avg(r) AS r FROM cr JOIN ds ON cr.recording_id = ds.recording_id AND cr.a = ds.a AND cr.b = ds.b GROUP BY 1, 2)"
+
+
+def curves(s, d):
+    """Correlation over the centres of distance bins."""
+    return N.corr_vs_distance(A(s, d), fx.positions(s, d), 5.0).select("recording_id", (F.col("bin") * 5 + 2.5).alias("x"), "r")
+
+
+add("n6_curve_summaries", lambda s, d: rounded(N.curve_summaries(curves(s, d), ["recording_id"], "x", "r", (5.0, 15.0), (5.0, 40.0))), "traces positions",
+    f"""WITH {CORR}, {DIST}, {CURVE}, p AS (SELECT *, lag(x) OVER w AS px, lag(r) OVER w AS pr FROM c WHERE x BETWEEN 5 AND 40 WINDOW w AS (PARTITION BY recording_id ORDER BY x)), a AS (SELECT recording_id, CASE WHEN count(*) >= 2 THEN sum((x - px) * (r + pr) / 2) END AS auc FROM p GROUP BY 1)
+        SELECT c.recording_id, {_r('avg(r) FILTER (x BETWEEN 5 AND 15)', 'near_mean')}, {_r('avg(r) FILTER (x BETWEEN 5 AND 40)', 'all_mean')}, {_r('any_value(auc)', 'auc')} FROM c LEFT JOIN a ON a.recording_id = c.recording_id GROUP BY 1""")
+
+
+def _control(s, d):
+    return N.shuffled_curve(A(s, d), fx.positions(s, d), 5.0, SHUFFLES).select("recording_id", (F.col("bin") * 5 + 2.5).alias("x"), F.col("null_mean").alias("r"))
+
+
+add("n6_curve_difference", lambda s, d: rounded(N.curve_difference(curves(s, d), _control(s, d), ["recording_id"], "x", "r")), "traces positions",
+    f"""WITH {CORR}, {DIST}, {CURVE}, {PERM}, mv AS (SELECT pm.recording_id, seed, pm.unit_id, x, y FROM pm JOIN positions p ON p.recording_id = pm.recording_id AND p.unit_id = pm.other),
+        ps AS (SELECT cr.recording_id, m.seed, floor(sqrt((m.x - o.x) ** 2 + (m.y - o.y) ** 2) / 5) AS bin, avg(r) AS r FROM cr JOIN mv m ON m.recording_id = cr.recording_id AND m.unit_id = cr.a JOIN mv o ON o.recording_id = cr.recording_id AND o.unit_id = cr.b AND o.seed = m.seed GROUP BY ALL),
+        n AS (SELECT recording_id, bin * 5 + 2.5 AS x, avg(r) AS r FROM ps GROUP BY 1, 2), df AS (SELECT c.recording_id, c.x, c.r - n.r AS dd, row_number() OVER w AS k, lag(c.x) OVER w AS px, lag(c.r - n.r) OVER w AS pd FROM c JOIN n ON n.recording_id = c.recording_id AND n.x = c.x WINDOW w AS (PARTITION BY c.recording_id ORDER BY c.x))
+        SELECT recording_id, {_r('coalesce(sum((x - px) * (dd + pd) / 2), 0)', 'auc')}, {_r('avg(dd) FILTER (k <= 5)', 'near')} FROM df GROUP BY 1""")
+
+
+def _own_bins(s, d):
+    """Curves on places of their own, further apart from one recording to the next."""
+    return curves(s, d).withColumn("x", F.col("x") * (1 + F.col("recording_id") * 0.1))
+
+
+add("n8_curve_regrid", lambda s, d: rounded(N.curve_regrid(_own_bins(s, d), "recording_id", "x", "r")), "traces positions",
+    f"""WITH {CORR}, {DIST}, {CURVE}, k AS (SELECT recording_id, x * (1 + recording_id * 0.1) AS x, r FROM c), g AS (SELECT x AS t FROM k WHERE recording_id = (SELECT min(recording_id) FROM k)),
+        n AS (SELECT *, lead(x) OVER w AS nx, lead(r) OVER w AS nr, row_number() OVER w AS i, count(*) OVER (PARTITION BY recording_id) AS m FROM k WINDOW w AS (PARTITION BY recording_id ORDER BY x)),
+        sg AS (SELECT * FROM n WHERE nx IS NOT NULL), h AS (SELECT g.t, sg.*, row_number() OVER (PARTITION BY recording_id, t ORDER BY CASE WHEN t BETWEEN x AND nx THEN 0 ELSE least(abs(t - x), abs(t - nx)) END, i) AS o FROM sg, g)
+        SELECT recording_id, {_r('t', 'x')}, {_r('r + (nr - r) * (t - x) / (nx - x)', 'r')} FROM h WHERE o = 1""")
 RANKS = "rn AS (SELECT *, rank() OVER (PARTITION BY recording_id ORDER BY x) + (count(*) OVER (PARTITION BY recording_id, x) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY recording_id ORDER BY y) + (count(*) OVER (PARTITION BY recording_id, y) - 1) / 2.0 AS ro FROM positions)"
 add("n11_spatial_gradient", lambda s, d: rounded(N.spatial_gradient(fx.positions(s, d), "x", "y")), "positions", f"WITH {RANKS} SELECT recording_id, {_r('corr(ra, ro)', 'rho')}, {_r('regr_slope(x, y)', 'slope')} FROM rn GROUP BY 1")
-add("n12_permutation_test", lambda s, d: rounded(N.permutation_test(fx.positions(s, d), "x", "y", 5)), "positions",
-    f"""WITH {RANKS}, {PERM}, ob AS (SELECT recording_id, corr(ra, ro) AS rho FROM rn GROUP BY 1), nl AS (SELECT pm.recording_id, seed, corr(a.ra, b.ro) AS r FROM pm JOIN rn a ON a.recording_id = pm.recording_id AND a.unit_id = pm.unit_id JOIN rn b ON b.recording_id = pm.recording_id AND b.unit_id = pm.other GROUP BY 1, 2)
-        SELECT nl.recording_id, {_r('any_value(rho)', 'rho')}, {_r('avg(CAST(abs(r) >= abs(rho) - 1e-12 AS DOUBLE))', 'p')} FROM nl JOIN ob ON ob.recording_id = nl.recording_id GROUP BY 1""")
-add("n9_kde_grid", lambda s, d: rounded(N.kde_grid(fx.positions(s, d).select("recording_id", "x", "y"), J.grid_points(fx.positions(s, d), "x", "y", 7, 5, ["recording_id"]), ["recording_id"], 4.0, 3.0)), "positions",
-    f"""WITH g AS (SELECT recording_id, CAST(i AS INTEGER) AS gi, CAST(j AS INTEGER) AS gj, x0 + i * (x1 - x0) / 6 AS gx, y0 + j * (y1 - y0) / 4 AS gy FROM (SELECT recording_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM positions GROUP BY 1), range(7) a(i), range(5) b(j)),
+PERMUTED = f"""rz AS (SELECT recording_id, unit_id, rank() OVER (PARTITION BY recording_id ORDER BY z) + (count(*) OVER (PARTITION BY recording_id, z) - 1) / 2.0 AS rz FROM positions),
+  ax AS (SELECT recording_id, unit_id, 'x' AS axis, ra AS r FROM rn UNION ALL SELECT recording_id, unit_id, 'z', rz FROM rz), ob AS (SELECT ax.recording_id, axis, corr(r, ro) AS rho FROM ax JOIN rn ON rn.recording_id = ax.recording_id AND rn.unit_id = ax.unit_id GROUP BY 1, 2),
+  nl AS (SELECT pm.recording_id, axis, seed, corr(a.r, b.ro) AS r FROM pm JOIN ax a ON a.recording_id = pm.recording_id AND a.unit_id = pm.unit_id JOIN rn b ON b.recording_id = pm.recording_id AND b.unit_id = pm.other GROUP BY 1, 2, 3),
+  pp AS (SELECT nl.recording_id, nl.axis, any_value(rho) AS rho, avg(CAST(abs(r) >= abs(rho) - 1e-12 AS DOUBLE)) AS p FROM nl JOIN ob ON ob.recording_id = nl.recording_id AND ob.axis = nl.axis GROUP BY 1, 2)"""
+
+
+def permuted_ranks(s, d):
+    return N.permutation_test(fx.positions(s, d), ["x", "z"], "y", PERMUTATIONS)
+
+
+THOUSAND = PERM.replace("range(1, 101)", "range(1, 1001)")
+add("n12_permutation_test", lambda s, d: rounded(permuted_ranks(s, d)), "positions", f"WITH {RANKS}, {THOUSAND}, {PERMUTED} SELECT recording_id, axis, {_r('rho', 'rho')}, {_r('p', 'p')} FROM pp")
+add("n9_kde_grid", lambda s, d: rounded(N.kde_grid(fx.positions(s, d).select("recording_id", "x", "y"), 50, 50, 4.0, 3.0).select("recording_id", "gi", "gj", "density")), "positions",
+    f"""WITH g AS (SELECT recording_id, CAST(i AS INTEGER) AS gi, CAST(j AS INTEGER) AS gj, x0 + i * (x1 - x0) / 49 AS gx, y0 + j * (y1 - y0) / 49 AS gy FROM (SELECT recording_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM positions GROUP BY 1), range(50) a(i), range(50) b(j)),
         k AS (SELECT g.recording_id, gi, gj, avg(exp(-0.5 * (pow((gx - x) / 4, 2) + pow((gy - y) / 3, 2)))) AS density FROM g JOIN positions p ON p.recording_id = g.recording_id GROUP BY ALL)
         SELECT recording_id, gi, gj, {_r('density / max(density) OVER (PARTITION BY recording_id)', 'density')} FROM k""")
 add("n10_kde_at_points", lambda s, d: rounded(N.kde_at_points(fx.positions(s, d), "x")), "positions",

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalog_core import UNITW, _r, rounded, with_
-from .catalog_pairs import corr
+from .catalog_core import HAZEN, PEAKS, UNITW, _r, rounded, with_
+from .functions import kernels
 from .operators import clean as P
 from .operators import latent as L
-from .operators import pairs as N
 from .operators import signal as R
 from .operators import stats as S
 from .operators import windows as W
+from .plans import low_high
+from .plans import oscillators as O
 from .sources import fixtures as fx
 
 QUERIES: dict = {}
@@ -39,8 +43,21 @@ add("r4_acf", lambda s, d: rounded(R.long_acf(A(s, d), 8)), "traces",
     f"""WITH c AS (SELECT recording_id, unit_id, frame, value - avg(value) OVER (PARTITION BY recording_id, unit_id) AS v FROM traces)
         SELECT a.recording_id, a.unit_id, CAST(k AS INTEGER) AS lag, {_r('sum(a.v * b.v) / any_value(n.s)', 'r')} FROM c a JOIN range(9) q(k) ON true JOIN c b ON b.recording_id = a.recording_id AND b.unit_id = a.unit_id AND b.frame = a.frame + k
         JOIN (SELECT recording_id, unit_id, sum(v * v) AS s FROM c GROUP BY 1, 2) n ON n.recording_id = a.recording_id AND n.unit_id = a.unit_id GROUP BY 1, 2, 3""")
-add("r5_acf_peak_filter", lambda s, d: R.acf_peak_filter(A(s, d), fx.FPS, 1, 15, 0.08, 2).select("recording_id", "unit_id"))
-add("r6_acf_first_peak", lambda s, d: rounded(R.acf_peaks(A(s, d), fx.FPS, 0.5, 15, 0.05).select("recording_id", "unit_id", "n_peaks", "first_lag", "first_freq")))
+ACF = """SELECT a.recording_id, a.unit_id, CAST(k AS INTEGER) AS frame, sum(a.v * b.v) / any_value(n.s) AS v FROM (SELECT recording_id, unit_id, frame, value - avg(value) OVER (PARTITION BY recording_id, unit_id) AS v FROM traces) a
+    JOIN range({first}, {last} + 1) q(k) ON true JOIN (SELECT recording_id, unit_id, frame, value - avg(value) OVER (PARTITION BY recording_id, unit_id) AS v FROM traces) b ON b.recording_id = a.recording_id AND b.unit_id = a.unit_id AND b.frame = a.frame + k
+    JOIN (SELECT recording_id, unit_id, var_pop(value) * count(*) AS s FROM traces GROUP BY 1, 2) n ON n.recording_id = a.recording_id AND n.unit_id = a.unit_id GROUP BY 1, 2, 3"""
+
+
+def acf_peaks_sql(first: int, prominence: float, select: str) -> str:
+    """Peaks of the autocorrelation from a lag up to 30, and something of them."""
+    peaks = PEAKS.format(src=ACF.format(first=first, last=30), height=-9, prominence=prominence, distance=0)
+    return f"WITH RECURSIVE f AS ({peaks}) {select}"
+
+
+add("r5_acf_peak_filter", lambda s, d: R.acf_peak_filter(A(s, d), fx.FPS, 1, 15, 0.08, 2).select("recording_id", "unit_id"), "traces",
+    acf_peaks_sql(2, 0.08, "SELECT recording_id, unit_id FROM f GROUP BY 1, 2 HAVING count(*) >= 2"))
+add("r6_acf_first_peak", lambda s, d: rounded(R.acf_peaks(A(s, d), fx.FPS, 0.5, 15, 0.05).select("recording_id", "unit_id", "n_peaks", "first_lag", "first_freq")), "traces",
+    acf_peaks_sql(1, 0.05, f"SELECT u.recording_id, u.unit_id, count(f.frame) AS n_peaks, {_r('min(f.frame) / 2.0', 'first_lag')}, {_r('2.0 / min(f.frame)', 'first_freq')} FROM (SELECT DISTINCT recording_id, unit_id FROM traces) u LEFT JOIN f ON f.recording_id = u.recording_id AND f.unit_id = u.unit_id GROUP BY 1, 2"))
 add("r7_welch", lambda s, d: rounded(spectra(s, d)), "traces", f"WITH {SPEC} SELECT recording_id, unit_id, f, {_r('pxx', 'pxx')} FROM sp")
 add("r8_dominant_freq", lambda s, d: rounded(R.dominant_freq(spectra(s, d), 0.1, 0.9)), "traces",
     f"WITH {SPEC} SELECT recording_id, unit_id, {_r('f', 'dom')}, {_r('pxx', 'power')} FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, unit_id ORDER BY pxx DESC, f) AS k FROM sp WHERE f BETWEEN 0.1 AND 0.9) WHERE k = 1")
@@ -60,8 +77,16 @@ add("r13_q_simple", lambda s, d: rounded(R.q_factor_simple(spectra(s, d), 0.1, 0
 add("r14_occupied_bandwidth", lambda s, d: rounded(R.occupied_bandwidth(spectra(s, d), 0.1, 0.9, 0.9)), "traces",
     f"""WITH {SPEC}, c AS (SELECT *, sum(pxx) OVER (PARTITION BY recording_id, unit_id ORDER BY f) / sum(pxx) OVER (PARTITION BY recording_id, unit_id) AS c FROM sp WHERE f BETWEEN 0.1 AND 0.9)
         SELECT recording_id, unit_id, {_r('min(f) FILTER (c >= 1 - (1 - 0.9) / 2) - min(f) FILTER (c >= (1 - 0.9) / 2)', 'obw')} FROM c GROUP BY 1, 2""")
-add("r15_windowed_peak_freq", lambda s, d: rounded(R.windowed_peak_freq(A(s, d), fx.FPS, 32, 16, 0.1, 0.9)))
-add("r16_bout_peak_freq", lambda s, d: rounded(R.bout_peak_freq(T(s, d), W.drop_short_runs(T(s, d).withColumn("active", F.col("value") > 0), "active", 4), fx.FPS, 0.0, 1.0)))
+add("r15_windowed_peak_freq", lambda s, d: rounded(R.windowed_peak_freq(A(s, d), fx.FPS, 32, 16, 0.1, 0.9)), "traces",
+    f"""WITH w AS (SELECT CAST(i AS INTEGER) AS i, 0.5 - 0.5 * cos(2 * pi() * i / 31) AS w FROM range(32) q(i)),
+        ft AS (SELECT recording_id, unit_id, st, k, sum(value * w.w * cos(2 * pi() * k * w.i / 32)) AS re, sum(value * w.w * sin(2 * pi() * k * w.i / 32)) AS im FROM traces t, (SELECT unnest([0, 16, 32]) AS st) a, w, range(2, 15) b(k) WHERE t.frame = st + w.i GROUP BY ALL)
+        SELECT recording_id, unit_id, st AS start, {_r('k * 2.0 / 32', 'freq')} FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, unit_id, st ORDER BY re * re + im * im DESC, k) AS o FROM ft) WHERE o = 1""")
+add("r16_bout_peak_freq", lambda s, d: rounded(R.bout_peak_freq(T(s, d), W.drop_short_runs(T(s, d).withColumn("active", F.col("value") > 0), "active", 4), fx.FPS, 0.0, 1.0).drop("error")), "traces",
+    f"""WITH f AS (SELECT recording_id, unit_id, frame, value, value > 0 AS act, lag(value > 0) OVER {UNITW}) AS was FROM traces), g AS (SELECT *, sum(CAST(act AND NOT coalesce(was, false) AS INTEGER)) OVER {UNITW}) AS run FROM f),
+        b AS (SELECT recording_id, unit_id, run, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY recording_id, unit_id, run) AS n, value - avg(value) OVER (PARTITION BY recording_id, unit_id, run) AS v FROM g WHERE act WINDOW w AS (PARTITION BY recording_id, unit_id, run ORDER BY frame)),
+        c AS (SELECT *, v * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS x, CAST(pow(2, ceil(log2(greatest(n, 8)))) AS BIGINT) AS m FROM b WHERE n >= 4),
+        ft AS (SELECT recording_id, unit_id, run, m, k, any_value(n) AS n, sum(x * cos(2 * pi() * k * i / m)) AS re, sum(x * sin(2 * pi() * k * i / m)) AS im FROM c, range(33) q(k) WHERE k <= m / 2 GROUP BY 1, 2, 3, 4, 5)
+        SELECT recording_id, unit_id, CAST(run AS BIGINT) AS run, {_r('k * 2.0 / m', 'freq')} FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, unit_id, run ORDER BY round((re * re + im * im) * CASE WHEN k IN (0, m / 2) THEN 1 ELSE 2 END, 12) DESC, k) AS o FROM ft) WHERE o = 1""")
 add("r17_bandpass", lambda s, d: rounded(fx.explode_traces(R.bandpass(A(s, d), fx.FPS, 0.1, 0.4)), 5))
 add("r18_analytic", lambda s, d: rounded(R.analytic_signal(R.bandpass(A(s, d), fx.FPS, 0.1, 0.4)).select("recording_id", "unit_id", F.explode(F.arrays_zip("phase", "amp")).alias("z")).select("recording_id", "unit_id", F.cos("z.phase").alias("c"), F.col("z.amp").alias("amp")), 5))
 SIDES = """so AS (SELECT recording_id, unit_id, x, row_number() OVER w AS i, sum(x) OVER w AS s, sum(x) OVER (PARTITION BY recording_id) AS t, count(*) OVER (PARTITION BY recording_id) AS m FROM positions WINDOW w AS (PARTITION BY recording_id ORDER BY x, unit_id ROWS UNBOUNDED PRECEDING)),
@@ -74,23 +99,94 @@ def sides(s, d):
 
 
 add("r20_hemisphere_split", sides, "positions", f"WITH {SIDES} SELECT * FROM sd")
-add("r19_side_xcorr", lambda s, d: rounded(R.side_xcorr(T(s, d), sides(s, d), 20, 5).select("recording_id", "zero", "peak", "peak_lag", "auc")))
+add("r19_side_xcorr", lambda s, d: rounded(R.side_xcorr(T(s, d), sides(s, d), 20, 5).select("recording_id", "zero", "peak", "peak_lag", "auc")), "traces positions",
+    f"""WITH {SIDES}, m AS (SELECT t.recording_id, frame, avg(value) FILTER (side = 0) AS a, avg(value) FILTER (side = 1) AS b FROM traces t JOIN sd ON sd.recording_id = t.recording_id AND sd.unit_id = t.unit_id GROUP BY 1, 2),
+        z AS (SELECT recording_id, frame, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b FROM m WINDOW w AS (PARTITION BY recording_id)), n AS (SELECT recording_id, sqrt(sum(a * a) * sum(b * b)) AS s FROM z GROUP BY 1),
+        x AS (SELECT p.recording_id, k AS lag, sum(p.a * q.b) / any_value(n.s) AS r FROM z p JOIN range(-20, 21) g(k) ON true JOIN z q ON q.recording_id = p.recording_id AND q.frame = p.frame - k JOIN n ON n.recording_id = p.recording_id GROUP BY 1, 2),
+        y AS (SELECT *, lag(r) OVER (PARTITION BY recording_id ORDER BY lag) AS pr FROM x)
+        SELECT recording_id, {_r('max(r) FILTER (lag = 0)', 'zero')}, {_r('max(r)', 'peak')}, CAST(arg_max(lag, round(r, 12)) AS INTEGER) AS peak_lag, {_r('sum((r + pr) / 2) FILTER (lag BETWEEN -4 AND 5)', 'auc')} FROM y GROUP BY 1""")
 add("r19_zero_lag", lambda s, d: rounded(R.side_xcorr(T(s, d), sides(s, d), 20, 5).select("recording_id", "zero")), "traces positions",
     f"""WITH {SIDES}, m AS (SELECT t.recording_id, frame, avg(value) FILTER (side = 0) AS a, avg(value) FILTER (side = 1) AS b FROM traces t JOIN sd ON sd.recording_id = t.recording_id AND sd.unit_id = t.unit_id GROUP BY 1, 2) SELECT recording_id, {_r('corr(a, b)', 'zero')} FROM m GROUP BY 1""")
-add("r21_beat_rate", lambda s, d: rounded(R.beat_rate(A(s, d), fx.FPS, 3).select("recording_id", "unit_id", "beats", "rate")))
+add("r21_beat_rate", lambda s, d: rounded(R.beat_rate(A(s, d), fx.FPS, 3).select("recording_id", "unit_id", "beats", "rate")), "traces",
+    "WITH RECURSIVE sm AS (SELECT recording_id, unit_id, frame, avg(value) OVER " + UNITW + " ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM traces), fl AS (SELECT recording_id, unit_id, mad(v) * 0.5 AS least FROM sm GROUP BY 1, 2), f AS ("
+    + PEAKS.format(src="SELECT * FROM sm", height=-9, prominence=0, distance=1)
+    + f""") SELECT fl.recording_id, fl.unit_id, count(f.frame) AS beats, {_r('CASE WHEN count(f.frame) > 1 THEN 2.0 * (count(f.frame) - 1) / (max(f.frame) - min(f.frame)) END', 'rate')}
+        FROM fl LEFT JOIN f ON f.recording_id = fl.recording_id AND f.unit_id = fl.unit_id AND f.prominence >= fl.least GROUP BY 1, 2""")
 add("r22_speed", lambda s, d: rounded(R.speed(T(s, d), 3, fx.FPS).select("recording_id", "unit_id", "frame", "speed")), "traces",
     f"""WITH m AS (SELECT recording_id, unit_id, frame, avg(value) OVER {UNITW} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM traces)
         SELECT recording_id, unit_id, frame, {_r(f'abs(coalesce((lead(v) OVER {UNITW}) - lag(v) OVER {UNITW})) / 2, lead(v) OVER {UNITW}) - v, v - lag(v) OVER {UNITW}))) * 2', 'speed')} FROM m""")
 add("r23_vigor", lambda s, d: rounded(T(s, d).withColumn("value", R.vigor(F.col("value"), (0.01, 1.0, 2.0)))), "traces", f"SELECT recording_id, unit_id, frame, {_r('greatest(0.01 + value + 2 * value * value, 0)', 'value')} FROM traces")
-add("r24_tail_signal", lambda s, d: rounded(fx.positions(s, d).select("recording_id", "unit_id", R.tail_signal(F.col("x") - 18, F.col("y") - 11, F.col("z") / 50).alias("v"))), "positions", f"SELECT recording_id, unit_id, {_r('abs(CASE WHEN z / 50 > 0.1 THEN x - 18 + y - 11 ELSE 0 END)', 'v')} FROM positions")
+add("r22_activity", lambda s, d: rounded(R.activity(T(s, d), 3).select("recording_id", "unit_id", "frame", "activity")), "traces", f"SELECT recording_id, unit_id, frame, {_r(f'avg(abs(value)) OVER {UNITW} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)', 'activity')} FROM traces")
+add("r23_predicted_distance", lambda s, d: rounded(R.predicted_distance(R.speed(T(s, d), 3, fx.FPS), (0.01, 1.0, -2.0), fx.FPS, 3)), "traces",
+    f"""WITH m AS (SELECT recording_id, unit_id, frame, avg(value) OVER {UNITW} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM traces),
+        g AS (SELECT recording_id, unit_id, frame, abs(coalesce((lead(v) OVER {UNITW}) - lag(v) OVER {UNITW})) / 2, lead(v) OVER {UNITW}) - v, v - lag(v) OVER {UNITW}))) * 2 AS sp FROM m),
+        y AS (SELECT recording_id, unit_id, frame, greatest(0.01 + q - 2 * q * q, 0) AS y FROM (SELECT *, avg(sp) OVER {UNITW} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS q FROM g))
+        SELECT recording_id, unit_id, {_r('sum(p)', 'distance')} FROM (SELECT recording_id, unit_id, (y + lag(y) OVER {UNITW})) / 4 AS p FROM y) GROUP BY 1, 2""")
+
+
+def _two_angles(s, d):
+    """Each sample as one tail angle and the next sample as another, with the speed between them."""
+    nxt = F.coalesce(F.lead("value").over(Window.partitionBy("recording_id", "unit_id").orderBy("frame")), F.lit(0.0))
+    return T(s, d).withColumn("other", nxt).withColumn("speed", F.abs(F.col("other") - F.col("value")))
+
+
+add("r24_tail_signal", lambda s, d: rounded(_two_angles(s, d).select("recording_id", "unit_id", "frame", R.tail_signal(F.col("value"), F.col("other"), F.col("speed")).alias("v"), R.tail_signal(F.col("value"), F.col("other"), F.col("speed"), half_wave=True).alias("half"))), "traces",
+    f"""WITH o AS (SELECT *, coalesce(lead(value) OVER {UNITW}), 0) AS o FROM traces), v AS (SELECT *, CASE WHEN abs(o - value) > 0.1 THEN value + o ELSE 0 END AS v FROM o)
+        SELECT recording_id, unit_id, frame, {_r('abs(v)', 'v')}, {_r('greatest(v, 0)', 'half')} FROM v""")
 add("r27_threshold_onsets", lambda s, d: R.threshold_onsets(T(s, d), 1.5, 2), "traces",
     f"""WITH th AS (SELECT recording_id, unit_id, median(value) + 1.5 * mad(value) AS th FROM traces GROUP BY 1, 2), f AS (SELECT recording_id, unit_id, frame, value > th AS act FROM traces JOIN th USING (recording_id, unit_id)),
         g AS (SELECT *, sum(CAST(act AND NOT coalesce(was, false) AS INTEGER)) OVER {UNITW}) AS run FROM (SELECT *, lag(act) OVER {UNITW}) AS was FROM f))
         SELECT recording_id, unit_id, min(frame) AS start FROM g WHERE act GROUP BY recording_id, unit_id, run HAVING count(*) >= 2""")
 add("r28_rasterise", lambda s, d: rounded(R.rasterise(fx.event_train(s, d).select("recording_id", (F.col("frame") / 2.0).alias("t"), "amp"), fx.event_train(s, d).select("recording_id").distinct().withColumn("n_frames", F.lit(720)), 2.0)), "ev",
     f"SELECT r.recording_id, CAST(k AS INTEGER) AS frame, {_r('coalesce(max(amp), 0)', 'amp')} FROM (SELECT DISTINCT recording_id FROM ev) r CROSS JOIN range(720) q(k) LEFT JOIN ev e ON e.recording_id = r.recording_id AND e.frame = k GROUP BY r.recording_id, k")
-add("r29_two_pass", lambda s, d: rounded(R.two_pass_refine(A(s, d), P.unit_qc_finite(T(s, d), 64), fx.FPS, 16, 0.1, 0.5)))
-add("e24_crosstalk", lambda s, d: rounded(R.dominant_freq(R.welch_spectra(R.acf(A(s, d), 48).select("recording_id", "unit_id", F.col("acf").alias("trace")), fx.FPS, 32, 16, 32, "hamming"), 0.0, 1.0)))
+
+
+def welch_sql(src: str, key: str, n: int, segments: int, name: str, window: str = "0.5 - 0.5") -> str:
+    """Spectra f, pxx of rows (key, frame, value): n-frame windows, half overlapping."""
+    return f"""{name}w AS (SELECT CAST(i AS INTEGER) AS i, {window} * cos(2 * pi() * i / {n - 1}) AS w FROM range({n}) q(i)),
+      {name}f AS (SELECT {key}, sg, k, sum(value * w * cos(2 * pi() * k * i / {n})) AS re, sum(value * w * sin(2 * pi() * k * i / {n})) AS im FROM {src} t, range({segments}) a(sg), {name}w, range({n // 2 + 1}) b(k) WHERE t.frame = sg * {n // 2} + i GROUP BY ALL),
+      {name} AS (SELECT {key}, k * 2.0 / {n} AS f, avg(re * re + im * im) / (2 * (SELECT sum(w * w) FROM {name}w)) * CASE WHEN k IN (0, {n // 2}) THEN 1 ELSE 2 END AS pxx FROM {name}f GROUP BY {key}, k)"""
+
+
+UK = "recording_id, unit_id"
+add("r29_two_pass", lambda s, d: rounded(R.two_pass_refine(A(s, d), P.unit_qc_finite(T(s, d), 64), fx.FPS, 16, 0.1, 0.5)), "traces",
+    f"""WITH {welch_sql('traces', UK, 16, 7, 's1')}, {welch_sql('traces', UK, 32, 3, 's2')},
+        d1 AS (SELECT {UK} FROM (SELECT *, row_number() OVER (PARTITION BY {UK} ORDER BY pxx DESC, f) AS o FROM s1) WHERE o = 1 AND f BETWEEN 0.1 AND 0.5), ok AS (SELECT {UK} FROM traces GROUP BY 1, 2 HAVING count(value) >= 0.95 * 64 AND stddev_samp(value) > 0)
+        SELECT {UK}, {_r('f', 'dom')}, {_r('pxx', 'power')} FROM (SELECT s2.*, row_number() OVER (PARTITION BY {UK} ORDER BY pxx DESC, f) AS o FROM s2 JOIN d1 USING ({UK}) JOIN ok USING ({UK}) WHERE f BETWEEN 0.1 AND 0.5) WHERE o = 1""")
+
+
+def acf_spectra(s, d):
+    """Spectra of autocorrelations, which tell rhythms that channels share."""
+    return R.welch_spectra(R.acf(A(s, d), 48).select("recording_id", "unit_id", F.col("acf").alias("trace")), fx.FPS, 32, 16, 32, "hamming")
+
+
+def crosstalk(s, d):
+    spectra = acf_spectra(s, d)
+    return R.dominant_freq(spectra, 0.0, 1.0).join(R.occupied_bandwidth(spectra, 0.0, 1.0, 0.9), ["recording_id", "unit_id"])
+
+
+add("e24_crosstalk", lambda s, d: rounded(crosstalk(s, d)), "traces",
+    f"""WITH ac AS (SELECT recording_id, unit_id, frame, v AS value FROM ({ACF.format(first=0, last=48)})), {welch_sql('ac', UK, 32, 2, 'sp', '0.54 - 0.46')},
+        c AS (SELECT *, sum(pxx) OVER (PARTITION BY {UK} ORDER BY f) / sum(pxx) OVER (PARTITION BY {UK}) AS c, row_number() OVER (PARTITION BY {UK} ORDER BY pxx DESC, f) AS o FROM sp WHERE f <= 1)
+        SELECT {UK}, {_r('max(f) FILTER (o = 1)', 'dom')}, {_r('max(pxx)', 'power')}, {_r('min(f) FILTER (c >= 1 - (1 - 0.9) / 2) - min(f) FILTER (c >= (1 - 0.9) / 2)', 'obw')} FROM c GROUP BY 1, 2""")
+
+# periods
+
+
+def periods(s, d):
+    """Each trace in four periods of 15 frames and their shared ends, from frame 3 on."""
+    t = P.fixed_periods(T(s, d), 3, 15)
+    return R.collect_traces(t, ["recording_id", "unit_id", "period"])
+
+
+add("r30_period_acf", lambda s, d: rounded(R.period_acf(periods(s, d), 12, 9)), "traces",
+    f"""WITH p AS (SELECT recording_id, unit_id, CAST(p AS INTEGER) AS period, frame - 3 - p * 15 AS i, value - avg(value) OVER (PARTITION BY recording_id, unit_id, p) AS v FROM traces, range(4) q(p) WHERE frame BETWEEN 3 + p * 15 AND 18 + p * 15),
+        n AS (SELECT recording_id, unit_id, period, sum(v * v) AS s FROM p GROUP BY 1, 2, 3), r AS (SELECT a.recording_id, a.unit_id, a.period, lag, sum(a.v * b.v) / any_value(n.s) AS r FROM p a JOIN range(13) g(lag) ON true JOIN p b USING (recording_id, unit_id, period) JOIN n USING (recording_id, unit_id, period) WHERE b.i = a.i + lag GROUP BY 1, 2, 3, 4)
+        SELECT a.recording_id, a.unit_id, a.period, CAST(k AS INTEGER) AS k, {_r('a.r + (k * 12 / 8.0 - a.lag) * coalesce(b.r - a.r, 0)', 'r')} FROM range(9) g(k) JOIN r a ON a.lag = least(floor(k * 12 / 8.0), 11) JOIN r b ON b.recording_id = a.recording_id AND b.unit_id = a.unit_id AND b.period = a.period AND b.lag = a.lag + 1""")
+PERIOD = f"""pr AS (SELECT recording_id, unit_id, CAST(p AS INTEGER) AS period, CAST(frame - 3 - p * 15 AS INTEGER) AS frame, value FROM traces, range(4) q(p) WHERE frame BETWEEN 3 + p * 15 AND 18 + p * 15), {welch_sql('pr', UK + ', period', 16, 1, 'sp')},
+  dm AS (SELECT {UK}, period FROM (SELECT *, row_number() OVER (PARTITION BY {UK}, period ORDER BY pxx DESC, f) AS o FROM sp) WHERE o = 1 AND f BETWEEN 0.1 AND 0.5), pw AS (SELECT {UK}, period, max(pxx) AS power FROM sp JOIN dm USING ({UK}, period) WHERE f BETWEEN 0.1 AND 0.5 GROUP BY ALL)"""
+add("r30_period_power", lambda s, d: rounded(R.period_power(periods(s, d), fx.FPS, 16, 0.1, 0.5)), "traces", f"WITH {PERIOD} SELECT {UK}, period, {_r('power', 'power')} FROM pw")
+add("r30_pooled_power", lambda s, d: rounded(R.pooled_by_period(R.period_power(periods(s, d), fx.FPS, 16, 0.1, 0.5))), "traces", f"WITH {PERIOD} SELECT period, {_r('avg(power)', 'mean')}, {_r('stddev_samp(power) / sqrt(count(power))', 'sem')}, count(power) AS n FROM pw GROUP BY 1")
 
 # latent modes
 
@@ -99,13 +195,20 @@ def components(s, d):
     return L.pca(A(s, d), 6)
 
 
+def real_latents(s, d):
+    """Scores of the first components as arrays."""
+    return L.latent_arrays(components(s, d))
+
+
 def latent(s, d):
     """Latents by an arithmetic rule (means of residue classes of units), so that any engine agrees."""
     return T(s, d).groupBy("recording_id", (F.col("unit_id") % 4).cast("int").alias("pc"), "frame").agg(F.avg("value").alias("value"))
 
 
 LT = "lt AS (SELECT recording_id, CAST(unit_id % 4 AS INTEGER) AS pc, frame, avg(value) AS value FROM traces GROUP BY ALL)"
-add("n14_pca_share", lambda s, d: rounded(components(s, d).select("recording_id", "pc", "share"), 3))
+add("n14_pca_share", lambda s, d: rounded(components(s, d).select("recording_id", "pc", "share")))
+add("n15_pca_time", lambda s, d: rounded(L.pca_time(A(s, d), 3)[0].select("recording_id", "pc", "variance", F.posexplode("pattern").alias("frame", "value"))))
+add("n15_time_scores", lambda s, d: rounded(L.pca_time(A(s, d), 3)[1]))
 add("n16_mode_assignment", lambda s, d: L.mode_assignment(L.loadings(A(s, d), components(s, d))).groupBy("recording_id", "mode").agg(F.count("*").alias("n")))
 add("n16_mode_traces", lambda s, d: rounded(L.mode_traces(T(s, d), fx.positions(s, d).select("recording_id", "unit_id", (F.col("unit_id") % 5).alias("mode")))), "traces", f"SELECT recording_id, unit_id % 5 AS mode, frame, {_r('avg(value)', 'value')} FROM traces GROUP BY ALL")
 
@@ -118,13 +221,36 @@ PLV = """ph AS (SELECT recording_id, pc, frame, value * 20 AS phase, round(abs(v
   qa AS (SELECT recording_id, pc, amp + coalesce((0.2 * n + 0.5 - i) * (nx - amp), 0) AS q FROM o WHERE floor(0.2 * n + 0.5) = i), st AS (SELECT ph.* FROM ph JOIN qa USING (recording_id, pc) WHERE amp >= q),
   pl AS (SELECT a.recording_id, a.pc AS a, b.pc AS b, sqrt(pow(avg(cos(a.phase - b.phase)), 2) + pow(avg(sin(a.phase - b.phase)), 2)) AS plv, atan2(avg(sin(a.phase - b.phase)), avg(cos(a.phase - b.phase))) AS lag, count(*) AS n FROM st a JOIN st b ON a.recording_id = b.recording_id AND a.frame = b.frame AND a.pc < b.pc GROUP BY ALL)"""
 add("n17_phase_locking", lambda s, d: rounded(L.phase_locking(phases(s, d))), "traces", f"WITH {LT}, {PLV} SELECT recording_id, a, b, {_r('CASE WHEN n >= 20 THEN plv END', 'plv')}, {_r('CASE WHEN n >= 20 THEN lag END', 'lag')}, n FROM pl")
-add("n18_phase_components", lambda s, d: L.phase_components(L.phase_locking(phases(s, d)), phases(s, d), 0.3))
+add("n18_phase_components", lambda s, d: L.phase_components(L.phase_locking(phases(s, d)), phases(s, d), 0.3), "traces",
+    f"""WITH RECURSIVE {LT}, {PLV}, e AS (SELECT recording_id, a AS x, b AS y FROM pl WHERE n >= 20 AND plv >= 0.3 UNION SELECT recording_id, b, a FROM pl WHERE n >= 20 AND plv >= 0.3),
+        reach AS (SELECT DISTINCT recording_id, pc AS x, pc AS y FROM lt UNION SELECT r.recording_id, r.x, e.y FROM reach r JOIN e ON e.recording_id = r.recording_id AND e.x = r.y)
+        SELECT recording_id, x AS pc, min(y) AS component FROM reach GROUP BY 1, 2""")
+
+
+def real_phases(s, d):
+    """Phases of the band-passed components."""
+    key = ["recording_id", "pc"]
+    return R.long_phases(R.analytic_signal(R.bandpass(real_latents(s, d), fx.FPS, 0.05, 0.5, keys=key), key), key)
+
+
+add("n17_component_locking", lambda s, d: rounded(L.phase_locking(real_phases(s, d)), 5))
 add("n19_lagged_products", lambda s, d: rounded(L.lagged_products(latent(s, d))), "traces",
     f"""WITH {LT}, x AS (SELECT *, lead(value) OVER (PARTITION BY recording_id, pc ORDER BY frame) AS nx FROM lt) SELECT a.recording_id, a.pc AS i, b.pc AS j, {_r('sum(a.value * b.value)', 's0')}, {_r('sum(a.nx * b.value)', 's1')} FROM x a JOIN x b ON a.recording_id = b.recording_id AND a.frame = b.frame WHERE a.nx IS NOT NULL GROUP BY 1, 2, 3""")
 add("n19_lds_fit", lambda s, d: rounded(L.lds_fit(latent(s, d), fx.FPS, 0.05, 0.5).select("recording_id", "magnitude", "freq", "candidate", "pairs"), 5))
-add("n20_sliding", lambda s, d: L.sliding_oscillators(latent(s, d), 64, fx.FPS, 32, 8, 0.05, 0.5))
-add("n21_interpretation", lambda s, d: fx.positions(s, d).select("recording_id", "unit_id", L.interpretation(F.col("z") % 4, F.col("x") / 37, F.col("y") / 50, F.col("z") % 3, F.col("x") % 2).alias("label")), "positions",
-    """SELECT recording_id, unit_id, CASE WHEN z % 4 >= 2 AND z % 3 >= 2 THEN 'several oscillators' WHEN z % 4 >= 1 AND x / 37 >= 0.7 AND y / 50 < 0.2 THEN 'one shared oscillator' WHEN z % 4 >= 1 OR x % 2 >= 1 THEN 'transient oscillator' ELSE 'no oscillator' END AS label FROM positions""")
+add("n20_sliding", lambda s, d: rounded(L.sliding_oscillators(real_latents(s, d), P.valid_frames(fx.event_train(s, d), 64), fx.FPS, 32, 8, 0.05, 0.5, 32).withColumn("freqs", F.array_join(F.transform("freqs", lambda x: F.format_string("%.4f", x)), ",")), 5))
+add("n23_fixed_latents", lambda s, d: rounded(L.fixed_latent_windows(real_latents(s, d), picked_windows(s, d), fx.FPS, 0.05, 0.5, 24).select("recording_id", "label", "pairs", "freq_cv", "plv", F.posexplode("fractions").alias("pc", "fraction")), 5))
+add("n21_interpretation", lambda s, d: fx.positions(s, d).select("recording_id", "unit_id", L.interpretation(F.col("z") % 4, F.col("x") / 37, F.col("y") / 50, F.col("z") % 3, F.col("x") % 3).alias("label")), "positions",
+    f"""SELECT recording_id, unit_id, CASE WHEN z % 4 <= 1 AND x / 37 > 0.8 THEN '{L.ONE}' WHEN z % 4 >= 2 AND (y / 50 > 0.15 OR x / 37 < 0.7 OR z % 3 >= 2) THEN '{L.SEVERAL}' WHEN x % 3 >= 2 THEN '{L.TRANSIENT}' ELSE '{L.MIXED}' END AS label FROM positions""")
+TEST = O.OscillatorTest(fx.FPS, band=(0.05, 0.5), welch=16.0, window=16.0, step=4.0)
+
+
+def clock_events(s, d):
+    return P.valid_frames(fx.event_train(s, d), 64)
+
+
+add("n21_recordings", lambda s, d: rounded(O.summaries(A(s, d), components(s, d), clock_events(s, d), TEST)[0], 5))
+add("n25_assignment_stability", lambda s, d: rounded(L.assignment_stability(swept_modes(s, d), [3, 4, 5, 6, 8])))
+add("n26_k_sweep", lambda s, d: rounded(O.k_sweep(A(s, d), clock_events(s, d), [3, 4, 5, 6, 8], TEST)[1], 5))
 add("n22_variance_fraction", lambda s, d: rounded(L.variance_fraction(latent(s, d), 10, 40)), "traces",
     f"WITH {LT} SELECT recording_id, pc, {_r('var_samp(value) / sum(var_samp(value)) OVER (PARTITION BY recording_id)', 'fraction')} FROM lt WHERE frame BETWEEN 10 AND 40 GROUP BY 1, 2")
 
@@ -146,49 +272,146 @@ PATH = """q AS (SELECT recording_id, frame, max(value) FILTER (pc = 0) AS a, max
   v AS (SELECT *, (lead(x) OVER w - x) * 2 AS vx, (lead(y) OVER w - y) * 2 AS vy, (lead(z) OVER w - z) * 2 AS vz, x * x + y * y + z * z AS r2 FROM p WINDOW w AS (PARTITION BY recording_id ORDER BY frame))"""
 
 
+def picked_windows(s, d):
+    """The least and the most eventful of the windows of each recording."""
+    return low_high.low_high_windows(clock_events(s, d), 64, 24, 8)
+
+
+def swept_modes(s, d):
+    """Modes of units for several numbers of components."""
+    load = L.loadings(A(s, d), L.pca(A(s, d), 8))
+    return reduce(DataFrame.unionByName, [L.mode_assignment(load.filter(F.col("pc") < k)).select(F.lit(k).alias("k"), "recording_id", "unit_id", "mode") for k in (3, 4, 5, 6, 8)])
+
+
 def path(s, d):
     return L.trajectory(latent(s, d), fx.FPS)
 
 
 add("n27_trajectory", lambda s, d: rounded(path(s, d)), "traces",
     f"WITH {LT}, {PATH} SELECT recording_id, frame, {_r('x', 'x')}, {_r('y', 'y')}, {_r('z', 'z')}, {_r('sqrt(r2)', 'radius')}, {_r('sqrt(vx * vx + vy * vy + vz * vz)', 'speed')}, {_r('CASE WHEN r2 > 0 THEN sqrt((y * vz - z * vy) ** 2 + (z * vx - x * vz) ** 2 + (x * vy - y * vx) ** 2) / r2 END', 'angular')} FROM v")
-add("n27_trajectory_summary", lambda s, d: rounded(L.trajectory_summary(path(s, d), fx.FPS)))
-add("n28_loops", lambda s, d: rounded(L.loops(path(s, d), fx.FPS, 3.5, 4.0, 1.0)))
+SUMMARY = """w2 AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1, lead(r2) OVER w AS r1 FROM v WINDOW w AS (PARTITION BY recording_id ORDER BY frame))"""
+add("n27_trajectory_summary", lambda s, d: rounded(L.trajectory_summary(path(s, d), fx.FPS)), "traces",
+    f"""WITH {LT}, {PATH}, {SUMMARY} SELECT recording_id, {_r('avg(sqrt(r2))', 'radius')}, {_r('avg(sqrt(vx * vx + vy * vy + vz * vz))', 'speed')}, {_r('avg(CASE WHEN r2 > 0 THEN sqrt((y * vz - z * vy) ** 2 + (z * vx - x * vz) ** 2 + (x * vy - y * vx) ** 2) / r2 END)', 'angular')},
+        {_r('sum(CASE WHEN x1 IS NOT NULL THEN acos(least(greatest((x * x1 + y * y1 + z * z1) / (sqrt(r2) * sqrt(r1)), -1), 1)) END) / (2 * pi())', 'rotations')} FROM w2 GROUP BY 1""")
+LOOPS = """sd AS (SELECT recording_id, frame, x, y, z, sqrt(r2) AS radius, stddev_samp(sqrt(r2)) OVER (PARTITION BY recording_id) AS sd FROM v), ou AS (SELECT *, radius >= 3.5 * sd AS act, lag(radius >= 3.5 * sd) OVER (PARTITION BY recording_id ORDER BY frame) AS was FROM sd),
+  lo AS (SELECT *, sum(CAST(act AND NOT coalesce(was, false) AS INTEGER)) OVER (PARTITION BY recording_id ORDER BY frame) AS loop FROM ou), li AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0 FROM lo WHERE act WINDOW w AS (PARTITION BY recording_id, loop ORDER BY frame)),
+  lp AS (SELECT recording_id, CAST(loop AS BIGINT) AS loop, min(frame) AS start, max(frame) AS "end", max(radius) AS peak, sum(sqrt((x1 - x) ** 2 + (y1 - y) ** 2 + (z1 - z) ** 2)) AS length, sum((x * coalesce(y1, y0) - coalesce(x1, x0) * y) / 2) AS area, max(sd) AS sd, count(*) / 2.0 AS duration FROM li GROUP BY 1, 2),
+  lk AS (SELECT * FROM lp WHERE peak >= 4.0 * sd AND duration >= 1)"""
+add("n28_loops", lambda s, d: rounded(L.loops(path(s, d), fx.FPS, 3.5, 4.0, 1.0)), "traces",
+    f"""WITH {LT}, {PATH}, {LOOPS} SELECT recording_id, loop, start, "end", {_r('peak', 'peak')}, {_r('length', 'length')}, {_r('area', 'area')}, {_r('duration', 'duration')}, area > 0 AS ccw FROM lk""")
 add("n28_loop_normals", lambda s, d: rounded(L.loop_normals(path(s, d), L.loops(path(s, d), fx.FPS, 3.5, 4.0, 1.0)), 4))
-add("n29_loop_summary", lambda s, d: rounded(L.loop_summary(L.loops(path(s, d), fx.FPS, 3.5, 4.0, 1.0))))
-add("n31_varimax", lambda s, d: L.varimax_assign(L.loadings(A(s, d), L.pca(A(s, d), 3))).groupBy("recording_id", "mode").agg(F.count("*").alias("n")))
-add("n32_unit_mode_corr", lambda s, d: rounded(L.unit_mode_corr(A(s, d), L.pca(A(s, d), 3)).select("recording_id", "unit_id", F.abs("r").alias("r")), 3))
-CL = "cl AS (SELECT recording_id, unit_id, unit_id * 7 % 3 AS cluster FROM traces GROUP BY 1, 2)"
-add("n33_cluster_eval", lambda s, d: rounded(L.cluster_eval(corr(s, d), fx.positions(s, d).select("recording_id", "unit_id", (F.col("unit_id") * 7 % 3).alias("cluster")))), "traces",
-    f"""WITH cr AS (SELECT a.recording_id, a.unit_id AS u, b.unit_id AS v, corr(a.value, b.value) AS r FROM traces a JOIN traces b ON a.recording_id = b.recording_id AND a.frame = b.frame AND a.unit_id <> b.unit_id GROUP BY ALL), {CL},
+add("n29_loop_summary", lambda s, d: rounded(L.loop_summary(L.loops(path(s, d), fx.FPS, 3.5, 4.0, 1.0))), "traces",
+    f"WITH {LT}, {PATH}, {LOOPS} SELECT recording_id, count(*) AS n, {_r('median(duration)', 'duration')}, {_r('median(peak)', 'peak')}, {_r('median(length)', 'length')}, {_r('avg(CAST(area > 0 AS DOUBLE))', 'ccw')} FROM lk GROUP BY 1")
+
+
+def varimax_modes(s, d):
+    """Each recording with the number of components that hold 80 % of its variance, 2 to 8."""
+    pcs = L.pca(A(s, d), 8)
+    q = L.varimax_components(pcs)
+    load = L.loadings(A(s, d), pcs, unit_norm=True).join(q, "recording_id").filter(F.col("pc") < F.col("q")).drop("q")
+    return L.varimax_assign(load)
+
+
+add("n30_kmeans", lambda s, d: L.kmeans_rows(A(s, d), [2, 3, 4, 5, 6]))
+add("n31_varimax", varimax_modes)
+add("n32_unit_mode_corr", lambda s, d: rounded(L.cosine_assign(A(s, d), 3)))
+CL = "cl AS (SELECT recording_id, unit_id, unit_id * 7 % 3 AS cluster, unit_id * 37 % 128 / 1000.0 AS dom FROM traces GROUP BY 1, 2)"
+PAIRS_OF = "{0} AS (SELECT a.recording_id, a.unit_id AS u, b.unit_id AS v, corr(a.value, b.value) AS r FROM {1} a JOIN {1} b ON a.recording_id = b.recording_id AND a.frame = b.frame AND a.unit_id <> b.unit_id GROUP BY ALL)"
+
+
+def clusters(s, d):
+    return fx.positions(s, d).select("recording_id", "unit_id", (F.col("unit_id") * 7 % 3).alias("cluster"))
+
+
+def acf_arrays(s, d, lags: int = 20):
+    return R.acf(A(s, d), lags).select("recording_id", "unit_id", F.col("acf").alias("trace"))
+
+
+add("n33_cluster_eval", lambda s, d: rounded(L.cluster_eval(A(s, d), clusters(s, d), acf_arrays(s, d), fx.positions(s, d).select("recording_id", "unit_id", (F.col("unit_id") * 37 % 128 / 1000.0).alias("dom")))), "traces",
+    f"""WITH ac AS (SELECT recording_id, unit_id, frame, v AS value FROM ({ACF.format(first=0, last=20)})), {PAIRS_OF.format('cr', 'traces')}, {PAIRS_OF.format('ca', 'ac')}, {CL},
         g AS (SELECT cr.recording_id, u, p.cluster AS cu, q.cluster AS cv, avg(1 - r) AS d, sum(r) AS sr, count(*) AS n FROM cr JOIN cl p ON p.recording_id = cr.recording_id AND p.unit_id = u JOIN cl q ON q.recording_id = cr.recording_id AND q.unit_id = v GROUP BY ALL),
-        s AS (SELECT recording_id, u, cu, max(d) FILTER (cu = cv) AS a, min(d) FILTER (cu <> cv) AS b, sum(sr) FILTER (cu = cv) AS sr, sum(n) FILTER (cu = cv) AS n FROM g GROUP BY 1, 2, 3)
-        SELECT recording_id, count(*) AS units, count(DISTINCT cu) AS clusters, {_r('sum(sr) / sum(n)', 'within')}, {_r('avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)', 'silhouette')} FROM s GROUP BY 1""")
-add("n34_cluster_ranking", lambda s, d: rounded(L.cluster_ranking(fx.positions(s, d).groupBy((F.col("unit_id") % 6).alias("sol")).agg(F.avg("x").alias("within"), F.avg("y").alias("acf_within"), F.avg("z").alias("freq_cv"), F.max("x").alias("silhouette"))).select("sol", "score")), "positions",
+        ga AS (SELECT ca.recording_id, p.cluster AS c, avg(r) AS r FROM ca JOIN cl p ON p.recording_id = ca.recording_id AND p.unit_id = u JOIN cl q ON q.recording_id = ca.recording_id AND q.unit_id = v AND q.cluster = p.cluster GROUP BY 1, 2),
+        pc AS (SELECT recording_id, cu AS c, sum(sr) / sum(n) AS r FROM g WHERE cu = cv GROUP BY 1, 2), fr AS (SELECT recording_id, cluster AS c, count(*) AS size, CASE WHEN count(dom) FILTER (dom > 0) >= 2 THEN stddev_samp(dom) FILTER (dom > 0) / avg(dom) FILTER (dom > 0) END AS cv FROM cl GROUP BY 1, 2),
+        s AS (SELECT recording_id, u, max(d) FILTER (cu = cv) AS a, min(d) FILTER (cu <> cv) AS b FROM g GROUP BY 1, 2), si AS (SELECT recording_id, avg((b - a) / greatest(a, b)) AS sil FROM s GROUP BY 1)
+        SELECT fr.recording_id, count(*) AS clusters, count(*) FILTER (size >= 2) AS used, {_r('avg(pc.r) FILTER (size >= 2)', 'within')}, {_r('avg(ga.r) FILTER (size >= 2)', 'acf_within')}, {_r('avg(cv) FILTER (size >= 2)', 'freq_cv')}, {_r('CASE WHEN count(*) >= 2 AND min(size) >= 2 THEN any_value(sil) END', 'silhouette')}
+        FROM fr LEFT JOIN pc ON pc.recording_id = fr.recording_id AND pc.c = fr.c LEFT JOIN ga ON ga.recording_id = fr.recording_id AND ga.c = fr.c LEFT JOIN si ON si.recording_id = fr.recording_id GROUP BY 1""")
+add("n33_cluster_acf", lambda s, d: rounded(L.cluster_acf(acf_arrays(s, d), clusters(s, d))), "traces",
+    f"""WITH ac AS ({ACF.format(first=0, last=20)}), {CL} SELECT ac.recording_id, cluster, count(*) AS size, frame AS lag, {_r('avg(v)', 'r')} FROM ac JOIN cl ON cl.recording_id = ac.recording_id AND cl.unit_id = ac.unit_id GROUP BY 1, 2, 4""")
+add("n34_ensembles", lambda s, d: rounded(O.ensembles(A(s, d), fx.FPS, [2, 3, 4, 5, 6], 20, 30, 32, (0.05, 0.9)), 5))
+add("n34_cluster_ranking", lambda s, d: rounded(L.cluster_ranking(fx.positions(s, d).groupBy((F.col("unit_id") % 6).alias("sol")).agg(F.avg("x").alias("within"), F.avg("y").alias("acf_within"), F.avg("z").alias("freq_cv"), F.max("x").alias("silhouette")), []).select("sol", "score")), "positions",
     f"""WITH g AS (SELECT unit_id % 6 AS sol, avg(x) AS a, avg(y) AS b, avg(z) AS c, max(x) AS e FROM positions GROUP BY 1) SELECT sol, {_r('+ '.join(f"{sg} CASE WHEN stddev_samp({v}) OVER () > 0 THEN ({v} - avg({v}) OVER ()) / stddev_samp({v}) OVER () ELSE 0 END " for v, sg in (('a', ''), ('b', ''), ('c', '-'), ('e', ''))), 'score')} FROM g""")
 
 # surrogates
 
 
+def kept_moments():
+    """Mean, sum of squares, and sum of products with the next sample around the circle."""
+    nxt = F.concat(F.slice("trace", 2, 63), F.slice("trace", 1, 1))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    trace = F.col("trace")
+    return (F.aggregate("trace", F.lit(0.0), lambda a, x: a + x) / 64).alias("mean"), dot(trace, trace).alias("energy"), dot(trace, nxt).alias("turn")
+
+
 def representative(s, d):
     """Mean trace per recording."""
     return R.collect_traces(T(s, d).groupBy("recording_id", "frame").agg(F.avg("value").alias("value")), ["recording_id"])
 
 
-def surrogate_metrics(s, d, seeds: int = 10):
-    parts = None
-    for kind in ("phase", "ar1"):
-        m = R.rhythm_metrics(R.surrogates(representative(s, d), kind, seeds, ["recording_id"]), fx.FPS, 0.05, 0.5, 32, 16, ["recording_id", "seed"]).withColumn("kind", F.lit(kind))
-        parts = m if parts is None else parts.unionByName(m)
-    return parts
+#: Surrogates of each kind; frames of the spectra's segments; lags of the autocorrelation's peaks.
+SURROGATES, SEGMENT, LAGS = 100, 32, (2, 30)
+
+
+def surrogate_metrics(s, d, seeds: int = SURROGATES):
+    key = ["recording_id", "seed"]
+    of = lambda kind: R.rhythm_metrics(R.surrogates(representative(s, d), kind, seeds, ["recording_id"]).filter("error is null"), fx.FPS, 0.05, 0.5, 32, 16, SEGMENT, LAGS, key).withColumn("kind", F.lit(kind))
+    return of("phase").unionByName(of("ar1"))
 
 
 def observed_metrics(s, d):
-    return R.rhythm_metrics(representative(s, d), fx.FPS, 0.05, 0.5, 32, 16, ["recording_id"])
+    return R.rhythm_metrics(representative(s, d), fx.FPS, 0.05, 0.5, 32, 16, SEGMENT, LAGS, ["recording_id"])
+
 
+def rhythm_scores(s, d):
+    return S.surrogate_scores(observed_metrics(s, d).filter(F.col("metric").isin(*S.SCORED)), surrogate_metrics(s, d), ["window_cv", "inst_cv"])
 
-add("t10_phase_surrogates", lambda s, d: rounded(R.surrogates(representative(s, d), "phase", 3, ["recording_id"]).select("recording_id", "seed", F.aggregate("trace", F.lit(0.0), lambda a, x: a + x * x).alias("energy")), 5))
-add("t11_ar1_surrogates", lambda s, d: R.surrogates(representative(s, d), "ar1", 3, ["recording_id"]).select("recording_id", "seed", F.size("trace").alias("n")))
+
+add("t10_phase_surrogates", lambda s, d: rounded(R.surrogates(representative(s, d), "phase", SURROGATES, ["recording_id"]).select("recording_id", "seed", F.posexplode("trace").alias("frame", "value")), 5))
+add("t11_ar1_surrogates", lambda s, d: rounded(R.surrogates(representative(s, d), "ar1", SURROGATES, ["recording_id"]).select("recording_id", "seed", F.posexplode("trace").alias("frame", "value")), 5))
+# what surrogates must keep: the mean, and for random phases the autocorrelation at lag 1 around the circle
+add("t10_kept_by_phase", lambda s, d: rounded(R.surrogates(representative(s, d), "phase", SURROGATES, ["recording_id"]).select("recording_id", "seed", *kept_moments()), 5), "traces",
+    f"""WITH m AS (SELECT recording_id, frame, avg(value) AS v FROM traces GROUP BY 1, 2), c AS (SELECT a.recording_id, a.frame, a.v, b.v AS nxt FROM m a JOIN m b ON b.recording_id = a.recording_id AND b.frame = (a.frame + 1) % 64)
+        SELECT recording_id, CAST(seed AS INTEGER) AS seed, round(avg(v), 5) + 0.0 AS mean, round(sum(v * v), 5) + 0.0 AS energy, round(sum(v * nxt), 5) + 0.0 AS turn FROM c, range(1, {SURROGATES + 1}) q(seed) GROUP BY 1, 2""")
+add("t11_ar1_parameters", lambda s, d: rounded(R.per_trace(representative(s, d), lambda x: dict(zip(("phi", "sd"), kernels.ar1_parameters(x))), "phi double, sd double", ["recording_id"]).drop("error")), "traces",
+    f"""WITH m AS (SELECT recording_id, frame, avg(value) AS v FROM traces GROUP BY 1, 2), z AS (SELECT recording_id, frame, v - avg(v) OVER (PARTITION BY recording_id) AS v FROM m), c AS (SELECT *, lead(v) OVER (PARTITION BY recording_id ORDER BY frame) AS nxt FROM z),
+        f AS (SELECT recording_id, greatest(least(sum(v * nxt) / sum(v * v), 0.995), -0.995) AS phi FROM c WHERE nxt IS NOT NULL GROUP BY 1) SELECT c.recording_id, {_r('any_value(phi)', 'phi')}, {_r('stddev_samp(nxt - phi * v)', 'sd')} FROM c JOIN f ON f.recording_id = c.recording_id WHERE nxt IS NOT NULL GROUP BY 1""")
 add("t12_rhythm_metrics", lambda s, d: rounded(observed_metrics(s, d), 5))
-add("t14_rhythm_against_noise", lambda s, d: S.surrogate_scores(observed_metrics(s, d), surrogate_metrics(s, d), ["window_cv", "inst_cv"]).groupBy("recording_id").agg(F.avg("z").alias("score"), F.count(F.when(F.col("passed"), 1)).alias("passes")).select("recording_id", F.round("score", 4).alias("score"), "passes", S.oscillator_class(F.col("score"), F.col("passes")).alias("cls")))
-add("t17_paired_summary", lambda s, d: rounded(N.iqr(fx.signals(s, d), ["cond"])))
+add("t13_rhythm_scores", lambda s, d: rounded(rhythm_scores(s, d), 4))
+add("t14_rhythm_against_noise", lambda s, d: rhythm_scores(s, d).groupBy("recording_id").agg(F.avg("z").alias("score"), F.count(F.when(F.col("passed"), 1)).alias("passes")).select("recording_id", F.round("score", 4).alias("score"), "passes", S.oscillator_class(F.col("score"), F.col("passes")).alias("cls")))
+add("t15_representative_mean", lambda s, d: rounded(fx.explode_recordings(R.representative_signal(A(s, d), "mean", fx.FPS, 0.05, 0.5, 32))), "traces",
+    f"""WITH m AS (SELECT recording_id, frame, avg(value) AS v FROM traces GROUP BY 1, 2) SELECT recording_id, frame, {_r('v - (regr_slope(v, frame) OVER w * frame + regr_intercept(v, frame) OVER w)', 'value')} FROM m WINDOW w AS (PARTITION BY recording_id)""")
+add("t15_representative_pc1", lambda s, d: rounded(fx.explode_recordings(R.representative_signal(A(s, d), "pc1", fx.FPS, 0.05, 0.5, 32)), 5))
+add("t15_representative_unit", lambda s, d: rounded(fx.explode_recordings(R.representative_signal(A(s, d), "median_unit", fx.FPS, 0.05, 0.5, 32)), 5))
+
+
+def _sessions(s, d):
+    """The largest hourly sum of each subject and session."""
+    return fx.signals(s, d).groupBy("subject_id", "cond").agg(F.max("value").alias("value"))
+
+
+QUARTILES = f"mx AS (SELECT subject_id, cond, max(value) AS v FROM sig GROUP BY 1, 2), vals AS (SELECT cond AS g, v FROM mx), {HAZEN.replace('0.05, 0.25, 0.5, 0.9', '0.25, 0.5, 0.75')}, qs AS (SELECT g, max(q) FILTER (p = 0.25) AS q25, max(q) FILTER (p = 0.5) AS q50, max(q) FILTER (p = 0.75) AS q75 FROM h GROUP BY 1)"
+add("t17_paired_summary", lambda s, d: rounded(S.paired_summary(_sessions(s, d), "subject_id", "cond", "value", ["high", "mid", "low"], p=False)), "sig",
+    f"""WITH {QUARTILES}, r AS (SELECT *, rank() OVER (PARTITION BY subject_id ORDER BY v) + (count(*) OVER (PARTITION BY subject_id, v) - 1) / 2.0 AS r FROM mx), c AS (SELECT cond, sum(r) AS s, count(*) AS n, sum(r * r) AS q FROM r GROUP BY 1),
+        t AS (SELECT 2 * (sum(s * s) / max(n) - max(n) * 3 * 4) / (sum(q) / max(n) - 3 * 4) AS x FROM c) SELECT g AS cond, (SELECT count(*) FROM mx WHERE cond = g) AS n, {_r('q25', 'q25')}, {_r('q50', 'q50')}, {_r('q75', 'q75')}, format('friedman chi2={{:.3f}}', CAST(x AS DOUBLE)) AS test FROM qs, t""")
+add("t17_two_conditions", lambda s, d: rounded(S.paired_summary(_sessions(s, d), "subject_id", "cond", "value", ["high", "low"], p=False)), "sig",
+    f"""WITH {QUARTILES}, df AS (SELECT a.v - b.v AS dd FROM mx a JOIN mx b ON b.subject_id = a.subject_id AND a.cond = 'high' AND b.cond = 'low'), t AS (SELECT coalesce(sum(r) FILTER (dd > 0), 0) AS w FROM (SELECT dd, rank() OVER (ORDER BY abs(dd)) + (count(*) OVER (PARTITION BY abs(dd)) - 1) / 2.0 AS r FROM df WHERE dd <> 0))
+        SELECT g AS cond, (SELECT count(*) FROM mx WHERE cond = g) AS n, {_r('q25', 'q25')}, {_r('q50', 'q50')}, {_r('q75', 'q75')}, format('signed rank w={{:.1f}}', CAST(w AS DOUBLE)) AS test FROM qs, t WHERE g IN ('high', 'low')""")
+
+
+def _fit(s, d):
+    """Log of the amplitude against log of the hour of each event, subjects as random intercepts."""
+    e = fx.event_train(s, d).filter("amp > 0 and frame >= 0").select("recording_id", F.log("amp").alias("y"), F.log1p("frame").alias("x"))
+    fit = S.random_intercept(e, "recording_id", "x", "y")
+    return s.createDataFrame([(k, float(v)) for k, v in sorted(fit.items())], "term string, value double")
+
+
+add("t9_random_intercept", lambda s, d: rounded(_fit(s, d), 4))

@@ -81,9 +81,9 @@ def min_count_gate(events: DataFrame, least: int) -> DataFrame:
     return events.join(enough, "recording_id", "left_semi")
 
 
-def fill_missing(df: DataFrame) -> DataFrame:
+def fill_missing(df: DataFrame, by: list[str] = UNIT) -> DataFrame:
     """Linear between neighbours, nearest at the ends, 0 for a unit without values."""
-    w = Window.partitionBy(*UNIT).orderBy("frame")
+    w = Window.partitionBy(*by).orderBy("frame")
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col("value").isNotNull(), F.struct("frame", "value"))
     a, b = F.last(known, True).over(before), F.first(known, True).over(after)

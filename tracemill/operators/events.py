@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels as k
+from ..functions.batches import padded
+from ..sources.staging import staged
 from .aggregates import fisher_z_mean, hazen, resultant, trapz
 from .clean import UNIT
-from .joins import leave_one_out_mean
-from .pairs import permuted
-from .stats import fdr_mask
+from .joins import events_in_windows, interpolate_to, leave_one_out_mean, peri_event
+from .pairs import dealt, permuted
+from .signal import collect_traces, peak_list, per_trace
+from .stats import correlation, fdr_mask, fisher_table, ranksum, signrank
 from .windows import runs
 
 
@@ -45,6 +54,23 @@ def strong_peaks(peaks: DataFrame, by: list[str] = UNIT, col: str = "z", share:
     return peaks.join(q, by).filter(F.col(col) >= F.greatest("q", F.lit(least))).drop("q")
 
 
+def mad_events(arrays: DataFrame, fps: float, height: float = 4.0, prominence: float = 2.5, gap_sec: float = 3.5, share: float = 0.9, least: float = 10.0) -> DataFrame:
+    """(recording_id, unit_id, frame, value, prominence): strong peaks of the MAD scores of each trace.
+
+    Peaks by height, prominence and distance; of these the ones at or above the unit's percentile of
+    peak heights and ``least``. Missing values count as 0.
+    """
+    long = arrays.select(*UNIT, F.posexplode("trace").alias("frame", "value")).withColumn("value", F.coalesce(F.when(~F.isnan("value"), F.col("value")), F.lit(0.0)))
+    z = collect_traces(mad_scores(long).select(*UNIT, "frame", F.col("z").alias("value")))
+    return strong_peaks(peak_list(z, height, prominence, max(1, round(gap_sec * fps))), UNIT, "value", share, least)
+
+
+def active_share(per_unit: DataFrame, by: list[str] = ["recording_id"]) -> DataFrame:
+    """(by..., units, total, active, rate, rate_median, amplitude): units with events, and means over the units of ``unit_events_in_window``."""
+    amplitude = F.sum(F.col("amplitude") * F.col("n")) / F.sum("n")
+    return per_unit.groupBy(*by).agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("total"), F.avg((F.col("n") > 0).cast("double")).alias("active"), F.avg("rate").alias("rate"), F.median("rate").alias("rate_median"), amplitude.alias("amplitude"))
+
+
 def unit_events_in_window(units: DataFrame, events: DataFrame, first: int, last: int, seconds: float) -> DataFrame:
     """(recording_id, unit_id, n, rate, amplitude): events per unit in a window; units without events count 0."""
     own = events.filter(F.col("frame").between(first, last)).groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("amplitude"))
@@ -178,26 +204,184 @@ def oscillator_core(traces: DataFrame, dom: DataFrame, low: float, high: float)
     return inside.groupBy("recording_id", "frame").agg(F.coalesce(band, F.avg("value")).alias("core"))
 
 
-def transition_counts(traces: DataFrame, sigma: DataFrame, bins: int, reach: float) -> DataFrame:
-    """(recording_id, gi, gj, n, noise): how often a scaled sample pair (x_t, x_t+1) falls in each cell of a bounded grid.
+def trial_extract(arrays: DataFrame, onsets: DataFrame, before: int, after: int) -> DataFrame:
+    """(recording_id, unit_id, trial, rel_frame, value): a unit's samples around each onset whose surrounding is whole; trials count the onsets of a recording in order."""
+    w = Window.partitionBy("recording_id").orderBy("frame")
+    numbered = onsets.select("recording_id", "frame").distinct().withColumn("trial", F.row_number().over(w) - 1)
+    cut = peri_event(arrays, numbered, before, after)
+    return cut.join(numbered.withColumnRenamed("frame", "event"), ["recording_id", "event"]).select(*UNIT, "trial", F.col("lag").alias("rel_frame"), "value")
+
+
+def pool_on_common_time(curves: DataFrame) -> DataFrame:
+    """(recording_id, unit_id, t, value): the curves of all recordings on the time axis of the first one, NULL where they do not reach."""
+    first = curves.agg(F.min("recording_id").alias("recording_id"))
+    axis = curves.join(F.broadcast(first), "recording_id", "left_semi").select("t").distinct()
+    clock = curves.select(*UNIT).distinct().crossJoin(axis)  # the axis of one curve for each curve
+    return interpolate_to(curves, clock, UNIT, "null")
+
+
+def subject_tests(units: DataFrame, subject: Column, before: str, after: str, p: bool = True) -> DataFrame:
+    """(subject_id, before, after, n, w, ties, median[, p], n0, w0[, p0]): per subject the pooled units' medians, the paired test of after against before, and the test of after alone against 0."""
+    rows = units.withColumn("subject_id", subject)
+    medians = rows.groupBy("subject_id").agg(F.median(before).alias("before"), F.median(after).alias("after"))
+    paired = signrank(rows, ["subject_id"], after, before, p)
+    zero = signrank(rows, ["subject_id"], after, None, p)
+    zero = zero.select("subject_id", F.col("n").alias("n0"), F.col("w").alias("w0"), *([F.col("p").alias("p0")] if p else []))
+    return medians.join(paired, "subject_id", "left").join(zero, "subject_id", "left")
+
+
+def baseline_noise(arrays: DataFrame) -> DataFrame:
+    """(recording_id, unit_id, mu, sigma, error): centre and width of each trace's noise."""
+    def fn(x):
+        mu, sigma = k.baseline_noise(x)
+        return {"mu": mu, "sigma": sigma}
+
+    return per_trace(arrays, fn, "mu double, sigma double")
+
+
+def scaled_by_noise(arrays: DataFrame, noise: DataFrame) -> DataFrame:
+    """(recording_id, unit_id, trace): traces around their noise's centre, in its widths."""
+    return arrays.join(noise.filter("sigma > 0").select(*UNIT, "mu", "sigma"), UNIT).select(*UNIT, F.transform("trace", lambda x: (x - F.col("mu")) / F.col("sigma")).alias("trace"))
+
+
+def _transitions(scaled: DataFrame) -> DataFrame:
+    """(recording_id, x, y): each sample with the next one."""
+    n = F.size("trace")
+    both = F.arrays_zip(F.slice("trace", 1, n - 1).alias("x"), F.slice("trace", 2, n - 1).alias("y"))
+    return scaled.filter(n > 1).select("recording_id", F.explode(both).alias("p")).select("recording_id", "p.x", "p.y").filter("x is not null and y is not null")
+
+
+def grid_range(scaled: DataFrame) -> DataFrame:
+    """(recording_id, low, high): whole numbers around all samples of a recording."""
+    ends = scaled.select("recording_id", F.array_min("trace").alias("a"), F.array_max("trace").alias("b")).groupBy("recording_id").agg(F.floor(F.min("a")).cast("double").alias("low"), F.ceil(F.max("b")).cast("double").alias("high"))
+    return ends.withColumn("high", F.when(F.col("high") > F.col("low"), F.col("high")).otherwise(F.col("low") + 1))
+
+
+def transition_counts(scaled: DataFrame, bins: int = 1000) -> DataFrame:
+    """(recording_id, gi, gj, n): how often a sample pair (x_t, x_t+1) falls at each point of an even grid over the recording's range; gi is the place of x_t."""
+    cell = lambda c: F.floor((F.col(c) - F.col("low")) / (F.col("high") - F.col("low")) * (bins - 1) + 0.5).cast("int")
+    placed = _transitions(scaled).join(grid_range(scaled), "recording_id")
+    return placed.groupBy("recording_id", cell("x").alias("gi"), cell("y").alias("gj")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def noise_covariance(scaled: DataFrame) -> DataFrame:
+    """(recording_id, covariance): of the pairs below zero, which hold no events; 0 for fewer than two."""
+    cov = F.covar_samp(F.when((F.col("x") < 0) & (F.col("y") < 0), F.col("x")), F.when((F.col("x") < 0) & (F.col("y") < 0), F.col("y")))
+    return _transitions(scaled).groupBy("recording_id").agg(F.coalesce(cov, F.lit(0.0)).alias("covariance"))
+
+
+def odds_maps(scaled: DataFrame, fps: float, bins: int = 1000, confidence: float = 0.99, decay: float = 2.0) -> DataFrame:
+    """(recording_id, low, high, odds, joint): per recording the cells [next, current] that noise does not explain, and those of them that may belong to events, packed bits.
+
+    The grid of a recording has a fixed size, so its maps are one small row whatever its units and frames.
+    """
+    counts = transition_counts(scaled, bins).groupBy("recording_id").agg(F.collect_list(F.struct("gi", "gj", "n")).alias("cells"))
+    rows = counts.join(grid_range(scaled), "recording_id").join(noise_covariance(scaled), "recording_id")
+    rows = rows.select("recording_id", "low", "high", "covariance", F.col("cells.gi").alias("gi"), F.col("cells.gj").alias("gj"), F.col("cells.n").alias("n")).repartition("recording_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                low, high, covariance = (batch.column(c)[i].as_py() for c in (1, 2, 3))
+                gi, gj, n = (batch.column(c)[i].values.to_numpy() for c in (4, 5, 6))
+                grid = np.zeros((bins, bins))
+                grid[gj, gi] = n
+                odds = k.transition_odds(grid, low, high, covariance, confidence)
+                joint = k.joint_map(odds, low, high, fps, decay)
+                packed = [pa.array([np.packbits(m).tobytes()], pa.binary()) for m in (odds, joint)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([low]), pa.array([high]), *packed], names=["recording_id", "low", "high", "odds", "joint"])
+
+    kind = dict(scaled.dtypes)["recording_id"]
+    return staged(scaled.sparkSession, rows.mapInArrow(run, f"recording_id {kind}, low double, high double, odds binary, joint binary"), "odds-maps")
+
+
+def _bit(bits: Column, place: Column) -> Column:
+    """Bit of a packed map: place counts from 0, the highest bit of a byte first."""
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2.0), 7 - place % 8)) % 2 == 1
+
+
+def significant_cells(counts: DataFrame, maps: DataFrame, bins: int = 1000) -> DataFrame:
+    """(recording_id, gi, gj, n): occupied cells of the grid that noise does not explain."""
+    told = counts.join(maps.select("recording_id", "odds"), "recording_id")
+    return told.filter(_bit(F.col("odds"), F.col("gj").cast("long") * bins + F.col("gi"))).select("recording_id", "gi", "gj", "n")
+
+
+def significant_transients(scaled: DataFrame, maps: DataFrame, bins: int = 1000) -> DataFrame:
+    """(recording_id, unit_id, trace): 1.0 where a frame belongs to an event, else 0.0.
 
-    Samples are divided by the unit's noise sigma (recording_id, unit_id, sigma) and clamped to
-    [-reach, reach]. ``noise`` counts what Gaussian noise would put there: pairs below zero, which
-    hold no events, mirrored through the origin.
+    A frame does if two transitions in a row, around or beside it, lie in the recording's joint map. Blocks
+    of units meet the map, so it travels once per block.
     """
-    w = Window.partitionBy(*UNIT).orderBy("frame")
-    scaled = traces.join(sigma, UNIT).filter("sigma > 0").withColumn("_x", F.col("value") / F.col("sigma")).withColumn("_y", F.lead(F.col("value") / F.col("sigma")).over(w))
-    cell = lambda c: F.least(F.greatest(F.floor((F.col(c) + reach) / (2 * reach / bins)), F.lit(0)), F.lit(bins - 1)).cast("int")
-    known = scaled.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull()).select("recording_id", cell("_x").alias("gi"), cell("_y").alias("gj"), ((F.col("_x") < 0) & (F.col("_y") < 0)).alias("_neg"))
-    counts = known.groupBy("recording_id", "gi", "gj").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_neg"), 1)).alias("_below"))
-    mirror = counts.select("recording_id", (bins - 1 - F.col("gi")).alias("gi"), (bins - 1 - F.col("gj")).alias("gj"), F.col("_below").alias("_above"))
-    return counts.join(mirror, ["recording_id", "gi", "gj"], "left").select("recording_id", "gi", "gj", "n", (F.col("_below") + F.coalesce("_above", F.lit(0))).alias("noise"))
-
-
-def significant_cells(counts: DataFrame, bins: int, confidence: float = 0.99) -> DataFrame:
-    """(recording_id, gi, gj): cells with both samples above zero where noise explains at most 1 - confidence of the pairs."""
-    above = (F.col("gi") >= bins // 2) & (F.col("gj") >= bins // 2)
-    return counts.filter(above & (F.col("noise") <= (1 - confidence) * F.col("n"))).select("recording_id", "gi", "gj")
+    blocks = dealt(scaled, 256).groupBy("recording_id", "blk").agg(F.collect_list(F.struct("unit_id", "trace")).alias("u"))
+    rows = blocks.join(maps.select("recording_id", "low", "high", "joint"), "recording_id").select("recording_id", F.col("u.unit_id").alias("ids"), F.col("u.trace").alias("traces"), "low", "high", "joint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, traces = batch.column(1)[i].values, batch.column(2)[i].values
+                low, high, bits = (batch.column(c)[i].as_py() for c in (3, 4, 5))
+                joint = np.unpackbits(np.frombuffer(bits, np.uint8), count=bins * bins).astype(bool).reshape(bins, bins)
+                raster = k.event_raster(np.nan_to_num(padded(traces), nan=0.0), joint, low, high)
+                rec = pa.array([batch.column(0)[i].as_py()] * len(ids), batch.schema.field(0).type)
+                lengths = [len(t) if t.is_valid else 0 for t in traces]
+                cells = pa.array([r[:n].astype(float) for r, n in zip(raster, lengths)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([rec, ids, cells], names=["recording_id", "unit_id", "trace"])
+
+    kinds = dict(scaled.dtypes)
+    return rows.mapInArrow(run, f"recording_id {kinds['recording_id']}, unit_id {kinds['unit_id']}, trace array<double>")
+
+
+def window_events(samples: DataFrame, picked: DataFrame, fps: float, bucket: int) -> DataFrame:
+    """(recording_id, label, unit_id, run, start, end, duration, peak, area): event runs of samples (recording_id, unit_id, frame, value, on) inside each picked window (recording_id, label, start, end); runs are cut at its ends."""
+    inside = events_in_windows(samples, picked.select("recording_id", "label", "start", "end"), bucket).select("recording_id", "label", "unit_id", "frame", "value", "on")
+    return run_features(inside, "on", fps, ["recording_id", "label", "unit_id"])
+
+
+def unit_event_features(found: DataFrame, units: DataFrame, picked: DataFrame, fps: float) -> DataFrame:
+    """(recording_id, label, unit_id, n, rate, amp, dur, auc): per unit and window, units without events included."""
+    key = ["recording_id", "label", "unit_id"]
+    every = units.select(*UNIT).join(picked.select("recording_id", "label", ((F.col("end") - F.col("start") + 1) / fps).alias("_sec")), "recording_id")
+    own = found.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.avg("peak").alias("amp"), F.avg("duration").alias("dur"), F.avg("area").alias("auc"))
+    n = F.coalesce("_n", F.lit(0))
+    return every.join(own, key, "left").select(*key, n.alias("n"), (n / F.col("_sec")).alias("rate"), "amp", "dur", "auc")
+
+
+def event_summary(features: DataFrame, found: DataFrame) -> DataFrame:
+    """(recording_id, label, rate, rate_median, total, active, amp, dur, auc): rates over units, the rest over events."""
+    key = ["recording_id", "label"]
+    rates = features.groupBy(*key).agg(F.avg("rate").alias("rate"), F.median("rate").alias("rate_median"), F.sum("n").alias("total"), F.avg((F.col("n") > 0).cast("double")).alias("active"))
+    events = found.groupBy(*key).agg(F.avg("peak").alias("amp"), F.avg("duration").alias("dur"), F.avg("area").alias("auc"))
+    return rates.join(events, key, "left")
+
+
+def paired_unit_tests(features: DataFrame, metrics: list[str], p: bool = True) -> DataFrame:
+    """(recording_id, metric, n, w, ties, median[, p]): per recording the paired test of each unit's metric in the high window against the low one."""
+    at = lambda label, c: F.max(F.when(F.col("label") == label, F.col(c)))
+    wide = features.groupBy(*UNIT).agg(*[at(label, c).alias(f"{c}_{label}") for c in metrics for label in ("low", "high")])
+    parts = [wide.select("recording_id", F.lit(c).alias("metric"), F.col(f"{c}_high").alias("_h"), F.col(f"{c}_low").alias("_l")) for c in metrics]
+    return signrank(reduce(DataFrame.unionByName, parts), ["recording_id", "metric"], "_h", "_l", p)
+
+
+def pooled_event_tests(features: DataFrame, found: DataFrame, p: bool = True) -> DataFrame:
+    """(metric, n1, n2, w, z[, p]): rank-sum tests of low against high, pooled over recordings: rates over units, amplitude, duration and area over events."""
+    rates = features.select(F.lit("rate").alias("metric"), "label", F.col("rate").alias("value"))
+    parts = [found.select(F.lit(m).alias("metric"), "label", F.col(c).alias("value")) for m, c in (("amp", "peak"), ("dur", "duration"), ("auc", "area"))]
+    return ranksum(reduce(DataFrame.unionByName, [rates, *parts]), ["metric"], "label", "low", "value", p)
+
+
+def pooled_active_test(features: DataFrame) -> DataFrame:
+    """(a, b, c, d, p): active and silent units of the low window over those of the high one."""
+    return fisher_table(features.withColumn("_f", F.lit(1)), ["_f"], F.col("label") == "low", F.col("n") > 0).drop("_f")
+
+
+def change_correlation(features: DataFrame, activity: DataFrame, metric: str, p: bool = True) -> DataFrame:
+    """(r, n[, p]): Spearman correlation over recordings of the change in activity (recording_id, label, activity) with the median change of the units' metric, high less low."""
+    at = lambda label, c: F.max(F.when(F.col("label") == label, F.col(c)))
+    unit = features.groupBy(*UNIT).agg((at("high", metric) - at("low", metric)).alias("_d")).groupBy("recording_id").agg(F.median("_d").alias("_y"))
+    rec = activity.groupBy("recording_id").agg((at("high", "activity") - at("low", "activity")).alias("_x"))
+    both = rec.join(unit, "recording_id").withColumn("_f", F.lit(1))
+    return correlation(both, ["_f"], "_x", "_y", True, p).drop("_f")
 
 
 def trial_windows(peri: DataFrame, d: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Population modes: principal components, phase locking, latent dynamics, trajectories, ensembles.
 
-A recording's units are the rows and its frames the columns. Principal components come from
-subspace iteration: each pass multiplies every unit's trace with K time courses and sums the
-results per recording, so a task holds K vectors of a recording's length and never a whole
+A recording's units are the rows and its frames the columns. Principal components come from sums
+over blocks of units: of frames by frames where a recording is short, else of products with a few
+time courses that are refined pass by pass. So a task holds one block of units, never a whole
 recording. Everything behind them works on K latent series: pairs of components, sums of
 products, and small solves in a grouped function over one row per recording or window.
 """
@@ -18,82 +18,185 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-from ..sources.staging import staged
+from ..functions.batches import padded, runs_of
+from ..sources.staging import bounded_batches, staged
 from .aggregates import hazen, resultant
 from .clean import UNIT, zscore_column
-from .pairs import _standardised
+from .joins import assignment_agreement
+from .pairs import BROADCAST_RECORDINGS, _standardised, block_pairs, dealt
+from .signal import analytic_signal, bandpass, collect_traces, dominant_freq, long_phases, welch_spectra
 from .windows import runs
 
+#: Frames up to which the sum over units is kept as a matrix of frames by frames (32 MB).
+GRAM_FRAMES = 2048
+#: Parts that a recording's sums are dealt to before they meet.
+SALTS = 16
+
+
+def _blocks_of(units: DataFrame, block: int = 128) -> DataFrame:
+    """Rows dealt into blocks and sorted by them: recording_id, blk, trace."""
+    return dealt(units, block).select("recording_id", "blk", "trace").repartition("recording_id", "blk").sortWithinPartitions("recording_id", "blk")
+
+
+def _kind(df: DataFrame) -> tuple[str, pa.DataType]:
+    kind = dict(df.dtypes)["recording_id"]
+    return kind, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
+
+
+def _sums(rows: DataFrame, of: str, product) -> DataFrame:
+    """(recording_id, salt, y): partial sums of a product over blocks, one per recording and task."""
+    kind, arrow = _kind(rows)
+    bounded_batches(rows.sparkSession)
 
-def _multiply(units: DataFrame, basis: DataFrame) -> DataFrame:
-    """(recording_id, y): sum over units of trace * (trace . basis), as K rows of T, flattened; partial sums per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
-        bases: dict = {}
-        for batch in batches:
-            recs, traces, basis_col = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-            for i, rec in enumerate(recs):
-                x = traces[i].values.to_numpy()
-                if rec not in bases:
-                    bases[rec] = basis_col[i].values.to_numpy().reshape(-1, len(x))
-                    total[rec] = np.zeros(bases[rec].shape)
-                total[rec] += np.outer(bases[rec] @ x, x)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), batch_type), pa.array([v.ravel().tolist() for v in total.values()], pa.list_(pa.float64()))], names=["recording_id", "y"])
-
-    kind = dict(units.dtypes)["recording_id"]
-    batch_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
-    part = units.select("recording_id", "trace").join(basis, "recording_id").select("recording_id", "trace", "basis").mapInArrow(run, f"recording_id {kind}, y array<double>")
-    return part
-
-
-def pca(arrays: DataFrame, components: int, passes: int = 12, oversample: int = 4) -> DataFrame:
-    """(recording_id, pc, share, score, ...): components of unit-standardised traces, whole and equally long per recording.
-
-    Returns (recording_id, pc, share, score): score is the unit-length time course, share the part
-    of the total variance. K is capped by the number of units and frames. Signs are fixed so that
-    the largest value of a score is positive. The basis starts from a fixed pattern.
-    """
-    spark = arrays.sparkSession
-    units = staged(spark, _standardised(arrays), "pca-units")
-    size = units.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("trace")).alias("t"))
+        for table in runs_of(batches, 2):
+            rec = table.column(0)[0].as_py()
+            y = product(table)
+            total[rec] = total[rec] + y if rec in total else y
+            if len(total) > 8:  # recordings come in order of their hash, few at a time
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), arrow), pa.array([v.ravel() for v in total.values()], pa.list_(pa.float64()))], names=["recording_id", "y"])
+                total.clear()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), arrow), pa.array([v.ravel() for v in total.values()], pa.list_(pa.float64()))], names=["recording_id", "y"])
+
+    return rows.mapInArrow(run, f"recording_id {kind}, y array<double>").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+
+
+def _added_up(parts: DataFrame) -> DataFrame:
+    """(recording_id, y): partial sums added in two steps, so that no task gets all parts of a recording."""
+    kind, _ = _kind(parts)
+
+    def add(p: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(p["y"].iloc[0]))
+        for v in p["y"]:
+            total += v
+        return pd.DataFrame({"recording_id": [p["recording_id"].iloc[0]], "y": [total]})
+
+    schema = f"recording_id {kind}, y array<double>"
+    return parts.groupBy("recording_id", "salt").applyInPandas(add, schema).groupBy("recording_id").applyInPandas(add, schema)
+
+
+def _fixed_sign(q: np.ndarray) -> np.ndarray:
+    """Rows with the sign that makes the largest absolute value positive (the first of equal ones)."""
+    at = np.abs(np.round(q, 9)).argmax(axis=1)
+    return q * np.where(q[np.arange(len(q)), at] < 0, -1.0, 1.0)[:, None]
+
+
+def _from_gram(units: DataFrame, size: DataFrame, components: int) -> DataFrame:
+    """(recording_id, n, t, basis, scale) from the frames-by-frames sum of a recording's units."""
+    kind, _ = _kind(units)
+    sums = _added_up(_sums(_blocks_of(units), "trace", lambda t: (x := padded(t.column(2))).T @ x))
+
+    def solve(p: pd.DataFrame) -> pd.DataFrame:
+        t, n = int(p["t"].iloc[0]), int(p["n"].iloc[0])
+        value, vector = np.linalg.eigh(np.array(p["y"].iloc[0]).reshape(t, t))
+        top = np.argsort(-value, kind="stable")[: min(components, n, t)]
+        return pd.DataFrame({"recording_id": [p["recording_id"].iloc[0]], "n": [n], "t": [t], "basis": [vector[:, top].T.ravel()], "scale": [np.maximum(value[top], 0) / n]})
+
+    return sums.join(size, "recording_id").groupBy("recording_id").applyInPandas(solve, f"recording_id {kind}, n long, t int, basis array<double>, scale array<double>")
+
+
+def _from_passes(units: DataFrame, size: DataFrame, components: int, passes: int, oversample: int) -> DataFrame:
+    """The same by subspace iteration: each pass multiplies every block with K time courses."""
+    spark, (kind, _) = units.sparkSession, _kind(units)
     width = components + oversample
+    blocks = staged(spark, dealt(units, 128).groupBy("recording_id", "blk").agg(F.collect_list("trace").alias("traces")), "pca-blocks")
+    blocks = blocks.withColumn("salt", F.pmod("blk", F.lit(SALTS)))
     start = F.transform(F.sequence(F.lit(0), F.lit(width) * F.col("t") - 1), lambda i: F.sin((i + 1) * 12.9898) * 43758.5453 % 1.0 - 0.5)
     state = size.select("recording_id", "n", "t", start.alias("basis"))
-    kind = dict(arrays.dtypes)["recording_id"]
 
-    def orthonormal(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.sum([np.array(v) for v in pdf["y"]], axis=0)
-        t, n = int(pdf["t"].iloc[0]), int(pdf["n"].iloc[0])
-        q, s, _ = np.linalg.svd(y.reshape(-1, t).T, full_matrices=False)
-        return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "n": [n], "t": [t], "basis": [q.T.ravel().tolist()], "scale": [(s / n).tolist()]})
+    def product(table: pa.Table) -> np.ndarray:
+        x = padded(table.column(2).combine_chunks().flatten())
+        basis = table.column(3)[0].values.to_numpy().reshape(-1, x.shape[1])
+        return (basis @ x.T) @ x
+
+    def orthonormal(p: pd.DataFrame) -> pd.DataFrame:
+        t, n = int(p["t"].iloc[0]), int(p["n"].iloc[0])
+        q, s, _ = np.linalg.svd(np.array(p["y"].iloc[0]).reshape(-1, t).T, full_matrices=False)
+        return pd.DataFrame({"recording_id": [p["recording_id"].iloc[0]], "n": [n], "t": [t], "basis": [q.T.ravel()], "scale": [s / n]})
 
     for _ in range(passes):
-        y = _multiply(units, state.select("recording_id", "basis")).join(state.select("recording_id", "n", "t"), "recording_id")
-        state = staged(spark, y.groupBy("recording_id").applyInPandas(orthonormal, f"recording_id {kind}, n long, t int, basis array<double>, scale array<double>"), "pca-basis")
-    # standardised units have length 1, so the eigenvalues of their sum of squares add up to n
-    pcs = F.explode(F.sequence(F.lit(0), F.least(F.lit(components), F.col("n"), F.col("t")) - 1)).alias("pc")
-    rows = state.select("recording_id", "t", "basis", "scale", pcs)
-    score = F.slice("basis", (F.col("pc") * F.col("t") + 1).cast("int"), F.col("t"))
-    rows = rows.select("recording_id", F.col("pc").cast("int").alias("pc"), F.get("scale", F.col("pc").cast("int")).alias("share"), score.alias("score"))
-    top = F.array_max(F.transform("score", lambda x: F.struct(F.abs(x).alias("a"), F.signum(x).alias("s"))))["s"]
-    return rows.withColumn("_s", top).select("recording_id", "pc", "share", F.transform("score", lambda x: x * F.col("_s")).alias("score"))
-
-
-def loadings(arrays: DataFrame, pcs: DataFrame) -> DataFrame:
-    """(recording_id, unit_id, pc, loading): correlation of each unit with each component."""
+        # the time courses go to every part of a recording, each block meets them once
+        told = state.select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "basis")
+        rows = blocks.join(told, ["recording_id", "salt"]).select("recording_id", "blk", "traces", "basis")
+        sums = _added_up(_sums(rows, "traces", product)).join(size, "recording_id")
+        state = staged(spark, sums.groupBy("recording_id").applyInPandas(orthonormal, f"recording_id {kind}, n long, t int, basis array<double>, scale array<double>"), "pca-basis")
+    return state
+
+
+def pca(arrays: DataFrame, components: int, passes: int = 24, oversample: int = 8, gram_frames: int = GRAM_FRAMES, standardise: bool = True) -> DataFrame:
+    """(recording_id, pc, n, share, score): components of unit-standardised traces, whole and equally long per recording.
+
+    ``score`` is the unit-length time course, ``share`` the part of the total variance, ``n`` the number of
+    units. K is capped by the number of units and frames. The largest absolute value of a score is
+    positive. Recordings of up to ``gram_frames`` frames are solved exactly, longer ones by ``passes``
+    of subspace iteration. Without ``standardise`` the traces count as they are (for data that is
+    standardised already).
+    """
+    spark, (kind, _) = arrays.sparkSession, _kind(arrays)
+    units = staged(spark, _standardised(arrays) if standardise else arrays.select(*UNIT, "trace"), "pca-units")
+    size = staged(spark, units.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("trace")).alias("t")), "pca-sizes")
+    one = F.broadcast if size.count() <= BROADCAST_RECORDINGS else lambda df: df
+    schema = f"recording_id {kind}, pc int, n long, share double, score array<double>"
+
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            rows = []
+            for rec, n, t, basis, scale in zip(p["recording_id"], p["n"], p["t"], p["basis"], p["scale"]):
+                q = _fixed_sign(np.array(basis).reshape(-1, t)[: min(components, n, t)])
+                rows += [(rec, i, n, float(scale[i]), q[i]) for i in range(len(q))]
+            yield pd.DataFrame(rows, columns=["recording_id", "pc", "n", "share", "score"])
+
+    parts = []
+    for part, solve in (("t <= ", lambda u, s: _from_gram(u, s, components)), ("t > ", lambda u, s: _from_passes(u, s, components, passes, oversample))):
+        own = size.filter(f"{part}{gram_frames}")
+        if own.limit(1).count():
+            parts.append(solve(units.join(one(own.select("recording_id")), "recording_id", "left_semi"), own))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return staged(spark, both.mapInPandas(scores, schema), "pca-scores")
+
+
+def loadings(arrays: DataFrame, pcs: DataFrame, unit_norm: bool = False, standardise: bool = True) -> DataFrame:
+    """(recording_id, unit_id, pc, loading): correlation of each unit with each component.
+
+    With ``unit_norm`` the coefficients of a component over the units have length 1 instead.
+    """
     dot = F.aggregate(F.zip_with("trace", "score", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return _standardised(arrays).join(pcs.select("recording_id", "pc", "score"), "recording_id").select(*UNIT, "pc", dot.alias("loading"))
+    scale = F.sqrt(F.col("share") * F.col("n"))
+    value = F.when(scale > 1e-12, dot / scale).otherwise(0.0) if unit_norm else dot
+    units = _standardised(arrays) if standardise else arrays.select(*UNIT, "trace")
+    return units.join(pcs.select("recording_id", "pc", "n", "share", "score"), "recording_id").select(*UNIT, "pc", value.alias("loading"))
+
+
+def latent_arrays(pcs: DataFrame) -> DataFrame:
+    """(recording_id, pc, trace): scores of components of z-scored traces, in their own scale."""
+    scale = F.sqrt(F.col("share") * F.col("n") * (F.size("score") - 1))
+    return pcs.select("recording_id", "pc", F.transform("score", lambda x: x * scale).alias("trace"))
 
 
 def latents(pcs: DataFrame) -> DataFrame:
-    """(recording_id, pc, frame, value) of the component time courses."""
-    return pcs.select("recording_id", "pc", F.posexplode("score").alias("frame", "value"))
+    """(recording_id, pc, frame, value) of ``latent_arrays``."""
+    return latent_arrays(pcs).select("recording_id", "pc", F.posexplode("trace").alias("frame", "value"))
+
 
+def pca_time(arrays: DataFrame, components: int) -> tuple[DataFrame, DataFrame]:
+    """Components with frames as features: (recording_id, pc, variance, pattern) and (recording_id, unit_id, pc, score).
 
-def pca_time(arrays: DataFrame, components: int) -> DataFrame:
-    """(recording_id, pc, share, pattern): temporal patterns scaled by the square root of their variance."""
-    return pca(arrays, components).select("recording_id", "pc", "share", F.transform("score", lambda x: x * F.sqrt(F.col("share"))).alias("pattern"))
+    Traces are z-scored per unit and centred per frame over the units; a pattern is the coefficients of a
+    component over the frames times the square root of its variance, a score the unit's product with the coefficients.
+    """
+    z = staged(arrays.sparkSession, _standardised(arrays).withColumn("scale", F.sqrt(F.size("trace") - 1.0)), "pca-time-units")
+    z = z.select(*UNIT, F.transform("trace", lambda x: x * F.col("scale")).alias("trace"))
+    long = z.select(*UNIT, F.posexplode("trace").alias("frame", "value"))
+    mean = collect_traces(long.groupBy("recording_id", "frame").agg(F.avg("value").alias("value")), ["recording_id"]).withColumnRenamed("trace", "_mean")
+    centred = staged(arrays.sparkSession, z.join(mean, "recording_id").select(*UNIT, F.zip_with("trace", "_mean", lambda a, b: a - b).alias("trace")), "pca-time")
+    p = pca(centred, components, standardise=False)
+    variance = F.col("share") * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1))
+    patterns = p.select("recording_id", "pc", variance.alias("variance"), F.transform("score", lambda x: x * F.sqrt(variance)).alias("pattern"))
+    return patterns, loadings(centred, p, standardise=False).withColumnRenamed("loading", "score")
 
 
 def mode_assignment(load: DataFrame) -> DataFrame:
@@ -107,19 +210,19 @@ def mode_traces(traces: DataFrame, modes: DataFrame) -> DataFrame:
     return traces.join(modes.select(*UNIT, "mode"), UNIT).groupBy("recording_id", "mode", "frame").agg(F.avg("value").alias("value"))
 
 
-def phase_locking(phases: DataFrame, quantile: float = 0.2, least: int = 20) -> DataFrame:
-    """(recording_id, a, b, plv, lag, n): phase locking of component pairs from (recording_id, pc, frame, phase, amp).
+def phase_locking(phases: DataFrame, quantile: float = 0.2, least: int = 20, keys: list[str] = ["recording_id"]) -> DataFrame:
+    """(keys..., a, b, plv, lag, n): phase locking of component pairs from (keys..., pc, frame, phase, amp).
 
     Samples where either amplitude is below its component's quantile do not count; pairs with
     fewer than ``least`` samples are NULL. ``lag`` is the mean phase difference.
     """
-    q = hazen(phases, ["recording_id", "pc"], [quantile], "amp").select("recording_id", "pc", F.col("q"))
-    strong = phases.join(q, ["recording_id", "pc"]).filter(F.col("amp") >= F.col("q"))
-    a = strong.select("recording_id", "frame", F.col("pc").alias("a"), F.col("phase").alias("pa"))
-    b = strong.select("recording_id", "frame", F.col("pc").alias("b"), F.col("phase").alias("pb"))
-    both = a.join(b, ["recording_id", "frame"]).filter("a < b").withColumn("d", F.col("pa") - F.col("pb"))
+    q = hazen(phases, [*keys, "pc"], [quantile], "amp").select(*keys, "pc", F.col("q"))
+    strong = phases.join(q, [*keys, "pc"]).filter(F.col("amp") >= F.col("q"))
+    a = strong.select(*keys, "frame", F.col("pc").alias("a"), F.col("phase").alias("pa"))
+    b = strong.select(*keys, "frame", F.col("pc").alias("b"), F.col("phase").alias("pb"))
+    both = a.join(b, [*keys, "frame"]).filter("a < b").withColumn("d", F.col("pa") - F.col("pb"))
     enough = F.count(F.lit(1)) >= least
-    return both.groupBy("recording_id", "a", "b").agg(F.when(enough, resultant(F.col("d"))).alias("plv"), F.when(enough, F.atan2(F.avg(F.sin("d")), F.avg(F.cos("d")))).alias("lag"), F.count(F.lit(1)).alias("n"))
+    return both.groupBy(*keys, "a", "b").agg(F.when(enough, resultant(F.col("d"))).alias("plv"), F.when(enough, F.atan2(F.avg(F.sin("d")), F.avg(F.cos("d")))).alias("lag"), F.count(F.lit(1)).alias("n"))
 
 
 def phase_components(plv: DataFrame, pcs: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -152,12 +255,9 @@ def lagged_products(latent: DataFrame, keys: list[str] = ["recording_id"]) -> Da
 def lds_fit(latent: DataFrame, fps: float, low: float = 0.01, high: float = 0.10, ridge: float = 1e-3, mag: tuple[float, float] = (0.90, 1.05), keys: list[str] = ["recording_id"]) -> DataFrame:
     """(keys..., re, im, magnitude, freq, candidate, pairs): eigenvalues of the ridge one-step predictor.
 
-    The latents are z-scored per component first. A candidate has its frequency in the band and its
-    magnitude in range; ``pairs`` counts the candidates' conjugate pairs.
+    A candidate is complex, has its frequency in the band and its magnitude in range; ``pairs`` counts
+    the candidates' conjugate pairs.
     """
-    z = Window.partitionBy(*keys, "pc")
-    sd = F.stddev_samp("value").over(z)
-    scaled = latent.withColumn("value", (F.col("value") - F.avg("value").over(z)) / F.when(sd > 0, sd).otherwise(1.0))
     kinds = dict(latent.dtypes)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -169,34 +269,74 @@ def lds_fit(latent: DataFrame, fps: float, low: float = 0.01, high: float = 0.10
         ev = np.linalg.eigvals(s1 @ np.linalg.inv(s0 + ridge * np.eye(len(ids))))
         ev = ev[np.lexsort((ev.imag, ev.real))]
         freq, size = np.abs(np.angle(ev)) * fps / (2 * np.pi), np.abs(ev)
-        ok = (freq >= low) & (freq <= high) & (size >= mag[0]) & (size <= mag[1])
-        pairs = int((ok & (ev.imag > 1e-12)).sum())
+        ok = (np.abs(ev.imag) > 1e-10) & (freq >= low) & (freq <= high) & (size >= mag[0]) & (size <= mag[1])
+        pairs = int((ok & (ev.imag > 0)).sum())
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(ev) for c in keys}, "re": ev.real, "im": ev.imag, "magnitude": size, "freq": freq, "candidate": ok, "pairs": pairs})
 
-    return lagged_products(scaled, keys).groupBy(*keys).applyInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", re double, im double, magnitude double, freq double, candidate boolean, pairs int")
+    return lagged_products(latent, keys).groupBy(*keys).applyInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", re double, im double, magnitude double, freq double, candidate boolean, pairs int")
+
+
+def evaluate_latents(windows: DataFrame, fps: float, low: float, high: float, welch_frames: int, quantile: float = 0.2, least: int = 20, keys: list[str] = ["recording_id"]) -> DataFrame:
+    """(keys..., pairs, freqs, freq_cv, plv): oscillator measures of latent series (keys..., pc, trace).
+
+    Conjugate pairs of the one-step predictor; the components' dominant frequencies in the band, by
+    component, and their coefficient of variation; mean phase locking of the band-passed components.
+    """
+    long = windows.select(*keys, "pc", F.posexplode("trace").alias("frame", "value"))
+    pairs = lds_fit(long, fps, low, high, keys=keys).groupBy(*keys).agg(F.max("pairs").alias("pairs"))
+    spectra = welch_spectra(windows, fps, welch_frames, welch_frames // 2, welch_frames, keys=[*keys, "pc"])
+    freqs = dominant_freq(spectra, low, high, [*keys, "pc"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pc", "dom"))).alias("f"), (F.stddev_samp("dom") / F.avg("dom")).alias("freq_cv"))
+    phases = long_phases(analytic_signal(bandpass(windows, fps, low, high, keys=[*keys, "pc"]), [*keys, "pc"]), [*keys, "pc"])
+    plv = phase_locking(phases, quantile, least, keys).groupBy(*keys).agg(F.avg("plv").alias("plv"))
+    return pairs.join(freqs.select(*keys, F.col("f.dom").alias("freqs"), "freq_cv"), keys, "left").join(plv, keys, "left").select(*keys, "pairs", "freqs", "freq_cv", "plv")
+
 
+def sliding_windows_of(latent: DataFrame, window: int, step: int) -> DataFrame:
+    """(recording_id, start, pc, trace): every sliding window of latent arrays (recording_id, pc, trace); a shorter series is one window."""
+    last = F.greatest(F.size("trace") - window, F.lit(0))
+    rows = latent.select("recording_id", "pc", "trace", F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("start"))
+    return rows.select("recording_id", "start", "pc", F.slice("trace", F.col("start") + 1, window).alias("trace"))
 
-def windowed(latent: DataFrame, n_frames: int, window: int, step: int) -> DataFrame:
-    """Latent samples with the start of every sliding window they lie in."""
-    last = F.floor(F.least(F.col("frame"), F.lit(n_frames - window)) / step)
-    first = F.greatest(F.ceil((F.col("frame") - window + 1) / step), F.lit(0))
-    return latent.filter(first <= last).withColumn("_w", F.explode(F.sequence(first, last))).withColumn("start", F.col("_w") * step).drop("_w")
 
+def sliding_oscillators(latent: DataFrame, events: DataFrame, fps: float, window: int, step: int, low: float, high: float, welch_frames: int, quantile: float = 0.2, least: int = 20) -> DataFrame:
+    """(recording_id, start, centre, events, pairs, freqs, freq_cv, plv) of every sliding window; ``centre`` in seconds, events from (recording_id, frame)."""
+    cut = staged(latent.sparkSession, sliding_windows_of(latent, window, step), "latent-windows")
+    found = evaluate_latents(cut, fps, low, high, min(welch_frames, window), quantile, least, ["recording_id", "start"])
+    first, last = F.floor((F.col("frame") - window) / step) + 1, F.floor(F.col("frame") / step)
+    per = events.select("recording_id", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("k")).groupBy("recording_id", (F.col("k") * step).cast("int").alias("start")).agg(F.count(F.lit(1)).alias("events"))
+    out = found.join(per, ["recording_id", "start"], "left")
+    return out.select("recording_id", "start", ((F.col("start") + window // 2) / fps).alias("centre"), F.coalesce("events", F.lit(0).cast("long")).alias("events"), "pairs", "freqs", "freq_cv", "plv")
 
-def sliding_oscillators(latent: DataFrame, n_frames: int, fps: float, window: int, step: int, low: float, high: float) -> DataFrame:
-    """(recording_id, start, pairs): conjugate pairs in every sliding window."""
-    w = windowed(latent, n_frames, window, step)
-    return lds_fit(w, fps, low, high, keys=["recording_id", "start"]).groupBy("recording_id", "start").agg(F.max("pairs").alias("pairs"))
+
+def fixed_latent_windows(latent: DataFrame, picked: DataFrame, fps: float, low: float, high: float, welch_frames: int, quantile: float = 0.2, least: int = 20) -> DataFrame:
+    """(recording_id, label, pairs, freqs, freq_cv, plv, fractions): the latents of the whole recording, evaluated whole (``full``) and in each picked window (recording_id, label, start, end).
+
+    ``fractions`` is the share of each component in the variance inside the window.
+    """
+    whole = latent.select("recording_id", F.lit("full").alias("label"), "pc", "trace")
+    cut = latent.join(picked.select("recording_id", "label", "start", "end"), "recording_id")
+    cut = cut.select("recording_id", "label", "pc", F.slice("trace", F.col("start") + 1, F.col("end") - F.col("start") + 1).alias("trace"))
+    both = staged(latent.sparkSession, whole.unionByName(cut), "latent-picked")
+    keys = ["recording_id", "label"]
+    found = evaluate_latents(both, fps, low, high, welch_frames, quantile, least, keys)
+    long = both.select(*keys, "pc", F.explode("trace").alias("value")).groupBy(*keys, "pc").agg(F.var_samp("value").alias("v"))
+    shares = long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pc", "v"))).alias("v"), F.sum("v").alias("s"))
+    return found.join(shares.select(*keys, F.transform("v.v", lambda x: x / F.col("s")).alias("fractions")), keys)
+
+
+#: Labels of a recording by its oscillators: fixed values.
+ONE, SEVERAL, TRANSIENT, MIXED = (
+    "More consistent with one dominant oscillator + noise.",
+    "More consistent with multiple oscillatory modes.",
+    "Global fit is mixed, but sliding-window dynamics suggest transient multiple oscillatory modes.",
+    "Mixed evidence; possible weakly coupled or partially overlapping oscillators.",
+)
 
 
 def interpretation(pairs: Column, plv: Column, freq_cv: Column, groups: Column, sliding: Column) -> Column:
-    """Label of a recording from its oscillator counts and phase locking."""
-    return (
-        F.when((pairs >= 2) & (groups >= 2), "several oscillators")
-        .when((pairs >= 1) & (plv >= 0.7) & (freq_cv < 0.2), "one shared oscillator")
-        .when((pairs >= 1) | (sliding >= 1), "transient oscillator")
-        .otherwise("no oscillator")
-    )
+    """Label of a recording from its oscillator pairs, mean phase locking, frequency spread, phase groups and most pairs of a window."""
+    several = (pairs >= 2) & (F.coalesce(freq_cv > 0.15, F.lit(False)) | F.coalesce(plv < 0.7, F.lit(False)) | F.coalesce(groups >= 2, F.lit(False)))
+    return F.when((pairs <= 1) & (plv > 0.8), ONE).when(several, SEVERAL).when(sliding >= 2, TRANSIENT).otherwise(MIXED)
 
 
 def variance_fraction(latent: DataFrame, first: int, last: int) -> DataFrame:
@@ -205,8 +345,16 @@ def variance_fraction(latent: DataFrame, first: int, last: int) -> DataFrame:
     return v.select("recording_id", "pc", (F.col("v") / F.sum("v").over(Window.partitionBy("recording_id"))).alias("fraction"))
 
 
+def frame_points(latent: DataFrame, modes: DataFrame, dims: int = 3) -> DataFrame:
+    """(recording_id, mode, id, dim, v): frames as points in the first components, each under the mode (recording_id, frame, mode) that dominates it."""
+    return latent.filter(F.col("pc") < dims).join(modes, ["recording_id", "frame"]).select("recording_id", "mode", F.col("frame").alias("id"), F.col("pc").alias("dim"), F.col("value").alias("v"))
+
+
 def geometry_separation(points: DataFrame, least: int = 3) -> DataFrame:
-    """(recording_id, separation): mean distance of mode centroids over mean spread within modes, from points (recording_id, mode, id, dim, v)."""
+    """(recording_id, separation): mean distance of mode centroids over mean spread within modes, from points (recording_id, mode, id, dim, v).
+
+    Modes with fewer than ``least`` points do not count: 3 units, or 5 frames.
+    """
     c = points.groupBy("recording_id", "mode", "dim").agg(F.avg("v").alias("c"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     d2 = points.join(c, ["recording_id", "mode", "dim"]).groupBy("recording_id", "mode", "id").agg(F.sqrt(F.sum((F.col("v") - F.col("c")) ** 2)).alias("d"))
     spread = d2.groupBy("recording_id", "mode").agg(F.avg("d").alias("s")).groupBy("recording_id").agg(F.avg("s").alias("within"))
@@ -215,11 +363,18 @@ def geometry_separation(points: DataFrame, least: int = 3) -> DataFrame:
     return between.groupBy("recording_id").agg(F.avg("d").alias("between")).join(spread, "recording_id").select("recording_id", F.when(F.col("within") > 0, F.col("between") / F.col("within")).alias("separation"))
 
 
+def assignment_stability(modes: DataFrame, ks: list[int]) -> DataFrame:
+    """(recording_id, k, common, equal, jaccard): modes (k, recording_id, unit_id, mode) of each K against those of the K before it in the list."""
+    before = F.create_map(*[F.lit(x) for pair in zip(ks, ks[1:]) for x in pair])
+    was = modes.withColumn("k", F.try_element_at(before, F.col("k"))).filter("k is not null")
+    return assignment_agreement(was, modes.filter(F.col("k").isin(ks[1:])), ["recording_id", "k"], "unit_id", "mode")
+
+
 def k_selection(per_k: DataFrame, good: list[str], bad: list[str]) -> DataFrame:
-    """Group means per K with a composite: z-scores of what should be large less those of what should be small."""
+    """Group means per K with a composite: z-scores of what should be large less those of what should be small; a missing mean adds nothing."""
     g = per_k.groupBy("k").agg(*[F.avg(c).alias(c) for c in [*good, *bad]])
     for c in [*good, *bad]:
-        g = zscore_column(g, c, f"z_{c}")
+        g = zscore_column(g, c, f"z_{c}").withColumn(f"z_{c}", F.coalesce(f"z_{c}", F.lit(0.0)))
     return g.withColumn("score", sum((F.col(f"z_{c}") for c in good), F.lit(0.0)) - sum((F.col(f"z_{c}") for c in bad), F.lit(0.0)))
 
 
@@ -285,29 +440,93 @@ def loop_normals(path: DataFrame, found: DataFrame) -> DataFrame:
     return sums.mapInPandas(normal, f"recording_id {dict(path.dtypes)['recording_id']}, loop long, nx double, ny double, nz double")
 
 
-def kmeans_rows(arrays: DataFrame, k_clusters: int, seeds: int = 20) -> DataFrame:
-    """(recording_id, unit_id, cluster): k-means by correlation distance on standardised rows; the best of several starts.
+def kmeans_rows(arrays: DataFrame, ks: list[int], seeds: int = 20, iterations: int = 100) -> DataFrame:
+    """(recording_id, k, unit_id, cluster): k-means by correlation distance on standardised rows, for each K; per recording and K the best of several starts.
 
-    One model per recording runs as a distributed job; the number of recordings bounds the loop.
+    All recordings, Ks and starts move together: a pass meets each block of units with all centres of its
+    recording and sums, per start and cluster, what is nearest. Starts are units in the order of a hash of
+    unit and seed. It ends when no cost falls any more. A recording with fewer units than K has so many clusters.
     """
-    from functools import reduce
-
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    units = _standardised(arrays).select(*UNIT, array_to_vector("trace").alias("features"))
-    parts = []
-    for row in units.select("recording_id").distinct().orderBy("recording_id").toLocalIterator():
-        own = units.filter(F.col("recording_id") == row.recording_id).persist()
-        fits = [KMeans(k=k_clusters, seed=s, distanceMeasure="cosine", predictionCol="cluster").fit(own) for s in range(seeds)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        parts.append(best.transform(own).select(*UNIT, "cluster"))
-        own.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+    spark = arrays.sparkSession
+    units = staged(spark, _standardised(arrays), "kmeans-units")
+    kind, _ = _kind(units)
+    most, edges = max(ks), np.cumsum([0, *ks])
+    picks = units.select("recording_id", "unit_id", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
+    nth = F.row_number().over(Window.partitionBy("recording_id", "seed").orderBy(F.xxhash64("unit_id", "seed"), "unit_id"))
+    picks = picks.withColumn("c", nth - 1).filter(F.col("c") < most).join(units, UNIT)
+    lists = picks.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("seed", "c", "trace"))).alias("s"))
+    starts = lists.select("recording_id", F.col("s.trace").alias("traces"), F.col("s.seed").alias("of"))
+
+    def begin(p: pd.DataFrame) -> pd.DataFrame:
+        traces, of = np.stack([np.array(t) for t in p["traces"].iloc[0]]), np.array(p["of"].iloc[0])
+        out = np.full((seeds, edges[-1], traces.shape[1]), np.nan)
+        for seed in range(seeds):
+            own = traces[of == seed]
+            for k, at in zip(ks, edges):
+                out[seed, at : at + min(k, len(own))] = own[:k]
+        return pd.DataFrame({"recording_id": [p["recording_id"].iloc[0]], "t": [traces.shape[1]], "centres": [out.ravel()], "cost": [float("inf")]})
+
+    state = staged(spark, starts.groupBy("recording_id").applyInPandas(begin, f"recording_id {kind}, t int, centres array<double>, cost double"), "kmeans-centres")
+    blocks = staged(spark, dealt(units, 128).groupBy("recording_id", "blk").agg(F.collect_list(F.struct("unit_id", "trace")).alias("u")), "kmeans-blocks")
+    blocks = blocks.select("recording_id", "blk", F.pmod("blk", F.lit(SALTS)).alias("salt"), F.col("u.unit_id").alias("ids"), F.col("u.trace").alias("traces"))
+    told = lambda s, *more: s.select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "centres", *more)
+
+    def nearest(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Rows, and for each K the distances [start, row, cluster] and the nearest cluster; centres that are not there are never nearest."""
+        x = padded(table.column("traces").combine_chunks().flatten())
+        centres = table.column("centres")[0].values.to_numpy().reshape(seeds, edges[-1], x.shape[1])
+        gap = np.nan_to_num(1 - np.matmul(x[None], centres.transpose(0, 2, 1)), nan=np.inf)
+        gaps = [gap[:, :, a:b] for a, b in zip(edges, edges[1:])]
+        return x, gaps, [g.argmin(axis=2) for g in gaps]
+
+    def product(table: pa.Table) -> np.ndarray:
+        """Per start and cluster the summed rows, then the costs by K and start."""
+        x, gaps, own = nearest(table)
+        flags = np.concatenate([(o[:, :, None] == np.arange(g.shape[2])).astype(float) for g, o in zip(gaps, own)], axis=2)
+        sums = np.matmul(flags.transpose(0, 2, 1), x[None])
+        costs = [np.take_along_axis(g, o[:, :, None], 2).sum(axis=(1, 2)) for g, o in zip(gaps, own)]
+        return np.concatenate([sums.ravel(), *costs])
+
+    def move(p: pd.DataFrame) -> pd.DataFrame:
+        t, many = int(p["t"].iloc[0]), seeds * len(ks)
+        y, was = np.array(p["y"].iloc[0]), np.array(p["centres"].iloc[0]).reshape(seeds, edges[-1], t)
+        sums, cost = y[:-many].reshape(was.shape), y[-many:].reshape(len(ks), seeds)
+        norm = np.linalg.norm(sums, axis=2, keepdims=True)
+        centres = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-300), was)  # an empty cluster stays where it was
+        best = np.argmin(np.round(cost, 9), axis=1).tolist()
+        return pd.DataFrame({"recording_id": [p["recording_id"].iloc[0]], "t": [t], "centres": [centres.ravel()], "cost": [float(cost.sum())], "best": [best], "was": [was.ravel()]})
+
+    schema = f"recording_id {kind}, t int, centres array<double>, cost double, best array<int>, was array<double>"
+    for _ in range(iterations):
+        rows = blocks.join(told(state), ["recording_id", "salt"]).select("recording_id", "blk", "traces", "centres")
+        sums = _added_up(_sums(rows, "traces", product)).join(state.select("recording_id", "t", "centres"), "recording_id")
+        state, before = staged(spark, sums.groupBy("recording_id").applyInPandas(move, schema), "kmeans-centres"), state
+        falls = state.join(before.select("recording_id", F.col("cost").alias("before")), "recording_id").filter(F.col("cost") < F.col("before") * (1 - 1e-9))
+        if not falls.limit(1).count():
+            break
+    # the costs are those of the centres before the last move
+    last = state.select("recording_id", "best", F.col("was").alias("centres"))
+    rows = blocks.join(told(last, "best"), ["recording_id", "salt"]).select("recording_id", "blk", "ids", "traces", "centres", "best")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs_of(batches, 2):
+            ids, best = table.column("ids").combine_chunks().flatten(), table.column("best")[0].as_py()
+            for k, start, own in zip(ks, best, nearest(table)[2]):
+                rec = pa.array([table.column(0)[0].as_py()] * len(ids), table.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([rec, pa.array([k] * len(ids), pa.int32()), ids, pa.array(own[start], pa.int32())], names=["recording_id", "k", "unit_id", "cluster"])
+
+    return rows.mapInArrow(assign, f"recording_id {kind}, k int, unit_id {dict(arrays.dtypes)['unit_id']}, cluster int")
+
+
+def varimax_components(pcs: DataFrame, share: float = 0.8, most: int = 8) -> DataFrame:
+    """(recording_id, q): components needed for a share of the variance, between 2 and ``most``; ``pcs`` holds at least ``most`` of them."""
+    so_far = F.sum("share").over(Window.partitionBy("recording_id").orderBy("pc"))
+    reached = pcs.select("recording_id", "pc", so_far.alias("s")).groupBy("recording_id").agg(F.min(F.when(F.col("s") >= share - 1e-12, F.col("pc") + 1)).alias("q"))
+    return reached.select("recording_id", F.greatest(F.least(F.coalesce("q", F.lit(most)), F.lit(most)), F.lit(2)).alias("q"))
 
 
 def varimax_assign(load: DataFrame, iterations: int = 100, tol: float = 1e-6) -> DataFrame:
-    """(recording_id, unit_id, mode): component with the largest absolute varimax-rotated loading.
+    """(recording_id, unit_id, mode): component with the largest absolute varimax-rotated loading; ``load`` is meant to be of unit norm.
 
     The criterion depends on the loadings only through their second and fourth moments over the
     units: one pass sums those (K^4 numbers per recording), and the rotation is found from them.
@@ -351,31 +570,86 @@ def varimax_assign(load: DataFrame, iterations: int = 100, tol: float = 1e-6) ->
     return wide.join(rot, "recording_id").select(*UNIT, (-F.array_max(ranked)["m"]).alias("mode"))
 
 
-def cluster_eval(corr: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(recording_id, units, clusters, within, silhouette): mean correlation inside clusters and mean silhouette by correlation distance.
+def cosine_modes(arrays: DataFrame, components: int) -> DataFrame:
+    """(recording_id, pc, n, share, score): modes of the cosine similarity of frames, of standardised traces whose frames have length 1 over the units."""
+    units = staged(arrays.sparkSession, _standardised(arrays), "cosine-units")
+    long = units.select(*UNIT, F.posexplode("trace").alias("frame", "value"))
+    norm = long.groupBy("recording_id", "frame").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("value"))
+    norms = collect_traces(norm, ["recording_id"]).withColumnRenamed("trace", "_norm")
+    scaled = units.join(norms, "recording_id").select(*UNIT, F.zip_with("trace", "_norm", lambda x, n: F.when(n > 0, x / n).otherwise(x)).alias("trace"))
+    return pca(scaled, components, standardise=False)
 
-    Pair correlations (recording_id, a, b, r) are summed per unit and other cluster.
-    """
-    both = corr.select("recording_id", F.col("a").alias("u"), F.col("b").alias("v"), "r").unionByName(corr.select("recording_id", F.col("b").alias("u"), F.col("a").alias("v"), "r"))
-    cu = clusters.select("recording_id", F.col("unit_id").alias("u"), F.col("cluster").alias("cu"))
-    cv = clusters.select("recording_id", F.col("unit_id").alias("v"), F.col("cluster").alias("cv"))
-    d = both.join(cu, ["recording_id", "u"]).join(cv, ["recording_id", "v"]).groupBy("recording_id", "u", "cu", "cv").agg(F.avg(1 - F.col("r")).alias("d"), F.sum("r").alias("sr"), F.count("r").alias("n"))
-    own, other = F.when(F.col("cu") == F.col("cv"), F.col("d")), F.when(F.col("cu") != F.col("cv"), F.col("d"))
-    s = d.groupBy("recording_id", "u", "cu").agg(F.max(own).alias("a"), F.min(other).alias("b"), F.sum(F.when(F.col("cu") == F.col("cv"), F.col("sr"))).alias("sr"), F.sum(F.when(F.col("cu") == F.col("cv"), F.col("n"))).alias("n"))
-    sil = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return s.groupBy("recording_id").agg(F.count(F.lit(1)).alias("units"), F.count_distinct("cu").alias("clusters"), (F.sum("sr") / F.sum("n")).alias("within"), F.avg(sil).alias("silhouette"))
-
-
-def cluster_ranking(results: DataFrame) -> DataFrame:
-    """Adds score: z of trace and ACF coherence and silhouette less z of frequency spread."""
-    for c in ("within", "acf_within", "freq_cv", "silhouette"):
-        results = zscore_column(results, c, f"z_{c}")
-    return results.withColumn("score", F.col("z_within") + F.col("z_acf_within") - F.col("z_freq_cv") + F.col("z_silhouette"))
-
-
-def unit_mode_corr(arrays: DataFrame, pcs: DataFrame) -> DataFrame:
-    """(recording_id, unit_id, mode, r): cosine-similarity modes of time are the components' time courses; each unit goes to the one it follows most."""
-    m = mode_assignment(loadings(arrays, pcs))
+
+def cosine_assign(arrays: DataFrame, components: int) -> DataFrame:
+    """(recording_id, unit_id, mode, r): each unit under the mode of ``cosine_modes`` that it correlates with most, and that correlation."""
+    modes = cosine_modes(arrays, components)
+    # a mode's own time course, centred and of unit length, so that products with standardised traces are correlations
+    centred = _standardised(modes.select("recording_id", F.col("pc").alias("unit_id"), F.col("score").alias("trace")))
+    unit = modes.drop("score").join(centred.select("recording_id", F.col("unit_id").alias("pc"), F.col("trace").alias("score")), ["recording_id", "pc"])
+    m = mode_assignment(loadings(arrays, unit))
     return m.select(*UNIT, "mode", (F.col("strength") * F.col("sign")).alias("r"))
 
 
+def cluster_sums(arrays: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(recording_id, u, cu, cv, r, n): per unit and cluster the summed correlation with the cluster's other units, and how many they are."""
+    units = arrays.join(clusters.select(*UNIT, F.col("cluster").cast("long").alias("cluster")), UNIT).select("recording_id", "unit_id", "trace", "cluster")
+
+    def kernel(a, b, r, count):
+        out: dict[str, list] = {c: [] for c in ("u", "cu", "cv", "r", "n")}
+        ca, cb = a["cluster"].to_numpy(), b["cluster"].to_numpy()
+        count = count & np.isfinite(r)
+        r = np.where(count, r, 0.0)
+        for x, own, others, rr, nn in ((a, ca, cb, r, count), (b, cb, ca, r.T, count.T)):
+            for c in np.unique(others):
+                n = nn[:, others == c].sum(axis=1)
+                at = np.flatnonzero(n)
+                total = rr[:, others == c].sum(axis=1)
+                ids = x["unit_id"].to_pylist()
+                for name, v in (("u", [ids[i] for i in at]), ("cu", own[at]), ("cv", [c] * len(at)), ("r", total[at]), ("n", n[at])):
+                    out[name] += list(v)
+        return out
+
+    kinds = {"u": (dict(arrays.dtypes)["unit_id"], {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[dict(arrays.dtypes)["unit_id"]]), "cu": ("long", pa.int64()), "cv": ("long", pa.int64()), "r": ("double", pa.float64()), "n": ("long", pa.int64())}
+    return block_pairs(units, kernel, kinds).groupBy("recording_id", "u", "cu", "cv").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
+
+
+def within_by_cluster(sums: DataFrame, name: str = "within") -> DataFrame:
+    """(recording_id, cluster, within): mean correlation of the pairs inside each cluster."""
+    return sums.filter("cu = cv").groupBy("recording_id", F.col("cu").alias("cluster")).agg((F.sum("r") / F.sum("n")).alias(name))
+
+
+def cluster_eval(arrays: DataFrame, clusters: DataFrame, acfs: DataFrame, dom: DataFrame, least: int = 2) -> DataFrame:
+    """(recording_id, clusters, used, within, acf_within, freq_cv, silhouette): quality of clusters (recording_id, unit_id, cluster).
+
+    Means over clusters of at least ``least`` units (``used`` of them): correlation of the traces and of the
+    autocorrelations (arrays, acfs) inside a cluster, and the coefficient of variation of its units' dominant
+    frequencies (recording_id, unit_id, dom). The silhouette by correlation distance is NULL
+    unless there are two clusters and each has two units.
+    """
+    spark = arrays.sparkSession
+    sums = staged(spark, cluster_sums(arrays, clusters), "cluster-sums")
+    sizes = clusters.groupBy("recording_id", F.col("cluster").cast("long").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    freq = dom.filter("dom > 0").join(clusters, UNIT).groupBy("recording_id", F.col("cluster").cast("long").alias("cluster")).agg(F.when(F.count("dom") >= 2, F.stddev_samp("dom") / F.avg("dom")).alias("freq_cv"))
+    key = ["recording_id", "cluster"]
+    per = sizes.join(within_by_cluster(sums), key, "left").join(within_by_cluster(cluster_sums(acfs, clusters), "acf_within"), key, "left").join(freq, key, "left")
+    large = lambda c: F.avg(F.when(F.col("size") >= least, F.col(c))).alias(c)
+    out = per.groupBy("recording_id").agg(F.count(F.lit(1)).alias("clusters"), F.count(F.when(F.col("size") >= least, 1)).alias("used"), large("within"), large("acf_within"), large("freq_cv"), F.min("size").alias("_least"))
+    gap = 1 - F.col("r") / F.col("n")
+    own, other = F.max(F.when(F.col("cu") == F.col("cv"), gap)), F.min(F.when(F.col("cu") != F.col("cv"), gap))
+    s = sums.groupBy("recording_id", "u").agg(own.alias("a"), other.alias("b"))
+    sil = s.groupBy("recording_id").agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+    told = F.when((F.col("clusters") >= 2) & (F.col("_least") >= 2), F.col("silhouette"))
+    return out.join(sil, "recording_id", "left").select("recording_id", "clusters", "used", "within", "acf_within", "freq_cv", told.alias("silhouette"))
+
+
+def cluster_acf(acfs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(recording_id, cluster, size, lag, r): sizes and mean autocorrelation of clusters."""
+    own = acfs.join(clusters, UNIT).select("recording_id", F.col("cluster").cast("long").alias("cluster"), F.posexplode("trace").alias("lag", "v"))
+    return own.groupBy("recording_id", "cluster", "lag").agg(F.avg("v").alias("r"), F.count(F.lit(1)).alias("size")).select("recording_id", "cluster", "size", "lag", "r")
+
+
+def cluster_ranking(results: DataFrame, by: list[str] = ["recording_id"]) -> DataFrame:
+    """Adds score: within each group of solutions, z of trace and ACF coherence and silhouette less z of frequency spread; a missing one adds nothing."""
+    w = Window.partitionBy(*by)
+    z = lambda c: F.coalesce(F.when(F.stddev_samp(c).over(w) > 0, (F.col(c) - F.avg(c).over(w)) / F.stddev_samp(c).over(w)), F.lit(0.0))
+    return results.withColumn("score", z("within") + z("acf_within") - z("freq_cv") + z("silhouette"))

@@ -1,69 +1,135 @@
 """Pairwise correlation and space: correlation by distance, shuffled controls, gradients, densities.
 
-All-pairs correlation runs as block products: units are z-scored, dealt into blocks of a
-recording, and each pair of blocks is one small matrix product in a task. A row holds a block,
-never a whole recording.
+All-pairs correlation runs as block products: the units of a recording are dealt into blocks, and
+each pair of blocks is one small matrix product in a task. What is asked of the pairs (a distance
+bin, a class, a cluster) is worked out next to the product, so that sums leave the task and no
+table of all pairs is joined or shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import iqr
-from .joins import unit_pairs
+from ..functions import kernels as k
+from ..functions.batches import matrices, padded, runs_of
+from ..sources.staging import bounded_batches
+from .aggregates import iqr, trapz
+from .joins import interpolate_to, unit_pairs
 from .windows import mean_rank
 
+#: Units of a block.
+BLOCK = 256
+#: Recordings up to which their block numbers are broadcast: a few numbers each.
+BROADCAST_RECORDINGS = 200_000
+
 
 def _standardised(arrays: DataFrame) -> DataFrame:
-    """Traces as unit vectors around their mean; NULL where a value is missing or there is no spread."""
-    t = F.col("trace")
-    mean = F.aggregate(t, F.lit(0.0), lambda a, x: a + x) / F.size(t)
-    centred = arrays.withColumn("_m", mean).withColumn("_c", F.transform(t, lambda x: x - F.col("_m")))
-    norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x))
-    return centred.withColumn("_n", norm).filter("_n > 0").select("recording_id", "unit_id", F.transform("_c", lambda x: x / F.col("_n")).alias("trace"))
-
-
-def pair_corr(arrays: DataFrame, block: int = 256) -> DataFrame:
-    """(recording_id, a, b, r) for all unit pairs a < b of a recording; traces whole and equally long."""
-    units = _standardised(arrays).withColumn("blk", F.pmod(F.xxhash64("unit_id"), F.greatest(F.ceil(F.count(F.lit(1)).over(Window.partitionBy("recording_id")) / block), F.lit(1))))
-    packed = units.groupBy("recording_id", "blk").agg(F.sort_array(F.collect_list(F.struct("unit_id", "trace"))).alias("u"))
-    packed = packed.select("recording_id", "blk", F.col("u.unit_id").alias("ids"), F.flatten("u.trace").alias("flat"))
-    right = packed.select("recording_id", *[F.col(c).alias(f"{c}_b") for c in ("blk", "ids", "flat")])
-    both = packed.join(right, "recording_id").filter("blk <= blk_b").repartition("recording_id", "blk", "blk_b")
+    """(recording_id, unit_id, trace): traces as unit vectors around their mean; units with a missing value or without spread are left out."""
+    bounded_batches(arrays.sparkSession)
+    kinds = dict(arrays.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                rec, ids, flat, ids_b, flat_b = (c[i] for c in batch.columns)
-                a, b = ids.values.to_numpy(), ids_b.values.to_numpy()
-                r = flat.values.to_numpy().reshape(len(a), -1) @ flat_b.values.to_numpy().reshape(len(b), -1).T
-                # two different blocks meet once, so a pair may stand either way round
-                low, high = np.minimum(a[:, None], b[None]), np.maximum(a[:, None], b[None])
-                keep = a[:, None] < b[None] if np.array_equal(a, b) else np.ones(r.shape, bool)
-                n = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([rec.as_py()] * n, rec.type), pa.array(low[keep]), pa.array(high[keep]), pa.array(r[keep])], names=["recording_id", "a", "b", "r"])
+            for at, x in matrices(batch.column(2)):
+                if not x.shape[1]:
+                    continue
+                x = x - x.mean(axis=1, keepdims=True)
+                norm = np.sqrt((x * x).sum(axis=1))
+                keep = np.flatnonzero(norm > 1e-12)  # NaN where a value is missing
+                rows = pa.array(at[keep])
+                traces = pa.array(list(x[keep] / norm[keep, None]), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), traces], names=["recording_id", "unit_id", "trace"])
+
+    rows = arrays.select("recording_id", "unit_id", F.col("trace").cast("array<double>").alias("trace"))
+    return rows.mapInArrow(run, f"recording_id {kinds['recording_id']}, unit_id {kinds['unit_id']}, trace array<double>")
+
+
+def dealt(units: DataFrame, block: int) -> DataFrame:
+    """Adds ``blocks``, the number of blocks of the recording, and ``blk``, the unit's own."""
+    counts = units.groupBy("recording_id").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias("blocks"))
+    if counts.count() <= BROADCAST_RECORDINGS:
+        counts = F.broadcast(counts)
+    return units.join(counts, "recording_id").withColumn("blk", F.pmod(F.xxhash64("unit_id"), F.col("blocks")).cast("int"))
+
+
+def block_pairs(units: DataFrame, kernel: Callable[[dict, dict, np.ndarray, np.ndarray], dict], outputs: dict[str, tuple[str, pa.DataType]], block: int = BLOCK) -> DataFrame:
+    """(recording_id, outputs...): what a kernel makes of each pair of blocks of a recording.
+
+    ``units`` (recording_id, unit_id, trace, ...). The kernel gets the columns of both blocks, the
+    correlations of their units, and which of the pairs to count (within one block each pair once).
+    """
+    columns = [c for c in units.columns if c != "recording_id"]
+    kinds = dict(units.dtypes)
+    bounded_batches(units.sparkSession)
+    lanes = dealt(units, block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("blk", "other"), F.greatest("blk", "other")
+    lanes = lanes.select("recording_id", low.alias("_low"), high.alias("_high"), (F.col("blk") == high).cast("int").alias("_side"), *columns)
+    lanes = lanes.repartition("recording_id", "_low", "_high").sortWithinPartitions("recording_id", "_low", "_high", "_side", "unit_id")
 
-    kinds = dict(arrays.dtypes)
-    return both.select("recording_id", "ids", "flat", "ids_b", "flat_b").mapInArrow(run, f"recording_id {kinds['recording_id']}, a {kinds['unit_id']}, b {kinds['unit_id']}, r double")
-
-
-def band_vs_rest(corr: DataFrame, band: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs_of(batches, 3):
+            side = table.column("_side").to_numpy()
+            one_block = table.column("_low")[0] == table.column("_high")[0]
+            a = {c: table.column(c) for c in columns} if one_block else {c: table.column(c).filter(pa.array(side == 0)) for c in columns}
+            b = a if one_block else {c: table.column(c).filter(pa.array(side == 1)) for c in columns}
+            if not len(a["unit_id"]) or not len(b["unit_id"]):
+                continue
+            x = padded(a["trace"])
+            y = x if one_block else padded(b["trace"])
+            if x.shape[1] != y.shape[1]:
+                wide = max(x.shape[1], y.shape[1])
+                x, y = (np.pad(m, ((0, 0), (0, wide - m.shape[1])), constant_values=np.nan) for m in (x, y))
+            r = k.pairwise_corr(x, y)
+            count = np.triu(np.ones(r.shape, bool), 1) if one_block else np.ones(r.shape, bool)
+            out = kernel(a, b, r, count)
+            n = len(next(iter(out.values())))
+            rec = pa.array([table.column(0)[0].as_py()] * n, table.schema.field(0).type)
+            yield pa.RecordBatch.from_arrays([rec, *[pa.array(out[c], t) for c, (_, t) in outputs.items()]], names=["recording_id", *outputs])
+
+    schema = ", ".join([f"recording_id {kinds['recording_id']}", *[f"{c} {t}" for c, (t, _) in outputs.items()]])
+    return lanes.mapInArrow(run, schema)
+
+
+def _id_kind(units: DataFrame) -> tuple[str, pa.DataType]:
+    kind = dict(units.dtypes)["unit_id"]
+    return kind, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
+
+
+def pair_corr(arrays: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(recording_id, a, b, r) for all unit pairs a < b of a recording, over the frames where both have values.
+
+    r is NULL for pairs with fewer than two such frames or without spread there.
+    """
+    def kernel(a, b, r, count):
+        ia, ib = (np.array(x["unit_id"].to_pylist()) for x in (a, b))
+        low, high = np.minimum(ia[:, None], ib[None]), np.maximum(ia[:, None], ib[None])
+        return {"a": low[count], "b": high[count], "r": [None if v != v else v for v in r[count].tolist()]}
+
+    outputs = {"a": _id_kind(arrays), "b": _id_kind(arrays), "r": ("double", pa.float64())}
+    return block_pairs(arrays.select("recording_id", "unit_id", "trace"), kernel, outputs, block)
+
+
+def band_vs_rest(arrays: DataFrame, band: DataFrame, block: int = BLOCK) -> DataFrame:
     """(recording_id, within, across and their medians and counts): pairs inside a band (recording_id, unit_id) against pairs of inside and outside."""
-    def flag(side):
-        return band.select("recording_id", F.col("unit_id").alias(side), F.lit(1).alias(f"_{side}"))
+    units = arrays.join(band.select("recording_id", "unit_id", F.lit(1).alias("inside")), ["recording_id", "unit_id"], "left")
+    units = units.select("recording_id", "unit_id", "trace", F.coalesce("inside", F.lit(0)).alias("inside"))
 
-    marked = corr.join(flag("a"), ["recording_id", "a"], "left").join(flag("b"), ["recording_id", "b"], "left")
-    inside = F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))
+    def kernel(a, b, r, count):
+        n = a["inside"].to_numpy()[:, None] + b["inside"].to_numpy()[None]
+        keep = count & (n > 0) & np.isfinite(r)
+        return {"inside": n[keep], "r": r[keep]}
+
+    pairs = block_pairs(units, kernel, {"inside": ("int", pa.int32()), "r": ("double", pa.float64())}, block)
     parts = []
     for name, n in (("within", 2), ("across", 1)):
-        r = F.when(inside == n, F.col("r"))
+        r = F.when(F.col("inside") == n, F.col("r"))
         parts += [F.avg(r).alias(name), F.median(r).alias(f"{name}_median"), F.count(r).alias(f"{name}_pairs")]
-    return marked.groupBy("recording_id").agg(*parts)
+    return pairs.groupBy("recording_id").agg(*parts)
 
 
 def distance(a: list[str], b: list[str]) -> Column:
@@ -82,14 +148,39 @@ def distance_edges(distances: DataFrame, bins: int = 50) -> DataFrame:
     return top.select("recording_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.floor(F.col("top") * i / bins)))).alias("edge"))
 
 
-def corr_vs_distance(corr: DataFrame, distances: DataFrame, step: float, split: float | None = None) -> DataFrame:
+def _distance_sums(units: DataFrame, step: float, split: float | None, block: int) -> DataFrame:
+    """(recording_id, seed, side, bin, total, n): sums of correlations per distance bin, for each of the placings xs, ys of a unit."""
+    def kernel(a, b, r, count):
+        known = count & np.isfinite(r)
+        side = np.zeros(r.shape, int)
+        if split is not None:
+            sa, sb = (x["y"].to_numpy() >= split for x in (a, b))
+            known &= sa[:, None] == sb[None]
+            side = np.broadcast_to(sa[:, None], r.shape).astype(int)
+        values, side = r[known], side[known]
+        ax, ay, bx, by = (padded(x[c]) for x, c in ((a, "xs"), (a, "ys"), (b, "xs"), (b, "ys")))
+        out: dict[str, list] = {c: [] for c in ("seed", "side", "bin", "total", "n")}
+        for seed in range(ax.shape[1]):
+            d = np.hypot(ax[:, seed, None] - bx[None, :, seed], ay[:, seed, None] - by[None, :, seed])[known]
+            placed = np.isfinite(d)
+            code = np.floor(d[placed] / step).astype(int) * 2 + side[placed]
+            n, total = np.bincount(code), np.bincount(code, values[placed])
+            at = np.flatnonzero(n)
+            for c, v in (("seed", np.full(len(at), seed)), ("side", at % 2), ("bin", at // 2), ("total", total[at]), ("n", n[at])):
+                out[c] += v.tolist()
+        return out
+
+    kinds = {"seed": ("int", pa.int32()), "side": ("int", pa.int32()), "bin": ("int", pa.int32()), "total": ("double", pa.float64()), "n": ("long", pa.int64())}
+    sums = block_pairs(units, kernel, kinds, block)
+    return sums.groupBy("recording_id", "seed", "side", "bin").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def corr_vs_distance(arrays: DataFrame, positions: DataFrame, step: float, split: float | None = None, block: int = BLOCK) -> DataFrame:
     """(recording_id, [side,] bin, r, pairs): mean correlation per distance bin of width ``step``, within each side of ``split`` on y if given."""
-    both = corr.join(distances, ["recording_id", "a", "b"]).withColumn("bin", F.floor(F.col("d") / step).cast("int"))
-    by = ["recording_id", "bin"]
-    if split is not None:
-        both = both.filter((F.col("y_a") < split) == (F.col("y_b") < split)).withColumn("side", (F.col("y_a") >= split).cast("int"))
-        by = ["recording_id", "side", "bin"]
-    return both.groupBy(*by).agg(F.avg("r").alias("r"), F.count("r").alias("pairs"))
+    units = arrays.join(positions.select("recording_id", "unit_id", "y", F.array("x").alias("xs"), F.array("y").alias("ys")), ["recording_id", "unit_id"])
+    sums = _distance_sums(units.select("recording_id", "unit_id", "trace", "y", "xs", "ys"), step, split, block)
+    by = ["recording_id", "bin"] if split is None else ["recording_id", "side", "bin"]
+    return sums.select(*by, (F.col("total") / F.col("n")).alias("r"), F.col("n").alias("pairs"))
 
 
 def shuffle_key(unit: Column, seed: Column) -> Column:
@@ -107,16 +198,44 @@ def permuted(units: DataFrame, seeds: int, by: list[str] = ["recording_id"]) ->
     return a.join(b, [*by, "seed", "_k"]).drop("_k")
 
 
-def shuffled_curve(corr: DataFrame, positions: DataFrame, step: float, seeds: int) -> DataFrame:
-    """(recording_id, bin, null_mean, null_sem): correlation by distance with positions permuted; the correlations are computed once."""
-    moved = permuted(positions, seeds).join(positions.withColumnRenamed("unit_id", "other"), ["recording_id", "other"])
-    side = lambda u: moved.select("recording_id", "seed", F.col("unit_id").alias(u), F.col("x").alias(f"x_{u}"), F.col("y").alias(f"y_{u}"))
-    both = corr.join(side("a"), ["recording_id", "a"]).join(side("b"), ["recording_id", "seed", "b"])
-    bins = F.floor(distance(["x_a", "y_a"], ["x_b", "y_b"]) / step).cast("int")
-    per_seed = both.groupBy("recording_id", "seed", bins.alias("bin")).agg(F.avg("r").alias("r"))
+def shuffled_curve(arrays: DataFrame, positions: DataFrame, step: float, seeds: int, block: int = BLOCK) -> DataFrame:
+    """(recording_id, bin, null_mean, null_sem): correlation by distance with positions permuted.
+
+    The correlations of two blocks are computed once; each unit carries its place under every seed.
+    """
+    moved = permuted(positions, seeds).join(positions.select("recording_id", F.col("unit_id").alias("other"), "x", "y"), ["recording_id", "other"])
+    places = moved.groupBy("recording_id", "unit_id").agg(F.sort_array(F.collect_list(F.struct("seed", "x", "y"))).alias("p"))
+    units = arrays.join(places.select("recording_id", "unit_id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys")), ["recording_id", "unit_id"])
+    per_seed = _distance_sums(units.select("recording_id", "unit_id", "trace", "xs", "ys"), step, None, block).withColumn("r", F.col("total") / F.col("n"))
     return per_seed.groupBy("recording_id", "bin").agg(F.avg("r").alias("null_mean"), (F.stddev_samp("r") / F.sqrt(F.count("r"))).alias("null_sem"))
 
 
+def curve_summaries(curves: DataFrame, by: list[str], x: str, value: str, near: tuple[float, float], whole: tuple[float, float]) -> DataFrame:
+    """(by..., near_mean, all_mean, auc): means of a curve over two ranges of x, and its area over the second (two places at least)."""
+    known = curves.filter(F.col(value).isNotNull())
+    mean = lambda r: F.avg(F.when(F.col(x).between(*r), F.col(value)))
+    means = known.groupBy(*by).agg(mean(near).alias("near_mean"), mean(whole).alias("all_mean"), F.count(F.when(F.col(x).between(*whole), 1)).alias("_n"))
+    area = trapz(known.filter(F.col(x).between(*whole)), by, x, value, "auc")
+    return means.join(area, by, "left").select(*by, "near_mean", "all_mean", F.when(F.col("_n") >= 2, F.col("auc")).alias("auc"))
+
+
+def curve_difference(a: DataFrame, b: DataFrame, by: list[str], x: str, value: str, first: int = 5) -> DataFrame:
+    """(by..., auc, near): area under the difference of two curves on common places, and its mean over the first of them."""
+    both = a.select(*by, x, F.col(value).alias("_a")).join(b.select(*by, x, F.col(value).alias("_b")), [*by, x]).filter("_a is not null and _b is not null").withColumn("_d", F.col("_a") - F.col("_b"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(x))
+    near = both.withColumn("_k", rank).groupBy(*by).agg(F.avg(F.when(F.col("_k") <= first, F.col("_d"))).alias("near"))
+    return trapz(both, by, x, "_d", "auc").join(near, by)
+
+
+def curve_regrid(curves: DataFrame, key: str, x: str, value: str) -> DataFrame:
+    """(key, x, value): every curve on the places of the first one (smallest key), linear between its own and extended beyond."""
+    known = curves.filter(F.col(value).isNotNull()).select(F.col(key), F.col(x).cast("double").alias("t"), F.col(value).alias("value"))
+    first = known.agg(F.min(key).alias("_first"))
+    grid = known.join(F.broadcast(first), F.col(key) == F.col("_first"), "left_semi").select("t")
+    clock = known.select(key).distinct().crossJoin(grid)  # the places of one curve for each curve
+    return interpolate_to(known, clock, [key], "extend").select(key, F.col("t").alias(x), F.col("value").alias(value))
+
+
 def common_prefix(curves: DataFrame, key: str, x: str, value: str, most: float) -> DataFrame:
     """Rows up to the last place that every curve still reaches, and not beyond ``most``."""
     last = curves.filter(F.col(value).isNotNull()).groupBy(key).agg(F.max(x).alias("_l")).agg(F.min("_l").alias("_last"))
@@ -129,23 +248,90 @@ def spatial_gradient(units: DataFrame, axis: str, order: str, by: list[str] = ["
     return ranked.groupBy(*by).agg(F.corr("_ra", "_ro").alias("rho"), F.regr_slope(axis, order).alias("slope"))
 
 
-def permutation_test(units: DataFrame, axis: str, order: str, seeds: int, plus_one: bool = False) -> DataFrame:
-    """(recording_id, rho, p): share of permuted orders whose absolute Spearman correlation reaches the observed one."""
-    ranked = mean_rank(mean_rank(units, ["recording_id"], axis, "ra"), ["recording_id"], order, "ro")
-    seen = ranked.groupBy("recording_id").agg(F.corr("ra", "ro").alias("rho"))
-    moved = permuted(ranked, seeds).join(ranked.select("recording_id", "unit_id", "ra"), ["recording_id", "unit_id"])
-    moved = moved.join(ranked.select("recording_id", F.col("unit_id").alias("other"), "ro"), ["recording_id", "other"])
-    null = moved.groupBy("recording_id", "seed").agg(F.corr("ra", "ro").alias("r"))
-    hit = F.sum((F.abs("r") >= F.abs("rho") - 1e-12).cast("int"))
-    p = (hit + 1) / (F.count(F.lit(1)) + 1) if plus_one else hit / F.count(F.lit(1))
-    return null.join(seen, "recording_id").groupBy("recording_id").agg(F.first("rho").alias("rho"), p.alias("p"))
+def permutation_test(units: DataFrame, axes: list[str], order: str, seeds: int, plus_one: bool = False) -> DataFrame:
+    """(recording_id, axis, rho, p): share of permuted orders whose absolute Spearman correlation reaches the observed one.
 
+    Ranks of a recording's units fit one row; the permutations are dealt to tasks in groups of seeds, which
+    order the units by ``shuffle_key`` and correlate all axes at once.
+    """
+    ranked = units.filter(F.col(order).isNotNull())
+    ranked = mean_rank(ranked, ["recording_id"], order, "_ro")
+    for i, axis in enumerate(axes):
+        ranked = mean_rank(ranked, ["recording_id"], axis, f"_r{i}")
+    lists = ranked.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct(F.col("unit_id").cast("long").alias("u"), "_ro", *[f"_r{i}" for i in range(len(axes))]))).alias("s"))
+    group = 64
+    starts = F.explode(F.sequence(F.lit(1), F.lit(seeds), F.lit(group))).alias("first")
+    rows = lists.select("recording_id", starts, F.col("s.u").alias("u"), F.col("s._ro").alias("ro"), *[F.col(f"s._r{i}").alias(f"r{i}") for i in range(len(axes))])
+    rows = rows.repartition("recording_id", "first")
+    kind = dict(units.dtypes)["recording_id"]
 
-def kde_grid(points: DataFrame, grid: DataFrame, by: list[str], hx: float, hy: float) -> DataFrame:
-    """(by..., gi, gj, density): Gaussian density on a bounded grid, its largest value 1."""
-    k = F.exp(-0.5 * (((F.col("gx") - F.col("x")) / hx) ** 2 + ((F.col("gy") - F.col("y")) / hy) ** 2))
-    d = points.join(grid, by).groupBy(*by, "gi", "gj").agg(F.avg(k).alias("density"))
-    return d.withColumn("density", F.col("density") / F.max("density").over(Window.partitionBy(*by)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                rec, first = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                u = batch.column(2)[i].values.to_numpy().astype(np.int64)
+                ro, *ranks = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(3, batch.num_columns))
+                for axis, ra in enumerate(ranks):
+                    known = np.isfinite(ra)
+                    a = np.where(known, ra - ra[known].mean() if known.any() else 0.0, 0.0)
+
+                    def corr(o):
+                        o = np.where(known, o - (o[known].mean() if known.any() else 0.0), 0.0)
+                        scale = np.sqrt((a @ a) * (o @ o))
+                        return a @ o / scale if scale > 0 else np.nan
+
+                    seen = corr(ro)
+                    hits = n = 0
+                    for seed in range(first, min(first + group, seeds + 1)):
+                        key = (u * 7919 + seed * 104729 + (u * u) % 7907 * seed) % 1000003
+                        r = corr(ro[np.lexsort((u, key))])
+                        hits, n = hits + int(abs(r) >= abs(seen) - 1e-12), n + 1
+                    out.append((rec, axes[axis], None if seen != seen else float(seen), hits, n))
+            columns = list(zip(*out)) if out else [()] * 5
+            kinds = (batch.schema.field(0).type, pa.string(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["recording_id", "axis", "rho", "hits", "n"])
+
+    found = rows.mapInArrow(run, f"recording_id {kind}, axis string, rho double, hits long, n long")
+    hit, n = F.sum("hits"), F.sum("n")
+    p = (hit + 1) / (n + 1) if plus_one else hit / n
+    return found.groupBy("recording_id", "axis").agg(F.first("rho").alias("rho"), F.when(F.first("rho").isNotNull(), p).alias("p"))
+
+
+def kde_grid(points: DataFrame, nx: int, ny: int, hx: float, hy: float) -> DataFrame:
+    """(recording_id, gi, gj, gx, gy, density): Gaussian density of (recording_id, x, y) on an even grid over each recording's range, its largest value 1.
+
+    The kernel is a product over the axes, so a task's points meet the grid in one matrix product.
+    """
+    known = points.filter("x is not null and y is not null").select("recording_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    span = known.groupBy("recording_id").agg(*[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))], F.count(F.lit(1)).alias("n"))
+    if span.count() <= BROADCAST_RECORDINGS:
+        span = F.broadcast(span)
+    rows = known.join(span, "recording_id").select("recording_id", "x", "y", "x0", "x1", "y0", "y1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            recs = np.array(batch.column(0).to_pylist())
+            x, y, x0, x1, y0, y1 = (batch.column(i).to_numpy() for i in range(1, 7))
+            for rec in np.unique(recs).tolist():
+                own = recs == rec
+                gx, gy = np.linspace(x0[own][0], x1[own][0], nx), np.linspace(y0[own][0], y1[own][0], ny)
+                kx = np.exp(-0.5 * ((gx[:, None] - x[own][None]) / hx) ** 2)
+                ky = np.exp(-0.5 * ((gy[:, None] - y[own][None]) / hy) ** 2)
+                total[rec] = total.get(rec, 0.0) + kx @ ky.T
+        if total:
+            sums = pa.array([v.ravel() for v in total.values()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), kind), sums], names=["recording_id", "sums"])
+
+    part = rows.mapInArrow(run, f"recording_id {dict(points.dtypes)['recording_id']}, sums array<double>")
+    cells = part.select("recording_id", F.posexplode("sums").alias("c", "s")).groupBy("recording_id", "c").agg(F.sum("s").alias("s")).join(span, "recording_id")
+    gi, gj = F.floor(F.col("c") / ny).cast("int"), (F.col("c") % ny).cast("int")
+    place = lambda low, high, i, n: F.col(low) + i * (F.col(high) - F.col(low)) / max(n - 1, 1)
+    top = F.max("s").over(Window.partitionBy("recording_id"))
+    return cells.select("recording_id", gi.alias("gi"), gj.alias("gj"), place("x0", "x1", gi, nx).alias("gx"), place("y0", "y1", gj, ny).alias("gy"), (F.col("s") / top).alias("density"))
 
 
 def kde_bandwidth(df: DataFrame, by: list[str], col: str) -> DataFrame:
@@ -157,12 +343,29 @@ def kde_bandwidth(df: DataFrame, by: list[str], col: str) -> DataFrame:
 
 
 def kde_at_points(units: DataFrame, col: str) -> DataFrame:
-    """(recording_id, unit_id, density): one-dimensional Gaussian density at the units' own values."""
-    bw = kde_bandwidth(units, ["recording_id"], col)
-    a = units.select("recording_id", "unit_id", F.col(col).alias("_a")).join(bw, "recording_id")
-    b = units.select("recording_id", F.col(col).alias("_b"))
-    k = F.exp(-0.5 * ((F.col("_a") - F.col("_b")) / F.col("bw")) ** 2) / (F.col("bw") * (2 * np.pi) ** 0.5)
-    return a.join(b, "recording_id").groupBy("recording_id", "unit_id").agg(F.avg(k).alias("density"))
+    """(recording_id, unit_id, density): one-dimensional Gaussian density at the units' own values.
+
+    The values of a recording are one array, which each group of its points is compared with.
+    """
+    known = units.filter(F.col(col).isNotNull()).select("recording_id", "unit_id", F.col(col).cast("double").alias("v"))
+    values = known.groupBy("recording_id").agg(F.collect_list("v").alias("all")).join(kde_bandwidth(known, ["recording_id"], "v"), "recording_id")
+    groups = dealt(known, 4096).groupBy("recording_id", "blk").agg(F.collect_list(F.struct("unit_id", "v")).alias("p"))
+    rows = groups.join(values, "recording_id").select("recording_id", F.col("p.unit_id").alias("ids"), F.col("p.v").alias("at"), "all", "bw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, at, values, bw = (batch.column(c)[i] for c in range(1, 5))
+                v, h = values.values.to_numpy(), bw.as_py()
+                if not h:
+                    density = [None] * len(ids)
+                else:
+                    density = [float(np.exp(-0.5 * ((x - v) / h) ** 2).mean() / (h * (2 * np.pi) ** 0.5)) for x in at.values.to_pylist()]
+                rec = pa.array([batch.column(0)[i].as_py()] * len(density), batch.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([rec, ids.values, pa.array(density, pa.float64())], names=["recording_id", "unit_id", "density"])
+
+    kinds = dict(units.dtypes)
+    return rows.mapInArrow(run, f"recording_id {kinds['recording_id']}, unit_id {kinds['unit_id']}, density double")
 
 
 def spectrum_stability(a: DataFrame, b: DataFrame) -> DataFrame:

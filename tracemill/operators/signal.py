@@ -1,7 +1,7 @@
 """Spectra, autocorrelation, filters and beats.
 
-Kernels run on array rows in Arrow batches, one row per unit; everything after them (bands,
-peaks, widths) is column arithmetic on long spectra.
+Kernels run on array rows in Arrow batches, one row per unit, many rows at a time where the
+kernel allows it; everything after them (bands, peaks, widths) is column arithmetic on long spectra.
 """
 
 from __future__ import annotations
@@ -10,33 +10,63 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
-from .aggregates import mad, trapz
-from .clean import UNIT
-from .windows import gradient, moving_mean
+from ..functions.batches import matrices, output
+from ..sources.staging import bounded_batches
+from .aggregates import mad, mean_curve, trapz
+from .clean import UNIT, fill_missing
+from .joins import interpolate_to
+from .windows import drop_short_runs, gaussian_smooth, gradient, moving_mean, runs
 
 
-def per_trace(arrays: DataFrame, fn: Callable[[np.ndarray], dict], schema: str, keys: list[str] = UNIT, col: str = "trace") -> DataFrame:
-    """Applies a kernel to the trace of each row; ``schema`` names its outputs. A row that fails gets NULLs and the reason in ``error``."""
+def per_trace(arrays: DataFrame, fn: Callable[[np.ndarray], dict], schema: str, keys: list[str] = UNIT, col: str = "trace", rows: bool = False) -> DataFrame:
+    """Applies a kernel to the trace of each row; ``schema`` names its outputs.
+
+    With ``rows`` the kernel takes a matrix of equally long traces and returns a row of each output
+    per trace. A row that fails gets NULLs and the reason in ``error``; see ``sources.recordings.split_errors``.
+    """
     kinds = dict(arrays.dtypes)
-    names = [part.split()[0] for part in schema.split(",")]
+    names = dict(part.split() for part in schema.split(", "))
     full = ", ".join([f"{c} {kinds[c]}" for c in keys] + [schema, "error string"])
+    bounded_batches(arrays.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in batch[col]:
+            cells = {n: [None] * batch.num_rows for n in names}
+            errors: list[str | None] = ["no trace"] * batch.num_rows
+
+            def put(at, x):
+                got = fn(x)
+                for j, i in enumerate(at):
+                    for n in names:
+                        cells[n][i] = got[n][j] if rows else got[n]
+                    errors[i] = None
+
+            for at, x in matrices(batch.column(len(keys))):
+                if not x.shape[1]:
+                    for i in at:
+                        errors[i] = "empty trace"
+                    continue
+                x = k.finite(x)
                 try:
-                    rows.append(fn(k.finite(np.array(x, float))) | {"error": None})
-                except Exception as e:  # one bad recording must not stop the others
-                    rows.append({n: None for n in names} | {"error": f"{type(e).__name__}: {e}"})
-            yield pd.concat([batch[keys].reset_index(drop=True), pd.DataFrame(rows, columns=[*names, "error"])], axis=1)
-
-    return arrays.select(*keys, col).mapInPandas(run, full)
+                    if rows:
+                        put(at, x)
+                        continue
+                except Exception:  # the rows one by one, to tell which of them fail
+                    pass
+                for j, i in enumerate(at):
+                    try:
+                        put([i], x[j : j + 1] if rows else x[j])
+                    except Exception as e:  # one bad recording must not stop the others
+                        errors[i] = f"{type(e).__name__}: {e}"
+            out = [output(n, kind, cells[n]) for n, kind in names.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *out, pa.array(errors, pa.string())], names=[*keys, *names, "error"])
+
+    return arrays.select(*keys, F.col(col).cast("array<double>").alias(col)).mapInArrow(run, full)
 
 
 def collect_traces(df: DataFrame, keys: list[str] = UNIT, order: str = "frame", col: str = "value") -> DataFrame:
@@ -46,7 +76,7 @@ def collect_traces(df: DataFrame, keys: list[str] = UNIT, order: str = "frame",
 
 
 def acf(arrays: DataFrame, max_lag: int) -> DataFrame:
-    return per_trace(arrays, lambda x: {"acf": k.acf(x, max_lag).tolist()}, "acf array<double>")
+    return per_trace(arrays, lambda x: {"acf": k.acf(x, max_lag)}, "acf array<double>", rows=True)
 
 
 def long_acf(arrays: DataFrame, max_lag: int) -> DataFrame:
@@ -77,9 +107,9 @@ def welch_spectra(arrays: DataFrame, fps: float, window: int, overlap: int, nfft
 
     def fn(x):
         f, p = k.welch(x, fps, make(window), overlap, nfft)
-        return {"fs": f.tolist(), "ps": p.tolist()}
+        return {"fs": [f] * len(x), "ps": p}
 
-    s = per_trace(arrays, fn, "fs array<double>, ps array<double>", keys)
+    s = per_trace(arrays, fn, "fs array<double>, ps array<double>", keys, rows=True)
     return s.select(*keys, F.explode(F.arrays_zip("fs", "ps")).alias("s")).select(*keys, F.col("s.fs").alias("f"), F.col("s.ps").alias("pxx"))
 
 
@@ -154,35 +184,53 @@ def windowed_peak_freq(arrays: DataFrame, fps: float, window: int, hop: int, low
 
 
 def bout_peak_freq(df: DataFrame, bouts: DataFrame, fps: float, low: float, high: float, least_sec: float = 0.3, keys: list[str] = UNIT) -> DataFrame:
-    """(keys..., run, freq): dominant frequency inside each bout (keys..., run, start, end) that lasts long enough."""
+    """(keys..., run, freq, error): dominant frequency inside each bout (keys..., run, start, end) that lasts long enough."""
     long = bouts.filter((F.col("end") - F.col("start") + 1) >= least_sec * fps)
     inside = df.join(long.select(*keys, "run", "start", "end"), keys).filter(F.col("frame").between(F.col("start"), F.col("end")))
     arrays = collect_traces(inside, [*keys, "run"])
 
     def fn(x):
-        f, p = k.welch(x - x.mean(), fps, k.hann(len(x)), 0, 2 ** math.ceil(math.log2(max(8, len(x)))))
+        length = x.shape[1]
+        f, p = k.welch(x - x.mean(axis=1, keepdims=True), fps, k.hann(length), 0, 2 ** math.ceil(math.log2(max(8, length))))
         band = (f >= low) & (f <= high)
-        return {"freq": float(f[band][np.argmax(p[band])]) if band.any() else None}
+        return {"freq": f[band][np.argmax(p[:, band], axis=1)] if band.any() else np.full(len(x), np.nan)}
 
-    return per_trace(arrays, fn, "freq double", [*keys, "run"]).drop("error")
+    return per_trace(arrays, fn, "freq double", [*keys, "run"], rows=True)
 
 
 def bandpass(arrays: DataFrame, fps: float, low: float, high: float, order: int = 3, keys: list[str] = UNIT) -> DataFrame:
+    """(keys..., trace, error): zero-phase Butterworth band-pass."""
     sections = k.butter_bandpass(order, low, high, fps)
-    return per_trace(arrays, lambda x: {"trace": k.filtfilt(sections, x)[0].tolist()}, "trace array<double>", keys).drop("error")
+    return per_trace(arrays, lambda x: {"trace": k.filtfilt(sections, x)}, "trace array<double>", keys, rows=True)
 
 
 def analytic_signal(arrays: DataFrame, keys: list[str] = UNIT) -> DataFrame:
-    """(keys..., phase, amp) arrays."""
+    """(keys..., phase, amp, error) arrays."""
     def fn(x):
         z = k.analytic(x)
-        return {"phase": np.angle(z).tolist(), "amp": np.abs(z).tolist()}
+        return {"phase": np.angle(z), "amp": np.abs(z)}
+
+    return per_trace(arrays, fn, "phase array<double>, amp array<double>", keys, rows=True)
 
-    return per_trace(arrays, fn, "phase array<double>, amp array<double>", keys).drop("error")
+
+def long_phases(signals: DataFrame, keys: list[str] = UNIT) -> DataFrame:
+    """(keys..., frame, phase, amp) of analytic signals."""
+    return signals.select(*keys, F.posexplode(F.arrays_zip("phase", "amp")).alias("frame", "z")).select(*keys, "frame", "z.phase", "z.amp")
 
 
 def resample_rate(arrays: DataFrame, rate_in: float, rate_out: float, keys: list[str] = UNIT) -> DataFrame:
-    return per_trace(arrays, lambda x: {"trace": k.resample(x, rate_in, rate_out).tolist()}, "trace array<double>", keys).drop("error")
+    """(keys..., trace, error): resampled with anti-aliasing."""
+    return per_trace(arrays, lambda x: {"trace": k.resample(x, rate_in, rate_out)}, "trace array<double>", keys, rows=True)
+
+
+def peak_list(arrays: DataFrame, height: float = -math.inf, prominence: float = 0.0, distance: int = 0, keys: list[str] = UNIT) -> DataFrame:
+    """(keys..., frame, value, prominence): local maxima by height, then prominence, then tallest first at a distance."""
+    def fn(x):
+        at, prom = k.find_peaks(x, height, prominence, distance)
+        return {"at": at.tolist(), "heights": x[at], "proms": prom}
+
+    found = per_trace(arrays, fn, "at array<int>, heights array<double>, proms array<double>", keys)
+    return found.select(*keys, F.explode(F.arrays_zip("at", "heights", "proms")).alias("p")).select(*keys, F.col("p.at").alias("frame"), F.col("p.heights").alias("value"), F.col("p.proms").alias("prominence"))
 
 
 def hemisphere_split(positions: DataFrame, axis: str) -> DataFrame:
@@ -224,6 +272,11 @@ def beat_rate(arrays: DataFrame, fps: float, smooth: int, min_sec: float = 0.15,
     return per_trace(arrays, fn, "beats int, rate double", keys)
 
 
+def activity(df: DataFrame, smooth: int, keys: list[str] = UNIT) -> DataFrame:
+    """Adds activity: smoothed absolute value of a raw channel."""
+    return moving_mean(df.withColumn("_a", F.abs("value")), smooth, keys, "_a", "activity").drop("_a")
+
+
 def speed(df: DataFrame, smooth: int, fps: float, keys: list[str] = UNIT) -> DataFrame:
     """Adds speed: absolute time derivative of the smoothed angle."""
     g = gradient(moving_mean(df, smooth, keys, "value", "_s"), keys, "_s", out="_g")
@@ -235,6 +288,12 @@ def vigor(v: Column, b: tuple[float, float, float]) -> Column:
     return F.when(v.isNotNull(), F.greatest(b[0] + b[1] * v + b[2] * v * v, F.lit(0.0)))
 
 
+def predicted_distance(speeds: DataFrame, b: tuple[float, float, float], fps: float, smooth: int, keys: list[str] = UNIT, col: str = "speed") -> DataFrame:
+    """(keys..., distance): the calibrated vigor of the smoothed speed, integrated over time in seconds."""
+    v = moving_mean(speeds, smooth, keys, col, "_v").withColumn("_y", vigor(F.col("_v"), b)).withColumn("_t", F.col("frame") / fps)
+    return trapz(v, keys, "_t", "_y", "distance")
+
+
 def tail_signal(a0: Column, a1: Column, speed: Column, gate: float = 0.1, half_wave: bool = False) -> Column:
     """Sum of two angles where the tail moves, rectified."""
     s = F.when(speed > gate, a0 + a1).otherwise(0.0)
@@ -243,14 +302,123 @@ def tail_signal(a0: Column, a1: Column, speed: Column, gate: float = 0.1, half_w
 
 def threshold_onsets(df: DataFrame, k_mad: float, least: int, keys: list[str] = UNIT) -> DataFrame:
     """(keys..., start): onsets of runs over median + k MAD."""
-    from .windows import runs
-
     med = df.groupBy(*keys).agg(F.median("value").alias("_med"))
     thr = med.join(mad(df, keys), keys).select(*keys, (F.col("_med") + k_mad * F.col("mad")).alias("_thr"))
     on = df.join(thr, keys).withColumn("_on", F.col("value") > F.col("_thr"))
     return runs(on, "_on", keys).filter(F.col("length") >= least).select(*keys, "start")
 
 
+def bout_onsets(recordings: DataFrame, fps: float, k_mad: float = 2.0, least_sec: float = 0.10, smooth: int = 5) -> DataFrame:
+    """(recording_id, frame, source): onsets of movement from the best source that a recording has.
+
+    Columns of ``recordings``, each NULL where a recording lacks it: ``n_frames``, ``onset_frames``
+    (array; not used if its largest value is over 1.2 times n_frames), ``onset_seconds`` (array),
+    ``train`` (array, above 0 while moving) and ``tail`` (array). The first present counts, in this
+    order. Train and tail are stretched to n_frames by linear interpolation; the tail is filled, smoothed,
+    and compared with median + k MAD, where runs under ``least_sec`` (two frames at least) do not count.
+    """
+    r = recordings.withColumn("onset_frames", F.when(F.array_max("onset_frames") <= 1.2 * F.col("n_frames"), F.col("onset_frames")))
+    listed = F.when(F.col("onset_frames").isNotNull(), F.transform("onset_frames", lambda x: F.round(x))).otherwise(F.transform("onset_seconds", lambda x: F.round(x * fps)))
+    source = F.when(F.col("onset_frames").isNotNull(), "frames").when(F.col("onset_seconds").isNotNull(), "seconds").when(F.col("train").isNotNull(), "train").when(F.col("tail").isNotNull(), "tail")
+    r = r.withColumn("source", source)
+    told = r.filter(F.col("source").isin("frames", "seconds")).select("recording_id", F.explode(F.transform(listed, lambda x: x.cast("int"))).alias("frame"), "source")
+
+    def stretched(name: str) -> DataFrame:
+        """(recording_id, frame, value): an array on n_frames frames."""
+        own = r.filter(F.col("source") == name).select("recording_id", "n_frames", F.col(name).cast("array<double>").alias("trace"))
+        last = F.size("trace") - 1
+
+        def value(i: Column) -> Column:
+            place = i * last / F.greatest(F.col("n_frames") - 1, F.lit(1))
+            low = F.floor(place + 1e-9).cast("int")
+            here, part = F.get("trace", low), place - low
+            return F.when(part > 1e-9, here + part * (F.get("trace", low + 1) - here)).otherwise(here)
+
+        stretch = F.transform(F.sequence(F.lit(0), F.col("n_frames") - 1), value)
+        return own.select("recording_id", F.posexplode(stretch).alias("frame", "value"))
+
+    def starts(on: DataFrame, least: int) -> DataFrame:
+        return drop_short_runs(on, "_on", least, ["recording_id"]).select("recording_id", F.col("start").alias("frame"))
+
+    train = starts(stretched("train").withColumn("_on", F.col("value") > 0), 1).withColumn("source", F.lit("train"))
+    tail = gaussian_smooth(fill_missing(stretched("tail"), ["recording_id"]), smooth, ["recording_id"])
+    med = tail.groupBy("recording_id").agg(F.median("value").alias("_med")).join(mad(tail, ["recording_id"]), "recording_id")
+    over = tail.join(med, "recording_id").withColumn("_on", F.col("value") > F.col("_med") + k_mad * F.col("mad"))
+    tail = starts(over, max(2, round(least_sec * fps))).withColumn("source", F.lit("tail"))
+    return told.unionByName(train).unionByName(tail)
+
+
+def synced_clock(frames: DataFrame, sync: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw frame times on the synchronised clock, and the even clock of the crop window.
+
+    ``frames`` (recording_id, t) in raw seconds; ``sync`` (recording_id, scale, delay, start, end),
+    where a missing scale or delay is identity and a missing window end the span of the frames. Returns
+    (recording_id, t) with t = raw * scale + delay, and (recording_id, k, t, rate): start, start +
+    1 / rate, ... up to the end, the rate from the median step inside the window (start excluded).
+    """
+    on = frames.join(sync, "recording_id", "left")
+    on = on.withColumn("t", F.col("t") * F.coalesce("scale", F.lit(1.0)) + F.coalesce("delay", F.lit(0.0)))
+    w = Window.partitionBy("recording_id").orderBy("t")
+    first, last = F.min("t").over(Window.partitionBy("recording_id")), F.max("t").over(Window.partitionBy("recording_id"))
+    on = on.withColumn("start", F.coalesce("start", first)).withColumn("end", F.coalesce("end", last))
+    inside = (F.col("t") > F.col("start")) & (F.col("t") <= F.col("end"))
+    on = on.withColumn("_step", F.col("t") - F.lag("t").over(w)).withColumn("_was", F.lag(inside).over(w)).withColumn("_in", inside)
+    strict = F.median(F.when(F.col("_in") & F.col("_was"), F.col("_step")))
+    rates = on.groupBy("recording_id", "start", "end").agg((1 / F.coalesce(strict, F.median("_step"))).alias("rate")).filter("rate > 0")
+    k_ = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("end") - F.col("start")) * F.col("rate") + 1e-9).cast("int")), lambda i: F.col("start") + i / F.col("rate"))).alias("k", "t")
+    return on.select("recording_id", "t"), rates.filter("end >= start").select("recording_id", k_, "rate")
+
+
+def on_clock(series: DataFrame, clock: DataFrame, by: list[str], outside: str = "extend") -> DataFrame:
+    """Channels (recording_id, by..., t, value) on the clock of their recording (recording_id, t)."""
+    wanted = series.select("recording_id", *by).distinct().join(clock.select("recording_id", "t"), "recording_id")
+    return interpolate_to(series, wanted, ["recording_id", *by], outside)
+
+
+def channel_domfreq(series: DataFrame, bands: DataFrame, fps: float, window: int, nfft: int, smooth: int, keys: list[str]) -> DataFrame:
+    """(keys..., channel, dom, power): dominant frequency of each channel in the band that ``bands`` (channel, mode, low, high) names.
+
+    Channels of mode ``angle`` enter as speed, all others as smoothed absolute value.
+    """
+    rows = series.join(F.broadcast(bands.select("channel", "mode")), "channel")  # a row per kind of channel
+    angle = speed(rows.filter("mode = 'angle'"), smooth, fps, [*keys, "channel"]).select(*keys, "channel", "frame", F.col("speed").alias("value"))
+    raw = activity(rows.filter("mode <> 'angle'"), smooth, [*keys, "channel"]).select(*keys, "channel", "frame", F.col("activity").alias("value"))
+    arrays = collect_traces(angle.unionByName(raw), [*keys, "channel"])
+    spectra = welch_spectra(arrays, fps, window, window // 2, nfft, keys=[*keys, "channel"]).join(F.broadcast(bands), "channel")
+    inside = spectra.filter(F.col("f").between(F.col("low"), F.col("high")))
+    return dominant_freq(inside, 0.0, math.inf, [*keys, "channel"])
+
+
+def period_acf(periods: DataFrame, max_lag: int, lags: int) -> DataFrame:
+    """(recording_id, unit_id, period, k, r): autocorrelation of each period on ``lags`` evenly spaced lags, by linear interpolation.
+
+    ``periods`` (recording_id, unit_id, period, trace); shorter periods reach fewer lags, so the grid makes them comparable.
+    """
+    keys = [*UNIT, "period"]
+
+    def fn(x):
+        r = k.acf(x, max_lag)
+        at = np.linspace(0, r.shape[1] - 1, lags)
+        low = np.minimum(at.astype(int), max(r.shape[1] - 2, 0))
+        return {"r": r[:, low] + (at - low) * (r[:, np.minimum(low + 1, r.shape[1] - 1)] - r[:, low])}
+
+    return per_trace(periods, fn, "r array<double>", keys, rows=True).select(*keys, F.posexplode("r").alias("k", "r"))
+
+
+def period_power(periods: DataFrame, fps: float, window: int, low: float, high: float) -> DataFrame:
+    """(recording_id, unit_id, period, power): peak in-band power of each unit and period whose dominant frequency lies in the band."""
+    keys = [*UNIT, "period"]
+    spectra = welch_spectra(periods, fps, window, window // 2, window, keys=keys)
+    dom = dominant_freq(spectra, 0.0, math.inf, keys).filter(F.col("dom").between(low, high)).select(*keys)
+    peak = spectra.filter(F.col("f").between(low, high)).groupBy(*keys).agg(F.max("pxx").alias("power"))
+    return peak.join(dom, keys, "left_semi")
+
+
+def pooled_by_period(power: DataFrame) -> DataFrame:
+    """(period, mean, sem, n): power pooled over the units of all recordings."""
+    return mean_curve(power, ["period"], "power")
+
+
 def rasterise(beats: DataFrame, recordings: DataFrame, fps: float) -> DataFrame:
     """(recording_id, frame, amp): beats (recording_id, t, amp) put on every frame of a clock, 0 elsewhere; several in a frame keep the largest."""
     grid = recordings.select("recording_id", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame"))
@@ -266,15 +434,43 @@ def two_pass_refine(arrays: DataFrame, good: DataFrame, fps: float, window: int,
 
 
 def surrogates(arrays: DataFrame, kind: str, seeds: int, keys: list[str] = UNIT) -> DataFrame:
-    """(keys..., seed, trace): seeded surrogates, ``phase`` or ``ar1``; a row carries its seed, so reruns agree."""
+    """(keys..., seed, trace, error): seeded surrogates, ``phase`` or ``ar1``; a row carries its seed, so reruns agree."""
     make = {"phase": k.phase_randomised, "ar1": k.ar1_surrogate}[kind]
     rows = arrays.select(*keys, "trace", F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed"))
     rows = rows.withColumn("trace", F.concat(F.array(F.col("seed").cast("double")), "trace"))
-    return per_trace(rows, lambda x: {"trace": make(x[1:], int(x[0])).tolist()}, "trace array<double>", [*keys, "seed"]).drop("error")
+    return per_trace(rows, lambda x: {"trace": make(x[1:], int(x[0]))}, "trace array<double>", [*keys, "seed"])
 
 
-def rhythm_metrics(arrays: DataFrame, fps: float, low: float, high: float, window: int, step: int, keys: list[str] = UNIT) -> DataFrame:
+def rhythm_metrics(arrays: DataFrame, fps: float, low: float, high: float, window: int, step: int, welch_frames: int, lags: tuple[int, int], keys: list[str] = UNIT) -> DataFrame:
     """(keys..., metric, value) of each trace."""
     names = ["peak_power", "peak_freq", "q", "acf_prominence", "acf_peaks", "window_cv", "inst_cv"]
-    wide = per_trace(arrays, lambda x: k.rhythm_metrics(x, fps, low, high, window, step), ", ".join(f"{n} double" for n in names), keys)
-    return wide.unpivot(keys, names, "metric", "value").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    wide = per_trace(arrays, lambda x: k.rhythm_metrics(x, fps, low, high, window, step, welch_frames, lags), ", ".join(f"{n} double" for n in names), keys)
+    return wide.unpivot(keys, names, "metric", "value")
+
+
+def detrended(arrays: DataFrame, keys: list[str] = UNIT) -> DataFrame:
+    return per_trace(arrays, lambda x: {"trace": k.detrended(x)}, "trace array<double>", keys).drop("error")
+
+
+def representative_signal(arrays: DataFrame, kind: str, fps: float, low: float, high: float, window: int) -> DataFrame:
+    """(recording_id, trace): one detrended signal per recording.
+
+    ``mean``: the mean of the units; ``pc1``: the first component's time course; ``median_unit``: the unit
+    whose dominant frequency is nearest to the median of those of three components (the smallest unit on ties).
+    """
+    from .latent import pca
+
+    rec = ["recording_id"]
+    if kind == "mean":
+        long = arrays.select("recording_id", F.posexplode("trace").alias("frame", "value"))
+        picked = collect_traces(long.groupBy("recording_id", "frame").agg(F.avg("value").alias("value")), rec)
+    elif kind == "pc1":
+        picked = pca(arrays, 1).select("recording_id", F.col("score").alias("trace"))
+    elif kind == "median_unit":
+        of = lambda df, keys: dominant_freq(welch_spectra(df, fps, window, window // 2, window, keys=keys), low, high, keys)
+        target = of(pca(arrays, 3).select("recording_id", "pc", F.col("score").alias("trace")), ["recording_id", "pc"]).groupBy("recording_id").agg(F.median("dom").alias("_target"))
+        near = of(arrays, UNIT).join(target, "recording_id").groupBy("recording_id").agg(F.min(F.struct(F.round(F.abs(F.col("dom") - F.col("_target")), 12).alias("gap"), "unit_id")).alias("b"))
+        picked = arrays.join(near.select("recording_id", F.col("b.unit_id").alias("unit_id")), UNIT, "left_semi").select("recording_id", "trace")
+    else:
+        raise ValueError(f"no representative signal {kind!r}")
+    return detrended(picked, rec)

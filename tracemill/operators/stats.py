@@ -273,5 +273,32 @@ def surrogate_scores(observed: DataFrame, surrogates: DataFrame, lower_is_better
     return both.select(*key, F.when(low, -z).otherwise(z).alias("z"), F.when(low, F.col("value") < F.col("_lo")).otherwise(F.col("value") > F.col("_hi")).alias("passed"))
 
 
+#: Classes of a recording's rhythm: fixed values.
+OSCILLATOR, QUASI, NOISE = "Oscillator-like", "Quasi-oscillatory / structured rhythmic dynamics", "Structured slow noise / weak rhythmic structure"
+#: Metrics that make up the score, smaller values being better for the last two.
+SCORED = ("peak_power", "q", "acf_prominence", "window_cv", "inst_cv")
+
+
 def oscillator_class(score: Column, passes: Column) -> Column:
-    return F.when((passes >= 8) & (score > 1.5), "oscillator-like").when((passes >= 4) & (score > 0.5), "quasi-periodic").otherwise("structured noise")
+    return F.when((passes >= 8) & (score > 1.5), OSCILLATOR).when((passes >= 4) & (score > 0.5), QUASI).otherwise(NOISE)
+
+
+def paired_summary(df: DataFrame, key: str, cond: str, col: str, conditions: list[str], p: bool = True) -> DataFrame:
+    """(cond, n, q25, q50, q75, test): quartiles per condition, and the test of the conditions in words.
+
+    Two conditions are compared by the signed-rank test of complete pairs, three by the Friedman test of complete subjects.
+    """
+    from .aggregates import hazen
+
+    known = df.filter(F.col(cond).isin(*conditions) & F.col(col).isNotNull())
+    q = hazen(known, [cond], [0.25, 0.5, 0.75], col).groupBy(cond).agg(*[F.max(F.when(F.col("p") == x, F.col("q"))).alias(n) for x, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    n = known.groupBy(cond).agg(F.count(F.lit(1)).alias("n"))
+    number = lambda c, digits: F.format_string(f"%.{digits}f", F.col(c).cast("double"))
+    if len(conditions) == 2:
+        a, b = (known.filter(F.col(cond) == c).select(key, F.col(col).alias(f"_{i}")) for i, c in enumerate(conditions))
+        t = signrank(a.join(b, key), [], "_0", "_1", p)
+        told = F.concat(F.lit("signed rank w="), number("w", 1), *([F.lit(" p="), number("p", 4)] if p else []))
+    else:
+        t = friedman(known, key, cond, col, len(conditions), p)
+        told = F.concat(F.lit("friedman chi2="), number("chi2", 3), *([F.lit(" p="), number("p", 4)] if p else []))
+    return q.join(n, cond).crossJoin(F.broadcast(t.select(told.alias("test")))).select(F.col(cond).alias("cond"), "n", "q25", "q50", "q75", "test")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import events, stats
+from ..operators import stats
 
 
 def condition_tests(metrics: DataFrame, conditions: list[str], col: str, p: bool = True) -> DataFrame:
@@ -20,7 +20,3 @@ def condition_tests(metrics: DataFrame, conditions: list[str], col: str, p: bool
             parts.append(both)
     tests = stats.signrank(reduce(DataFrame.unionByName, parts), ["a", "b"], "x", "y", p)
     return stats.holm(tests.withColumn("_f", F.lit(1)), ["_f"], "p").drop("_f") if p else tests
-
-
-def quantify(signals: DataFrame, k: float = 4.0, least_frames: int = 2, fps: float = 1.0) -> DataFrame:
-    return events.quantify_by_condition(signals, k, least_frames, fps)

@@ -22,16 +22,23 @@ def low_high_windows(events: DataFrame, n_frames: int, window: int, step: int) -
     return windows.rank_windows(counts)
 
 
-def labelled_samples(traces: DataFrame, picked: DataFrame, bucket: int) -> DataFrame:
-    """Samples inside the picked windows, with the window's label; a range join bucketed by frames."""
+def window_slices(arrays: DataFrame, picked: DataFrame) -> DataFrame:
+    """(recording_id, label, unit_id, trace): each unit's trace inside the picked windows of its recording."""
     listed = picked.select("recording_id", "label", "start", "end")
-    return joins.events_in_windows(traces, listed, bucket).select("recording_id", "label", "unit_id", "frame", "value")
+    both = arrays.join(listed, "recording_id")
+    return both.select("recording_id", "label", "unit_id", F.slice("trace", F.col("start") + 1, F.col("end") - F.col("start") + 1).alias("trace"))
 
 
-def compare(traces: DataFrame, picked: DataFrame, feature: Callable[[], Column], bucket: int, least: int, p: bool = True) -> DataFrame:
-    """(recording_id, n, w, ties, median[, p]): paired test of a feature (an aggregate) over units with ``least`` values in both windows."""
-    inside = labelled_samples(traces, picked, bucket)
-    at = lambda label: F.when(F.col("label") == label, F.col("v"))
-    per = inside.groupBy("recording_id", "unit_id", "label").agg(feature().alias("v"), F.count("value").alias("k")).filter(F.col("k") >= least)
-    both = per.groupBy("recording_id", "unit_id").agg(F.max(at("low")).alias("low"), F.max(at("high")).alias("high"))
+def known_mean(trace: Column) -> Column:
+    """Mean of the values that are there."""
+    known = F.filter(trace, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
+
+
+def compare(arrays: DataFrame, picked: DataFrame, feature: Callable[[Column], Column], least: int, p: bool = True) -> DataFrame:
+    """(recording_id, n, w, ties, median[, p]): paired test of a feature of a window's trace over units with ``least`` values in both windows."""
+    inside = window_slices(arrays, picked)
+    enough = F.size(F.filter("trace", lambda x: x.isNotNull())) >= least
+    at = lambda label: F.max(F.when(F.col("label") == label, F.col("v")))
+    both = inside.filter(enough).select("recording_id", "unit_id", "label", feature(F.col("trace")).alias("v")).groupBy("recording_id", "unit_id").agg(at("low").alias("low"), at("high").alias("high"))
     return stats.signrank(both.filter("low is not null and high is not null"), ["recording_id"], "high", "low", p)

@@ -31,12 +31,23 @@ def explode_traces(arrays: DataFrame) -> DataFrame:
     return arrays.select("recording_id", "unit_id", F.posexplode("trace").alias("frame", "value"))
 
 
+def explode_recordings(arrays: DataFrame) -> DataFrame:
+    """(recording_id, frame, value) of one trace per recording."""
+    return arrays.select("recording_id", F.posexplode("trace").alias("frame", "value"))
+
+
 def gappy_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``traces`` with every fifth sample missing, at a place that differs by unit."""
     missing = (F.col("unit_id") * 7 + F.col("frame")) % 5 == 0
     return traces(spark, sf_dir).withColumn("value", F.when(~missing, F.col("value")))
 
 
+def gappy_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``gappy_traces`` as one row per unit."""
+    hole = lambda x, i: F.when((F.col("unit_id") * 7 + i) % 5 != 0, x)
+    return trace_arrays(spark, sf_dir).withColumn("trace", F.transform("trace", hole))
+
+
 def sparse_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(recording_id, unit_id, frame, value): sales per supplier and 28 days, with irregular frames."""
     sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))

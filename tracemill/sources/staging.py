@@ -11,17 +11,40 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset (local sessions)."""
+    """``spark.checkpoint.dir``, or a folder of our own where that is unset in a local session; elsewhere executors would not share that."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
     return _OWN[0]
 
 
-def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Written and read back, which cuts lineage and survives lost executors."""
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the session ends."""
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
+def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """Written and read back, which cuts lineage and survives lost executors. The files go when the session ends."""
+    path = scratch(spark, label) + "/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of a batch of rows with long arrays that a Python worker gets.
+BATCH_BYTES = 64 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded size in this session, unless its configuration names a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
