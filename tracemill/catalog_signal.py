@@ -320,14 +320,14 @@ PAIRS_OF = "{0} AS (SELECT a.recording_id, a.unit_id AS u, b.unit_id AS v, corr(
 
 
 def clusters(s, d):
-    return fx.positions(s, d).select("recording_id", "unit_id", (F.col("unit_id") * 7 % 3).alias("cluster"))
+    return fx.positions(s, d).select("recording_id", F.lit("rule").alias("solution"), "unit_id", (F.col("unit_id") * 7 % 3).alias("cluster"))
 
 
 def acf_arrays(s, d, lags: int = 20):
     return R.acf(A(s, d), lags).select("recording_id", "unit_id", F.col("acf").alias("trace"))
 
 
-add("n33_cluster_eval", lambda s, d: rounded(L.cluster_eval(A(s, d), clusters(s, d), acf_arrays(s, d), fx.positions(s, d).select("recording_id", "unit_id", (F.col("unit_id") * 37 % 128 / 1000.0).alias("dom")))), "traces",
+add("n33_cluster_eval", lambda s, d: rounded(L.cluster_eval(A(s, d), clusters(s, d), acf_arrays(s, d), fx.positions(s, d).select("recording_id", "unit_id", (F.col("unit_id") * 37 % 128 / 1000.0).alias("dom"))).drop("solution")), "traces",
     f"""WITH ac AS (SELECT recording_id, unit_id, frame, v AS value FROM ({ACF.format(first=0, last=20)})), {PAIRS_OF.format('cr', 'traces')}, {PAIRS_OF.format('ca', 'ac')}, {CL},
         g AS (SELECT cr.recording_id, u, p.cluster AS cu, q.cluster AS cv, avg(1 - r) AS d, sum(r) AS sr, count(*) AS n FROM cr JOIN cl p ON p.recording_id = cr.recording_id AND p.unit_id = u JOIN cl q ON q.recording_id = cr.recording_id AND q.unit_id = v GROUP BY ALL),
         ga AS (SELECT ca.recording_id, p.cluster AS c, avg(r) AS r FROM ca JOIN cl p ON p.recording_id = ca.recording_id AND p.unit_id = u JOIN cl q ON q.recording_id = ca.recording_id AND q.unit_id = v AND q.cluster = p.cluster GROUP BY 1, 2),

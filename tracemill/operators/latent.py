@@ -580,46 +580,65 @@ def cosine_modes(arrays: DataFrame, components: int) -> DataFrame:
     return pca(scaled, components, standardise=False)
 
 
-def cosine_assign(arrays: DataFrame, components: int) -> DataFrame:
-    """(recording_id, unit_id, mode, r): each unit under the mode of ``cosine_modes`` that it correlates with most, and that correlation."""
+def cosine_correlations(arrays: DataFrame, components: int) -> DataFrame:
+    """(recording_id, unit_id, pc, loading): correlation of each unit with each of the ``cosine_modes``."""
     modes = cosine_modes(arrays, components)
     # a mode's own time course, centred and of unit length, so that products with standardised traces are correlations
     centred = _standardised(modes.select("recording_id", F.col("pc").alias("unit_id"), F.col("score").alias("trace")))
     unit = modes.drop("score").join(centred.select("recording_id", F.col("unit_id").alias("pc"), F.col("trace").alias("score")), ["recording_id", "pc"])
-    m = mode_assignment(loadings(arrays, unit))
+    return loadings(arrays, unit)
+
+
+def cosine_assign(arrays: DataFrame, components: int) -> DataFrame:
+    """(recording_id, unit_id, mode, r): each unit under the mode of ``cosine_modes`` that it correlates with most, and that correlation."""
+    m = mode_assignment(cosine_correlations(arrays, components))
     return m.select(*UNIT, "mode", (F.col("strength") * F.col("sign")).alias("r"))
 
 
 def cluster_sums(arrays: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(recording_id, u, cu, cv, r, n): per unit and cluster the summed correlation with the cluster's other units, and how many they are."""
-    units = arrays.join(clusters.select(*UNIT, F.col("cluster").cast("long").alias("cluster")), UNIT).select("recording_id", "unit_id", "trace", "cluster")
+    """(recording_id, solution, u, cu, cv, r, n): per unit and cluster the summed correlation with the cluster's other units, and how many they are.
+
+    ``clusters`` (recording_id, solution, unit_id, cluster) may hold many solutions; the correlations of two blocks serve all of them.
+    """
+    own = clusters.groupBy(*UNIT).agg(F.collect_list(F.struct(F.col("solution").cast("string").alias("solution"), F.col("cluster").cast("long").alias("cluster"))).alias("c"))
+    units = arrays.join(own, UNIT).select("recording_id", "unit_id", "trace", F.col("c.solution").alias("solutions"), F.col("c.cluster").alias("clusters"))
+
+    def of(table: dict) -> dict[str, np.ndarray]:
+        """Cluster of each unit by solution, -1 for none."""
+        out: dict[str, np.ndarray] = {}
+        for i, (names, ids) in enumerate(zip(table["solutions"].to_pylist(), table["clusters"].to_pylist())):
+            for name, c in zip(names, ids):
+                out.setdefault(name, np.full(len(table["unit_id"]), -1))[i] = c
+        return out
 
     def kernel(a, b, r, count):
-        out: dict[str, list] = {c: [] for c in ("u", "cu", "cv", "r", "n")}
-        ca, cb = a["cluster"].to_numpy(), b["cluster"].to_numpy()
+        out: dict[str, list] = {c: [] for c in ("solution", "u", "cu", "cv", "r", "n")}
         count = count & np.isfinite(r)
         r = np.where(count, r, 0.0)
-        for x, own, others, rr, nn in ((a, ca, cb, r, count), (b, cb, ca, r.T, count.T)):
-            for c in np.unique(others):
-                n = nn[:, others == c].sum(axis=1)
-                at = np.flatnonzero(n)
-                total = rr[:, others == c].sum(axis=1)
-                ids = x["unit_id"].to_pylist()
-                for name, v in (("u", [ids[i] for i in at]), ("cu", own[at]), ("cv", [c] * len(at)), ("r", total[at]), ("n", n[at])):
-                    out[name] += list(v)
+        of_a, of_b = of(a), of(b)
+        ids_a, ids_b = a["unit_id"].to_pylist(), b["unit_id"].to_pylist()
+        for name in of_a.keys() & of_b.keys():
+            for ids, mine, others, rr, nn in ((ids_a, of_a[name], of_b[name], r, count), (ids_b, of_b[name], of_a[name], r.T, count.T)):
+                for c in np.unique(others[others >= 0]):
+                    n = nn[:, others == c].sum(axis=1)
+                    at = np.flatnonzero((n > 0) & (mine >= 0))
+                    total = rr[:, others == c].sum(axis=1)
+                    for key, v in (("solution", [name] * len(at)), ("u", [ids[i] for i in at]), ("cu", mine[at]), ("cv", [c] * len(at)), ("r", total[at]), ("n", n[at])):
+                        out[key] += list(v)
         return out
 
-    kinds = {"u": (dict(arrays.dtypes)["unit_id"], {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[dict(arrays.dtypes)["unit_id"]]), "cu": ("long", pa.int64()), "cv": ("long", pa.int64()), "r": ("double", pa.float64()), "n": ("long", pa.int64())}
-    return block_pairs(units, kernel, kinds).groupBy("recording_id", "u", "cu", "cv").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
+    unit = dict(arrays.dtypes)["unit_id"]
+    kinds = {"solution": ("string", pa.string()), "u": (unit, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[unit]), "cu": ("long", pa.int64()), "cv": ("long", pa.int64()), "r": ("double", pa.float64()), "n": ("long", pa.int64())}
+    return block_pairs(units, kernel, kinds).groupBy("recording_id", "solution", "u", "cu", "cv").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
 
 
 def within_by_cluster(sums: DataFrame, name: str = "within") -> DataFrame:
-    """(recording_id, cluster, within): mean correlation of the pairs inside each cluster."""
-    return sums.filter("cu = cv").groupBy("recording_id", F.col("cu").alias("cluster")).agg((F.sum("r") / F.sum("n")).alias(name))
+    """(recording_id, solution, cluster, within): mean correlation of the pairs inside each cluster."""
+    return sums.filter("cu = cv").groupBy("recording_id", "solution", F.col("cu").alias("cluster")).agg((F.sum("r") / F.sum("n")).alias(name))
 
 
 def cluster_eval(arrays: DataFrame, clusters: DataFrame, acfs: DataFrame, dom: DataFrame, least: int = 2) -> DataFrame:
-    """(recording_id, clusters, used, within, acf_within, freq_cv, silhouette): quality of clusters (recording_id, unit_id, cluster).
+    """(recording_id, solution, clusters, used, within, acf_within, freq_cv, silhouette): quality of clusters (recording_id, solution, unit_id, cluster).
 
     Means over clusters of at least ``least`` units (``used`` of them): correlation of the traces and of the
     autocorrelations (arrays, acfs) inside a cluster, and the coefficient of variation of its units' dominant
@@ -627,19 +646,20 @@ def cluster_eval(arrays: DataFrame, clusters: DataFrame, acfs: DataFrame, dom: D
     unless there are two clusters and each has two units.
     """
     spark = arrays.sparkSession
+    rec, key = ["recording_id", "solution"], ["recording_id", "solution", "cluster"]
+    clusters = clusters.select("recording_id", F.col("solution").cast("string").alias("solution"), "unit_id", F.col("cluster").cast("long").alias("cluster"))
     sums = staged(spark, cluster_sums(arrays, clusters), "cluster-sums")
-    sizes = clusters.groupBy("recording_id", F.col("cluster").cast("long").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
-    freq = dom.filter("dom > 0").join(clusters, UNIT).groupBy("recording_id", F.col("cluster").cast("long").alias("cluster")).agg(F.when(F.count("dom") >= 2, F.stddev_samp("dom") / F.avg("dom")).alias("freq_cv"))
-    key = ["recording_id", "cluster"]
+    sizes = clusters.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
+    freq = dom.filter("dom > 0").join(clusters, UNIT).groupBy(*key).agg(F.when(F.count("dom") >= 2, F.stddev_samp("dom") / F.avg("dom")).alias("freq_cv"))
     per = sizes.join(within_by_cluster(sums), key, "left").join(within_by_cluster(cluster_sums(acfs, clusters), "acf_within"), key, "left").join(freq, key, "left")
     large = lambda c: F.avg(F.when(F.col("size") >= least, F.col(c))).alias(c)
-    out = per.groupBy("recording_id").agg(F.count(F.lit(1)).alias("clusters"), F.count(F.when(F.col("size") >= least, 1)).alias("used"), large("within"), large("acf_within"), large("freq_cv"), F.min("size").alias("_least"))
+    out = per.groupBy(*rec).agg(F.count(F.lit(1)).alias("clusters"), F.count(F.when(F.col("size") >= least, 1)).alias("used"), large("within"), large("acf_within"), large("freq_cv"), F.min("size").alias("_least"))
     gap = 1 - F.col("r") / F.col("n")
-    own, other = F.max(F.when(F.col("cu") == F.col("cv"), gap)), F.min(F.when(F.col("cu") != F.col("cv"), gap))
-    s = sums.groupBy("recording_id", "u").agg(own.alias("a"), other.alias("b"))
-    sil = s.groupBy("recording_id").agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+    mine, other = F.max(F.when(F.col("cu") == F.col("cv"), gap)), F.min(F.when(F.col("cu") != F.col("cv"), gap))
+    s = sums.groupBy(*rec, "u").agg(mine.alias("a"), other.alias("b"))
+    sil = s.groupBy(*rec).agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
     told = F.when((F.col("clusters") >= 2) & (F.col("_least") >= 2), F.col("silhouette"))
-    return out.join(sil, "recording_id", "left").select("recording_id", "clusters", "used", "within", "acf_within", "freq_cv", told.alias("silhouette"))
+    return out.join(sil, rec, "left").select(*rec, "clusters", "used", "within", "acf_within", "freq_cv", told.alias("silhouette"))
 
 
 def cluster_acf(acfs: DataFrame, clusters: DataFrame) -> DataFrame:

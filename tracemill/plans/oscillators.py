@@ -92,22 +92,17 @@ def ensembles(arrays: DataFrame, fps: float, ks: list[int], seeds: int, acf_lags
     spectra = signal.welch_spectra(arrays, fps, welch_frames, welch_frames // 2, welch_frames)
     dom = staged(spark, signal.dominant_freq(spectra, *band), "ensemble-dom")
     found: list[DataFrame] = []
+    labelled = lambda df, method, k, mode: df.select("recording_id", F.lit(method).alias("method"), k.alias("k"), "unit_id", F.col(mode).cast("int").alias("cluster"))
     for name, of in (("trace", arrays), ("acf", acfs)):
-        labels = staged(spark, latent.kmeans_rows(of, ks, seeds), "ensemble-kmeans")
-        found += [labels.filter(F.col("k") == k).select(F.lit(f"{name} k-means").alias("method"), F.lit(k).alias("k"), *UNIT, "cluster") for k in ks]
+        found.append(labelled(latent.kmeans_rows(of, ks, seeds), f"{name} k-means", F.col("k"), "cluster"))
         pcs = latent.pca(of, max(8, *ks))
         load = staged(spark, latent.loadings(of, pcs, unit_norm=True), "ensemble-loadings")
-        for k in ks:
-            labels = latent.varimax_assign(load.filter(F.col("pc") < k))
-            found.append(labels.select(F.lit(f"{name} varimax").alias("method"), F.lit(k).alias("k"), *UNIT, F.col("mode").alias("cluster")))
+        found += [labelled(latent.varimax_assign(load.filter(F.col("pc") < k)), f"{name} varimax", F.lit(k), "mode") for k in ks]
         q = latent.varimax_components(pcs)
         labels = latent.varimax_assign(load.join(q, "recording_id").filter(F.col("pc") < F.col("q")).drop("q")).join(q, "recording_id")
-        found.append(labels.select(F.lit(f"{name} varimax 80 %").alias("method"), F.col("q").alias("k"), *UNIT, F.col("mode").alias("cluster")))
-    for k in ks:
-        found.append(latent.cosine_assign(arrays, k).select(F.lit("cosine modes").alias("method"), F.lit(k).alias("k"), *UNIT, F.col("mode").alias("cluster")))
-    results = []
-    for one in found:
-        own = staged(spark, one, "ensemble-labels")
-        quality = latent.cluster_eval(arrays, own.select(*UNIT, "cluster"), acfs, dom)
-        results.append(staged(spark, quality.join(own.select("recording_id", "method", "k").distinct(), "recording_id"), "ensemble-quality"))
-    return latent.cluster_ranking(reduce(DataFrame.unionByName, results))
+        found.append(labelled(labels, f"{name} varimax 80 %", F.col("q"), "mode"))
+    cosine = staged(spark, latent.cosine_correlations(arrays, max(ks)), "ensemble-cosine")
+    found += [labelled(latent.mode_assignment(cosine.filter(F.col("pc") < k)), "cosine modes", F.lit(k), "mode") for k in ks]
+    solutions = staged(spark, reduce(DataFrame.unionByName, found).withColumn("solution", F.concat_ws("/", "method", "k")), "ensemble-labels")
+    quality = latent.cluster_eval(arrays, solutions, acfs, dom)
+    return latent.cluster_ranking(quality.join(solutions.select("recording_id", "solution", "method", "k").distinct(), ["recording_id", "solution"]).drop("solution"))
