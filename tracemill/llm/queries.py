@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, minhash, packing, pii, token_counts, topk, toxicity, urlfilter
+from . import bpe, exact_dedup, langid, minhash, mixture, packing, periodic, pii, spelling, token_counts, topk, toxicity, urlfilter
 from .common import read_table
 
 QUERIES = {}
@@ -147,3 +149,28 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(periodic.periodic_runs(periodic.with_planted_repeats(read_table(spark, sf_dir, "documents"))))
+
+
+@query
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.pack_mixture(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def misspelt(doc_id: int | None, word: bytes) -> bytes:
+    """One of 199 words of a document, told by the checksum of id and word, loses the letter that the checksum names."""
+    letters = word if word.isascii() else word.decode("latin-1").encode()
+    h = zlib.crc32(letters, zlib.crc32(b":" if doc_id is None else b"%d:" % doc_id))
+    if h % 199:
+        return word
+    at = h % len(word)
+    return word[:at] + word[at + 1 :]
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.count_words(read_table(spark, sf_dir, "documents"), edit=misspelt))
