@@ -109,3 +109,18 @@ def test_every_stage_on_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         nothing = stage(spark, docs.limit(0), SF)
         assert nothing.count() == 0 and (name == "packing" or nothing.columns == docs.columns)
+
+
+def test_columns_whose_names_clash_with_keys(spark):
+    """Names that differ from the stages' own only in case or begin with them, and names with dots, come back with their values."""
+    names = ["_ROW", "_rowspans", "_rowplace", "_Row_x", "row", "key", "a.b", "c d", "kind", "salt"]
+    rows = [(7, "one mail a@b.c two"), (8, "three four"), (None, "five"), (None, "six +49 30 1234567"), (8, "seven")]
+    data = [(i, t, "en", "s", len(t), *range(100 * k, 100 * k + len(names))) for k, (i, t) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` long" for n in names)
+    for ids_repeat in (True, False):
+        docs = spark.createDataFrame([(k if not ids_repeat else r[0], *r[1:]) for k, r in enumerate(data)], schema).repartition(2)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, SF)
+            assert got.columns == docs.columns, name
+            assert sorted(tuple(r)[5:] for r in got.collect()) == [tuple(range(100 * k, 100 * k + len(names))) for k in range(len(rows))], name
+        assert sum(p.piece == 0 for p in corpus_pipeline.pack(spark, docs, SF).collect()) == len(rows)

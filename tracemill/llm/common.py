@@ -68,3 +68,16 @@ def release(*memories: dict) -> None:
 def text_or_empty(col: str):
     """The text column with null counted as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def free_name(columns: list[str], stem: str = "_row") -> str:
+    """A name that no column begins with. Spark tells columns apart without case, so this does too."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(stem) for c in taken):
+        stem += "_"
+    return stem
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark's resolver takes it literally, dots too."""
+    return f"`{name}`"

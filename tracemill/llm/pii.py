@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import free_name, quoted, staged, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -252,9 +252,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     without spans stay as they are, very long ones are searched whole. An empty table gives an
     empty result. Other columns are kept, whatever their names.
     """
-    spark, key = docs.sparkSession, "_row"
-    while key in docs.columns:
-        key += "_"
+    spark, key = docs.sparkSession, free_name(docs.columns)
     docs = staged(spark, docs.withColumn(key, F.monotonically_increasing_id()), "pii-documents")
     spans = spans_of(docs.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), disclosure, least_docs)
     own = spans.filter(F.col("kind").isNotNull()).select("row", "kind", "start", "end").distinct()
@@ -273,4 +271,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     tail = F.substring(text, (F.element_at(marks, -1)["end"] + 1).cast("int"), F.length(text))
     clean = F.concat(F.concat_ws("", F.transform(marks, piece)), tail)
     out = docs.join(staged(spark, lists, "pii-lists"), key, "left")
-    return out.select(*[F.when(marks.isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns if c != key])
+    return out.select(*[F.when(marks.isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns if c != key])

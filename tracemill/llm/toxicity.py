@@ -413,4 +413,6 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
                 yield batch.filter(pa.array(_scores(shared.value, batch.column(at).to_pylist()) < 0.5))
         release(*_WORKERS.get(shared.value.name, ())[:2])
 
-    return docs.mapInArrow(run, docs.schema)
+    # columns travel under plain names, whatever their own
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
