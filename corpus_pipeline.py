@@ -17,12 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import exact_dedup, minhash, packing, pii, toxicity
-from tracemill.llm.common import read_table, staged
+from tracemill.llm.common import free_name, quoted, read_table, staged
 from tracemill.llm.queries import toxicity_model
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not predict toxic; each row is judged by its whole text, a null one as empty."""
+    """Documents that the toxicity model does not predict toxic; each row is judged by its whole text, a null one as empty.
+
+    An empty table gives an empty result; columns beyond those of ``documents`` stay, whatever their names.
+    """
     return toxicity.reject_toxic(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels")))
 
 
@@ -33,7 +36,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     rows, key = _keyed(spark, docs)
     kept = exact_dedup.exact_dedup(rows, id_col=key).filter("kept").select(F.col("doc_id").alias(key))
-    return _only(rows, staged(spark, kept, "pipeline-exact"), key).select(*docs.columns)
+    return _only(rows, staged(spark, kept, "pipeline-exact"), key).select(*map(quoted, docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows, key = _keyed(spark, docs)
     kept = minhash.near_duplicates(rows.select(key, "text"), id_col=key).filter("kept").select(F.col("doc_id").alias(key))
-    return _only(rows, staged(spark, kept, "pipeline-near"), key).select(*docs.columns)
+    return _only(rows, staged(spark, kept, "pipeline-near"), key).select(*map(quoted, docs.columns))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +56,10 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenised pieces with their places in sequences; repeated rows are packed each on its own, null texts are empty."""
+    """Tokenised pieces with their places in sequences; repeated rows are packed each on its own, null texts are empty.
+
+    An empty table gives no pieces; columns beyond id and text are ignored, whatever their names.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -62,9 +68,7 @@ def _keyed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
 
     Where every row has an id of its own, that is the key. Else rows are numbered in the order of their ids.
     """
-    key = "_row"
-    while key in docs.columns:
-        key += "_"
+    key = free_name(docs.columns)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     shared = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1")
     if not shared.limit(1).count():
