@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tracemill.operators import latent as L
 from tracemill.operators import signal as R
 from tracemill.operators import stats as S
@@ -217,3 +218,32 @@ def test_surrogates_are_seeded(spark):
     a = R.surrogates(arrays(spark, x), "phase", 2).orderBy("unit_id", "seed").collect()
     b = R.surrogates(arrays(spark, x), "phase", 2).orderBy("unit_id", "seed").collect()
     assert a == b and a[0].trace != a[1].trace
+
+
+def test_partial_sums_meet_in_a_tree(spark, monkeypatch):
+    """64 tasks with a part of one recording: at least 8 salts, none with more parts than their square root."""
+    x = np.random.default_rng(4).normal(size=(256, 40))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = arrays(spark, x).repartition(64).select("recording_id", "unit_id", "trace")
+        parts = L._sums(rows, "trace", lambda t: np.stack(t.column(2).to_pylist()).sum(axis=0))
+        salts = {r.salt: r.n for r in parts.select("salt", F.spark_partition_id().alias("p")).groupBy("salt").agg(F.count_distinct("p").alias("n")).collect()}
+        assert len(salts) >= 8 and max(salts.values()) <= 8
+        assert np.allclose(L._added_up(parts).first().y, x.sum(axis=0))
+        assert np.allclose(L.frame_sums(rows, 2).first().y, (x * x).sum(axis=0))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+@pytest.mark.parametrize("frames", [256, 2049])
+def test_long_recordings_against_numpy(spark, frames):
+    """Noise, whose values lie close together: the passes end when no component moves."""
+    x = np.random.default_rng(8).normal(size=(60 if frames > 2048 else 400, frames))
+    got = {r.pc: r for r in L.pca(arrays(spark, x), 6, gram_frames=100 if frames < 2048 else L.GRAM_FRAMES).collect()}
+    z = x - x.mean(axis=1, keepdims=True)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    _, s, v = np.linalg.svd(z, full_matrices=False)
+    for i in range(6):
+        assert abs(got[i].share - s[i] ** 2 / len(x)) < 1e-9
+        assert abs(abs(np.dot(got[i].score, v[i])) - 1) < 1e-6

@@ -29,8 +29,10 @@ from .windows import runs
 
 #: Frames up to which the sum over units is kept as a matrix of frames by frames (32 MB).
 GRAM_FRAMES = 2048
-#: Parts that a recording's sums are dealt to before they meet.
+#: Parts that a recording's blocks are dealt to when something has to meet each of them.
 SALTS = 16
+#: Partial sums that a task keeps before it passes them on.
+HELD_SUMS = 8
 
 
 def _blocks_of(units: DataFrame, block: int = 128) -> DataFrame:
@@ -43,8 +45,21 @@ def _kind(df: DataFrame) -> tuple[str, pa.DataType]:
     return kind, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
 
 
+def _vectors(total: dict, kind: pa.DataType) -> pa.RecordBatch:
+    """The sums that a task holds as rows (recording_id, y); the task starts afresh."""
+    out = pa.RecordBatch.from_arrays([pa.array(list(total), kind), pa.array([v.ravel() for v in total.values()], pa.list_(pa.float64()))], names=["recording_id", "y"])
+    total.clear()
+    return out
+
+
+def _salted(parts: DataFrame) -> DataFrame:
+    """Adds salt: tasks 0, 1, 2 and so on in turn, so that about as many partial sums share a salt as there are salts."""
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(max(tasks, 1) - 1) + 1)))
+
+
 def _sums(rows: DataFrame, of: str, product) -> DataFrame:
-    """(recording_id, salt, y): partial sums of a product over blocks, one per recording and task."""
+    """(recording_id, y, salt): partial sums of a product over blocks, one per recording and task."""
     kind, arrow = _kind(rows)
     bounded_batches(rows.sparkSession)
 
@@ -54,27 +69,64 @@ def _sums(rows: DataFrame, of: str, product) -> DataFrame:
             rec = table.column(0)[0].as_py()
             y = product(table)
             total[rec] = total[rec] + y if rec in total else y
-            if len(total) > 8:  # recordings come in order of their hash, few at a time
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), arrow), pa.array([v.ravel() for v in total.values()], pa.list_(pa.float64()))], names=["recording_id", "y"])
-                total.clear()
+            if len(total) > HELD_SUMS:  # recordings come in order of their hash, few at a time
+                yield _vectors(total, arrow)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), arrow), pa.array([v.ravel() for v in total.values()], pa.list_(pa.float64()))], names=["recording_id", "y"])
+            yield _vectors(total, arrow)
+
+    return _salted(rows.mapInArrow(run, f"recording_id {kind}, y array<double>"))
+
 
-    return rows.mapInArrow(run, f"recording_id {kind}, y array<double>").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+def _met(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., y): the vectors of each key added up. They come sorted by key, so a task holds one sum and one bounded batch."""
+    kinds = dict(parts.dtypes)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = total = None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*last, pa.array([total], pa.list_(pa.float64()))], names=[*keys, "y"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, y = [c.slice(i, 1) for c in batch.columns[:-1]], batch.column(len(keys))[i].values.to_numpy()
+                if last is None or any(a != b for a, b in zip(key, last)):
+                    if last is not None:
+                        yield out()
+                    last, total = key, y.copy()
+                else:
+                    total += y
+        if last is not None:
+            yield out()
+
+    bounded_batches(parts.sparkSession)
+    rows = parts.select(*keys, "y").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(add, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "y")))
 
 
 def _added_up(parts: DataFrame) -> DataFrame:
-    """(recording_id, y): partial sums added in two steps, so that no task gets all parts of a recording."""
-    kind, _ = _kind(parts)
+    """(recording_id, y): partial sums added as a tree, the salts of a recording first, then what they give."""
+    return _met(_met(parts, ["recording_id", "salt"]), ["recording_id"])
 
-    def add(p: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(p["y"].iloc[0]))
-        for v in p["y"]:
-            total += v
-        return pd.DataFrame({"recording_id": [p["recording_id"].iloc[0]], "y": [total]})
 
-    schema = f"recording_id {kind}, y array<double>"
-    return parts.groupBy("recording_id", "salt").applyInPandas(add, schema).groupBy("recording_id").applyInPandas(add, schema)
+def frame_sums(units: DataFrame, power: int = 1) -> DataFrame:
+    """(recording_id, y): per frame the sum over the units (recording_id, unit_id, trace) of the values, or of their powers. The traces stay where they are."""
+    kind, arrow = _kind(units)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            recs = np.array(batch.column(0).to_pylist())
+            for rec in np.unique(recs).tolist():
+                y = (padded(batch.column(1).filter(pa.array(recs == rec))) ** power).sum(axis=0)
+                total[rec] = total[rec] + y if rec in total else y
+            if len(total) > 16 * HELD_SUMS:
+                yield _vectors(total, arrow)
+        if total:
+            yield _vectors(total, arrow)
+
+    bounded_batches(units.sparkSession)
+    return _added_up(_salted(units.select("recording_id", "trace").mapInArrow(run, f"recording_id {kind}, y array<double>")))
 
 
 def _fixed_sign(q: np.ndarray) -> np.ndarray:
@@ -97,42 +149,77 @@ def _from_gram(units: DataFrame, size: DataFrame, components: int) -> DataFrame:
     return sums.join(size, "recording_id").groupBy("recording_id").applyInPandas(solve, f"recording_id {kind}, n long, t int, basis array<double>, scale array<double>")
 
 
-def _from_passes(units: DataFrame, size: DataFrame, components: int, passes: int, oversample: int) -> DataFrame:
-    """The same by subspace iteration: each pass multiplies every block with K time courses."""
+def _directions(basis: np.ndarray, product: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best components within the orthonormal rows of ``basis``, whose product with the matrix is known: components, values, residuals, and the basis of the next pass.
+
+    The next basis has the components, their residuals, and what of the components lies outside the first
+    ``width`` rows (the direction of the last step): a locally optimal block method, which needs far fewer
+    passes than plain subspace iteration where values lie close together.
+    """
+    value, turn = np.linalg.eigh((basis @ product.T + product @ basis.T) / 2)
+    top = np.argsort(-value, kind="stable")[:width]
+    turn = turn[:, top].T
+    x, rest = turn @ basis, turn @ product - value[top][:, None] * (turn @ basis)
+    more = np.concatenate([rest, turn[:, width:] @ basis[width:]])
+    for _ in range(2):
+        more = more - (more @ x.T) @ x
+    size = np.linalg.norm(more, axis=1)
+    more = more[size > 1e-11 * max(abs(value[top][0]), 1e-300)]
+    more = more / np.linalg.norm(more, axis=1, keepdims=True)
+    if len(more):
+        _, s, q = np.linalg.svd(more, full_matrices=False)
+        more = q[s > 1e-6][: max(basis.shape[1] - width, 0)]
+    return x, value[top], rest, np.concatenate([x, more])
+
+
+def _from_passes(units: DataFrame, size: DataFrame, components: int, passes: int, oversample: int, tol: float) -> DataFrame:
+    """The same from products of blocks with a few time courses, pass by pass until no component moves."""
     spark, (kind, _) = units.sparkSession, _kind(units)
     width = components + oversample
     blocks = staged(spark, dealt(units, 128).groupBy("recording_id", "blk").agg(F.collect_list("trace").alias("traces")), "pca-blocks")
     blocks = blocks.withColumn("salt", F.pmod("blk", F.lit(SALTS)))
-    start = F.transform(F.sequence(F.lit(0), F.lit(width) * F.col("t") - 1), lambda i: F.sin((i + 1) * 12.9898) * 43758.5453 % 1.0 - 0.5)
-    state = size.select("recording_id", "n", "t", start.alias("basis"))
+    schema = f"recording_id {kind}, n long, t int, basis array<double>, found array<double>, scale array<double>, moves double"
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            bases = [np.linalg.qr(np.sin(np.arange(1, min(width, t) * t + 1).reshape(t, -1) * 12.9898) * 43758.5453 % 1.0 - 0.5)[0].T for t in p["t"]]
+            yield p.assign(basis=[b.ravel() for b in bases], found=[[]] * len(p), scale=[[]] * len(p), moves=float("inf"))
+
+    state = staged(spark, size.select("recording_id", "n", "t").mapInPandas(start, schema), "pca-basis")
 
     def product(table: pa.Table) -> np.ndarray:
         x = padded(table.column(2).combine_chunks().flatten())
         basis = table.column(3)[0].values.to_numpy().reshape(-1, x.shape[1])
         return (basis @ x.T) @ x
 
-    def orthonormal(p: pd.DataFrame) -> pd.DataFrame:
+    def better(p: pd.DataFrame) -> pd.DataFrame:
         t, n = int(p["t"].iloc[0]), int(p["n"].iloc[0])
-        q, s, _ = np.linalg.svd(np.array(p["y"].iloc[0]).reshape(-1, t).T, full_matrices=False)
-        return pd.DataFrame({"recording_id": [p["recording_id"].iloc[0]], "n": [n], "t": [t], "basis": [q.T.ravel()], "scale": [s / n]})
+        basis, y = (np.array(p[c].iloc[0]).reshape(-1, t) for c in ("basis", "y"))
+        x, value, rest, wider = _directions(basis, y, min(width, t))
+        moves = np.linalg.norm(rest[: min(components, n, t)], axis=1).max() / max(value[0], 1e-300)
+        return pd.DataFrame({"recording_id": [p["recording_id"].iloc[0]], "n": [n], "t": [t], "basis": [wider.ravel()], "found": [x.ravel()], "scale": [np.maximum(value, 0) / n], "moves": [moves]})
 
     for _ in range(passes):
-        # the time courses go to every part of a recording, each block meets them once
-        told = state.select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "basis")
+        # the time courses go to every part of a recording, each block meets them once; recordings that are done rest
+        told = state.filter(F.col("moves") > tol).select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "basis")
         rows = blocks.join(told, ["recording_id", "salt"]).select("recording_id", "blk", "traces", "basis")
-        sums = _added_up(_sums(rows, "traces", product)).join(size, "recording_id")
-        state = staged(spark, sums.groupBy("recording_id").applyInPandas(orthonormal, f"recording_id {kind}, n long, t int, basis array<double>, scale array<double>"), "pca-basis")
-    return state
+        sums = _added_up(_sums(rows, "traces", product)).join(state.select("recording_id", "n", "t", "basis"), "recording_id")
+        done = state.filter(F.col("moves") <= tol)
+        state = staged(spark, done.unionByName(sums.groupBy("recording_id").applyInPandas(better, schema)), "pca-basis")
+        if not state.filter(F.col("moves") > tol).limit(1).count():
+            break
+    return state.select("recording_id", "n", "t", F.col("found").alias("basis"), "scale")
 
 
-def pca(arrays: DataFrame, components: int, passes: int = 24, oversample: int = 8, gram_frames: int = GRAM_FRAMES, standardise: bool = True) -> DataFrame:
+def pca(arrays: DataFrame, components: int, passes: int = 100, oversample: int = 8, gram_frames: int = GRAM_FRAMES, standardise: bool = True, tol: float = 1e-7) -> DataFrame:
     """(recording_id, pc, n, share, score): components of unit-standardised traces, whole and equally long per recording.
 
     ``score`` is the unit-length time course, ``share`` the part of the total variance, ``n`` the number of
     units. K is capped by the number of units and frames. The largest absolute value of a score is
-    positive. Recordings of up to ``gram_frames`` frames are solved exactly, longer ones by ``passes``
-    of subspace iteration. Without ``standardise`` the traces count as they are (for data that is
-    standardised already).
+    positive. Recordings of up to ``gram_frames`` frames are solved from the sum over their units; longer
+    ones pass by pass until what the matrix makes of a component differs from a multiple of it by at most
+    ``tol`` times the largest value, or after ``passes``. Without ``standardise`` the traces count as they
+    are (for data that is standardised already).
     """
     spark, (kind, _) = arrays.sparkSession, _kind(arrays)
     units = staged(spark, _standardised(arrays) if standardise else arrays.select(*UNIT, "trace"), "pca-units")
@@ -149,7 +236,7 @@ def pca(arrays: DataFrame, components: int, passes: int = 24, oversample: int =
             yield pd.DataFrame(rows, columns=["recording_id", "pc", "n", "share", "score"])
 
     parts = []
-    for part, solve in (("t <= ", lambda u, s: _from_gram(u, s, components)), ("t > ", lambda u, s: _from_passes(u, s, components, passes, oversample))):
+    for part, solve in (("t <= ", lambda u, s: _from_gram(u, s, components)), ("t > ", lambda u, s: _from_passes(u, s, components, passes, oversample, tol))):
         own = size.filter(f"{part}{gram_frames}")
         if own.limit(1).count():
             parts.append(solve(units.join(one(own.select("recording_id")), "recording_id", "left_semi"), own))
@@ -190,8 +277,8 @@ def pca_time(arrays: DataFrame, components: int) -> tuple[DataFrame, DataFrame]:
     """
     z = staged(arrays.sparkSession, _standardised(arrays).withColumn("scale", F.sqrt(F.size("trace") - 1.0)), "pca-time-units")
     z = z.select(*UNIT, F.transform("trace", lambda x: x * F.col("scale")).alias("trace"))
-    long = z.select(*UNIT, F.posexplode("trace").alias("frame", "value"))
-    mean = collect_traces(long.groupBy("recording_id", "frame").agg(F.avg("value").alias("value")), ["recording_id"]).withColumnRenamed("trace", "_mean")
+    count = z.groupBy("recording_id").agg(F.count(F.lit(1)).alias("_n"))
+    mean = frame_sums(z).join(count, "recording_id").select("recording_id", F.transform("y", lambda x: x / F.col("_n")).alias("_mean"))
     centred = staged(arrays.sparkSession, z.join(mean, "recording_id").select(*UNIT, F.zip_with("trace", "_mean", lambda a, b: a - b).alias("trace")), "pca-time")
     p = pca(centred, components, standardise=False)
     variance = F.col("share") * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1))
@@ -453,7 +540,7 @@ def kmeans_rows(arrays: DataFrame, ks: list[int], seeds: int = 20, iterations: i
     most, edges = max(ks), np.cumsum([0, *ks])
     picks = units.select("recording_id", "unit_id", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
     nth = F.row_number().over(Window.partitionBy("recording_id", "seed").orderBy(F.xxhash64("unit_id", "seed"), "unit_id"))
-    picks = picks.withColumn("c", nth - 1).filter(F.col("c") < most).join(units, UNIT)
+    picks = picks.withColumn("c", nth).filter(F.col("c") <= most).withColumn("c", F.col("c") - 1).join(units, UNIT)
     lists = picks.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("seed", "c", "trace"))).alias("s"))
     starts = lists.select("recording_id", F.col("s.trace").alias("traces"), F.col("s.seed").alias("of"))
 
@@ -573,9 +660,7 @@ def varimax_assign(load: DataFrame, iterations: int = 100, tol: float = 1e-6) ->
 def cosine_modes(arrays: DataFrame, components: int) -> DataFrame:
     """(recording_id, pc, n, share, score): modes of the cosine similarity of frames, of standardised traces whose frames have length 1 over the units."""
     units = staged(arrays.sparkSession, _standardised(arrays), "cosine-units")
-    long = units.select(*UNIT, F.posexplode("trace").alias("frame", "value"))
-    norm = long.groupBy("recording_id", "frame").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("value"))
-    norms = collect_traces(norm, ["recording_id"]).withColumnRenamed("trace", "_norm")
+    norms = frame_sums(units, 2).select("recording_id", F.transform("y", F.sqrt).alias("_norm"))
     scaled = units.join(norms, "recording_id").select(*UNIT, F.zip_with("trace", "_norm", lambda x, n: F.when(n > 0, x / n).otherwise(x)).alias("trace"))
     return pca(scaled, components, standardise=False)
 
