@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import aggregates as A
 from .operators import clean as P
+from .operators import ranks
 from .operators import signal as R
 from .operators import windows as W
 from .sources import fixtures as fx
@@ -222,7 +223,7 @@ add("w14_find_peaks", lambda s, d: rounded(R.peak_list(fx.trace_arrays(s, d), 0.
 add("w15_resize", lambda s, d: rounded(W.resize(T(s, d), 20)), "traces",
     f"""WITH t AS (SELECT *, lead(value) OVER {UNITW}) AS nxt FROM traces), q AS (SELECT CAST(k AS INTEGER) AS k, CAST(floor(k * 63 / 19.0 + 1e-9) AS INTEGER) AS frame FROM range(20) r(k))
         SELECT t.recording_id, t.unit_id, k, {_r('t.value + coalesce((k * 63 / 19.0 - t.frame) * (nxt - t.value), 0)', 'value')} FROM t JOIN q ON t.frame = q.frame""")
-add("w16_mean_rank", lambda s, d: W.mean_rank(fx.positions(s, d), ["recording_id"], "z").select("recording_id", "unit_id", "rank"), "positions",
+add("w16_mean_rank", lambda s, d: ranks.mean_rank(fx.positions(s, d), ["recording_id"], "z").select("recording_id", "unit_id", "rank"), "positions",
     "SELECT recording_id, unit_id, rank() OVER (PARTITION BY recording_id ORDER BY z) + (count(*) OVER (PARTITION BY recording_id, z) - 1) / 2.0 AS rank FROM positions")
 add("w17_dominant_mode", lambda s, d: W.dominant_mode_per_frame(T(s, d).groupBy("recording_id", "frame", (F.col("unit_id") % 6).alias("mode")).agg(F.avg("value").alias("value"))), "traces",
     """SELECT recording_id, frame, mode FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, frame ORDER BY abs(value) DESC, mode) AS k FROM (

@@ -79,7 +79,7 @@ def resets(s, d):
     return E.reset_strength(E.itpc(phases(s, d)), (-6, -1), (1, 6), (0, 6))
 
 
-add("k4_reset_order", lambda s, d: K.position_in_order(resets(s, d).withColumn("reset", F.round("reset", 9)), ["recording_id"], [F.desc("reset"), F.col("unit_id")]).select("recording_id", "unit_id", "place"), "traces ev",
+add("k4_reset_order", lambda s, d: K.position_in_order(resets(s, d).withColumn("reset", F.round("reset", 9)), ["recording_id"], -F.col("reset"), [F.desc("reset"), F.col("unit_id")]).select("recording_id", "unit_id", "place"), "traces ev",
     f"WITH {SE}, {PERI}, {ITPC}, {RESET} SELECT recording_id, unit_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY round(reset, 9) DESC, unit_id) - 1 AS INTEGER) AS place FROM rs")
 
 

@@ -134,7 +134,7 @@ add("w11_window_activity", lambda s, d: rounded(window_activity(s, d)), "ev",
 # orders and sets
 add("k1_top_fraction", lambda s, d: rounded(K.top_fraction(T(s, d).groupBy("recording_id", "unit_id").agg(F.round(F.avg("value"), 9).alias("m")), ["recording_id"], "m", 0.1, "unit_id")), "traces",
     f"SELECT recording_id, unit_id, {_r('m', 'm')} FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY m DESC, unit_id) AS k, count(*) OVER (PARTITION BY recording_id) AS n FROM (SELECT recording_id, unit_id, round(avg(value), 9) AS m FROM traces GROUP BY ALL)) WHERE k <= greatest(1, round(0.1 * n))")
-add("k2_mode_order", lambda s, d: K.position_in_order(fx.positions(s, d), ["recording_id"], [F.col("z"), F.desc(F.abs(F.col("x") - 18)), F.col("unit_id")]).select("recording_id", "unit_id", "place"), "positions",
+add("k2_mode_order", lambda s, d: K.position_in_order(fx.positions(s, d), ["recording_id"], F.col("z"), [F.col("z"), F.desc(F.abs(F.col("x") - 18)), F.col("unit_id")]).select("recording_id", "unit_id", "place"), "positions",
     "SELECT recording_id, unit_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY z, abs(x - 18) DESC, unit_id) - 1 AS INTEGER) AS place FROM positions")
 
 
@@ -144,7 +144,7 @@ def _turns(s, d):
     return T(s, d).groupBy("recording_id", "unit_id").agg(part(F.cos).alias("c"), part(F.sin).alias("s"))
 
 
-add("k3_angle_order", lambda s, d: K.position_in_order(_turns(s, d), ["recording_id"], [F.round(F.atan2("s", "c"), 6), F.col("unit_id")]).select("recording_id", "unit_id", "place"), "traces",
+add("k3_angle_order", lambda s, d: K.position_in_order(_turns(s, d), ["recording_id"], F.round(F.atan2("s", "c"), 6), [F.round(F.atan2("s", "c"), 6), F.col("unit_id")]).select("recording_id", "unit_id", "place"), "traces",
     """WITH f AS (SELECT recording_id, unit_id, round(avg(value * cos(2 * pi() * frame / 64)), 9) AS c, round(avg(value * sin(2 * pi() * frame / 64)), 9) AS s FROM traces GROUP BY 1, 2)
        SELECT recording_id, unit_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY round(atan2(s, c), 6), unit_id) - 1 AS INTEGER) AS place FROM f""")
 add("k5_evenly_picked", lambda s, d: K.evenly_picked(fx.positions(s, d), ["recording_id"], "x", 5, "unit_id"), "positions",
@@ -176,7 +176,17 @@ add("n3_corr_vs_distance", lambda s, d: rounded(N.corr_vs_distance(A(s, d), fx.p
     f"WITH {CORR}, {DIST} SELECT cr.recording_id, CAST(floor(d / 5) AS INTEGER) AS bin, {_r('avg(r)', 'r')}, count(r) AS pairs FROM cr JOIN ds ON cr.recording_id = ds.recording_id AND cr.a = ds.a AND cr.b = ds.b GROUP BY 1, 2")
 add("n3_corr_vs_distance_sides", lambda s, d: rounded(N.corr_vs_distance(A(s, d), fx.positions(s, d), 5.0, 11.0)), "traces positions",
     f"WITH {CORR}, {DIST} SELECT cr.recording_id, CAST(y_a >= 11 AS INTEGER) AS side, CAST(floor(d / 5) AS INTEGER) AS bin, {_r('avg(r)', 'r')}, count(r) AS pairs FROM cr JOIN ds ON cr.recording_id = ds.recording_id AND cr.a = ds.a AND cr.b = ds.b WHERE (y_a < 11) = (y_b < 11) GROUP BY 1, 2, 3")
-add("n4_distance_edges", lambda s, d: N.distance_edges(N.pair_distances(fx.positions(s, d))), "positions", f"WITH {DIST} SELECT DISTINCT recording_id, CAST(floor(top * i / 50) AS BIGINT) AS edge FROM (SELECT recording_id, max(d) AS top FROM ds GROUP BY 1), range(51) q(i)")
+
+
+def _stretched(s, d):
+    """Positions with a scale of their own per recording, so that some stay under the least span and others do not."""
+    return fx.positions(s, d).select("recording_id", "unit_id", *[(F.col(c) * (1 + F.col("recording_id") * 0.4)).alias(c) for c in "xyz"])
+
+
+FAR = f"{DIST}, fa AS (SELECT recording_id, max(d) * (1 + recording_id * 0.4) AS top FROM ds GROUP BY recording_id)"
+add("n4_distance_edges", lambda s, d: N.distance_edges(_stretched(s, d)), "positions", f"WITH {FAR} SELECT DISTINCT recording_id, CAST(floor(CASE WHEN top < 50 THEN 100 ELSE top END * i / 50) AS BIGINT) AS edge FROM fa, range(51) q(i)")
+add("n4_fixed_edges", lambda s, d: N.fixed_edges(_stretched(s, d)), "positions", f"WITH {FAR} SELECT recording_id, i * 5.0 AS edge FROM fa, range(1000) q(i) WHERE i <= greatest(ceil(top / 5), 1)")
+add("n4_span", lambda s, d: rounded(N.span(fx.positions(s, d))), "positions", f"WITH {DIST} SELECT ds.recording_id, any_value(n) AS units, {_r('max(d)', 'top')} FROM ds JOIN (SELECT recording_id, count(*) AS n FROM positions GROUP BY 1) c ON c.recording_id = ds.recording_id GROUP BY 1")
 #: Shuffles of a curve and of a reliability, and permutations of a rank test.
 SHUFFLES, PERMUTATIONS = 100, 1000
 PERM = """s AS (SELECT recording_id, unit_id, CAST(k AS INTEGER) AS seed, (unit_id * 7919 + k * 104729 + (unit_id * unit_id) % 7907 * k) % 1000003 AS key FROM positions, range(1, 101) q(k)),
@@ -186,6 +196,22 @@ add("n5_shuffled_curve", lambda s, d: rounded(N.shuffled_curve(A(s, d), fx.posit
     f"""WITH {CORR}, {PERM}, mv AS (SELECT pm.recording_id, seed, pm.unit_id, x, y FROM pm JOIN positions p ON p.recording_id = pm.recording_id AND p.unit_id = pm.other),
         ps AS (SELECT cr.recording_id, m.seed, floor(sqrt((m.x - o.x) ** 2 + (m.y - o.y) ** 2) / 5) AS bin, avg(r) AS r FROM cr JOIN mv m ON m.recording_id = cr.recording_id AND m.unit_id = cr.a JOIN mv o ON o.recording_id = cr.recording_id AND o.unit_id = cr.b AND o.seed = m.seed GROUP BY ALL)
         SELECT recording_id, CAST(bin AS INTEGER) AS bin, {_r('avg(r)', 'null_mean')}, {_r('stddev_samp(r) / sqrt(count(r))', 'null_sem')} FROM ps GROUP BY 1, 2""")
+
+
+def in_band(s, d):
+    """Units of a band by an arithmetic rule."""
+    return fx.positions(s, d).filter((F.col("unit_id") * 37) % 128 < 30).select("recording_id", "unit_id")
+
+
+BANDED = f"""{CORR}, bd AS (SELECT recording_id, unit_id, x, y, row_number() OVER (PARTITION BY recording_id ORDER BY unit_id) AS k FROM positions WHERE (unit_id * 37) % 128 < 30),
+  dr AS (SELECT recording_id, seed, unit_id, row_number() OVER (PARTITION BY recording_id, seed ORDER BY key, unit_id) AS k FROM (SELECT recording_id, unit_id, CAST(k AS INTEGER) AS seed, (unit_id * 7919 + k * 104729 + (unit_id * unit_id) % 7907 * k) % 1000003 AS key FROM positions, range(1, 101) q(k))),
+  pl AS (SELECT dr.recording_id, seed, dr.unit_id, x, y FROM dr JOIN bd ON bd.recording_id = dr.recording_id AND bd.k = dr.k)"""
+SUBSET = """SELECT cr.recording_id, m.seed, {side} AS side, floor(sqrt((m.x - o.x) ** 2 + (m.y - o.y) ** 2) / 5) AS bin, avg(r) AS r FROM cr JOIN pl m ON m.recording_id = cr.recording_id AND m.unit_id = cr.a JOIN pl o ON o.recording_id = cr.recording_id AND o.unit_id = cr.b AND o.seed = m.seed {where} GROUP BY ALL"""
+add("n5_random_subset", lambda s, d: rounded(N.random_subset_curve(A(s, d), fx.positions(s, d), in_band(s, d), 5.0, SHUFFLES)), "traces positions",
+    f"WITH {BANDED}, ps AS ({SUBSET.format(side=0, where='')}) SELECT recording_id, CAST(bin AS INTEGER) AS bin, {_r('avg(r)', 'null_mean')}, {_r('stddev_samp(r) / sqrt(count(r))', 'null_sem')} FROM ps GROUP BY 1, 2")
+add("n5_random_subset_sides", lambda s, d: rounded(N.random_subset_curve(A(s, d), fx.positions(s, d), in_band(s, d), 5.0, SHUFFLES, 11.0)), "traces positions",
+    f"""WITH {BANDED}, pd AS ({SUBSET.format(side='m.y >= 11', where='WHERE (m.y < 11) = (o.y < 11)')}), ps AS (SELECT recording_id, seed, bin, avg(r) AS r FROM pd GROUP BY 1, 2, 3)
+        SELECT recording_id, CAST(bin AS INTEGER) AS bin, {_r('avg(r)', 'null_mean')}, {_r('stddev_samp(r) / sqrt(count(r))', 'null_sem')} FROM ps GROUP BY 1, 2""")
 add("n7_common_prefix", lambda s, d: rounded(N.common_prefix(N.corr_vs_distance(A(s, d), fx.positions(s, d), 5.0), "recording_id", "bin", "r", 6)), "traces positions",
     f"""WITH {CORR}, {DIST}, c AS (SELECT cr.recording_id, CAST(floor(d / 5) AS INTEGER) AS bin, avg(r) AS r, count(r) AS pairs FROM cr JOIN ds ON cr.recording_id = ds.recording_id AND cr.a = ds.a AND cr.b = ds.b GROUP BY 1, 2)
         SELECT recording_id, bin, {_r('r', 'r')}, pairs FROM c WHERE bin <= 6 AND bin <= (SELECT min(l) FROM (SELECT max(bin) AS l FROM c GROUP BY recording_id))""")

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..functions.batches import matrices, padded, runs_of
-from ..sources.staging import bounded_batches
+from ..sources.staging import bounded_batches, staged
 from .aggregates import iqr, trapz
 from .joins import interpolate_to, unit_pairs
-from .windows import mean_rank
+from .ranks import mean_rank
 
 #: Units of a block.
 BLOCK = 256
@@ -114,22 +114,80 @@ def pair_corr(arrays: DataFrame, block: int = BLOCK) -> DataFrame:
     return block_pairs(arrays.select("recording_id", "unit_id", "trace"), kernel, outputs, block)
 
 
-def band_vs_rest(arrays: DataFrame, band: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(recording_id, within, across and their medians and counts): pairs inside a band (recording_id, unit_id) against pairs of inside and outside."""
-    units = arrays.join(band.select("recording_id", "unit_id", F.lit(1).alias("inside")), ["recording_id", "unit_id"], "left")
-    units = units.select("recording_id", "unit_id", "trace", F.coalesce("inside", F.lit(0)).alias("inside"))
+#: Bins of a histogram of pair values, and the number of values in an interval from which on they are counted one by one.
+BINS, FEW = 4096, 4096
+#: Correlations as whole numbers: steps of 2 ** -52 from -1 on, so that bins and their edges are exact.
+STEPS = 2**52
 
-    def kernel(a, b, r, count):
-        n = a["inside"].to_numpy()[:, None] + b["inside"].to_numpy()[None]
-        keep = count & (n > 0) & np.isfinite(r)
-        return {"inside": n[keep], "r": r[keep]}
 
-    pairs = block_pairs(units, kernel, {"inside": ("int", pa.int32()), "r": ("double", pa.float64())}, block)
+def band_vs_rest(arrays: DataFrame, band: DataFrame, block: int = BLOCK, bins: int = BINS, few: int = FEW) -> DataFrame:
+    """(recording_id, within, across and their medians and counts): pairs inside a band (recording_id, unit_id) against pairs of inside and outside.
+
+    Medians are exact without holding pairs: each pass of the block products counts a histogram of
+    the interval that must hold the middle values, and the next pass takes the bins that do. An
+    interval with few values has its distinct values counted. Correlations count as multiples of 2 ** -52.
+    """
+    spark = arrays.sparkSession
+    units = arrays.join(band.select("recording_id", "unit_id", F.lit(1).alias("inside")), ["recording_id", "unit_id"], "left")
+    units = staged(spark, units.select("recording_id", "unit_id", "trace", F.coalesce("inside", F.lit(0)).alias("inside")), "band-units")
+    key = ["recording_id", "inside"]
+    kinds = {"inside": ("int", pa.int32()), "place": ("long", pa.int64()), "n": ("long", pa.int64()), "total": ("double", pa.float64())}
+
+    def histogram(limits: DataFrame, single: bool) -> DataFrame:
+        """(recording_id, inside, place, n, total): values within the limits per bin, or per distinct value."""
+        wide = limits.groupBy("recording_id").agg(*[F.max(F.when(F.col("inside") == g, F.col(c))).alias(f"{c}{g}") for g in (1, 2) for c in ("low", "high")])
+
+        def kernel(a, b, r, count):
+            members = a["inside"].to_numpy()[:, None] + b["inside"].to_numpy()[None]
+            known = count & np.isfinite(r)
+            out: dict[str, list] = {c: [] for c in kinds}
+            for g in (1, 2):
+                low, high = (a[f"{c}{g}"][0].as_py() for c in ("low", "high"))
+                if low is None:
+                    continue
+                v = r[known & (members == g)]
+                steps = np.rint((np.clip(v, -1.0, 1.0) + 1.0) * STEPS).astype(np.int64)
+                own = (steps >= low) & (steps <= high)
+                v, steps = v[own], steps[own]
+                at = steps if single else (steps - low) // ((high - low) // bins + 1)
+                place, which, n = np.unique(at, return_inverse=True, return_counts=True)
+                for c, x in (("inside", [g] * len(place)), ("place", place), ("n", n), ("total", np.bincount(which, v, len(place)))):
+                    out[c] += list(x)
+            return out
+
+        pairs = block_pairs(units.join(wide, "recording_id"), kernel, kinds, block)
+        return pairs.groupBy(*key, "place").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+    def middle(counts: DataFrame) -> DataFrame:
+        """Rows of ``counts`` (with below and pairs) that hold a middle value."""
+        before = Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # at most ``bins`` rows, or few values
+        told = counts.withColumn("before", F.col("below") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+        first, last = F.floor((F.col("pairs") - 1) / 2), F.floor(F.col("pairs") / 2)
+        holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+        return told.withColumn("one", holds(first)).withColumn("two", holds(last)).filter(F.col("one") | F.col("two"))
+
+    whole = units.select("recording_id").distinct().select("recording_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("inside"), F.lit(0).cast("long").alias("low"), F.lit(2 * STEPS).cast("long").alias("high"))
+    counts = staged(spark, histogram(whole, False), "band-histogram")
+    sums = staged(spark, counts.groupBy(*key).agg(F.sum("n").alias("pairs"), (F.sum("total") / F.sum("n")).alias("mean")), "band-sums")
+    limits = whole.join(sums.select(*key, "pairs"), key).withColumn("below", F.lit(0).cast("long"))
+    while True:
+        step = F.floor((F.col("high") - F.col("low")) / bins) + 1
+        edge = F.col("low") + F.col("place") * step
+        found = middle(counts.join(limits, key)).groupBy(*key, "pairs").agg(F.min(edge).alias("low"), F.max(F.least(edge + step - 1, F.col("high"))).alias("high"), F.min("before").alias("below"), F.sum("n").alias("held"))
+        limits = staged(spark, found, "band-limits")
+        if not limits.filter((F.col("held") > few) & (F.col("high") > F.col("low"))).limit(1).count():
+            break
+        counts = staged(spark, histogram(limits.select(*key, "low", "high"), False), "band-histogram")
+    values = staged(spark, histogram(limits.select(*key, "low", "high"), True), "band-values")
+    told = middle(values.join(limits.select(*key, "pairs", "below"), key))
+    value = lambda c: F.max(F.when(F.col(c), F.col("place"))).cast("double") / STEPS - 1.0
+    medians = told.groupBy(*key).agg(((value("one") + value("two")) / 2).alias("median"))
+    rows = sums.join(medians, key, "left")
     parts = []
-    for name, n in (("within", 2), ("across", 1)):
-        r = F.when(F.col("inside") == n, F.col("r"))
-        parts += [F.avg(r).alias(name), F.median(r).alias(f"{name}_median"), F.count(r).alias(f"{name}_pairs")]
-    return pairs.groupBy("recording_id").agg(*parts)
+    for name, g in (("within", 2), ("across", 1)):
+        at = lambda c: F.max(F.when(F.col("inside") == g, F.col(c)))  # noqa: E731, B023
+        parts += [at("mean").alias(name), at("median").alias(f"{name}_median"), F.coalesce(at("pairs"), F.lit(0)).cast("long").alias(f"{name}_pairs")]
+    return rows.groupBy("recording_id").agg(*parts)
 
 
 def distance(a: list[str], b: list[str]) -> Column:
@@ -142,27 +200,104 @@ def pair_distances(positions: DataFrame) -> DataFrame:
     return p.select("recording_id", "a", "b", distance(["x_a", "y_a"], ["x_b", "y_b"]).alias("d"), "y_a", "y_b")
 
 
-def distance_edges(distances: DataFrame, bins: int = 50) -> DataFrame:
-    """(recording_id, edge): the distinct whole edges of evenly spaced bins from 0 to the largest distance."""
-    top = distances.groupBy("recording_id").agg(F.max("d").alias("top"))
-    return top.select("recording_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.floor(F.col("top") * i / bins)))).alias("edge"))
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points in the plane, in order; at most two points stay as they are."""
+    p = np.unique(points, axis=0)
+    if len(p) < 3:
+        return p
+    sides = []
+    for rows in (p, p[::-1]):
+        side: list = []
+        for q in rows.tolist():
+            while len(side) > 1 and (side[-1][0] - side[-2][0]) * (q[1] - side[-2][1]) <= (side[-1][1] - side[-2][1]) * (q[0] - side[-2][0]):
+                side.pop()
+            side.append(q)
+        sides += side[:-1]
+    return np.array(sides)
+
+
+def widest(corners: np.ndarray) -> float:
+    """Largest distance of two of the corners of a hull, each compared in one array."""
+    return float(max((np.hypot(*(corners[i:] - corners[i]).T).max() for i in range(len(corners))), default=0.0))
+
+
+def span(positions: DataFrame) -> DataFrame:
+    """(recording_id, units, top): how many units have a place, and the largest distance of two of them in x and y.
+
+    Tasks reduce the places that they read to the corners of their convex hull, hulls of hulls meet in two
+    steps, and only the corners of the last one are compared with each other.
+    """
+    kind = dict(positions.dtypes)["recording_id"]
+    known = positions.filter("x is not null and y is not null").select("recording_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    schema = f"recording_id {kind}, units long, xs array<double>, ys array<double>"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def reduced(held: dict, arrow: pa.DataType) -> pa.RecordBatch:
+        corners = [hull(np.concatenate(h)) for _, h in held.values()]
+        cells = [pa.array(list(held), arrow), pa.array([n for n, _ in held.values()], pa.int64()), *[pa.array([c[:, i] for c in corners], pa.list_(pa.float64())) for i in (0, 1)]]
+        held.clear()
+        return pa.RecordBatch.from_arrays(cells, names=names)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            recs = np.array(batch.column(0).to_pylist())
+            places = np.column_stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()])
+            for rec in np.unique(recs).tolist():
+                own = places[recs == rec]
+                n, before = held.get(rec, (0, []))
+                held[rec] = (n + len(own), [hull(np.concatenate([*before, own]))])
+            if len(held) > 1000:
+                yield reduced(held, batch.schema.field(0).type)
+        if held:
+            yield reduced(held, batch.schema.field(0).type)
+
+    def meet(table: pa.Table) -> pa.Table:
+        corners = hull(np.column_stack([table[c].combine_chunks().flatten().to_numpy() for c in ("xs", "ys")]))
+        row = [table["recording_id"].slice(0, 1).combine_chunks(), pa.array([sum(table["units"].to_pylist())]), *[pa.array([corners[:, i]], pa.list_(pa.float64())) for i in (0, 1)]]
+        return pa.table(row, names=names)
+
+    def last(table: pa.Table) -> pa.Table:
+        one = meet(table)
+        corners = np.column_stack([np.array(one[c][0].as_py()) for c in ("xs", "ys")])
+        return pa.table([one["recording_id"], one["units"], pa.array([widest(corners)])], names=["recording_id", "units", "top"])
+
+    parts = known.mapInArrow(first, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    met = parts.groupBy("recording_id", "salt").applyInArrow(lambda t: meet(t), schema)
+    return met.groupBy("recording_id").applyInArrow(last, f"recording_id {kind}, units long, top double")
+
+
+def distance_edges(positions: DataFrame, bins: int = 50, least: float = 50.0, fallback: float = 100.0) -> DataFrame:
+    """(recording_id, edge): the distinct whole edges of evenly spaced bins from 0 to the largest distance of two units.
+
+    Where that is under ``least``, or a recording has fewer than two units, the bins span ``fallback``.
+    """
+    far = span(positions)
+    top = F.when((F.col("units") > 1) & (F.col("top") >= least), F.col("top")).otherwise(F.lit(float(fallback)))
+    return far.select("recording_id", top.alias("top")).select("recording_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.floor(F.col("top") * i / bins)))).alias("edge"))
+
+
+def fixed_edges(positions: DataFrame, step: float = 5.0) -> DataFrame:
+    """(recording_id, edge): edges ``step`` apart from 0 up to the first at or beyond the largest distance, one bin at least."""
+    last = F.greatest(F.ceil(F.col("top") / step), F.lit(1)).cast("int")
+    return span(positions).select("recording_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: i * step)).alias("edge"))
 
 
 def _distance_sums(units: DataFrame, step: float, split: float | None, block: int) -> DataFrame:
     """(recording_id, seed, side, bin, total, n): sums of correlations per distance bin, for each of the placings xs, ys of a unit."""
     def kernel(a, b, r, count):
         known = count & np.isfinite(r)
-        side = np.zeros(r.shape, int)
-        if split is not None:
-            sa, sb = (x["y"].to_numpy() >= split for x in (a, b))
-            known &= sa[:, None] == sb[None]
-            side = np.broadcast_to(sa[:, None], r.shape).astype(int)
-        values, side = r[known], side[known]
+        values = r[known]
         ax, ay, bx, by = (padded(x[c]) for x, c in ((a, "xs"), (a, "ys"), (b, "xs"), (b, "ys")))
         out: dict[str, list] = {c: [] for c in ("seed", "side", "bin", "total", "n")}
         for seed in range(ax.shape[1]):
             d = np.hypot(ax[:, seed, None] - bx[None, :, seed], ay[:, seed, None] - by[None, :, seed])[known]
             placed = np.isfinite(d)
+            side = np.zeros(len(d), int)
+            if split is not None:
+                sa, sb = (y[:, seed] >= split for y in (ay, by))
+                placed &= (sa[:, None] == sb[None])[known]
+                side = np.broadcast_to(sa[:, None], r.shape)[known].astype(int)
             code = np.floor(d[placed] / step).astype(int) * 2 + side[placed]
             n, total = np.bincount(code), np.bincount(code, values[placed])
             at = np.flatnonzero(n)
@@ -177,8 +312,8 @@ def _distance_sums(units: DataFrame, step: float, split: float | None, block: in
 
 def corr_vs_distance(arrays: DataFrame, positions: DataFrame, step: float, split: float | None = None, block: int = BLOCK) -> DataFrame:
     """(recording_id, [side,] bin, r, pairs): mean correlation per distance bin of width ``step``, within each side of ``split`` on y if given."""
-    units = arrays.join(positions.select("recording_id", "unit_id", "y", F.array("x").alias("xs"), F.array("y").alias("ys")), ["recording_id", "unit_id"])
-    sums = _distance_sums(units.select("recording_id", "unit_id", "trace", "y", "xs", "ys"), step, split, block)
+    units = arrays.join(positions.select("recording_id", "unit_id", F.array("x").alias("xs"), F.array("y").alias("ys")), ["recording_id", "unit_id"])
+    sums = _distance_sums(units.select("recording_id", "unit_id", "trace", "xs", "ys"), step, split, block)
     by = ["recording_id", "bin"] if split is None else ["recording_id", "side", "bin"]
     return sums.select(*by, (F.col("total") / F.col("n")).alias("r"), F.col("n").alias("pairs"))
 
@@ -210,6 +345,34 @@ def shuffled_curve(arrays: DataFrame, positions: DataFrame, step: float, seeds:
     return per_seed.groupBy("recording_id", "bin").agg(F.avg("r").alias("null_mean"), (F.stddev_samp("r") / F.sqrt(F.count("r"))).alias("null_sem"))
 
 
+def random_subsets(units: DataFrame, band: DataFrame, seeds: int) -> DataFrame:
+    """(recording_id, seed, unit_id, other): for each seed other units, as many as the band (recording_id, unit_id) has, drawn from the whole recording without replacement, one for each of the band's units.
+
+    The units of least ``shuffle_key`` are drawn. Each task passes on only the first of its own.
+    """
+    size = band.groupBy("recording_id").agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list("unit_id")).alias("_band"))
+    drawn = units.select("recording_id", "unit_id").join(size.select("recording_id", "_n"), "recording_id").withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
+    drawn = drawn.withColumn("_key", shuffle_key(F.col("unit_id"), F.col("seed"))).withColumn("salt", F.pmod(F.xxhash64("unit_id"), F.lit(16)))
+    for by in (["recording_id", "seed", "salt"], ["recording_id", "seed"]):
+        drawn = drawn.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_key", "unit_id"))).filter(F.col("_k") <= F.col("_n"))
+    return drawn.join(size.select("recording_id", "_band"), "recording_id").select("recording_id", "seed", F.element_at("_band", F.col("_k")).alias("unit_id"), F.col("unit_id").alias("other"))
+
+
+def random_subset_curve(arrays: DataFrame, positions: DataFrame, band: DataFrame, step: float, seeds: int, split: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(recording_id, bin, null_mean, null_sem): correlation by distance with random units of the recording at the places of the band's units.
+
+    A unit carries the place that each seed gives it, if any, so the correlations of two blocks serve all seeds.
+    With ``split`` pairs count within a side of it on y, and a seed's curve is the mean of its sides.
+    """
+    placed = random_subsets(positions, band, seeds).join(positions.select("recording_id", "unit_id", "x", "y"), ["recording_id", "unit_id"])
+    given = placed.groupBy("recording_id", F.col("other").alias("unit_id")).agg(F.map_from_entries(F.collect_list(F.struct("seed", F.struct("x", "y")))).alias("p"))
+    at = lambda c: F.transform(F.sequence(F.lit(1), F.lit(seeds)), lambda i: F.try_element_at("p", i)[c])
+    units = arrays.join(given, ["recording_id", "unit_id"]).select("recording_id", "unit_id", "trace", at("x").alias("xs"), at("y").alias("ys"))
+    sums = _distance_sums(units, step, split, block)
+    per_seed = sums.groupBy("recording_id", "seed", "bin").agg(F.avg(F.col("total") / F.col("n")).alias("r"))
+    return per_seed.groupBy("recording_id", "bin").agg(F.avg("r").alias("null_mean"), (F.stddev_samp("r") / F.sqrt(F.count("r"))).alias("null_sem"))
+
+
 def curve_summaries(curves: DataFrame, by: list[str], x: str, value: str, near: tuple[float, float], whole: tuple[float, float]) -> DataFrame:
     """(by..., near_mean, all_mean, auc): means of a curve over two ranges of x, and its area over the second (two places at least)."""
     known = curves.filter(F.col(value).isNotNull())

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..functions.batches import matrices, output
-from ..sources.staging import bounded_batches
+from ..sources.staging import bounded_batches, staged
 from .aggregates import mad, mean_curve, trapz
 from .clean import UNIT, fill_missing
 from .joins import interpolate_to
+from .ranks import beside, running
 from .windows import drop_short_runs, gaussian_smooth, gradient, moving_mean, runs
 
 
@@ -234,14 +235,12 @@ def peak_list(arrays: DataFrame, height: float = -math.inf, prominence: float =
 
 
 def hemisphere_split(positions: DataFrame, axis: str) -> DataFrame:
-    """Adds side 0 (lower) or 1: the exact 2-means split of one axis, from sorted prefix sums per recording."""
-    w = Window.partitionBy("recording_id")
-    run = w.orderBy(axis, "unit_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = positions.withColumn("_n", F.row_number().over(w.orderBy(axis, "unit_id"))).withColumn("_s", F.sum(axis).over(run)).withColumn("_t", F.sum(axis).over(w)).withColumn("_m", F.count(F.lit(1)).over(w))
-    gain = F.when(F.col("_n") < F.col("_m"), F.col("_s") ** 2 / F.col("_n") + (F.col("_t") - F.col("_s")) ** 2 / (F.col("_m") - F.col("_n")))
-    rows = rows.withColumn("_g", F.round(gain, 9))
-    cut = F.max(F.struct("_g", (-F.col("_n")).alias("c"))).over(w)
-    return rows.withColumn("_c", -cut["c"]).withColumn("side", (F.col("_n") > F.col("_c")).cast("int")).drop("_n", "_s", "_t", "_m", "_g", "_c")
+    """Adds side 0 (lower) or 1: the exact 2-means split of one axis, from prefix sums in two levels."""
+    rows = staged(positions.sparkSession, running(positions, ["recording_id"], F.col(axis), [axis, "unit_id"], {"_n": F.lit(1), "_s": F.col(axis)}), "sides")
+    n, s, m, t = (F.col(c) for c in ("_n", "_s", "_n_all", "_s_all"))
+    gain = F.round(F.when(n < m, s**2 / n + (t - s) ** 2 / (m - n)), 9)
+    cut = rows.groupBy("recording_id").agg((-F.max(F.struct(gain.alias("g"), (-n).alias("c")))["c"]).alias("_c"))
+    return beside(rows, cut, ["recording_id"]).withColumn("side", (n > F.col("_c")).cast("int")).drop("_n", "_s", "_n_all", "_s_all", "_c")
 
 
 def side_xcorr(traces: DataFrame, sides: DataFrame, max_lag: int, auc_lag: int) -> DataFrame:

@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import places
+
 
 def top_fraction(df: DataFrame, by: list[str], col: str, share: float, tie: str) -> DataFrame:
     """The best max(1, round(share n)) rows of each group."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(col), tie))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return df.withColumn("_k", rank).withColumn("_n", n).filter(F.col("_k") <= F.greatest(F.lit(1), F.round(share * F.col("_n")))).drop("_k", "_n")
+    ranked = places(df, by, -F.col(col), [F.desc(col), tie], "_k")
+    return ranked.filter(F.col("_k") <= F.greatest(F.lit(1), F.round(share * F.col("_k_all")))).drop("_k", "_k_all")
 
 
-def position_in_order(df: DataFrame, by: list[str], order: list, out: str = "place") -> DataFrame:
-    """Place of each row (from 0) in the order of its group: what a sort permutation holds."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+def position_in_order(df: DataFrame, by: list[str], lead: Column, order: list, out: str = "place") -> DataFrame:
+    """Place of each row (from 0) in the order of its group: what a sort permutation holds. ``lead`` is a number that never falls along ``order``."""
+    return places(df, by, lead, order, out).withColumn(out, (F.col(out) - 1).cast("int")).drop(f"{out}_all")
 
 
 def evenly_picked(df: DataFrame, by: list[str], col: str, n: int, tie: str) -> DataFrame:
     """n rows of each group, evenly spread over the order of a column."""
-    k = F.row_number().over(Window.partitionBy(*by).orderBy(col, tie))
-    total = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    numbered = df.withColumn("_k", k).withColumn("_n", total)
-    want = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(1 + i * (F.col("_n") - 1) / max(1, n - 1)))
-    return numbered.filter(F.array_contains(want, F.col("_k").cast("double"))).drop("_k", "_n")
+    numbered = places(df, by, F.col(col), [col, tie], "_k")
+    want = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(1 + i * (F.col("_k_all") - 1) / max(1, n - 1)))
+    return numbered.filter(F.array_contains(want, F.col("_k").cast("double"))).drop("_k", "_k_all")
 
 
 def sessions_on_one_clock(df: DataFrame, by: list[str], session: str, order: list[str], t: str = "t", step: float = 1.0) -> DataFrame:

@@ -1,6 +1,6 @@
 """Rank tests, corrections and mixed models over group tables.
 
-Statistics come from rank windows and sums; only the last step, from a statistic to a p value,
+Statistics come from ranks in two levels and sums; only the last step, from a statistic to a p value,
 is a vectorised function over one row per test.
 """
 
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from .windows import mean_rank
+from .ranks import group_median, mean_rank, value_counts, value_ranks
+from .windows import rank_within
 
 
 @pandas_udf(DoubleType())
@@ -54,11 +55,10 @@ def signrank(pairs: DataFrame, by: list[str], a: str, b: str | None = None, p: b
     """(by..., n, w, ties, median[, p]): Wilcoxon signed-rank test of complete pairs (or of one sample against 0), two pairs at least."""
     d = F.col(a) - F.col(b) if b else F.col(a)
     known = pairs.select(*by, d.cast("double").alias("_d")).filter(F.col("_d").isNotNull() & ~F.isnan("_d"))
-    med = known.groupBy(*by).agg(F.median("_d").alias("median"), F.count(F.lit(1)).alias("_n")).filter("_n >= 2").drop("_n")
-    ranked = mean_rank(known.filter("_d <> 0").withColumn("_abs", F.abs("_d")), by, "_abs", "_r")
-    ranked = ranked.withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*by, "_abs")))
-    # the sum over rows of t squared less 1 is the sum over ties of t cubed less t
-    s = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0)).alias("w"), F.sum(F.col("_t") * F.col("_t") - 1).cast("double").alias("ties"))
+    med = group_median(known, by, "_d").filter("n >= 2").drop("n")
+    counts = value_counts(known.filter("_d <> 0").withColumn("_abs", F.abs("_d")), by, "_abs", up=F.col("_d") > 0)
+    t = F.col("n").cast("double")
+    s = value_ranks(counts, by, "_abs").groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w"), F.sum(t * t * t - t).alias("ties"))
     out = med.join(s, by, "left") if by else med.crossJoin(s)
     return out.withColumn("p", signrank_p("w", F.col("n").cast("double"), "ties")) if p else out
 
@@ -66,9 +66,10 @@ def signrank(pairs: DataFrame, by: list[str], a: str, b: str | None = None, p: b
 def ranksum(values: DataFrame, by: list[str], group: str, first: str, col: str = "value", p: bool = True) -> DataFrame:
     """(by..., n1, n2, w, z[, p]): Wilcoxon rank-sum test of one group against the rest, normal with tie and continuity correction."""
     known = values.filter(F.col(col).isNotNull())
-    ranked = mean_rank(known, by, col, "_r").withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*by, col)))
     one = F.col(group) == first
-    s = ranked.groupBy(*by).agg(F.count(F.when(one, 1)).alias("n1"), F.count(F.when(~one, 1)).alias("n2"), F.sum(F.when(one, F.col("_r"))).alias("w"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
+    t = F.col("n").cast("double")
+    ranked = value_ranks(value_counts(known, by, col, one=one, other=~one), by, col)
+    s = ranked.groupBy(*by).agg(F.sum("one").alias("n1"), F.sum("other").alias("n2"), F.when(F.sum("one") > 0, F.sum(F.col("rank") * F.col("one"))).alias("w"), F.sum(t * t * t - t).alias("_ties"))
     n = F.col("n1") + F.col("n2")
     gap = F.col("w") - F.col("n1") * (n + 1) / 2
     var = F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("_ties") / (n * (n - 1)))
@@ -144,7 +145,7 @@ def corr_p(r: pd.Series, n: pd.Series) -> pd.Series:
 def friedman(df: DataFrame, subject: str, cond: str, col: str, k: int, p: bool = True) -> DataFrame:
     """(n, chi2[, p]): Friedman test over subjects with all k conditions, corrected for ties."""
     full = df.filter(F.col(col).isNotNull()).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(subject))).filter(F.col("_k") == k)
-    ranked = mean_rank(full, [subject], col, "_r")
+    ranked = rank_within(full, [subject], col, "_r")  # k rows
     sums = ranked.groupBy(cond).agg(F.sum("_r").alias("_s"), F.count(F.lit(1)).alias("_n"), F.sum(F.col("_r") * F.col("_r")).alias("_q"))
     t = sums.agg(F.sum(F.col("_s") * F.col("_s")).alias("ss"), F.max("_n").alias("n"), F.sum("_q").alias("q"))
     n, mean = F.col("n"), (k + 1) / 2

@@ -130,8 +130,8 @@ def resize(df: DataFrame, n: int, by: list[str] = UNIT, col: str = "value") -> D
     return grid.select(*by, F.col("k").cast("int").alias("k"), (F.col(col) + F.when(part > 1e-9, part * (F.col("_next") - F.col(col))).otherwise(0.0)).alias(col))
 
 
-def mean_rank(df: DataFrame, by: list[str], col: str, out: str = "rank") -> DataFrame:
-    """Rank with mean ranks on ties; NULL values keep a NULL rank and come last."""
+def rank_within(df: DataFrame, by: list[str], col: str, out: str = "rank") -> DataFrame:
+    """Rank with mean ranks on ties, for groups that are small by design; NULL values keep a NULL rank and come last."""
     r = F.rank().over(Window.partitionBy(*by).orderBy(F.col(col).asc_nulls_last()))
     ties = F.count(col).over(Window.partitionBy(*by, col))
     return df.withColumn(out, F.when(F.col(col).isNotNull(), r + (ties - 1) / 2.0))
