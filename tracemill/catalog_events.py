@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from .catalog_core import HAZEN, PEAKS, RUNS, UNITW, _r, rounded, with_
@@ -25,6 +27,8 @@ def add(name: str, fn, fixtures: str = "", sql: str | None = None) -> None:
         ORACLE_SQL[name] = with_(fixtures, sql.strip()) if fixtures else sql.strip()
 
 
+SR = """rk AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY abs(dd)) + (count(*) OVER (PARTITION BY g, abs(dd)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY g, abs(dd)) AS t FROM df WHERE dd <> 0),
+  st AS (SELECT g, count(*) AS n, coalesce(sum(r) FILTER (dd > 0), 0) AS w, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM rk GROUP BY 1), md AS (SELECT g, median(dd) AS median FROM df GROUP BY 1 HAVING count(*) >= 2)"""
 add("e1_stim_class_split", lambda s, d: E.stim_class_split(event_frames(s, d)), "ev",
     f"""WITH {EF} SELECT recording_id, frame, CASE b WHEN 0 THEN 'light' WHEN 1 THEN 'tap' ELSE 'lighttap' END AS stim FROM (SELECT *, floor((k - 1) / floor(n / 3)) AS b FROM (
           SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY frame) AS k, count(*) OVER (PARTITION BY recording_id) AS n FROM ef) WHERE n >= 5) WHERE b < 3""")
@@ -93,6 +97,26 @@ add("e12_pool_on_common_time", lambda s, d: rounded(E.pool_on_common_time(_curve
         n AS (SELECT *, lead(t) OVER w AS nt, lead(v) OVER w AS nv FROM k WINDOW w AS (PARTITION BY recording_id, unit_id ORDER BY t)), u AS (SELECT DISTINCT recording_id, unit_id FROM k)
         SELECT u.recording_id, u.unit_id, {_r('g.t', 't')}, {_r('CASE WHEN n.t = g.t THEN n.v ELSE n.v + (n.nv - n.v) * (g.t - n.t) / (n.nt - n.t) END', 'value')} FROM u CROSS JOIN g LEFT JOIN n ON n.recording_id = u.recording_id AND n.unit_id = u.unit_id AND g.t >= n.t AND (g.t < n.nt OR (n.nt IS NULL AND g.t = n.t))""")
 add("e11_peri_average", lambda s, d: rounded(E.peri_average(peri(s, d))), "traces ev", f"WITH {SE}, {PERI} SELECT recording_id, unit_id, lag, {_r('avg(value)', 'mean')} FROM pe GROUP BY 1, 2, 3")
+
+
+def arithmetic_phases(s, d):
+    """Each trace with twelve times its values as its phase."""
+    return fx.trace_arrays(s, d).withColumn("phase", F.transform("trace", lambda x: x * 12))
+
+
+def event_curves(s, d):
+    return E.event_curves(arithmetic_phases(s, d), trace_events(s, d), fx.FPS, 6, 6, (-6, -1), (1, 6), (0, 6))
+
+
+_NEAR = {i: math.exp(-0.5 * (i / 0.6) ** 2) for i in (-1, 0, 1)}
+FREQ = f"""fq AS (SELECT recording_id, unit_id, frame, value, (dd - 2 * pi() * round(dd / (2 * pi()))) / pi() AS f FROM (SELECT *, value * 12 - lag(value * 12) OVER {UNITW}) AS dd FROM traces)),
+  fs AS (SELECT recording_id, unit_id, frame, value, ({' + '.join(f'coalesce(lead(f, {i}) OVER {UNITW}) * {g}, 0)' for i, g in _NEAR.items())}) / ({' + '.join(f'CASE WHEN lead(f, {i}) OVER {UNITW}) IS NULL THEN 0 ELSE {g} END' for i, g in _NEAR.items())}) AS f FROM fq),
+  fe AS (SELECT t.recording_id, t.unit_id, t.frame - e.frame AS lag, value, f FROM fs t JOIN se e ON t.recording_id = e.recording_id AND t.frame BETWEEN e.frame - 6 AND e.frame + 6 WHERE e.frame >= 6 AND e.frame + 6 < 64)"""
+add("e11_event_curves", lambda s, d: rounded(E.long_event_curves(event_curves(s, d), 6)), "traces ev",
+    f"""WITH {SE}, {FREQ} SELECT recording_id, unit_id, lag, {_r('sqrt(pow(avg(cos(value * 12)), 2) + pow(avg(sin(value * 12)), 2))', 'itpc')}, {_r('avg(f)', 'freq')}, {_r('avg(value)', 'mean')} FROM fe GROUP BY 1, 2, 3""")
+add("e11_event_frequency", lambda s, d: rounded(event_curves(s, d).select("recording_id", "unit_id", "pre_freq", "post_freq", "delta_freq")), "traces ev",
+    f"""WITH {SE}, {FREQ}, g AS (SELECT recording_id, unit_id, avg(f) FILTER (lag BETWEEN -6 AND -1) AS a, avg(f) FILTER (lag BETWEEN 1 AND 6) AS b FROM fe GROUP BY 1, 2) SELECT recording_id, unit_id, {_r('a', 'pre_freq')}, {_r('b', 'post_freq')}, {_r('b - a', 'delta_freq')} FROM g""")
+add("e11_bandpassed_curves", lambda s, d: rounded(E.event_curves(E.phase_signals(fx.trace_arrays(s, d), fx.FPS, 0.05, 0.5), trace_events(s, d), fx.FPS, 6, 6, (-6, -1), (1, 6), (0, 6)).drop("itpc", "freq", "mean"), 5))
 add("e13_subject_rollup", lambda s, d: rounded(E.subject_rollup(fx.positions(s, d), F.col("recording_id") % 3, "x")), "positions", f"SELECT recording_id % 3 AS subject_id, {_r('median(x)', 'median')}, count(x) AS n FROM positions GROUP BY 1")
 add("e19_trial_extract", lambda s, d: rounded(E.trial_extract(fx.trace_arrays(s, d), trace_events(s, d), 6, 6)), "traces ev",
     f"WITH {SE}, {PERI}, o AS (SELECT recording_id, frame, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY frame) - 1 AS INTEGER) AS trial FROM se) SELECT pe.recording_id, unit_id, trial, lag AS rel_frame, {_r('value', 'value')} FROM pe JOIN o ON o.recording_id = pe.recording_id AND o.frame = event")
@@ -128,7 +152,14 @@ add("e17_split_reliability", lambda s, d: rounded(E.split_reliability(_block(s,
 add("e18_responsive_units", lambda s, d: rounded(E.responsive_units(fx.trials(s, d), 4, 0.3)), "trials",
     f"""SELECT subject_id, unit_id, {_r('base', 'base')}, {_r('stim', 'stim')}, CASE WHEN stim > base + 0.3 * sd THEN 1 WHEN stim < base - 0.3 * sd THEN -1 ELSE 0 END AS response FROM (
         SELECT subject_id, unit_id, avg(value) FILTER (rel_frame < 4) AS base, stddev_samp(value) FILTER (rel_frame < 4) AS sd, avg(value) FILTER (rel_frame >= 4) AS stim FROM trials GROUP BY 1, 2)""")
-QC = """md AS (SELECT subject_id, median(value) AS med, mad(value) AS mad FROM sig GROUP BY 1), o AS (SELECT s.*, value > greatest(med + 1.0 * mad, 1e-10) AS act FROM sig s JOIN md USING (subject_id)),
+add("e18_signrank", lambda s, d: rounded(E.responsive_by_signrank(fx.trials(s, d), 4, p=False)), "trials",
+    f"""WITH bs AS (SELECT subject_id, unit_id, trial, avg(value) FILTER (rel_frame >= 4) - avg(value) FILTER (rel_frame < 4) AS dd FROM trials GROUP BY 1, 2, 3), df AS (SELECT (subject_id, unit_id) AS g, dd FROM bs WHERE dd IS NOT NULL),
+        {{SR}} SELECT md.g[1] AS subject_id, md.g[2] AS unit_id, {_r('median', 'median')}, n, {_r('w', 'w')}, ties FROM md LEFT JOIN st ON st.g = md.g""".replace("{SR}", SR))
+# eight trials without ties: the exact test is significant at 5 % up to a sum of 3
+add("e18_signrank_response", lambda s, d: E.responsive_by_signrank(fx.trials(s, d), 4).select("subject_id", "unit_id", "response"), "trials",
+    f"""WITH bs AS (SELECT subject_id, unit_id, trial, avg(value) FILTER (rel_frame >= 4) - avg(value) FILTER (rel_frame < 4) AS dd FROM trials GROUP BY 1, 2, 3), df AS (SELECT (subject_id, unit_id) AS g, dd FROM bs WHERE dd IS NOT NULL),
+        {{SR}} SELECT md.g[1] AS subject_id, md.g[2] AS unit_id, CASE WHEN least(w, 36 - w) <= 3 THEN CAST(sign(median) AS INTEGER) ELSE 0 END AS response FROM md LEFT JOIN st ON st.g = md.g""".replace("{SR}", SR))
+QC = """md AS (SELECT subject_id, median(value) AS med, mad(value) AS mad FROM sig GROUP BY 1), o AS (SELECT s.*, value > med + 1.0 * greatest(mad, 1e-10) AS act FROM sig s JOIN md USING (subject_id)),
   g AS (SELECT *, sum(CAST(act AND NOT coalesce(was, false) AS INTEGER)) OVER (PARTITION BY subject_id, cond ORDER BY frame) AS run FROM (SELECT *, lag(act) OVER (PARTITION BY subject_id, cond ORDER BY frame) AS was FROM o)),
   r AS (SELECT subject_id, cond, count(*) AS bouts, sum(len) AS frames FROM (SELECT subject_id, cond, run, count(*) AS len FROM g WHERE act GROUP BY ALL) WHERE len >= 2 GROUP BY 1, 2),
   ar AS (SELECT subject_id, cond, sum(p) AS integral FROM (SELECT subject_id, cond, (frame - lag(frame) OVER w) * (value + lag(value) OVER w) / 2 AS p FROM sig WINDOW w AS (PARTITION BY subject_id, cond ORDER BY frame)) GROUP BY 1, 2),
@@ -137,6 +168,12 @@ add("e20_quantify_by_condition", lambda s, d: rounded(E.quantify_by_condition(fx
     f"""WITH {QC}, {HAZEN.replace('0.05, 0.25, 0.5, 0.9', '0.95')} SELECT s.subject_id, s.cond, round(avg(value), 4) + 0.0 AS mean, round(any_value(q), 4) + 0.0 AS p95, round(coalesce(any_value(frames), 0) / count(*), 4) + 0.0 AS active,
           round(coalesce(any_value(bouts), 0) * 60.0 / count(*), 4) + 0.0 AS bouts_per_min, round(any_value(integral), 4) + 0.0 AS integral
         FROM sig s JOIN h ON h.g = s.subject_id || s.cond JOIN ar USING (subject_id, cond) LEFT JOIN r USING (subject_id, cond) GROUP BY 1, 2""")
+QM = QC.replace("md AS (SELECT subject_id, median(value) AS med, mad(value) AS mad FROM sig GROUP BY 1)", "sm AS (SELECT subject_id, cond, frame, avg(abs(value)) OVER (PARTITION BY subject_id, cond ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS value FROM sig), md AS (SELECT subject_id, cond, median(value) AS med, mad(value) AS mad FROM sm GROUP BY 1, 2)", 1)
+QM = QM.replace("FROM sig s JOIN md USING (subject_id)", "FROM sm s JOIN md USING (subject_id, cond)").replace("FROM sig WINDOW", "FROM sm WINDOW").replace("AS v FROM sig)", "AS v FROM sm)")
+add("e20_movement_by_condition", lambda s, d: rounded(E.quantify_by_condition(E.movement(fx.signals(s, d), 1.0, 3.0), 1.0, 2, 1.0, pooled=False), 3), "sig",
+    f"""WITH {QM}, {HAZEN.replace('0.05, 0.25, 0.5, 0.9', '0.95')} SELECT s.subject_id, s.cond, round(avg(value), 3) + 0.0 AS mean, round(any_value(q), 3) + 0.0 AS p95, round(coalesce(any_value(frames), 0) / count(*), 3) + 0.0 AS active,
+          round(coalesce(any_value(bouts), 0) * 60.0 / count(*), 3) + 0.0 AS bouts_per_min, round(any_value(integral), 3) + 0.0 AS integral
+        FROM sm s JOIN h ON h.g = s.subject_id || s.cond JOIN ar USING (subject_id, cond) LEFT JOIN r USING (subject_id, cond) GROUP BY 1, 2""")
 add("e23_oscillator_core", lambda s, d: rounded(E.oscillator_core(T(s, d), fx.positions(s, d).select("recording_id", "unit_id", (F.col("unit_id") * 37 % 128 / 1000.0).alias("dom")), 0.01, 0.02)), "traces positions",
     f"""SELECT recording_id, frame, {_r('coalesce(avg(value) FILTER ((unit_id * 37) % 128 BETWEEN 10 AND 20), avg(value))', 'core')} FROM traces GROUP BY 1, 2""")
 add("s_beats_to_bouts", lambda s, d: E.beats_to_bouts(event_frames(s, d), 2), "ev",
@@ -146,6 +183,24 @@ add("r26_response_latency", lambda s, d: E.response_latency(fx.event_train(s, d)
     """WITH a AS (SELECT DISTINCT recording_id, frame FROM ev WHERE kind = 'error'), b AS (SELECT DISTINCT recording_id, frame AS f FROM ev WHERE kind = 'click')
        SELECT recording_id, frame, CASE WHEN dd <= 1 THEN dd END AS latency, coalesce(dd <= 1, false) AS responded FROM (SELECT a.recording_id, a.frame, min(f) - a.frame AS dd FROM a LEFT JOIN b ON b.recording_id = a.recording_id AND f >= a.frame GROUP BY 1, 2)""")
 
+
+
+def split_errors_events(s, d):
+    """Error events of each recording in three classes by their order."""
+    return E.stim_class_split(fx.event_train(s, d).filter("kind = 'error'").select("recording_id", "frame").distinct())
+
+
+def latencies(s, d):
+    kind = lambda k: fx.event_train(s, d).filter(F.col("kind") == k).select("recording_id", "frame").distinct()
+    return E.response_latency(kind("error"), kind("click"), 1)
+
+
+SPLIT = "{0} AS (SELECT recording_id, frame, CASE b WHEN 0 THEN 'light' WHEN 1 THEN 'tap' ELSE 'lighttap' END AS stim FROM (SELECT *, floor((k - 1) / floor(n / 3)) AS b FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY frame) AS k, count(*) OVER (PARTITION BY recording_id) AS n FROM {1}) WHERE n >= 5) WHERE b < 3)"
+add("r26_responder_shares", lambda s, d: rounded(E.responder_shares(latencies(s, d), split_errors_events(s, d))), "ev",
+    f"""WITH a AS (SELECT DISTINCT recording_id, frame FROM ev WHERE kind = 'error'), b AS (SELECT DISTINCT recording_id, frame AS f FROM ev WHERE kind = 'click'), {SPLIT.format('st', 'a')},
+        l AS (SELECT a.recording_id, a.frame, min(f) - a.frame AS dd FROM a LEFT JOIN b ON b.recording_id = a.recording_id AND f >= a.frame GROUP BY 1, 2)
+        SELECT l.recording_id, stim, count(*) AS trials, count(*) FILTER (dd <= 1) AS responded, {_r('count(*) FILTER (dd <= 1) / count(*)', 'share')}, {_r('avg(dd) FILTER (dd <= 1)', 'latency')} FROM l JOIN st ON st.recording_id = l.recording_id AND st.frame = l.frame GROUP BY 1, 2""")
+
 #: Points of the grid of transitions along each axis.
 BINS = 1000
 
@@ -232,9 +287,16 @@ add("e9_transient_summary", lambda s, d: rounded(E.event_summary(event_features(
 add("r25_trial_windows", lambda s, d: rounded(E.trial_windows(peri(s, d), 3)), "traces ev",
     f"WITH {SE}, {PERI} SELECT recording_id, unit_id, {_r('avg(value) FILTER (lag BETWEEN -3 AND -1)', 'base')}, {_r('avg(value) FILTER (lag BETWEEN 0 AND 2)', 'stim')}, {_r('avg(value) FILTER (lag BETWEEN 3 AND 5)', 'tone')} FROM pe GROUP BY 1, 2")
 
+add("r25_condition_windows", lambda s, d: rounded(E.condition_windows(peri(s, d), E.stim_class_split(trace_events(s, d)), 3)), "traces ev",
+    f"""WITH {SE}, {PERI}, {SPLIT.format('st', 'se')}, m AS (SELECT pe.recording_id, unit_id, stim, lag, avg(value) AS v, count(value) AS n FROM pe JOIN st ON st.recording_id = pe.recording_id AND st.frame = event GROUP BY 1, 2, 3, 4)
+        SELECT recording_id, unit_id, stim, max(n) AS trials, {_r('avg(v) FILTER (lag BETWEEN -3 AND -1)', 'base')}, {_r('avg(v) FILTER (lag BETWEEN 0 AND 2)', 'stim_mean')}, {_r('avg(v) FILTER (lag BETWEEN 3 AND 5)', 'tone')} FROM m GROUP BY 1, 2, 3""")
+add("k5_most_changed", lambda s, d: rounded(K.most_changed(event_features(s, d), 7)), NAMES,
+    f"""WITH {EVENTS}, wd AS (SELECT recording_id, unit_id, max(dur) FILTER (label = 'high') - max(dur) FILTER (label = 'low') AS dd, max(auc) FILTER (label = 'high') - max(auc) FILTER (label = 'low') AS da, sum(n) AS ev FROM ft GROUP BY 1, 2),
+        mo AS (SELECT recording_id, avg(dd) AS md, stddev_samp(dd) AS sd, avg(da) AS ma, stddev_samp(da) AS sa, count(*) AS nv FROM wd WHERE dd IS NOT NULL AND da IS NOT NULL GROUP BY 1),
+        sc AS (SELECT wd.recording_id, unit_id, round(CASE WHEN nv IS NULL THEN ev WHEN dd IS NOT NULL AND da IS NOT NULL THEN CASE WHEN sd > 0 THEN (dd - md) / sd ELSE 0 END + CASE WHEN sa > 0 THEN (da - ma) / sa ELSE 0 END END, 9) AS score FROM wd LEFT JOIN mo ON mo.recording_id = wd.recording_id)
+        SELECT recording_id, unit_id, {_r('score', 'score')}, place FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY score DESC, unit_id) AS place FROM sc WHERE score IS NOT NULL) WHERE place <= 7""")
+
 # tests
-SR = """rk AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY abs(dd)) + (count(*) OVER (PARTITION BY g, abs(dd)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY g, abs(dd)) AS t FROM df WHERE dd <> 0),
-  st AS (SELECT g, count(*) AS n, coalesce(sum(r) FILTER (dd > 0), 0) AS w, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM rk GROUP BY 1), md AS (SELECT g, median(dd) AS median FROM df GROUP BY 1 HAVING count(*) >= 2)"""
 add("e9_paired_units", lambda s, d: rounded(E.paired_unit_tests(event_features(s, d), ["dur", "auc", "rate"], p=False)), NAMES,
     f"""WITH {EVENTS}, wd AS (SELECT recording_id, unit_id, {', '.join(f"max({c}) FILTER (label = 'high') - max({c}) FILTER (label = 'low') AS {c}" for c in ('dur', 'auc', 'rate'))} FROM ft GROUP BY 1, 2),
         df AS ({' UNION ALL '.join(f"SELECT (recording_id, '{c}') AS g, {c} AS dd FROM wd WHERE {c} IS NOT NULL" for c in ('dur', 'auc', 'rate'))}), {SR}

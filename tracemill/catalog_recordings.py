@@ -10,7 +10,7 @@ from .operators import signal as R
 from .operators import sorts as K
 from .sources import fixtures as fx
 from .sources import recordings as S
-from .sources.staging import scratch
+from .sources.staging import Failures, scratch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -139,6 +139,38 @@ def failed(s, d):
 
 add("s9_error_isolation", failed, "positions", "SELECT recording_id, unit_id, CASE unit_id % 10 WHEN 3 THEN 'empty trace' WHEN 7 THEN 'no trace' ELSE 'none' END AS error FROM positions")
 
+
+
+def all_failures(s, d):
+    """What five operators could not work on, from one table."""
+    log = Failures()
+    e = fx.trace_arrays(s, d).withColumn("trace", F.when(F.col("unit_id") % 10 == 3, F.slice("trace", 1, 0)).when(F.col("unit_id") % 10 != 7, F.col("trace")))
+    R.welch_spectra(e, fx.FPS, 32, 16, 32, failed=log)
+    R.long_acf(e, 4, failed=log)
+    R.peak_list(e, failed=log)
+    R.period_acf(e.withColumn("period", F.lit(0)), 8, 5, failed=log)
+    R.windowed_peak_freq(e, fx.FPS, 32, 16, 0.1, 0.9, failed=log)
+    return log.table(s).select("operator", F.col("keys")["recording_id"].alias("recording_id"), F.col("keys")["unit_id"].alias("unit_id"), "error")
+
+
+add("s9_failures", all_failures, "positions",
+    """SELECT operator, CAST(recording_id AS VARCHAR) AS recording_id, CAST(unit_id AS VARCHAR) AS unit_id, CASE WHEN unit_id % 10 = 7 THEN 'no trace' WHEN operator = 'windows' THEN 'shorter than a window' ELSE 'empty trace' END AS error
+       FROM positions, (SELECT unnest(['welch', 'acf', 'peaks', 'period acf', 'windows']) AS operator) WHERE unit_id % 10 IN (3, 7)""")
+
+
+def nameless(s, d):
+    """Recordings with matrices under names that nobody lists: whole traces for odd recordings, beginnings for all, and a flat one of full size."""
+    e = fx.trace_arrays(s, d)
+    whole = F.when(F.col("recording_id") % 2 == 1, F.col("trace"))
+    return e.select("recording_id", "unit_id", F.transform("trace", lambda x: F.lit(0.5)).alias("flat"), F.slice("trace", 1, 10).alias("part"), F.struct(whole.alias("m")).alias("deep"))
+
+
+add("s4_best_matrix", lambda s, d: rounded(S.best_matrix(nameless(s, d), ["recording_id"], "trace").select("recording_id", "unit_id", "trace_name", F.posexplode("trace").alias("frame", "value"))), "traces",
+    f"SELECT recording_id, unit_id, CASE WHEN recording_id % 2 = 1 THEN 'deep.m' ELSE 'part' END AS trace_name, frame, {_r('value', 'value')} FROM traces WHERE recording_id % 2 = 1 OR frame < 10")
+add("s4_matrix_profiles", lambda s, d: rounded(S.matrix_profiles(nameless(s, d), ["recording_id"])), "traces",
+    f"""WITH m AS (SELECT recording_id, unit_id, 'flat' AS name, 0 AS place, 0.5 AS v FROM traces UNION ALL SELECT recording_id, unit_id, 'part', 1, value FROM traces WHERE frame < 10 UNION ALL SELECT recording_id, unit_id, 'deep.m', 2, value FROM traces WHERE recording_id % 2 = 1)
+        SELECT r.recording_id, n.name, n.place, count(DISTINCT unit_id) AS rows, count(v) AS values, count(v) AS known, {_r('max(v) - min(v)', 'spread')} FROM (SELECT DISTINCT recording_id FROM traces) r CROSS JOIN (SELECT DISTINCT name, place FROM m) n LEFT JOIN m ON m.recording_id = r.recording_id AND m.name = n.name GROUP BY 1, 2, 3""")
+
 # clocks and channels
 
 
@@ -211,9 +243,8 @@ def onset_sources(s, d):
     arrays = grid.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("frame", F.coalesce("v", F.lit(0.0)).alias("v")))).alias("g")).select("recording_id", F.col("g.v").alias("tail"))
     listed = e.groupBy("recording_id").agg(hours.alias("hours"))
     r = F.col("recording_id")
-    few = F.filter("hours", lambda x: x % 7 == 0)
     return arrays.join(listed, "recording_id").select(
-        "recording_id", F.lit(fx.EVENT_FRAMES).alias("n_frames"), F.when(r == 0, few).when(r == 1, F.transform(few, lambda x: x * 100)).alias("onset_frames"), F.when(r == 1, F.transform(few, lambda x: x / 2.0)).alias("onset_seconds"),
+        "recording_id", F.lit(fx.EVENT_FRAMES).alias("n_frames"), F.when(r == 0, F.col("hours")).when(r == 1, F.transform("hours", lambda x: x * 100)).alias("onset_frames"), F.when(r == 1, F.transform("hours", lambda x: x / 2.0)).alias("onset_seconds"),
         F.when(r == 2, F.transform("tail", lambda x: F.when(x > 400, 1.0).otherwise(0.0))).alias("train"), F.when(r >= 3, F.col("tail")).alias("tail"),
     )
 
@@ -225,5 +256,5 @@ add("r27_onset_precedence", lambda s, d: R.bout_onsets(onset_sources(s, d), 2.0)
         tn AS (SELECT recording_id, frame, v > 400 AS act, lag(v > 400) OVER w AS was FROM gd WHERE recording_id = 2 WINDOW w AS (PARTITION BY recording_id ORDER BY frame)),
         sm AS (SELECT recording_id, frame, {_SMOOTH} AS s FROM gd WHERE recording_id >= 3 WINDOW w AS (PARTITION BY recording_id ORDER BY frame)), th AS (SELECT recording_id, median(s) + 2 * mad(s) AS th FROM sm GROUP BY 1),
         on_ AS (SELECT recording_id, frame, s > th AS act, lag(s > th) OVER (PARTITION BY recording_id ORDER BY frame) AS was FROM sm JOIN th USING (recording_id)), rn AS (SELECT *, sum(CAST(act AND NOT coalesce(was, false) AS INTEGER)) OVER (PARTITION BY recording_id ORDER BY frame) AS run FROM on_)
-        SELECT DISTINCT recording_id, frame, 'frames' AS source FROM ev WHERE recording_id = 0 AND frame BETWEEN 0 AND 719 AND frame % 7 = 0 UNION ALL SELECT DISTINCT recording_id, frame, 'seconds' FROM ev WHERE recording_id = 1 AND frame BETWEEN 0 AND 719 AND frame % 7 = 0
+        SELECT DISTINCT recording_id, frame, 'frames' AS source FROM ev WHERE recording_id = 0 AND frame BETWEEN 0 AND 719 UNION ALL SELECT DISTINCT recording_id, frame, 'seconds' FROM ev WHERE recording_id = 1 AND frame BETWEEN 0 AND 719
         UNION ALL SELECT recording_id, frame, 'train' FROM tn WHERE act AND NOT coalesce(was, false) UNION ALL SELECT recording_id, min(frame), 'tail' FROM rn WHERE act GROUP BY recording_id, run HAVING count(*) >= 2""")

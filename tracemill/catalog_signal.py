@@ -154,6 +154,10 @@ add("r29_two_pass", lambda s, d: rounded(R.two_pass_refine(A(s, d), P.unit_qc_fi
         d1 AS (SELECT {UK} FROM (SELECT *, row_number() OVER (PARTITION BY {UK} ORDER BY pxx DESC, f) AS o FROM s1) WHERE o = 1 AND f BETWEEN 0.1 AND 0.5), ok AS (SELECT {UK} FROM traces GROUP BY 1, 2 HAVING count(value) >= 0.95 * 64 AND stddev_samp(value) > 0)
         SELECT {UK}, {_r('f', 'dom')}, {_r('pxx', 'power')} FROM (SELECT s2.*, row_number() OVER (PARTITION BY {UK} ORDER BY pxx DESC, f) AS o FROM s2 JOIN d1 USING ({UK}) JOIN ok USING ({UK}) WHERE f BETWEEN 0.1 AND 0.5) WHERE o = 1""")
 
+add("r29_in_band_counts", lambda s, d: R.in_band_counts(A(s, d), R.in_band_units(A(s, d), P.unit_qc_finite(T(s, d), 64), fx.FPS, 16, 0.1, 0.5)), "traces",
+    f"""WITH {welch_sql('traces', UK, 16, 7, 's1')}, d1 AS (SELECT {UK} FROM (SELECT *, row_number() OVER (PARTITION BY {UK} ORDER BY pxx DESC, f) AS o FROM s1) WHERE o = 1 AND f BETWEEN 0.1 AND 0.5), ok AS (SELECT {UK} FROM traces GROUP BY 1, 2 HAVING count(value) >= 0.95 * 64 AND stddev_samp(value) > 0)
+        SELECT u.recording_id, count(*) AS units, count(d1.unit_id) FILTER (ok.unit_id IS NOT NULL) AS in_band FROM (SELECT DISTINCT {UK} FROM traces) u LEFT JOIN d1 USING ({UK}) LEFT JOIN ok USING ({UK}) GROUP BY 1""")
+
 
 def acf_spectra(s, d):
     """Spectra of autocorrelations, which tell rhythms that channels share."""
@@ -188,6 +192,9 @@ PERIOD = f"""pr AS (SELECT recording_id, unit_id, CAST(p AS INTEGER) AS period,
 add("r30_period_power", lambda s, d: rounded(R.period_power(periods(s, d), fx.FPS, 16, 0.1, 0.5)), "traces", f"WITH {PERIOD} SELECT {UK}, period, {_r('power', 'power')} FROM pw")
 add("r30_pooled_power", lambda s, d: rounded(R.pooled_by_period(R.period_power(periods(s, d), fx.FPS, 16, 0.1, 0.5))), "traces", f"WITH {PERIOD} SELECT period, {_r('avg(power)', 'mean')}, {_r('stddev_samp(power) / sqrt(count(power))', 'sem')}, count(power) AS n FROM pw GROUP BY 1")
 
+add("r30_pooled_limits", lambda s, d: rounded(R.pooled_limits(R.period_power(periods(s, d), fx.FPS, 16, 0.1, 0.5))), "traces",
+    f"WITH {PERIOD}, vals AS (SELECT 1 AS g, power AS v FROM pw), {HAZEN.replace('0.05, 0.25, 0.5, 0.9', '0.01, 0.99')} SELECT {_r('max(q) FILTER (p = 0.01)', 'low')}, {_r('max(q) FILTER (p = 0.99)', 'high')} FROM h")
+
 # latent modes
 
 
@@ -207,6 +214,17 @@ def latent(s, d):
 
 LT = "lt AS (SELECT recording_id, CAST(unit_id % 4 AS INTEGER) AS pc, frame, avg(value) AS value FROM traces GROUP BY ALL)"
 add("n14_pca_share", lambda s, d: rounded(components(s, d).select("recording_id", "pc", "share")))
+ENERGY = "z AS (SELECT recording_id, unit_id, frame, value - avg(value) OVER w AS v, sum(value * value) OVER w - count(*) OVER w * pow(avg(value) OVER w, 2) AS s FROM traces WINDOW w AS (PARTITION BY recording_id, unit_id))"
+
+
+def energy(s, d):
+    """What all components of a recording hold, frame by frame."""
+    pcs = L.pca(A(s, d), 64)
+    rows = pcs.select("recording_id", "share", "n", F.posexplode("score").alias("frame", "v"))
+    return rows.groupBy("recording_id", "frame").agg(F.sum(F.col("share") * F.col("n") * F.col("v") ** 2).alias("energy"))
+
+
+add("n14_energy", lambda s, d: rounded(energy(s, d), 5), "traces", f"WITH {ENERGY} SELECT recording_id, frame, round(sum(v * v / s), 5) + 0.0 AS energy FROM z GROUP BY 1, 2")
 add("n15_pca_time", lambda s, d: rounded(L.pca_time(A(s, d), 3)[0].select("recording_id", "pc", "variance", F.posexplode("pattern").alias("frame", "value"))))
 add("n15_time_scores", lambda s, d: rounded(L.pca_time(A(s, d), 3)[1]))
 add("n16_mode_assignment", lambda s, d: L.mode_assignment(L.loadings(A(s, d), components(s, d))).groupBy("recording_id", "mode").agg(F.count("*").alias("n")))
@@ -283,10 +301,25 @@ def swept_modes(s, d):
     return reduce(DataFrame.unionByName, [L.mode_assignment(load.filter(F.col("pc") < k)).select(F.lit(k).alias("k"), "recording_id", "unit_id", "mode") for k in (3, 4, 5, 6, 8)])
 
 
+def window_energy(s, d):
+    """Per frame of the picked windows the summed squares of all components that were fitted on the windows."""
+    cut = L.window_latents(A(s, d), picked_windows(s, d), 48)[1]
+    return cut.select("recording_id", "label", F.posexplode("trace").alias("frame", "v")).groupBy("recording_id", "label", "frame").agg((F.sum(F.col("v") ** 2) / 47).alias("energy"))
+
+
 def path(s, d):
     return L.trajectory(latent(s, d), fx.FPS)
 
 
+WINDOWS = """se AS (SELECT DISTINCT recording_id, frame FROM ev WHERE frame BETWEEN 0 AND 63), wins AS (SELECT recording_id, CAST(k * 8 AS INTEGER) AS start, CAST(k * 8 + 23 AS INTEGER) AS "end" FROM (SELECT DISTINCT recording_id FROM se), range(6) q(k)),
+  counts AS (SELECT w.recording_id, w.start, w."end", count(e.frame) AS n FROM wins w LEFT JOIN se e ON e.recording_id = w.recording_id AND e.frame BETWEEN w.start AND w."end" GROUP BY ALL),
+  picked AS (SELECT recording_id, 'low' AS label, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY n, start) AS k FROM counts) WHERE k = 1
+    UNION ALL SELECT recording_id, 'high', start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY n DESC, start) AS k FROM counts) WHERE k = 1)"""
+# all components together hold what the standardised windows hold, frame by frame
+add("n27_window_energy", lambda s, d: rounded(window_energy(s, d), 5), "traces ev",
+    f"""WITH {WINDOWS}, c AS (SELECT t.recording_id, label, unit_id, frame - start AS frame, value FROM traces t JOIN picked p ON p.recording_id = t.recording_id AND t.frame BETWEEN p.start AND p."end"),
+        z AS (SELECT recording_id, label, unit_id, frame, value - avg(value) OVER w AS v, sum(value * value) OVER w - count(*) OVER w * pow(avg(value) OVER w, 2) AS s FROM c WINDOW w AS (PARTITION BY recording_id, unit_id))
+        SELECT recording_id, label, CAST(frame AS INTEGER) AS frame, round(sum(v * v / s), 5) + 0.0 AS energy FROM z GROUP BY 1, 2, 3""")
 add("n27_trajectory", lambda s, d: rounded(path(s, d)), "traces",
     f"WITH {LT}, {PATH} SELECT recording_id, frame, {_r('x', 'x')}, {_r('y', 'y')}, {_r('z', 'z')}, {_r('sqrt(r2)', 'radius')}, {_r('sqrt(vx * vx + vy * vy + vz * vz)', 'speed')}, {_r('CASE WHEN r2 > 0 THEN sqrt((y * vz - z * vy) ** 2 + (z * vx - x * vz) ** 2 + (x * vy - y * vx) ** 2) / r2 END', 'angular')} FROM v")
 SUMMARY = """w2 AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1, lead(r2) OVER w AS r1 FROM v WINDOW w AS (PARTITION BY recording_id ORDER BY frame))"""

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..functions.batches import padded
-from ..sources.staging import staged
+from ..sources.staging import bounded_batches, staged
 from .aggregates import fisher_z_mean, hazen, resultant, trapz
 from .clean import UNIT
 from .joins import events_in_windows, interpolate_to, leave_one_out_mean, peri_event
 from .pairs import dealt, permuted
-from .signal import collect_traces, peak_list, per_trace
+from .signal import activity, collect_traces, peak_list, per_trace, speed
 from .stats import correlation, fdr_mask, fisher_table, ranksum, signrank
 from .windows import runs
 
@@ -107,6 +107,77 @@ def peri_average(peri: DataFrame, col: str = "value") -> DataFrame:
     return peri.groupBy(*UNIT, "lag").agg(F.avg(col).alias("mean"))
 
 
+def phase_signals(arrays: DataFrame, fps: float, low: float, high: float, order: int = 3) -> DataFrame:
+    """(recording_id, unit_id, trace, phase, error): each trace band-passed, and the phase of its analytic signal."""
+    sections = k.butter_bandpass(order, low, high, fps)
+
+    def fn(x):
+        y = k.filtfilt(sections, x)
+        return {"trace": y, "phase": np.angle(k.analytic(y))}
+
+    return per_trace(arrays, fn, "trace array<double>, phase array<double>", rows=True)
+
+
+def event_curves(signals: DataFrame, events: DataFrame, fps: float, before: int, after: int, pre: tuple[int, int], post: tuple[int, int], peak: tuple[int, int], smooth: int | None = None) -> DataFrame:
+    """What a unit's phase does around the events of its recording.
+
+    (recording_id, unit_id, n, itpc, freq, mean, pre_itpc, post_itpc, delta_itpc, reset, pre_freq,
+    post_freq, delta_freq). ``signals`` (recording_id, unit_id, trace, phase). Curves over lags -before
+    to after: coherence of the phases, mean instantaneous frequency (first difference of the unwrapped
+    phase, smoothed by a Gaussian of ``smooth`` frames, a second by default), and mean of the trace.
+    Events count whose surrounding is whole; without any the curves are NULL. A unit's events are sliced
+    from its row, so no table of samples is made.
+    """
+    smooth = max(3, round(fps)) if smooth is None else smooth
+    onsets = events.groupBy("recording_id").agg(F.sort_array(F.collect_set("frame")).alias("at"))
+    rows = signals.join(onsets, "recording_id").select(*UNIT, "trace", "phase", "at")
+    lags = np.arange(-before, after + 1)
+    inside = {n: (lags >= w[0]) & (lags <= w[1]) for n, w in (("pre", pre), ("post", post), ("peak", peak))}
+    reach = np.arange(-(smooth // 2), smooth - smooth // 2)
+    weights = np.exp(-0.5 * (reach / (smooth / 5)) ** 2)
+    curves, numbers = ("itpc", "freq", "mean"), ("pre_itpc", "post_itpc", "delta_itpc", "reset", "pre_freq", "post_freq", "delta_freq")
+
+    def frequency(phase: np.ndarray) -> np.ndarray:
+        step = np.diff(phase)
+        raw = np.concatenate(([np.nan], step - 2 * np.pi * np.round(step / (2 * np.pi)))) * fps / (2 * np.pi)
+        known = np.isfinite(raw)
+        held = np.pad(np.where(known, raw, 0.0), smooth), np.pad(known.astype(float), smooth)
+        total, norm = (sum(w * x[smooth + i : smooth + i + len(raw)] for i, w in zip(reach, weights)) for x in held)
+        return np.where(norm > 0, total / np.maximum(norm, 1e-300), np.nan)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("n", *curves, *numbers)}
+            for i in range(batch.num_rows):
+                trace, phase, at = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) if batch.column(c)[i].is_valid else np.zeros(0) for c in (2, 3, 4))
+                at = at[(at >= before) & (at + after < len(phase))].astype(int) if len(trace) == len(phase) else at[:0].astype(int)
+                got: dict = dict.fromkeys(out)
+                got["n"] = len(at)
+                if len(at):
+                    near = at[:, None] + lags
+                    freq = frequency(phase)[near]
+                    itpc = np.abs(np.exp(1j * phase[near]).mean(axis=0))
+                    mean = lambda x, w: float(np.nanmean(x[..., inside[w]])) if inside[w].any() else None  # noqa: E731, B023
+                    got |= {"itpc": itpc, "freq": np.nanmean(freq, axis=0), "mean": trace[near].mean(axis=0), "pre_itpc": mean(itpc, "pre"), "post_itpc": mean(itpc, "post"), "pre_freq": mean(freq, "pre"), "post_freq": mean(freq, "post")}
+                    got |= {f"delta_{c}": None if None in (got[f"pre_{c}"], got[f"post_{c}"]) else got[f"post_{c}"] - got[f"pre_{c}"] for c in ("itpc", "freq")}
+                    got["reset"] = float(itpc[inside["peak"]].max()) - got["pre_itpc"] if inside["peak"].any() and got["pre_itpc"] is not None else None
+                for c in out:
+                    out[c].append(got[c])
+            cells = [pa.array(out["n"], pa.int32()), *[pa.array(out[c], pa.list_(pa.float64())) for c in curves], *[pa.array(out[c], pa.float64()) for c in numbers]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], names=[*UNIT, *out])
+
+    bounded_batches(signals.sparkSession)
+    kinds = dict(signals.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in UNIT], "n int", *[f"{c} array<double>" for c in curves], *[f"{c} double" for c in numbers]])
+    return rows.mapInArrow(run, schema)
+
+
+def long_event_curves(curves: DataFrame, before: int) -> DataFrame:
+    """(recording_id, unit_id, lag, itpc, freq, mean): the curves of ``event_curves``, a row per lag."""
+    rows = curves.select(*UNIT, F.posexplode(F.arrays_zip("itpc", "freq", "mean")).alias("i", "c"))
+    return rows.select(*UNIT, (F.col("i") - before).alias("lag"), "c.itpc", "c.freq", "c.mean")
+
+
 def subject_rollup(units: DataFrame, subject: Column, col: str) -> DataFrame:
     """(subject_id, median, n) of pooled units."""
     return units.groupBy(subject.alias("subject_id")).agg(F.median(col).alias("median"), F.count(col).alias("n"))
@@ -161,15 +232,33 @@ def responsive_units(trials: DataFrame, stim_from: int, sds: float = 2.0) -> Dat
     return g.withColumn("response", r).drop("_sd")
 
 
-def quantify_by_condition(signals: DataFrame, k: float, least_frames: int, fps: float, floor: float = 1e-10) -> DataFrame:
-    """(subject_id, cond, mean, p95, active, bouts_per_min, integral): activity above the subject's pooled threshold median + k MAD.
+def responsive_by_signrank(trials: DataFrame, stim_from: int, alpha: float = 0.05, p: bool = True) -> DataFrame:
+    """(subject_id, unit_id, n, w, ties, median[, p, response]): signed-rank test over a unit's trials of the stimulus mean against the baseline mean; response 1 or -1 where it is significant."""
+    base, stim = F.when(F.col("rel_frame") < stim_from, F.col("value")), F.when(F.col("rel_frame") >= stim_from, F.col("value"))
+    means = trials.groupBy("subject_id", "unit_id", "trial").agg(F.avg(base).alias("_b"), F.avg(stim).alias("_s"))
+    t = signrank(means, ["subject_id", "unit_id"], "_s", "_b", p, small=True)
+    return t.withColumn("response", F.when(F.col("p") < alpha, F.signum("median").cast("int")).otherwise(0)) if p else t
+
+
+def movement(signals: DataFrame, fps: float, smooth_sec: float = 0.10, angle: bool = False) -> DataFrame:
+    """Signals (subject_id, cond, frame, value) as what is thresholded: the smoothed absolute value, or for angles the absolute time derivative of the smoothed angle."""
+    key, frames = ["subject_id", "cond"], max(1, round(smooth_sec * fps))
+    moved = speed(signals, frames, fps, key).withColumn("value", F.col("speed")) if angle else activity(signals, frames, key).withColumn("value", F.col("activity"))
+    return moved.select(*key, "frame", "value")
+
 
+def quantify_by_condition(signals: DataFrame, k: float, least_frames: int, fps: float, floor: float = 1e-10, pooled: bool = True) -> DataFrame:
+    """(subject_id, cond, mean, p95, active, bouts_per_min, integral): activity above the threshold median + k MAD (``floor`` at least).
+
+    The threshold is the subject's, pooled over its conditions, or one of each condition.
     Frames are runs of the condition's clock; runs shorter than ``least_frames`` are no bouts.
     """
-    med = signals.groupBy("subject_id").agg(F.median("value").alias("_med"))
-    dev = signals.join(med, "subject_id")
-    thr = dev.groupBy("subject_id").agg((F.first("_med") + k * F.median(F.abs(F.col("value") - F.col("_med")))).alias("_thr"))
-    on = signals.join(thr, "subject_id").withColumn("_on", F.col("value") > F.greatest("_thr", F.lit(floor)))
+    group = ["subject_id"] if pooled else ["subject_id", "cond"]
+    med = signals.groupBy(*group).agg(F.median("value").alias("_med"))
+    dev = signals.join(med, group)
+    mad = F.greatest(F.median(F.abs(F.col("value") - F.col("_med"))), F.lit(floor))
+    thr = dev.groupBy(*group).agg((F.first("_med") + k * mad).alias("_thr"))
+    on = signals.join(thr, group).withColumn("_on", F.col("value") > F.col("_thr"))
     key = ["subject_id", "cond"]
     bouts = runs(on, "_on", key).filter(F.col("length") >= least_frames).groupBy(*key).agg(F.count(F.lit(1)).alias("bouts"), F.sum("length").alias("frames"))
     stats = on.groupBy(*key).agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
@@ -197,6 +286,13 @@ def response_latency(stims: DataFrame, beats: DataFrame, most: int) -> DataFrame
     return near.select("recording_id", "frame", F.when(F.col("_d") <= most, F.col("_d")).alias("latency"), F.coalesce(F.col("_d") <= most, F.lit(False)).alias("responded"))
 
 
+def responder_shares(latencies: DataFrame, stims: DataFrame) -> DataFrame:
+    """(recording_id, stim, trials, responded, share, latency): per condition of the stimuli (recording_id, frame, stim) the share of responses in time and their mean latency."""
+    both = latencies.join(stims.select("recording_id", "frame", "stim"), ["recording_id", "frame"])
+    hits = F.count(F.when(F.col("responded"), 1))
+    return both.groupBy("recording_id", "stim").agg(F.count(F.lit(1)).alias("trials"), hits.alias("responded"), (hits / F.count(F.lit(1))).alias("share"), F.avg("latency").alias("latency"))
+
+
 def oscillator_core(traces: DataFrame, dom: DataFrame, low: float, high: float) -> DataFrame:
     """(recording_id, frame, core): mean trace of the units in the core band, else of all units."""
     inside = traces.join(dom, UNIT, "left")
@@ -388,3 +484,11 @@ def trial_windows(peri: DataFrame, d: int) -> DataFrame:
     """(recording_id, unit_id, base, stim, tone): means over lags -d to -1, 0 to d - 1 and d to 2d - 1 around the stimuli."""
     mean = lambda a, b: F.avg(F.when(F.col("lag").between(a, b - 1), F.col("value")))
     return peri.groupBy(*UNIT).agg(mean(-d, 0).alias("base"), mean(0, d).alias("stim"), mean(d, 2 * d).alias("tone"))
+
+
+def condition_windows(peri: DataFrame, stims: DataFrame, d: int) -> DataFrame:
+    """(recording_id, unit_id, stim, trials, base, stim_mean, tone): the trial-averaged trace of each condition of the stimuli (recording_id, frame, stim), averaged over the windows of ``trial_windows``."""
+    own = peri.join(stims.select("recording_id", F.col("frame").alias("event"), "stim"), ["recording_id", "event"])
+    mean = own.groupBy(*UNIT, "stim", "lag").agg(F.avg("value").alias("value"), F.count("value").alias("_n"))
+    over = lambda a, b: F.avg(F.when(F.col("lag").between(a, b - 1), F.col("value")))
+    return mean.groupBy(*UNIT, "stim").agg(F.max("_n").alias("trials"), over(-d, 0).alias("base"), over(0, d).alias("stim_mean"), over(d, 2 * d).alias("tone"))

@@ -269,6 +269,24 @@ def latents(pcs: DataFrame) -> DataFrame:
     return latent_arrays(pcs).select("recording_id", "pc", F.posexplode("trace").alias("frame", "value"))
 
 
+def window_latents(arrays: DataFrame, picked: DataFrame, components: int, labels: tuple[str, ...] = ("low", "high")) -> tuple[DataFrame, DataFrame]:
+    """Components fitted on picked windows alone: their (recording_id, pc, n, share, score) and (recording_id, label, pc, trace), the scores inside each window.
+
+    Each unit's slices of the windows (recording_id, label, start, end) are put one after the other, in the order of
+    ``labels``, and standardised as one trace. Recordings without all windows are left out, as are units with a
+    missing value inside one.
+    """
+    at = lambda label, c: F.max(F.when(F.col("label") == label, F.col(c))).alias(f"_{c}_{label}")
+    cuts = picked.groupBy("recording_id").agg(*[at(x, c) for x in labels for c in ("start", "end")]).dropna()
+    length = lambda x: F.col(f"_end_{x}") - F.col(f"_start_{x}") + 1
+    joined = arrays.join(cuts, "recording_id").select(*UNIT, F.concat(*[F.slice("trace", F.col(f"_start_{x}") + 1, length(x)) for x in labels]).alias("trace"))
+    pcs = pca(joined, components)
+    own = latent_arrays(pcs).join(cuts, "recording_id")
+    from_ = [sum((length(y) for y in labels[:i]), F.lit(1)) for i in range(len(labels))]
+    windows = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.slice("trace", a, length(x)).alias("trace")) for x, a in zip(labels, from_)])).alias("w")
+    return pcs, own.select("recording_id", "pc", windows).select("recording_id", "w.label", "pc", "w.trace")
+
+
 def pca_time(arrays: DataFrame, components: int) -> tuple[DataFrame, DataFrame]:
     """Components with frames as features: (recording_id, pc, variance, pattern) and (recording_id, unit_id, pc, score).
 

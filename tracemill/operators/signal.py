@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..functions.batches import matrices, output
-from ..sources.staging import bounded_batches, staged
+from ..sources.staging import Failures, bounded_batches, good_rows, staged
 from .aggregates import mad, mean_curve, trapz
 from .clean import UNIT, fill_missing
 from .joins import interpolate_to
-from .ranks import beside, running
+from .ranks import beside, running, value_counts
 from .windows import drop_short_runs, gaussian_smooth, gradient, moving_mean, runs
 
 
@@ -80,9 +80,9 @@ def acf(arrays: DataFrame, max_lag: int) -> DataFrame:
     return per_trace(arrays, lambda x: {"acf": k.acf(x, max_lag)}, "acf array<double>", rows=True)
 
 
-def long_acf(arrays: DataFrame, max_lag: int) -> DataFrame:
+def long_acf(arrays: DataFrame, max_lag: int, failed: Failures | None = None) -> DataFrame:
     """(recording_id, unit_id, lag, r)"""
-    return acf(arrays, max_lag).select(*UNIT, F.posexplode("acf").alias("lag", "r"))
+    return good_rows(acf(arrays, max_lag), "acf", UNIT, failed).select(*UNIT, F.posexplode("acf").alias("lag", "r"))
 
 
 def acf_peaks(arrays: DataFrame, fps: float, min_sec: float, max_sec: float, prominence: float) -> DataFrame:
@@ -102,7 +102,7 @@ def acf_peak_filter(arrays: DataFrame, fps: float, min_sec: float = 10, max_sec:
     return arrays.join(good, UNIT, "left_semi")
 
 
-def welch_spectra(arrays: DataFrame, fps: float, window: int, overlap: int, nfft: int, kind: str = "hann", keys: list[str] = UNIT) -> DataFrame:
+def welch_spectra(arrays: DataFrame, fps: float, window: int, overlap: int, nfft: int, kind: str = "hann", keys: list[str] = UNIT, failed: Failures | None = None) -> DataFrame:
     """(keys..., f, pxx): Welch spectrum per row."""
     make = {"hann": k.hann, "hamming": k.hamming}[kind]
 
@@ -110,7 +110,7 @@ def welch_spectra(arrays: DataFrame, fps: float, window: int, overlap: int, nfft
         f, p = k.welch(x, fps, make(window), overlap, nfft)
         return {"fs": [f] * len(x), "ps": p}
 
-    s = per_trace(arrays, fn, "fs array<double>, ps array<double>", keys, rows=True)
+    s = good_rows(per_trace(arrays, fn, "fs array<double>, ps array<double>", keys, rows=True), "welch", keys, failed)
     return s.select(*keys, F.explode(F.arrays_zip("fs", "ps")).alias("s")).select(*keys, F.col("s.fs").alias("f"), F.col("s.ps").alias("pxx"))
 
 
@@ -176,11 +176,14 @@ def occupied_bandwidth(spectra: DataFrame, low: float, high: float, share: float
     return cum.groupBy(*keys).agg((F.min(F.when(F.col("_c") >= 1 - tail, F.col("f"))) - F.min(F.when(F.col("_c") >= tail, F.col("f")))).alias("obw"))
 
 
-def windowed_peak_freq(arrays: DataFrame, fps: float, window: int, hop: int, low: float, high: float, keys: list[str] = UNIT) -> DataFrame:
-    """(keys..., start, freq): dominant frequency of each hop window."""
+def windowed_peak_freq(arrays: DataFrame, fps: float, window: int, hop: int, low: float, high: float, keys: list[str] = UNIT, failed: Failures | None = None) -> DataFrame:
+    """(keys..., start, freq): dominant frequency of each hop window. A trace that is shorter than a window has none and counts as failed."""
+    if failed is not None:
+        short = F.when(F.col("trace").isNull(), "no trace").when(F.size("trace") < window, "shorter than a window")
+        arrays = good_rows(arrays.select(*keys, "trace", short.alias("error")), "windows", keys, failed)
     starts = F.explode(F.sequence(F.lit(0), F.size("trace") - window, F.lit(hop))).alias("start")
     cut = arrays.filter(F.size("trace") >= window).select(*keys, "trace", starts).withColumn("trace", F.slice("trace", F.col("start") + 1, window))
-    spectra = welch_spectra(cut, fps, window, window // 2, window, keys=[*keys, "start"])
+    spectra = welch_spectra(cut, fps, window, window // 2, window, keys=[*keys, "start"], failed=failed)
     return dominant_freq(spectra, low, high, [*keys, "start"]).select(*keys, "start", F.col("dom").alias("freq"))
 
 
@@ -224,13 +227,13 @@ def resample_rate(arrays: DataFrame, rate_in: float, rate_out: float, keys: list
     return per_trace(arrays, lambda x: {"trace": k.resample(x, rate_in, rate_out)}, "trace array<double>", keys, rows=True)
 
 
-def peak_list(arrays: DataFrame, height: float = -math.inf, prominence: float = 0.0, distance: int = 0, keys: list[str] = UNIT) -> DataFrame:
+def peak_list(arrays: DataFrame, height: float = -math.inf, prominence: float = 0.0, distance: int = 0, keys: list[str] = UNIT, failed: Failures | None = None) -> DataFrame:
     """(keys..., frame, value, prominence): local maxima by height, then prominence, then tallest first at a distance."""
     def fn(x):
         at, prom = k.find_peaks(x, height, prominence, distance)
         return {"at": at.tolist(), "heights": x[at], "proms": prom}
 
-    found = per_trace(arrays, fn, "at array<int>, heights array<double>, proms array<double>", keys)
+    found = good_rows(per_trace(arrays, fn, "at array<int>, heights array<double>, proms array<double>", keys), "peaks", keys, failed)
     return found.select(*keys, F.explode(F.arrays_zip("at", "heights", "proms")).alias("p")).select(*keys, F.col("p.at").alias("frame"), F.col("p.heights").alias("value"), F.col("p.proms").alias("prominence"))
 
 
@@ -388,7 +391,7 @@ def channel_domfreq(series: DataFrame, bands: DataFrame, fps: float, window: int
     return dominant_freq(inside, 0.0, math.inf, [*keys, "channel"])
 
 
-def period_acf(periods: DataFrame, max_lag: int, lags: int) -> DataFrame:
+def period_acf(periods: DataFrame, max_lag: int, lags: int, failed: Failures | None = None) -> DataFrame:
     """(recording_id, unit_id, period, k, r): autocorrelation of each period on ``lags`` evenly spaced lags, by linear interpolation.
 
     ``periods`` (recording_id, unit_id, period, trace); shorter periods reach fewer lags, so the grid makes them comparable.
@@ -401,7 +404,7 @@ def period_acf(periods: DataFrame, max_lag: int, lags: int) -> DataFrame:
         low = np.minimum(at.astype(int), max(r.shape[1] - 2, 0))
         return {"r": r[:, low] + (at - low) * (r[:, np.minimum(low + 1, r.shape[1] - 1)] - r[:, low])}
 
-    return per_trace(periods, fn, "r array<double>", keys, rows=True).select(*keys, F.posexplode("r").alias("k", "r"))
+    return good_rows(per_trace(periods, fn, "r array<double>", keys, rows=True), "period acf", keys, failed).select(*keys, F.posexplode("r").alias("k", "r"))
 
 
 def period_power(periods: DataFrame, fps: float, window: int, low: float, high: float) -> DataFrame:
@@ -418,6 +421,17 @@ def pooled_by_period(power: DataFrame) -> DataFrame:
     return mean_curve(power, ["period"], "power")
 
 
+def pooled_limits(power: DataFrame, share: float = 0.01) -> DataFrame:
+    """(low, high): percentiles of the power pooled over all periods, units and recordings, from both ends."""
+    one = power.filter(F.col("power").isNotNull()).withColumn("_f", F.lit(1))
+    told = running(value_counts(one, ["_f"], "power"), ["_f"], F.col("power"), ["power"], {"_upto": F.col("n")})
+    # plotting position (i - 0.5) / n, linear between neighbours
+    place = lambda p: F.least(F.greatest(p * F.col("_upto_all") + 0.5, F.lit(1.0)), F.col("_upto_all").cast("double"))
+    at = lambda p, up: F.min(F.when(F.col("_upto") >= (F.ceil(place(p)) if up else F.floor(place(p))), F.col("power")))
+    part = lambda p: F.max(place(p) - F.floor(place(p)))
+    return told.agg(*[(at(p, False) + part(p) * (at(p, True) - at(p, False))).alias(n) for n, p in (("low", share), ("high", 1 - share))])
+
+
 def rasterise(beats: DataFrame, recordings: DataFrame, fps: float) -> DataFrame:
     """(recording_id, frame, amp): beats (recording_id, t, amp) put on every frame of a clock, 0 elsewhere; several in a frame keep the largest."""
     grid = recordings.select("recording_id", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame"))
@@ -425,11 +439,22 @@ def rasterise(beats: DataFrame, recordings: DataFrame, fps: float) -> DataFrame:
     return grid.join(own, ["recording_id", "frame"], "left").withColumn("amp", F.coalesce("amp", F.lit(0.0)))
 
 
+def in_band_units(arrays: DataFrame, good: DataFrame, fps: float, window: int, low: float, high: float) -> DataFrame:
+    """(recording_id, unit_id): good units whose dominant frequency lies in the band."""
+    first = dominant_freq(welch_spectra(arrays, fps, window, window // 2, window), 0.0, fps / 2)
+    return first.filter(F.col("dom").between(low, high)).join(good.select(*UNIT), UNIT, "left_semi").select(*UNIT)
+
+
+def in_band_counts(arrays: DataFrame, kept: DataFrame) -> DataFrame:
+    """(recording_id, units, in_band): units of each recording, and how many of them a first pass kept."""
+    counts = kept.groupBy("recording_id").agg(F.count(F.lit(1)).alias("in_band"))
+    return arrays.groupBy("recording_id").agg(F.count(F.lit(1)).alias("units")).join(counts, "recording_id", "left").withColumn("in_band", F.coalesce("in_band", F.lit(0)).cast("long"))
+
+
 def two_pass_refine(arrays: DataFrame, good: DataFrame, fps: float, window: int, low: float, high: float) -> DataFrame:
     """(recording_id, unit_id, dom, power): a second pass over the good units whose first-pass frequency is in the band."""
-    first = dominant_freq(welch_spectra(arrays, fps, window, window // 2, window), 0.0, fps / 2)
-    kept = first.filter(F.col("dom").between(low, high)).join(good.select(*UNIT), UNIT, "left_semi")
-    return dominant_freq(welch_spectra(arrays.join(kept.select(*UNIT), UNIT, "left_semi"), fps, 2 * window, window, 2 * window), low, high)
+    kept = in_band_units(arrays, good, fps, window, low, high)
+    return dominant_freq(welch_spectra(arrays.join(kept, UNIT, "left_semi"), fps, 2 * window, window, 2 * window), low, high)
 
 
 def surrogates(arrays: DataFrame, kind: str, seeds: int, keys: list[str] = UNIT) -> DataFrame:

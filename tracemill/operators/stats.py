@@ -51,10 +51,19 @@ def signrank_p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([one(*x) for x in zip(w, n, ties)])
 
 
-def signrank(pairs: DataFrame, by: list[str], a: str, b: str | None = None, p: bool = True) -> DataFrame:
-    """(by..., n, w, ties, median[, p]): Wilcoxon signed-rank test of complete pairs (or of one sample against 0), two pairs at least."""
+def signrank(pairs: DataFrame, by: list[str], a: str, b: str | None = None, p: bool = True, small: bool = False) -> DataFrame:
+    """(by..., n, w, ties, median[, p]): Wilcoxon signed-rank test of complete pairs (or of one sample against 0), two pairs at least.
+
+    ``small`` tells that groups are few rows by design (a unit's trials); else ranks run in two levels.
+    """
     d = F.col(a) - F.col(b) if b else F.col(a)
     known = pairs.select(*by, d.cast("double").alias("_d")).filter(F.col("_d").isNotNull() & ~F.isnan("_d"))
+    if small:
+        med = known.groupBy(*by).agg(F.median("_d").alias("median"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
+        told = rank_within(known.filter("_d <> 0").withColumn("_abs", F.abs("_d")), by, "_abs").withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*by, "_abs")))
+        s = told.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("rank"))), F.lit(0.0)).alias("w"), F.sum(F.col("_t") * F.col("_t") - 1).cast("double").alias("ties"))
+        out = med.join(s, by, "left")
+        return out.withColumn("p", signrank_p("w", F.col("n").cast("double"), "ties")) if p else out
     med = group_median(known, by, "_d").filter("n >= 2").drop("n")
     counts = value_counts(known.filter("_d <> 0").withColumn("_abs", F.abs("_d")), by, "_abs", up=F.col("_d") > 0)
     t = F.col("n").cast("double")

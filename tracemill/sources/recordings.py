@@ -57,18 +57,44 @@ def _path(name: str) -> Column:
     return F.col(".".join(f"`{p}`" for p in name.split(".")))
 
 
-def resolve_column(df: DataFrame, candidates: list[str], out: str, as_type: str = "array<double>") -> DataFrame:
+_NUMBERS = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType)
+
+
+def matrix_profiles(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., name, place, rows, values, known, spread): every numeric array column, fields of structs included, as one group's matrix.
+
+    How many rows have it, how many values they hold and how many of these are finite, and whether they differ. One
+    aggregation looks at all columns.
+    """
+    arrays = [n for n, t in _fields(df.schema) if isinstance(t, T.ArrayType) and isinstance(t.elementType, _NUMBERS)]
+    if not arrays:
+        raise ValueError(f"no numeric array in {df.columns}")
+    finite = lambda n: F.filter(_path(n).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = lambda e: F.coalesce(F.sum(e), F.lit(0)).cast("long")
+    of = [F.struct(F.count(_path(n)).alias("rows"), whole(F.size(_path(n))).alias("values"), whole(F.size(finite(n))).alias("known"), (F.max(F.array_max(finite(n))) - F.min(F.array_min(finite(n)))).alias("spread")).alias(f"p{i}") for i, n in enumerate(arrays)]
+    told = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("place"), F.col(f"p{i}").alias("p")) for i, n in enumerate(arrays)])
+    return df.groupBy(*by).agg(*of).select(*by, F.explode(told).alias("m")).select(*by, "m.name", "m.place", "m.p.*")
+
+
+def best_matrix(df: DataFrame, by: list[str], out: str) -> DataFrame:
+    """Adds ``out``, the numeric array that scores best in each group, and ``<out>_name``: the one with the most finite values among those that are not flat, the first of the schema on ties."""
+    score = F.col("known").cast("double") * F.when(F.coalesce(F.col("spread"), F.lit(0.0)) > 0, 1.0).otherwise(1e-9)
+    profiles = matrix_profiles(df, by)
+    best = profiles.groupBy(*by).agg(F.max_by("name", F.struct(score.alias("s"), (-F.col("place")).alias("p"))).alias(f"{out}_name"))
+    names = [n for n, t in _fields(df.schema) if isinstance(t, T.ArrayType) and isinstance(t.elementType, _NUMBERS)]
+    picked = F.coalesce(*[F.when(F.col(f"{out}_name") == n, _path(n).cast("array<double>")) for n in names])
+    return df.join(best, by).withColumn(out, picked)
+
+
+def resolve_column(df: DataFrame, candidates: list[str], out: str, as_type: str = "array<double>", by: list[str] = ["recording_id"]) -> DataFrame:
     """Adds a column from the first candidate that is not null, top-level columns before fields of structs.
 
-    Without any candidate, the widest numeric array of the schema is taken; without that it fails.
+    Without any candidate in the schema, each recording gets its ``best_matrix``; without a numeric array it fails.
     """
     known = _fields(df.schema)
     picked = [n for c in candidates for n, _ in sorted(known, key=lambda k: k[0].count(".")) if n.split(".")[-1].lower() == c.lower()]
     if not picked:
-        numeric = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType)
-        picked = [n for n, t in known if isinstance(t, T.ArrayType) and isinstance(t.elementType, numeric)][:1]
-    if not picked:
-        raise ValueError(f"none of {candidates} and no numeric array in {df.columns}")
+        return best_matrix(df, by, out).drop(f"{out}_name")
     return df.withColumn(out, F.coalesce(*[_path(n).cast(as_type) for n in picked]))
 
 
