@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import aggregates as A
 from .operators import clean as P
 from .operators import ranks
+from .operators import rows as V
 from .operators import signal as R
 from .operators import windows as W
 from .sources import fixtures as fx
@@ -228,3 +229,27 @@ add("w16_mean_rank", lambda s, d: ranks.mean_rank(fx.positions(s, d), ["recordin
 add("w17_dominant_mode", lambda s, d: W.dominant_mode_per_frame(T(s, d).groupBy("recording_id", "frame", (F.col("unit_id") % 6).alias("mode")).agg(F.avg("value").alias("value"))), "traces",
     """SELECT recording_id, frame, mode FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, frame ORDER BY abs(value) DESC, mode) AS k FROM (
        SELECT recording_id, frame, unit_id % 6 AS mode, avg(value) AS value FROM traces GROUP BY ALL)) WHERE k = 1""")
+
+
+# whole traces: the same results from rows of arrays; the long forms above stay as queries of their own
+
+
+def whole_traces(name: str, fn, value: str = "value") -> None:
+    QUERIES[f"{name}_long"], ORACLE_SQL[f"{name}_long"] = QUERIES[name], ORACLE_SQL[name]
+    QUERIES[name] = lambda s, d: rounded(fx.explode_traces(fn(s, d)).withColumnRenamed("value", value))
+
+
+def phase_arrays(s, d):
+    return fx.trace_arrays(s, d).withColumn("phase", F.transform("trace", lambda x: x * 12))
+
+
+whole_traces("p11_fill_missing", lambda s, d: V.fill_missing(fx.gappy_arrays(s, d)))
+whole_traces("p12_zscore_rows", lambda s, d: V.zscored(fx.gappy_arrays(s, d)))
+whole_traces("p17_detrend", lambda s, d: V.detrended(fx.gappy_arrays(s, d)))
+whole_traces("w1_moving_mean", lambda s, d: V.moving_mean(fx.gappy_arrays(s, d), 6))
+whole_traces("w2_gaussian_smooth", lambda s, d: V.gaussian_smooth(fx.gappy_arrays(s, d), 5))
+whole_traces("w3_exp_causal", lambda s, d: V.exp_causal_filter(fx.trace_arrays(s, d), 1.5, 2.0))
+whole_traces("w4_gradient", lambda s, d: V.gradient(fx.trace_arrays(s, d)), "gradient")
+whole_traces("w5_difference", lambda s, d: V.difference(fx.trace_arrays(s, d), True), "diff")
+whole_traces("w12_unwrap", lambda s, d: V.unwrap_phase(phase_arrays(s, d)), "unwrapped")
+whole_traces("w13_instantaneous_freq", lambda s, d: V.instantaneous_freq(phase_arrays(s, d), fx.FPS), "freq")

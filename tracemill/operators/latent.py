@@ -381,6 +381,55 @@ def lds_fit(latent: DataFrame, fps: float, low: float = 0.01, high: float = 0.10
     return lagged_products(latent, keys).groupBy(*keys).applyInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", re double, im double, magnitude double, freq double, candidate boolean, pairs int")
 
 
+def leading_pairs(products: DataFrame, ks: list[int], fps: float, low: float = 0.01, high: float = 0.10, ridge: float = 1e-3, mag: tuple[float, float] = (0.90, 1.05), keys: list[str] = ["recording_id"]) -> DataFrame:
+    """(keys..., k, pairs): candidates' conjugate pairs of the one-step predictors of the first k components, for every k, from one set of ``lagged_products``."""
+    kinds = dict(products.dtypes)
+
+    def solve(p: pd.DataFrame) -> pd.DataFrame:
+        size = int(p["i"].max()) + 1
+        s0, s1 = np.zeros((size, size)), np.zeros((size, size))
+        s0[p["i"], p["j"]], s1[p["i"], p["j"]] = p["s0"], p["s1"]
+        found = []
+        for k_ in ks:
+            ev = np.linalg.eigvals(s1[:k_, :k_] @ np.linalg.inv(s0[:k_, :k_] + ridge * np.eye(min(k_, size))))
+            freq, far = np.abs(np.angle(ev)) * fps / (2 * np.pi), np.abs(ev)
+            found.append(int(((ev.imag > 1e-10) & (freq >= low) & (freq <= high) & (far >= mag[0]) & (far <= mag[1])).sum()))
+        return pd.DataFrame({**{c: [p[c].iloc[0]] * len(ks) for c in keys}, "k": ks, "pairs": found})
+
+    return products.groupBy(*keys).applyInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", k int, pairs int")
+
+
+def group_frame_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., y): per frame the sum over the rows (keys..., trace) of each group. Tasks add up what they read; groups are few."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        fields: list = []
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(list(c), f) for c, f in zip(zip(*total), fields)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(list(total.values()), pa.list_(pa.float64()))], names=[*keys, "y"])
+
+        for batch in batches:
+            fields = [batch.schema.field(i).type for i in range(len(keys))]
+            groups: dict = {}
+            for i, key in enumerate(zip(*[batch.column(i).to_pylist() for i in range(len(keys))])):
+                groups.setdefault(key, []).append(i)
+            for key, at in groups.items():
+                y = padded(batch.column(len(keys)).take(pa.array(at))).sum(axis=0)
+                total[key] = total[key] + y if key in total else y
+            if len(total) > 64 * HELD_SUMS:
+                yield out()
+                total.clear()
+        if total:
+            yield out()
+
+    bounded_batches(rows.sparkSession)
+    parts = rows.select(*keys, "trace").mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in keys], "y array<double>"]))
+    return _met(_met(_salted(parts), [*keys, "salt"]), keys)
+
+
 def evaluate_latents(windows: DataFrame, fps: float, low: float, high: float, welch_frames: int, quantile: float = 0.2, least: int = 20, keys: list[str] = ["recording_id"]) -> DataFrame:
     """(keys..., pairs, freqs, freq_cv, plv): oscillator measures of latent series (keys..., pc, trace).
 

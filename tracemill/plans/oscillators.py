@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import latent, signal, windows
@@ -35,47 +35,66 @@ def components(arrays: DataFrame, most: int) -> DataFrame:
     return latent.pca(arrays, most)
 
 
-def summaries(arrays: DataFrame, pcs: DataFrame, events: DataFrame, p: OscillatorTest) -> tuple[DataFrame, DataFrame]:
-    """Per recording the measures of its first components, and the mode of each unit.
+def summaries_of_ks(arrays: DataFrame, pcs: DataFrame, events: DataFrame, ks: list[int], p: OscillatorTest) -> tuple[DataFrame, DataFrame]:
+    """For every K the measures of a recording's first K components, and the mode of each unit among them.
 
-    (recording_id, share, occupied, pairs, freq_cv, plv, groups, sliding_mean, sliding_most, separation,
-    label) and (recording_id, unit_id, mode, sign, strength).
+    (recording_id, k, share, occupied, pairs, freq_cv, plv, groups, sliding_mean, sliding_most, separation,
+    label) and (recording_id, unit_id, k, mode, sign, strength). What belongs to a component (spectrum, phases,
+    loadings) or to a pair of them (products, locking) is found once; each K reads its leading part.
     """
     spark, rec = arrays.sparkSession, "recording_id"
-    own = pcs.filter(F.col("pc") < p.components)
-    arr = staged(spark, latent.latent_arrays(own), "oscillator-latents")
-    low, high = p.band
-    whole = latent.evaluate_latents(arr, p.fps, low, high, p.frames(p.welch), p.quantile, p.least_samples)
+    key, (low, high) = [rec, "k"], p.band
+    of_ks = lambda df, col: df.withColumn("k", F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: k > F.col(col))))
+    pcs = pcs.filter(F.col("pc") < max(ks))
+    arr = staged(spark, latent.latent_arrays(pcs), "oscillator-latents")
+    long = arr.select(rec, "pc", F.posexplode("trace").alias("frame", "value"))
+    pairs = latent.leading_pairs(latent.lagged_products(long), ks, p.fps, low, high)
+    welch = p.frames(p.welch)
+    dom = signal.dominant_freq(signal.welch_spectra(arr, p.fps, welch, welch // 2, welch, keys=[rec, "pc"]), low, high, [rec, "pc"])
+    freqs = of_ks(dom, "pc").groupBy(*key).agg((F.stddev_samp("dom") / F.avg("dom")).alias("freq_cv"))
     phases = signal.long_phases(signal.analytic_signal(signal.bandpass(arr, p.fps, low, high, keys=[rec, "pc"]), [rec, "pc"]), [rec, "pc"])
-    locks = staged(spark, latent.phase_locking(phases, p.quantile, p.least_samples), "oscillator-locks")
-    groups = latent.phase_components(locks, own, p.locked).groupBy(rec).agg(F.count_distinct("component").alias("groups"))
-    sliding = latent.sliding_oscillators(arr, events, p.fps, max(20, p.frames(p.window)), p.frames(p.step), low, high, p.frames(p.welch), p.quantile, p.least_samples)
-    sliding = sliding.groupBy(rec).agg(F.avg("pairs").alias("sliding_mean"), F.max("pairs").alias("sliding_most"))
-    modes = staged(spark, latent.mode_assignment(latent.loadings(arrays, own, unit_norm=True)), "oscillator-modes")
-    traces = arrays.select(*UNIT, F.posexplode("trace").alias("frame", "value"))
-    dominant = windows.dominant_mode_per_frame(latent.mode_traces(traces, modes))
-    separation = latent.geometry_separation(latent.frame_points(arr.select(rec, "pc", F.posexplode("trace").alias("frame", "value")), dominant), 5)
-    shares = own.groupBy(rec).agg(F.sum("share").alias("share"))
-    occupied = modes.groupBy(rec).agg(F.count_distinct("mode").alias("occupied"))
-    out = reduce(lambda a, b: a.join(b, rec, "left"), [shares, occupied, whole.drop("freqs"), groups, sliding, separation])
+    locks = of_ks(staged(spark, latent.phase_locking(phases, p.quantile, p.least_samples), "oscillator-locks"), "b")
+    plv = locks.groupBy(*key).agg(F.avg("plv").alias("plv"))
+    # a recording under one K is a graph of its own
+    groups = latent.phase_components(locks.select(graph_key(rec), "a", "b", "plv"), of_ks(pcs, "pc").select(graph_key(rec), "pc"), p.locked).groupBy(rec).agg(F.count_distinct("component").alias("groups"))
+    split = lambda df, *columns: df.select(F.regexp_extract(rec, "^[0-9]+/(.*)$", 1).cast(dict(arrays.dtypes)[rec]).alias(rec), F.regexp_extract(rec, "^([0-9]+)/", 1).cast("int").alias("k"), *columns)
+    groups = split(groups, "groups")
+    cut = latent.sliding_windows_of(arr, max(20, p.frames(p.window)), p.frames(p.step)).select(rec, "start", "pc", F.posexplode("trace").alias("frame", "value"))
+    sliding = latent.leading_pairs(latent.lagged_products(cut, [rec, "start"]), ks, p.fps, low, high, keys=[rec, "start"])
+    sliding = sliding.groupBy(*key).agg(F.avg("pairs").alias("sliding_mean"), F.max("pairs").alias("sliding_most"))
+    load = of_ks(latent.loadings(arrays, pcs, unit_norm=True), "pc")
+    best = load.groupBy(*UNIT, "k").agg(F.max(F.struct(F.abs("loading").alias("a"), (-F.col("pc")).alias("m"), F.signum("loading").alias("s"))).alias("b"))
+    modes = staged(spark, best.select(*UNIT, "k", (-F.col("b.m")).alias("mode"), F.col("b.s").cast("int").alias("sign"), F.col("b.a").alias("strength")), "oscillator-modes")
+    sizes = modes.groupBy(*key, "mode").agg(F.count(F.lit(1)).alias("units"))
+    sums = latent.group_frame_sums(arrays.join(modes.select(*UNIT, "k", "mode"), UNIT).select(*key, "mode", "trace"), [*key, "mode"])
+    means = sums.join(sizes, [*key, "mode"]).select(graph_key(rec), "mode", F.posexplode(F.transform("y", lambda x: x / F.col("units"))).alias("frame", "value"))
+    dominant = windows.dominant_mode_per_frame(means)
+    points = latent.frame_points(of_ks(long.filter(F.col("pc") < 3), "pc").select(graph_key(rec), "pc", "frame", "value"), dominant)
+    separation = split(latent.geometry_separation(points, 5), "separation")
+    shares = of_ks(pcs, "pc").groupBy(*key).agg(F.sum("share").alias("share"))
+    occupied = modes.groupBy(*key).agg(F.count_distinct("mode").alias("occupied"))
+    out = reduce(lambda a, b: a.join(b, key, "left"), [shares, occupied, pairs, freqs, plv, groups, sliding, separation])
     label = latent.interpretation(F.col("pairs"), F.col("plv"), F.col("freq_cv"), F.col("groups"), F.col("sliding_most"))
     return out.withColumn("label", label), modes
 
 
-def k_sweep(arrays: DataFrame, events: DataFrame, ks: list[int], p: OscillatorTest) -> tuple[DataFrame, DataFrame]:
-    """The test for each number of components: measures per K and recording with the stability against the K before, and the selection of K.
+def graph_key(rec: str) -> Column:
+    """A recording under one K as a recording of its own."""
+    return F.concat_ws("/", "k", rec).alias(rec)
 
-    The largest set of components holds the smaller ones, so they are found once.
-    """
+
+def summaries(arrays: DataFrame, pcs: DataFrame, events: DataFrame, p: OscillatorTest) -> tuple[DataFrame, DataFrame]:
+    """The same for the number of components that ``p`` names, without the column k."""
+    found, modes = summaries_of_ks(arrays, pcs, events, [p.components], p)
+    return found.drop("k"), modes.drop("k")
+
+
+def k_sweep(arrays: DataFrame, events: DataFrame, ks: list[int], p: OscillatorTest) -> tuple[DataFrame, DataFrame]:
+    """The test for each number of components: measures per K and recording with the stability against the K before, and the selection of K."""
     spark = arrays.sparkSession
-    pcs = components(arrays, max(ks))
-    rows, modes = [], []
-    for k in ks:
-        found, own = summaries(arrays, pcs, events, OscillatorTest(**{**p.__dict__, "components": k}))
-        rows.append(staged(spark, found, "sweep").withColumn("k", F.lit(k)))
-        modes.append(own.select(F.lit(k).alias("k"), *UNIT, "mode"))
-    stable = latent.assignment_stability(reduce(DataFrame.unionByName, modes), ks).select("recording_id", "k", F.col("equal").alias("stability"), F.col("jaccard").alias("kept"))
-    per = reduce(DataFrame.unionByName, rows).join(stable, ["recording_id", "k"], "left")
+    per, modes = summaries_of_ks(arrays, components(arrays, max(ks)), events, ks, p)
+    stable = latent.assignment_stability(modes.select("k", *UNIT, "mode"), ks).select("recording_id", "k", F.col("equal").alias("stability"), F.col("jaccard").alias("kept"))
+    per = per.join(stable, ["recording_id", "k"], "left")
     per = per.withColumn("has_pair", (F.col("pairs") > 0).cast("double")).withColumn("transient", (F.col("sliding_most") > 0).cast("double"))
     per = staged(spark, per, "sweep-all")
     return per, latent.k_selection(per, ["share", "plv", "has_pair", "transient", "separation", "stability"], ["groups", "freq_cv"])
