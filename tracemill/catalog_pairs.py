@@ -6,12 +6,13 @@ import math
 
 from pyspark.sql import functions as F
 
-from .catalog_core import WINS, UNITW, _r, recordings, rounded, synthetic_dom, with_
+from .catalog_core import WINS, _r, recordings, rounded, synthetic_dom, with_
 from .operators import clean as P
 from .operators import joins as J
 from .operators import pairs as N
 from .operators import sorts as K
 from .operators import windows as W
+from .plans import analyses
 from .sources import fixtures as fx
 
 QUERIES: dict = {}
@@ -180,13 +181,18 @@ add("n3_corr_vs_distance_sides", lambda s, d: rounded(N.corr_vs_distance(A(s, d)
 
 def _stretched(s, d):
     """Positions with a scale of their own per recording, so that some stay under the least span and others do not."""
-    return fx.positions(s, d).select("recording_id", "unit_id", *[(F.col(c) * (1 + F.col("recording_id") * 0.4)).alias(c) for c in "xyz"])
+    return fx.positions(s, d).select("recording_id", "unit_id", *[(F.col(c) * (1 + F.col("recording_id") * 0.5)).alias(c) for c in "xyz"])
 
 
-FAR = f"{DIST}, fa AS (SELECT recording_id, max(d) * (1 + recording_id * 0.4) AS top FROM ds GROUP BY recording_id)"
+FAR = f"{DIST}, fa AS (SELECT recording_id, max(d) * (1 + recording_id * 0.5) AS top FROM ds GROUP BY recording_id)"
 add("n4_distance_edges", lambda s, d: N.distance_edges(_stretched(s, d)), "positions", f"WITH {FAR} SELECT DISTINCT recording_id, CAST(floor(CASE WHEN top < 50 THEN 100 ELSE top END * i / 50) AS BIGINT) AS edge FROM fa, range(51) q(i)")
 add("n4_fixed_edges", lambda s, d: N.fixed_edges(_stretched(s, d)), "positions", f"WITH {FAR} SELECT recording_id, i * 5.0 AS edge FROM fa, range(1000) q(i) WHERE i <= greatest(ceil(top / 5), 1)")
 add("n4_span", lambda s, d: rounded(N.span(fx.positions(s, d))), "positions", f"WITH {DIST} SELECT ds.recording_id, any_value(n) AS units, {_r('max(d)', 'top')} FROM ds JOIN (SELECT recording_id, count(*) AS n FROM positions GROUP BY 1) c ON c.recording_id = ds.recording_id GROUP BY 1")
+EDGED = f"{CORR}, {FAR}, eg AS (SELECT recording_id, edge, lead(edge) OVER (PARTITION BY recording_id ORDER BY edge) AS nxt, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY edge) - 1 AS INTEGER) AS bin FROM (SELECT DISTINCT recording_id, floor(CASE WHEN top < 50 THEN 100 ELSE top END * i / 50) AS edge FROM fa, range(51) q(i)))"
+add("plan_corr_by_distance", lambda s, d: rounded(analyses.corr_by_distance(A(s, d), _stretched(s, d))[0]), "traces positions",
+    f"""WITH {EDGED} SELECT cr.recording_id, bin, CAST(edge AS DOUBLE) AS edge, {_r('avg(r)', 'r')}, count(r) AS pairs FROM cr JOIN ds ON cr.recording_id = ds.recording_id AND cr.a = ds.a AND cr.b = ds.b
+        JOIN eg ON eg.recording_id = cr.recording_id AND d * (1 + cr.recording_id * 0.5) >= edge AND d * (1 + cr.recording_id * 0.5) < nxt GROUP BY 1, 2, 3""")
+add("plan_corr_by_distance_null", lambda s, d: rounded(analyses.corr_by_distance(A(s, d), _stretched(s, d))[1].filter("bin < 50")))
 #: Shuffles of a curve and of a reliability, and permutations of a rank test.
 SHUFFLES, PERMUTATIONS = 100, 1000
 PERM = """s AS (SELECT recording_id, unit_id, CAST(k AS INTEGER) AS seed, (unit_id * 7919 + k * 104729 + (unit_id * unit_id) % 7907 * k) % 1000003 AS key FROM positions, range(1, 101) q(k)),

@@ -236,6 +236,19 @@ def rhythm_metrics(x: np.ndarray, fs: float, low: float, high: float, window: in
     }
 
 
+def mad_scores(x: np.ndarray) -> np.ndarray:
+    """(x - median) / MAD, with the sd, or 1, where the MAD is 0."""
+    gap = x - np.median(x)
+    mad, sd = float(np.median(np.abs(gap))), float(x.std(ddof=1)) if len(x) > 1 else 0.0
+    return gap / (mad if mad > 0 else sd if sd > 0 else 1.0)
+
+
+def hazen(values: np.ndarray, share: float) -> float:
+    """Percentile at plotting position (i - 0.5) / n, linear between neighbours."""
+    v = np.sort(values)
+    return float(np.interp(share * len(v) + 0.5, np.arange(1, len(v) + 1), v))
+
+
 def pairwise_corr(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Correlations of the rows of x with those of y over the places where both have values; NaN without two of them or without spread."""
     mx, my = np.isfinite(x), np.isfinite(y)

@@ -17,7 +17,7 @@ from .aggregates import fisher_z_mean, hazen, resultant, trapz
 from .clean import UNIT
 from .joins import events_in_windows, interpolate_to, leave_one_out_mean, peri_event
 from .pairs import dealt, permuted
-from .signal import activity, collect_traces, peak_list, per_trace, speed
+from .signal import activity, per_trace, speed
 from .stats import correlation, fdr_mask, fisher_table, ranksum, signrank
 from .windows import runs
 
@@ -60,9 +60,17 @@ def mad_events(arrays: DataFrame, fps: float, height: float = 4.0, prominence: f
     Peaks by height, prominence and distance; of these the ones at or above the unit's percentile of
     peak heights and ``least``. Missing values count as 0.
     """
-    long = arrays.select(*UNIT, F.posexplode("trace").alias("frame", "value")).withColumn("value", F.coalesce(F.when(~F.isnan("value"), F.col("value")), F.lit(0.0)))
-    z = collect_traces(mad_scores(long).select(*UNIT, "frame", F.col("z").alias("value")))
-    return strong_peaks(peak_list(z, height, prominence, max(1, round(gap_sec * fps))), UNIT, "value", share, least)
+    distance = max(1, round(gap_sec * fps))
+    rows = arrays.select(*UNIT, F.transform("trace", lambda x: F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0))).alias("trace"))
+
+    def fn(x):
+        z = k.mad_scores(x)
+        at, prom = k.find_peaks(z, height, prominence, distance)
+        high = z[at] >= max(k.hazen(z[at], share), least) if len(at) else np.zeros(0, bool)
+        return {"at": at[high].tolist(), "heights": z[at][high], "proms": np.asarray(prom)[high]}
+
+    found = per_trace(rows, fn, "at array<int>, heights array<double>, proms array<double>").filter("error is null")
+    return found.select(*UNIT, F.explode(F.arrays_zip("at", "heights", "proms")).alias("p")).select(*UNIT, F.col("p.at").alias("frame"), F.col("p.heights").alias("value"), F.col("p.proms").alias("prominence"))
 
 
 def active_share(per_unit: DataFrame, by: list[str] = ["recording_id"]) -> DataFrame:
@@ -310,9 +318,9 @@ def trial_extract(arrays: DataFrame, onsets: DataFrame, before: int, after: int)
 
 def pool_on_common_time(curves: DataFrame) -> DataFrame:
     """(recording_id, unit_id, t, value): the curves of all recordings on the time axis of the first one, NULL where they do not reach."""
-    first = curves.agg(F.min("recording_id").alias("recording_id"))
-    axis = curves.join(F.broadcast(first), "recording_id", "left_semi").select("t").distinct()
-    clock = curves.select(*UNIT).distinct().crossJoin(axis)  # the axis of one curve for each curve
+    # the axis is one array, which each curve unfolds
+    axis = curves.groupBy("recording_id").agg(F.sort_array(F.collect_set("t")).alias("_axis")).agg(F.min_by("_axis", "recording_id").alias("_axis"))
+    clock = curves.select(*UNIT).distinct().join(F.broadcast(axis), F.lit(True)).select(*UNIT, F.explode("_axis").alias("t"))
     return interpolate_to(curves, clock, UNIT, "null")
 
 

@@ -24,7 +24,7 @@ from .aggregates import hazen, resultant
 from .clean import UNIT, zscore_column
 from .joins import assignment_agreement
 from .pairs import BROADCAST_RECORDINGS, _standardised, block_pairs, dealt
-from .signal import analytic_signal, bandpass, collect_traces, dominant_freq, long_phases, welch_spectra
+from .signal import analytic_signal, bandpass, dominant_freq, long_phases, welch_spectra
 from .windows import runs
 
 #: Frames up to which the sum over units is kept as a matrix of frames by frames (32 MB).

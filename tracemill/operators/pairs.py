@@ -283,8 +283,11 @@ def fixed_edges(positions: DataFrame, step: float = 5.0) -> DataFrame:
     return span(positions).select("recording_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: i * step)).alias("edge"))
 
 
-def _distance_sums(units: DataFrame, step: float, split: float | None, block: int) -> DataFrame:
-    """(recording_id, seed, side, bin, total, n): sums of correlations per distance bin, for each of the placings xs, ys of a unit."""
+def _distance_sums(units: DataFrame, step: float | None, split: float | None, block: int) -> DataFrame:
+    """(recording_id, seed, side, bin, total, n): sums of correlations per distance bin, for each of the placings xs, ys of a unit.
+
+    Bins are ``step`` wide, or lie between the recording's own ``edges``, which then are a column of the units.
+    """
     def kernel(a, b, r, count):
         known = count & np.isfinite(r)
         values = r[known]
@@ -298,7 +301,11 @@ def _distance_sums(units: DataFrame, step: float, split: float | None, block: in
                 sa, sb = (y[:, seed] >= split for y in (ay, by))
                 placed &= (sa[:, None] == sb[None])[known]
                 side = np.broadcast_to(sa[:, None], r.shape)[known].astype(int)
-            code = np.floor(d[placed] / step).astype(int) * 2 + side[placed]
+            if step is None:
+                edges = np.array(a["edges"][0].as_py())
+                placed &= d < edges[-1]
+            at = np.searchsorted(edges, d[placed], "right") - 1 if step is None else np.floor(d[placed] / step).astype(int)
+            code = at * 2 + side[placed]
             n, total = np.bincount(code), np.bincount(code, values[placed])
             at = np.flatnonzero(n)
             for c, v in (("seed", np.full(len(at), seed)), ("side", at % 2), ("bin", at // 2), ("total", total[at]), ("n", n[at])):
@@ -318,6 +325,20 @@ def corr_vs_distance(arrays: DataFrame, positions: DataFrame, step: float, split
     return sums.select(*by, (F.col("total") / F.col("n")).alias("r"), F.col("n").alias("pairs"))
 
 
+def _edges_of(edges: DataFrame) -> DataFrame:
+    """(recording_id, edges): the edges of each recording that has a bin at all."""
+    return edges.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.col("edge").cast("double"))).alias("edges")).filter(F.size("edges") > 1)
+
+
+def corr_between_edges(arrays: DataFrame, positions: DataFrame, edges: DataFrame, split: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(recording_id, [side,] bin, edge, r, pairs): mean correlation of pairs whose distance is at least an edge and less than the next, on each recording's ``edges`` (recording_id, edge)."""
+    own = _edges_of(edges)
+    units = arrays.join(positions.select("recording_id", "unit_id", F.array("x").alias("xs"), F.array("y").alias("ys")), ["recording_id", "unit_id"]).join(own, "recording_id")
+    sums = _distance_sums(units.select("recording_id", "unit_id", "trace", "xs", "ys", "edges"), None, split, block).join(own, "recording_id")
+    by = ["recording_id", "bin"] if split is None else ["recording_id", "side", "bin"]
+    return sums.select(*by, F.get("edges", F.col("bin")).alias("edge"), (F.col("total") / F.col("n")).alias("r"), F.col("n").alias("pairs"))
+
+
 def shuffle_key(unit: Column, seed: Column) -> Column:
     """An arithmetic order key, the same in any engine."""
     return (unit * 7919 + seed * 104729 + (unit * unit) % 7907 * seed) % 1000003
@@ -333,7 +354,12 @@ def permuted(units: DataFrame, seeds: int, by: list[str] = ["recording_id"]) ->
     return a.join(b, [*by, "seed", "_k"]).drop("_k")
 
 
-def shuffled_curve(arrays: DataFrame, positions: DataFrame, step: float, seeds: int, block: int = BLOCK) -> DataFrame:
+def shuffled_between_edges(arrays: DataFrame, positions: DataFrame, edges: DataFrame, seeds: int, block: int = BLOCK) -> DataFrame:
+    """As ``shuffled_curve``, on each recording's own edges."""
+    return shuffled_curve(arrays.join(_edges_of(edges), "recording_id"), positions, None, seeds, block)
+
+
+def shuffled_curve(arrays: DataFrame, positions: DataFrame, step: float | None, seeds: int, block: int = BLOCK) -> DataFrame:
     """(recording_id, bin, null_mean, null_sem): correlation by distance with positions permuted.
 
     The correlations of two blocks are computed once; each unit carries its place under every seed.
@@ -341,7 +367,8 @@ def shuffled_curve(arrays: DataFrame, positions: DataFrame, step: float, seeds:
     moved = permuted(positions, seeds).join(positions.select("recording_id", F.col("unit_id").alias("other"), "x", "y"), ["recording_id", "other"])
     places = moved.groupBy("recording_id", "unit_id").agg(F.sort_array(F.collect_list(F.struct("seed", "x", "y"))).alias("p"))
     units = arrays.join(places.select("recording_id", "unit_id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys")), ["recording_id", "unit_id"])
-    per_seed = _distance_sums(units.select("recording_id", "unit_id", "trace", "xs", "ys"), step, None, block).withColumn("r", F.col("total") / F.col("n"))
+    more = ["edges"] if step is None else []
+    per_seed = _distance_sums(units.select("recording_id", "unit_id", "trace", "xs", "ys", *more), step, None, block).withColumn("r", F.col("total") / F.col("n"))
     return per_seed.groupBy("recording_id", "bin").agg(F.avg("r").alias("null_mean"), (F.stddev_samp("r") / F.sqrt(F.count("r"))).alias("null_sem"))
 
 
@@ -393,9 +420,9 @@ def curve_difference(a: DataFrame, b: DataFrame, by: list[str], x: str, value: s
 def curve_regrid(curves: DataFrame, key: str, x: str, value: str) -> DataFrame:
     """(key, x, value): every curve on the places of the first one (smallest key), linear between its own and extended beyond."""
     known = curves.filter(F.col(value).isNotNull()).select(F.col(key), F.col(x).cast("double").alias("t"), F.col(value).alias("value"))
-    first = known.agg(F.min(key).alias("_first"))
-    grid = known.join(F.broadcast(first), F.col(key) == F.col("_first"), "left_semi").select("t")
-    clock = known.select(key).distinct().crossJoin(grid)  # the places of one curve for each curve
+    # the places of one curve are one array, which each curve unfolds
+    places = known.groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("_places")).agg(F.min_by("_places", key).alias("_places"))
+    clock = known.select(key).distinct().join(F.broadcast(places), F.lit(True)).select(key, F.explode("_places").alias("t"))
     return interpolate_to(known, clock, [key], "extend").select(key, F.col("t").alias(x), F.col("value").alias(value))
 
 
