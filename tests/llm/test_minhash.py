@@ -145,3 +145,28 @@ def test_signature_agreement_follows_similarity():
         b = np.concatenate([a[:343], rng.integers(0, 2**63, 57, dtype=np.uint64)])  # Jaccard 0.75
         seen.append((minhash.signature(a) == minhash.signature(b)).mean())
     assert abs(np.mean(seen) - 343 / 457) < 0.03 and min(seen) * 64 >= minhash.LEAST_MATCHES
+
+
+def test_merged_collisions_against_whole_signatures(monkeypatch):
+    """Lists merged and skipped find just the pairs that comparing whole signatures finds, however many entries are merged at once."""
+    rng = np.random.default_rng(5)
+    for at_once in (50, 1_000_000):
+        monkeypatch.setattr(minhash, "MERGED_AT_ONCE", at_once)
+        for second in (False, True):
+            base = rng.integers(0, 2**32, (6, minhash.COORDINATES)).astype("<u4")
+            sig = base[rng.integers(0, 6, 80)]
+            change = rng.random(sig.shape) < rng.choice([0.0, 0.1, 0.3, 0.45], (80, 1))
+            sig = np.where(change, rng.integers(0, 4, sig.shape), sig).astype("<u4")
+            side = rng.integers(0, 3, 80) if second else np.full(80, -1)
+            part, rep, n, mask = rng.integers(0, 3, 80), np.sort(rng.choice(1000, 80, False)), rng.integers(80, 100, 80), rng.integers(0, 2**62, 80)
+            table = pa.table({"key": [3 << 32] * 80, "lane": [0] * 80, "side": side, "part": part, "rep": rep, "n": n, "mask": mask, "sig": [r.tobytes() for r in sig]})
+            want = set()
+            for i in range(80):
+                for j in range(80):
+                    meets = j > i if side[i] < 0 else side[i] == 0 and (side[j] == 1 or (side[j] == 2 and rep[j] > rep[i])) and part[i] != part[j]
+                    agree = sig[i] == sig[j]
+                    shared = [c for c in range(64) if agree[c] and mask[i] >> c & mask[j] >> c & 1]
+                    if meets and 100 * min(n[i], n[j]) >= 75 * max(n[i], n[j]) and agree.sum() >= minhash.LEAST_MATCHES and shared and shared[0] == 3:
+                        want.add((i, j))
+            got = [(int(a), int(b)) for i, j in minhash.Lane(table).collisions(75) for a, b in zip(i, j)]
+            assert got == sorted(got) and len(got) == len(set(got)) and set(got) == want and want

@@ -10,8 +10,9 @@
    the first k - t + 1 of their values in any common order; only these prefixes are posted, rarest
    values first, where a value is rare unless the corpus count says otherwise (the order decides
    how much work there is, never the result).
-4. In each posting list the matches of two documents are counted on whole signatures. A pair is
-   looked at in the list of its first common coordinate only. A long list is dealt to lanes of
+4. Within a posting list collisions are counted: a member merges its shortest lists, counts whom it
+   meets there, and looks these up in its long lists, skipping whom the lists left cannot lift over
+   the threshold. A pair is looked at in the list of its first common coordinate only. A long list is dealt to lanes of
    bounded size in members and in shingles; each lane also gets the list's smallest document, so
    that near copies of one another are connected across lanes by comparisons in proportion to the
    members.
@@ -44,6 +45,8 @@ PREFIX = COORDINATES - LEAST_MATCHES + 1
 COMMON_FROM, COMMON_VALUES = 16, 200_000
 #: Members of a posting list that are compared in one lane, and their shingles together (one larger set is a lane's share too).
 BLOCK, BLOCK_SHINGLES = 1024, 300_000
+#: Entries of lists that are merged at once, and long lists that are looked up at once.
+MERGED_AT_ONCE, SKIPPED_AT_ONCE = 1_000_000, 8
 #: Signatures whose values are counted at a time.
 COUNTED_ROWS = 10_000
 
@@ -168,23 +171,66 @@ class Lane:
         self.side, self.part, self.rep, self.n = column("side"), column("part"), column("rep"), column("n")
         self.mask = column("mask").astype(np.int64).view(np.uint64)
         self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, COORDINATES)
-        self.firsts = np.flatnonzero(self.side <= 0)
+
+    def _meet(self, i: np.ndarray, j: np.ndarray, similarity: int) -> np.ndarray:
+        """Which of the pairs this lane looks at and sizes allow."""
+        second = ((self.side[j] == 1) | ((self.side[j] == 2) & (self.rep[j] > self.rep[i]))) & (self.part[j] != self.part[i])
+        small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        return np.where(self.side[i] < 0, j > i, second) & (100 * small >= similarity * large)
+
+    def _postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members sorted by value per coordinate, and where each member's list begins in that order and how long it is."""
+        order = np.argsort(self.sig, axis=0, kind="stable")
+        value, place = np.take_along_axis(self.sig, order, axis=0), np.arange(len(self.n))[:, None]
+        fresh = np.concatenate((np.ones((1, COORDINATES), bool), value[1:] != value[:-1]))
+        ends = np.concatenate((fresh[1:], np.ones((1, COORDINATES), bool)))
+        start = np.maximum.accumulate(np.where(fresh, place, 0), axis=0)
+        stop = np.minimum.accumulate(np.where(ends, place, len(place))[::-1], axis=0)[::-1] + 1
+        begin, length = np.empty_like(order), np.empty_like(order)
+        np.put_along_axis(begin, order, start, axis=0)
+        np.put_along_axis(length, order, stop - start, axis=0)
+        return order, begin, length
+
+    def collisions(self, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j): pairs with enough equal coordinates whose first common posted one is this lane's, by i, then j.
+
+        A member merges the shortest of its coordinates' lists and counts how often it meets each other
+        member; who is in none of these cannot reach the threshold with the rest. The long lists are not
+        merged: members met so far are looked up in them, some lists at a time, and skipped as soon as
+        the lists left cannot lift them over the threshold.
+        """
+        m = len(self.n)
+        order, begin, length = self._postings()
+        by_length = np.argsort(length, axis=1, kind="stable")
+        short, long = by_length[:, :PREFIX], by_length[:, PREFIX:]
+        merged = np.take_along_axis(length, short, axis=1).sum(axis=1)
+        todo = np.flatnonzero(self.side <= 0)
+        while len(todo):
+            some = max(1, min(int(np.searchsorted(np.cumsum(merged[todo]), MERGED_AT_ONCE)), MERGED_AT_ONCE // m))
+            own, todo = todo[:some], todo[some:]
+            lists = short[own]
+            at, sizes = begin[own[:, None], lists].ravel(), length[own[:, None], lists].ravel()
+            inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            met = order[np.repeat(at, sizes) + inside, np.repeat(lists.ravel(), sizes)]
+            seen = np.bincount(np.repeat(np.arange(len(own)), merged[own]) * m + met, minlength=len(own) * m)
+            hit = np.flatnonzero(seen)
+            i, j, count = own[hit // m], hit % m, seen[hit]
+            keep = self._meet(i, j, similarity)
+            for first in range(0, long.shape[1], SKIPPED_AT_ONCE):
+                i, j, count = i[keep], j[keep], count[keep]
+                probed = long[i, first : first + SKIPPED_AT_ONCE]
+                count = count + (self.sig[i[:, None], probed] == self.sig[j[:, None], probed]).sum(axis=1)
+                keep = count >= LEAST_MATCHES - max(long.shape[1] - first - SKIPPED_AT_ONCE, 0)
+            i, j = i[keep], j[keep]
+            both = np.packbits(self.sig[i] == self.sig[j], axis=1, bitorder="little").view("<u8").ravel() & self.mask[i] & self.mask[j]
+            here = both & (~both + np.uint64(1)) == np.uint64(1 << self.coordinate)
+            if here.any():
+                yield i[here], j[here]
 
     def candidates(self, i: int, similarity: int) -> np.ndarray:
         """Members that may be similar to member ``i`` and are looked at in this lane."""
-        if self.side[i] < 0:
-            at = np.arange(i + 1, len(self.n))
-        else:
-            at = np.flatnonzero(((self.side == 1) | ((self.side == 2) & (self.rep > self.rep[i]))) & (self.part != self.part[i]))
-        small, large = np.minimum(self.n[at], self.n[i]), np.maximum(self.n[at], self.n[i])
-        at = at[100 * small >= similarity * large]
-        agree = self.sig[at] == self.sig[i]
-        enough = agree.sum(axis=1) >= LEAST_MATCHES
-        at, agree = at[enough], agree[enough]
-        if len(at):
-            both = np.packbits(agree, axis=1, bitorder="little").view("<u8").ravel() & self.mask[at] & self.mask[i]
-            at = at[both & (~both + np.uint64(1)) == np.uint64(1 << self.coordinate)]
-        return at
+        own = [met[members == i] for members, met in self.collisions(similarity)]
+        return np.concatenate(own) if own else np.zeros(0, np.int64)
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -217,10 +263,8 @@ def _active_members(lists: DataFrame, similarity: int) -> DataFrame:
         for table in _lists(batches):
             lane = Lane(table)
             active = np.zeros(len(lane.n), bool)
-            for i in lane.firsts:
-                at = lane.candidates(i, similarity)
-                if len(at):
-                    active[i] = active[at] = True
+            for i, j in lane.collisions(similarity):
+                active[i] = active[j] = True
             if active.any():
                 yield from table.filter(pa.array(active)).to_batches()
 
@@ -257,17 +301,18 @@ def _confirmed(members: DataFrame, similarity: int) -> DataFrame:
                 return sets[i]
 
             groups, links = Groups(len(lane.n)), []
-            for i in lane.firsts.tolist():
-                at = lane.candidates(i, similarity)
-                at = at[groups.root[at] != groups.root[i]]
-                if not len(at):
-                    continue
-                own, others = shingles(i), [shingles(j) for j in at.tolist()]
-                sizes, joined = np.array([len(x) for x in others]), np.concatenate(others)
-                place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-                shared = np.add.reduceat((own[place] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
-                near = at[100 * shared >= similarity * (sizes + len(own) - shared)]
-                links += [(int(lane.rep[i]), int(lane.rep[j])) for j in groups.join(i, near)]
+            for members, met in lane.collisions(similarity):
+                cuts = np.flatnonzero(np.diff(members)) + 1
+                for i, at in zip(members[np.concatenate(([0], cuts))].tolist(), np.split(met, cuts)):
+                    at = at[groups.root[at] != groups.root[i]]
+                    if not len(at):
+                        continue
+                    own, others = shingles(i), [shingles(j) for j in at.tolist()]
+                    sizes, joined = np.array([len(x) for x in others]), np.concatenate(others)
+                    place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+                    shared = np.add.reduceat((own[place] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
+                    near = at[100 * shared >= similarity * (sizes + len(own) - shared)]
+                    links += [(int(lane.rep[i]), int(lane.rep[j])) for j in groups.join(i, near)]
             if links:
                 a, b = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
