@@ -11,6 +11,7 @@ from .catalog_core import HAZEN, PEAKS, UNITW, _r, rounded, with_
 from .functions import kernels
 from .operators import clean as P
 from .operators import latent as L
+from .operators import pairs as N
 from .operators import signal as R
 from .operators import stats as S
 from .operators import windows as W
@@ -39,6 +40,9 @@ SPEC = """w AS (SELECT CAST(i AS INTEGER) AS i, 0.5 - 0.5 * cos(2 * pi() * i / 3
          FROM traces t, range(3) a(sg), w, range(17) b(k) WHERE t.frame = sg * 16 + w.i GROUP BY ALL),
   sp AS (SELECT recording_id, unit_id, k * 2.0 / 32 AS f, avg(re * re + im * im) / (2 * (SELECT sum(w * w) FROM w)) * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END AS pxx FROM ft GROUP BY recording_id, unit_id, k)"""
 add("r3_resample", lambda s, d: rounded(fx.explode_traces(R.resample_rate(A(s, d), 2.0, 1.0)), 5))
+add("r3_resample_half", lambda s, d: rounded(fx.explode_traces(R.resample_rate(A(s, d), 2.0, 1.0)), 5), "traces",
+    """WITH k AS (SELECT CAST(i AS INTEGER) AS k, CASE WHEN i = 0 THEN 1 ELSE sin(pi() * i / 2) / (pi() * i / 2) END * (0.5 + 0.5 * cos(pi() * i / 20)) AS w FROM range(-20, 21) q(i)), g AS (SELECT CAST(n AS INTEGER) AS frame, CAST(least(greatest(2 * n + k, 0), 63) AS INTEGER) AS f, w / (SELECT sum(w) FROM k) AS w FROM k, range(32) q(n))
+       SELECT recording_id, unit_id, g.frame, round(sum(value * w), 5) + 0.0 AS value FROM traces t JOIN g ON g.f = t.frame GROUP BY 1, 2, 3""")
 add("r4_acf", lambda s, d: rounded(R.long_acf(A(s, d), 8)), "traces",
     f"""WITH c AS (SELECT recording_id, unit_id, frame, value - avg(value) OVER (PARTITION BY recording_id, unit_id) AS v FROM traces)
         SELECT a.recording_id, a.unit_id, CAST(k AS INTEGER) AS lag, {_r('sum(a.v * b.v) / any_value(n.s)', 'r')} FROM c a JOIN range(9) q(k) ON true JOIN c b ON b.recording_id = a.recording_id AND b.unit_id = a.unit_id AND b.frame = a.frame + k
@@ -89,6 +93,9 @@ add("r16_bout_peak_freq", lambda s, d: rounded(R.bout_peak_freq(T(s, d), W.drop_
         SELECT recording_id, unit_id, CAST(run AS BIGINT) AS run, {_r('k * 2.0 / m', 'freq')} FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, unit_id, run ORDER BY round((re * re + im * im) * CASE WHEN k IN (0, m / 2) THEN 1 ELSE 2 END, 12) DESC, k) AS o FROM ft) WHERE o = 1""")
 add("r17_bandpass", lambda s, d: rounded(fx.explode_traces(R.bandpass(A(s, d), fx.FPS, 0.1, 0.4)), 5))
 add("r18_analytic", lambda s, d: rounded(R.analytic_signal(R.bandpass(A(s, d), fx.FPS, 0.1, 0.4)).select("recording_id", "unit_id", F.explode(F.arrays_zip("phase", "amp")).alias("z")).select("recording_id", "unit_id", F.cos("z.phase").alias("c"), F.col("z.amp").alias("amp")), 5))
+add("r18_analytic_of_traces", lambda s, d: rounded(R.long_phases(R.analytic_signal(A(s, d))).select("recording_id", "unit_id", "frame", (F.cos("phase") * F.col("amp")).alias("re"), (F.sin("phase") * F.col("amp")).alias("im")), 5), "traces",
+    """WITH f AS (SELECT recording_id, unit_id, k, sum(value * cos(2 * pi() * k * frame / 64)) AS c, sum(value * sin(2 * pi() * k * frame / 64)) AS s FROM traces, range(1, 32) q(k) GROUP BY 1, 2, 3)
+       SELECT t.recording_id, t.unit_id, t.frame, round(any_value(value), 5) + 0.0 AS re, round(sum(c * sin(2 * pi() * k * frame / 64) - s * cos(2 * pi() * k * frame / 64)) / 32, 5) + 0.0 AS im FROM traces t JOIN f ON f.recording_id = t.recording_id AND f.unit_id = t.unit_id GROUP BY 1, 2, 3""")
 SIDES = """so AS (SELECT recording_id, unit_id, x, row_number() OVER w AS i, sum(x) OVER w AS s, sum(x) OVER (PARTITION BY recording_id) AS t, count(*) OVER (PARTITION BY recording_id) AS m FROM positions WINDOW w AS (PARTITION BY recording_id ORDER BY x, unit_id ROWS UNBOUNDED PRECEDING)),
   cu AS (SELECT recording_id, i AS c FROM (SELECT recording_id, i, row_number() OVER (PARTITION BY recording_id ORDER BY round(s * s / i + (t - s) ** 2 / (m - i), 9) DESC, i) AS k FROM so WHERE i < m) WHERE k = 1),
   sd AS (SELECT so.recording_id, unit_id, CAST(i > c AS INTEGER) AS side FROM so JOIN cu ON cu.recording_id = so.recording_id)"""
@@ -174,6 +181,20 @@ add("e24_crosstalk", lambda s, d: rounded(crosstalk(s, d)), "traces",
         c AS (SELECT *, sum(pxx) OVER (PARTITION BY {UK} ORDER BY f) / sum(pxx) OVER (PARTITION BY {UK}) AS c, row_number() OVER (PARTITION BY {UK} ORDER BY pxx DESC, f) AS o FROM sp WHERE f <= 1)
         SELECT {UK}, {_r('max(f) FILTER (o = 1)', 'dom')}, {_r('max(pxx)', 'power')}, {_r('min(f) FILTER (c >= 1 - (1 - 0.9) / 2) - min(f) FILTER (c >= (1 - 0.9) / 2)', 'obw')} FROM c GROUP BY 1, 2""")
 
+
+
+def half_spectra(s, d, first):
+    """Spectra of one half of each trace, windows of 16 frames."""
+    half = A(s, d).withColumn("trace", F.slice("trace", first + 1, 32))
+    return R.welch_spectra(half, fx.FPS, 16, 8, 16)
+
+
+add("n13_halves_stability", lambda s, d: rounded(N.spectrum_stability(half_spectra(s, d, 0), half_spectra(s, d, 32))), "traces",
+    f"""WITH lo AS (SELECT recording_id, unit_id, frame, value FROM traces WHERE frame < 32), hi AS (SELECT recording_id, unit_id, frame - 32 AS frame, value FROM traces WHERE frame >= 32), {welch_sql('lo', UK, 16, 3, 'sa')}, {welch_sql('hi', UK, 16, 3, 'sb')},
+        b AS (SELECT recording_id, unit_id, sa.pxx AS x, sb.pxx AS y FROM sa JOIN sb USING (recording_id, unit_id, f)),
+        g AS (SELECT recording_id, count(DISTINCT unit_id) AS units, avg((x - y) ** 2) AS mse, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS cxy, greatest(max(x), max(y)) - least(min(x), min(y)) AS rg FROM b GROUP BY 1 HAVING count(DISTINCT unit_id) >= 2)
+        SELECT recording_id, units, {_r('mse', 'mse')}, {_r('(2 * mx * my + (0.01 * rg) ** 2) * (2 * cxy + (0.03 * rg) ** 2) / ((mx ** 2 + my ** 2 + (0.01 * rg) ** 2) * (vx + vy + (0.03 * rg) ** 2))', 'ssim')} FROM g""")
+
 # periods
 
 
@@ -212,6 +233,10 @@ def latent(s, d):
     return T(s, d).groupBy("recording_id", (F.col("unit_id") % 4).cast("int").alias("pc"), "frame").agg(F.avg("value").alias("value"))
 
 
+WINDOWS = """se AS (SELECT DISTINCT recording_id, frame FROM ev WHERE frame BETWEEN 0 AND 63), wins AS (SELECT recording_id, CAST(k * 8 AS INTEGER) AS start, CAST(k * 8 + 23 AS INTEGER) AS "end" FROM (SELECT DISTINCT recording_id FROM se), range(6) q(k)),
+  counts AS (SELECT w.recording_id, w.start, w."end", count(e.frame) AS n FROM wins w LEFT JOIN se e ON e.recording_id = w.recording_id AND e.frame BETWEEN w.start AND w."end" GROUP BY ALL),
+  picked AS (SELECT recording_id, 'low' AS label, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY n, start) AS k FROM counts) WHERE k = 1
+    UNION ALL SELECT recording_id, 'high', start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY n DESC, start) AS k FROM counts) WHERE k = 1)"""
 LT = "lt AS (SELECT recording_id, CAST(unit_id % 4 AS INTEGER) AS pc, frame, avg(value) AS value FROM traces GROUP BY ALL)"
 add("n14_pca_share", lambda s, d: rounded(components(s, d).select("recording_id", "pc", "share")))
 ENERGY = "z AS (SELECT recording_id, unit_id, frame, value - avg(value) OVER w AS v, sum(value * value) OVER w - count(*) OVER w * pow(avg(value) OVER w, 2) AS s FROM traces WINDOW w AS (PARTITION BY recording_id, unit_id))"
@@ -226,6 +251,26 @@ def energy(s, d):
 
 add("n14_energy", lambda s, d: rounded(energy(s, d), 5), "traces", f"WITH {ENERGY} SELECT recording_id, frame, round(sum(v * v / s), 5) + 0.0 AS energy FROM z GROUP BY 1, 2")
 add("n15_pca_time", lambda s, d: rounded(L.pca_time(A(s, d), 3)[0].select("recording_id", "pc", "variance", F.posexplode("pattern").alias("frame", "value"))))
+
+def whole_patterns(s, d):
+    """Per frame the summed squares of the patterns of all components over time."""
+    patterns = L.pca_time(A(s, d), 64)[0]
+    return patterns.select("recording_id", F.posexplode("pattern").alias("frame", "v")).groupBy("recording_id", "frame").agg(F.sum(F.col("v") ** 2).alias("variance"))
+
+
+# all patterns together hold the variance of the z-scored units at each frame
+add("n15_variance", lambda s, d: rounded(whole_patterns(s, d), 5), "traces",
+    "WITH z AS (SELECT recording_id, frame, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS v FROM traces WINDOW w AS (PARTITION BY recording_id, unit_id)) SELECT recording_id, frame, round(var_samp(v), 5) + 0.0 AS variance FROM z GROUP BY 1, 2")
+
+
+def cosine_energy(s, d):
+    """Per frame what all modes of the frames' cosine similarity hold."""
+    m = L.cosine_modes(A(s, d), 64).select("recording_id", "share", "n", F.posexplode("score").alias("frame", "v"))
+    return m.groupBy("recording_id", "frame").agg(F.sum(F.col("share") * F.col("n") * F.col("v") ** 2).alias("energy"))
+
+
+# frames have length 1 over the units, so all modes together hold 1 of each
+add("n32_cosine_energy", lambda s, d: rounded(cosine_energy(s, d), 5), "traces", "SELECT recording_id, frame, 1.0 AS energy FROM traces GROUP BY 1, 2")
 add("n15_time_scores", lambda s, d: rounded(L.pca_time(A(s, d), 3)[1]))
 add("n16_mode_assignment", lambda s, d: L.mode_assignment(L.loadings(A(s, d), components(s, d))).groupBy("recording_id", "mode").agg(F.count("*").alias("n")))
 add("n16_mode_traces", lambda s, d: rounded(L.mode_traces(T(s, d), fx.positions(s, d).select("recording_id", "unit_id", (F.col("unit_id") % 5).alias("mode")))), "traces", f"SELECT recording_id, unit_id % 5 AS mode, frame, {_r('avg(value)', 'value')} FROM traces GROUP BY ALL")
@@ -267,6 +312,32 @@ def clock_events(s, d):
 
 
 add("n21_recordings", lambda s, d: rounded(O.summaries(A(s, d), components(s, d), clock_events(s, d), TEST)[0], 5))
+
+
+def arithmetic_latents(s, d):
+    """The arithmetic latents as arrays."""
+    return R.collect_traces(latent(s, d), ["recording_id", "pc"])
+
+
+add("n20_window_events", lambda s, d: rounded(L.sliding_oscillators(arithmetic_latents(s, d), clock_events(s, d), fx.FPS, 32, 8, 0.05, 0.5, 32).select("recording_id", "start", "centre", "events")), "traces ev",
+    """WITH se AS (SELECT DISTINCT recording_id, frame FROM ev WHERE frame BETWEEN 0 AND 63), w AS (SELECT recording_id, CAST(k * 8 AS INTEGER) AS start FROM (SELECT DISTINCT recording_id FROM traces), range(5) q(k))
+       SELECT w.recording_id, start, (start + 16) / 2.0 AS centre, count(frame) AS events FROM w LEFT JOIN se ON se.recording_id = w.recording_id AND frame >= start AND frame < start + 32 GROUP BY 1, 2""")
+add("n23_fractions", lambda s, d: rounded(L.fixed_latent_windows(arithmetic_latents(s, d), picked_windows(s, d), fx.FPS, 0.05, 0.5, 24).select("recording_id", "label", F.posexplode("fractions").alias("pc", "fraction"))), "traces ev",
+    f"""WITH {LT}, {WINDOWS}, b AS (SELECT recording_id, label, start, "end" FROM picked UNION ALL SELECT DISTINCT recording_id, 'full', 0, 63 FROM traces), v AS (SELECT lt.recording_id, label, pc, var_samp(value) AS v FROM lt JOIN b ON b.recording_id = lt.recording_id AND frame BETWEEN start AND "end" GROUP BY 1, 2, 3)
+        SELECT recording_id, label, pc, {_r('v / sum(v) OVER (PARTITION BY recording_id, label)', 'fraction')} FROM v""")
+
+
+def arithmetic_modes(s, d):
+    """Modes of units by a rule, for several K; each K leaves some units out."""
+    u = fx.positions(s, d).select("recording_id", "unit_id")
+    return reduce(DataFrame.unionByName, [u.filter(F.col("unit_id") % (k + 2) != 0).select(F.lit(k).alias("k"), "recording_id", "unit_id", (F.col("unit_id") * 31 % k).alias("mode")) for k in (3, 4, 6)])
+
+
+add("n25_stability_of_rules", lambda s, d: rounded(L.assignment_stability(arithmetic_modes(s, d), [3, 4, 6])), "positions",
+    f"""WITH m AS (SELECT recording_id, unit_id, k, unit_id * 31 % k AS mode FROM positions, (SELECT unnest([3, 4, 6]) AS k) WHERE unit_id % (k + 2) <> 0), p AS (SELECT * FROM (VALUES (3, 4), (4, 6)) t(was, k)),
+        a AS (SELECT p.k, recording_id, unit_id, mode FROM m JOIN p ON p.was = m.k), b AS (SELECT m.k, recording_id, unit_id, mode FROM m WHERE k <> 3)
+        SELECT coalesce(a.k, b.k) AS k, coalesce(a.recording_id, b.recording_id) AS recording_id, count(CASE WHEN a.unit_id IS NOT NULL AND b.unit_id IS NOT NULL THEN 1 END) AS common, {_r('avg(CASE WHEN a.unit_id IS NOT NULL AND b.unit_id IS NOT NULL THEN CAST(a.mode = b.mode AS DOUBLE) END)', 'equal')},
+          {_r('count(CASE WHEN a.unit_id IS NOT NULL AND b.unit_id IS NOT NULL THEN 1 END) / count(*)', 'jaccard')} FROM a FULL JOIN b ON a.k = b.k AND a.recording_id = b.recording_id AND a.unit_id = b.unit_id GROUP BY 1, 2""")
 add("n25_assignment_stability", lambda s, d: rounded(L.assignment_stability(swept_modes(s, d), [3, 4, 5, 6, 8])))
 add("n26_k_sweep", lambda s, d: rounded(O.k_sweep(A(s, d), clock_events(s, d), [3, 4, 5, 6, 8], TEST)[1], 5))
 add("n22_variance_fraction", lambda s, d: rounded(L.variance_fraction(latent(s, d), 10, 40)), "traces",
@@ -311,10 +382,6 @@ def path(s, d):
     return L.trajectory(latent(s, d), fx.FPS)
 
 
-WINDOWS = """se AS (SELECT DISTINCT recording_id, frame FROM ev WHERE frame BETWEEN 0 AND 63), wins AS (SELECT recording_id, CAST(k * 8 AS INTEGER) AS start, CAST(k * 8 + 23 AS INTEGER) AS "end" FROM (SELECT DISTINCT recording_id FROM se), range(6) q(k)),
-  counts AS (SELECT w.recording_id, w.start, w."end", count(e.frame) AS n FROM wins w LEFT JOIN se e ON e.recording_id = w.recording_id AND e.frame BETWEEN w.start AND w."end" GROUP BY ALL),
-  picked AS (SELECT recording_id, 'low' AS label, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY n, start) AS k FROM counts) WHERE k = 1
-    UNION ALL SELECT recording_id, 'high', start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY n DESC, start) AS k FROM counts) WHERE k = 1)"""
 # all components together hold what the standardised windows hold, frame by frame
 add("n27_window_energy", lambda s, d: rounded(window_energy(s, d), 5), "traces ev",
     f"""WITH {WINDOWS}, c AS (SELECT t.recording_id, label, unit_id, frame - start AS frame, value FROM traces t JOIN picked p ON p.recording_id = t.recording_id AND t.frame BETWEEN p.start AND p."end"),
@@ -346,6 +413,27 @@ def varimax_modes(s, d):
 
 
 add("n30_kmeans", lambda s, d: L.kmeans_rows(A(s, d), [2, 3, 4, 5, 6]))
+
+
+def cluster_cost(units, labels):
+    """(recording_id, k, cost): summed distance of standardised rows to the direction of their cluster's mean, from sums of vectors."""
+    z = N._standardised(units)
+    own = labels.join(z, ["recording_id", "unit_id"])
+    sums = L.group_frame_sums(own.select("recording_id", "k", "cluster", "trace"), ["recording_id", "k", "cluster"])
+    length = F.sqrt(F.aggregate("y", F.lit(0.0), lambda a, x: a + x * x))
+    return sums.groupBy("recording_id", "k").agg(F.sum(length).alias("held")).join(own.groupBy("recording_id", "k").agg(F.count("*").alias("units")), ["recording_id", "k"]).select("recording_id", "k", "units", (F.col("units") - F.col("held")).alias("cost"))
+
+
+def kmeans_against_rule(s, d):
+    """Whether k-means groups the units at no higher cost than their ids modulo K do, and whether it uses every cluster."""
+    found = L.kmeans_rows(A(s, d), [2, 3, 4, 5, 6])
+    rule = fx.positions(s, d).select("recording_id", "unit_id", F.explode(F.array(*[F.lit(k) for k in (2, 3, 4, 5, 6)])).alias("k")).withColumn("cluster", (F.col("unit_id") % F.col("k")).cast("int"))
+    used = found.groupBy("recording_id", "k").agg(F.count_distinct("cluster").alias("clusters"))
+    a, b = cluster_cost(A(s, d), found), cluster_cost(A(s, d), rule).select("recording_id", "k", F.col("cost").alias("rule"))
+    return a.join(b, ["recording_id", "k"]).join(used, ["recording_id", "k"]).select("recording_id", "k", "units", "clusters", (F.col("cost") <= F.col("rule") + 1e-9).alias("no_worse"))
+
+
+add("n30_kmeans_against_rule", kmeans_against_rule, "traces", "SELECT recording_id, CAST(k AS INTEGER) AS k, count(DISTINCT unit_id) AS units, CAST(any_value(k) AS BIGINT) AS clusters, true AS no_worse FROM traces, range(2, 7) q(k) GROUP BY 1, 2")
 add("n31_varimax", varimax_modes)
 add("n32_unit_mode_corr", lambda s, d: rounded(L.cosine_assign(A(s, d), 3)))
 CL = "cl AS (SELECT recording_id, unit_id, unit_id * 7 % 3 AS cluster, unit_id * 37 % 128 / 1000.0 AS dom FROM traces GROUP BY 1, 2)"
@@ -418,6 +506,12 @@ add("t11_ar1_parameters", lambda s, d: rounded(R.per_trace(representative(s, d),
     f"""WITH m AS (SELECT recording_id, frame, avg(value) AS v FROM traces GROUP BY 1, 2), z AS (SELECT recording_id, frame, v - avg(v) OVER (PARTITION BY recording_id) AS v FROM m), c AS (SELECT *, lead(v) OVER (PARTITION BY recording_id ORDER BY frame) AS nxt FROM z),
         f AS (SELECT recording_id, greatest(least(sum(v * nxt) / sum(v * v), 0.995), -0.995) AS phi FROM c WHERE nxt IS NOT NULL GROUP BY 1) SELECT c.recording_id, {_r('any_value(phi)', 'phi')}, {_r('stddev_samp(nxt - phi * v)', 'sd')} FROM c JOIN f ON f.recording_id = c.recording_id WHERE nxt IS NOT NULL GROUP BY 1""")
 add("t12_rhythm_metrics", lambda s, d: rounded(observed_metrics(s, d), 5))
+add("t12_spectral_metrics", lambda s, d: rounded(observed_metrics(s, d).filter(F.col("metric").isin("peak_power", "peak_freq", "q"))), "traces",
+    f"""WITH m AS (SELECT recording_id, frame, avg(value) AS v FROM traces GROUP BY 1, 2), w AS (SELECT CAST(i AS INTEGER) AS i, 0.5 - 0.5 * cos(2 * pi() * i / 31) AS w FROM range(32) q(i)),
+        ft AS (SELECT recording_id, sg, k, sum(v * w * cos(2 * pi() * k * i / 256)) AS re, sum(v * w * sin(2 * pi() * k * i / 256)) AS im FROM m, range(3) a(sg), w, range(7, 65) b(k) WHERE frame = sg * 16 + i GROUP BY 1, 2, 3),
+        sp AS (SELECT recording_id, k / 128.0 AS f, avg(re * re + im * im) / (SELECT sum(w * w) FROM w) AS p FROM ft GROUP BY 1, 2), pk AS (SELECT recording_id, max(p) AS p, arg_max(f, p) AS f FROM sp GROUP BY 1),
+        q AS (SELECT sp.recording_id, any_value(pk.p) AS p, any_value(pk.f) AS f, max(sp.f) - min(sp.f) AS w FROM sp JOIN pk ON pk.recording_id = sp.recording_id AND sp.p >= pk.p / 2 GROUP BY 1)
+        SELECT recording_id, 'peak_power' AS metric, {_r('p', 'value')} FROM q UNION ALL SELECT recording_id, 'peak_freq', {_r('f', 'value')} FROM q UNION ALL SELECT recording_id, 'q', {_r('CASE WHEN w > 0 THEN f / w END', 'value')} FROM q""")
 add("t13_rhythm_scores", lambda s, d: rounded(rhythm_scores(s, d), 4))
 add("t14_rhythm_against_noise", lambda s, d: rhythm_scores(s, d).groupBy("recording_id").agg(F.avg("z").alias("score"), F.count(F.when(F.col("passed"), 1)).alias("passes")).select("recording_id", F.round("score", 4).alias("score"), "passes", S.oscillator_class(F.col("score"), F.col("passes")).alias("cls")))
 add("t15_representative_mean", lambda s, d: rounded(fx.explode_recordings(R.representative_signal(A(s, d), "mean", fx.FPS, 0.05, 0.5, 32))), "traces",
