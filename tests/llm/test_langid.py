@@ -82,3 +82,17 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     r = op6_language_id(spark, "/root/testdata/sf0.01").filter("held_out").join(truth, "doc_id")
     assert r.filter("lang = lang_pred").count() / r.count() > 0.95
+
+
+def test_logs_count_the_same_from_core_and_table(spark):
+    """However much of the model is broadcast, sums come from the same 32-bit values."""
+    rng = random.Random(8)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(60)] for lang, letters in (("aa", "abcdef"), ("bb", "defghi"), ("cc", "ghijka"))}
+    rows = [(i, " ".join(rng.choices(words[lang], k=20)) + " " + "".join(rng.choice("abcdefghijkz") for _ in range(6)), lang) for i, lang in enumerate(rng.choices(list(words), k=90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = []
+    for word_cells, gram_cells in ((10**6, 10**7), (60, 10**7), (60, 90), (0, 0)):
+        model = langid.train(docs.filter("doc_id % 3 <> 0"), word_cells=word_cells, gram_cells=gram_cells)
+        found.append({r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()})
+    for other in found[1:]:
+        assert all(other[i][0] == lang and abs(other[i][1] - score) < 1e-12 for i, (lang, score) in found[0].items())

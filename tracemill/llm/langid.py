@@ -93,9 +93,12 @@ def gram_counts(words: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
 
 
 def _log_table(counts: DataFrame, name: str, langs: list[str], totals: Column) -> DataFrame:
-    """(name, total, logs): log frequency per language of each counted word or n-gram; ``totals`` is an array per row."""
+    """(name, total, logs): log frequency per language of each counted word or n-gram; ``totals`` is an array per row.
+
+    Logs are rounded to what a 32-bit float holds, so that an entry counts the same from the core and from the table.
+    """
     wide = counts.groupBy(F.col(name).alias("name")).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("own"))
-    log = lambda lang, i: F.log(F.coalesce(F.try_element_at("own", lang).cast("double"), F.lit(UNSEEN)) / F.element_at(totals, i + 1))
+    log = lambda lang, i: F.log(F.coalesce(F.try_element_at("own", lang).cast("double"), F.lit(UNSEEN)) / F.element_at(totals, i + 1)).cast("float").cast("double")
     return wide.select("name", "total", F.transform(F.lit(langs), log).alias("logs"))
 
 
@@ -158,7 +161,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", word_
     word_table = staged(spark, _log_table(words, "word", langs, F.lit([float(max(totals[x], 1)) for x in langs])), "lang-word-logs")
     of_size = F.element_at(F.array(*[F.lit(t) for t in by_size]), F.length("name"))
     gram_table = staged(spark, _log_table(grams, "gram", langs, of_size), "lang-gram-logs")
-    unknown = [float(np.log(UNSEEN / t)) for t in by_size[0]]  # a character that no language has
+    unknown = [float(np.float32(np.log(UNSEEN / t))) for t in by_size[0]]  # a character that no language has
     return Model(langs, _core(word_table, len(langs), word_cells), _core(gram_table, len(langs), gram_cells), unknown, (word_table, gram_table))
 
 
