@@ -36,8 +36,8 @@ LEAST_DOCS = 3
 CHANCE = 0.05
 #: Joint documents that enter the bound on a pair's probability; more of them can only lower it.
 BOUND_DOCS = 64
-#: Rows or terms up to which a list is broadcast; beyond it is joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: Rows and characters up to which a list is broadcast; beyond either it is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_CHARS = 50_000, 8_000_000
 
 # The contract's patterns in forms that Java matches in linear time and without recursion. A run
 # can only be entered at its start, or (\G) where the last match ended; possessive repeats are
@@ -138,8 +138,12 @@ def _terms(text: str) -> Column:
 
 
 def _joined(table: DataFrame, listed: DataFrame, key) -> DataFrame:
-    """``table`` joined with a staged list, by broadcast if that is short."""
-    return table.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed, key)
+    """``table`` joined with a staged list, by broadcast if that has few rows and few characters."""
+    if listed.count() <= BROADCAST_ROWS:
+        size = listed.agg(F.sum(F.length(F.to_json(F.struct(*listed.columns)))).alias("n")).first().n or 0
+        if size <= BROADCAST_CHARS:
+            return table.join(F.broadcast(listed), key)
+    return table.join(listed, key)
 
 
 def _at_least(table: DataFrame, count: str) -> list[int]:
