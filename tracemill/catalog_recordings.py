@@ -25,17 +25,42 @@ def add(name: str, fn, fixtures: str = "", sql: str | None = None) -> None:
 SESSIONS = ("high", "mid", "low")
 
 
+#: Trees that this session has written, by application and tables.
+_TREES: dict[tuple[str, str], str] = {}
+
+
 def tree(s, d) -> str:
-    """A tree of recordings in the shared folder: folders that name animal and session, traces in each, events and settings in some."""
-    root = scratch(s, "tree")
-    arrays, train = fx.trace_arrays(s, d), fx.event_train(s, d)
-    for r in sorted(row.recording_id for row in arrays.select("recording_id").distinct().collect()):  # the recordings of a fixture
-        folder = f"{root}/{'explant' if r % 3 == 2 else 'invivo'}/fish_{r:02d}_{SESSIONS[r % 3]}act"
-        arrays.filter(F.col("recording_id") == r).coalesce(1).write.parquet(f"{folder}/dff")
-        if r % 2 == 0:
-            train.filter(F.col("recording_id") == r % 5).coalesce(1).write.parquet(f"{folder}/tail")
-            s.createDataFrame([(f"power = 3\nvolume.frame.rate = {r + 1}.5\n",)], "value string").coalesce(1).write.text(f"{folder}/settings")
-    return root
+    """A tree of recordings in the shared folder: folders that name animal and session, traces in each, events and settings in some.
+
+    Each kind of file is one job over all recordings; folders then get their names, and queries share the tree.
+    """
+    key = (s.sparkContext.applicationId, d)
+    if key not in _TREES:
+        root, r = scratch(s, "tree"), F.col("_r")
+        at = [F.when(r % 3 == 2, "explant").otherwise("invivo").alias("_prep"), F.format_string(f"fish_%02d_%sact", r, F.element_at(F.array(*map(F.lit, SESSIONS)), (r % 3 + 1).cast("int"))).alias("_name")]
+        arrays, train = fx.trace_arrays(s, d), fx.event_train(s, d)
+        known = arrays.select(F.col("recording_id").alias("_r")).distinct()
+        even = known.filter("_r % 2 = 0")
+        events = even.join(train, F.col("recording_id") == F.col("_r") % 5)
+        settings = even.select("_r", F.format_string("power = 3\nvolume.frame.rate = %d.5\n", (r + 1).cast("int")).alias("value"))
+        for kind, rows in (("dff", arrays.withColumn("_r", F.col("recording_id"))), ("tail", events), ("settings", settings)):
+            rows.select("*", *at).drop("_r").repartition("_name").write.partitionBy("_prep", "_name").format("text" if kind == "settings" else "parquet").save(f"{root}/.{kind}")
+            _named(s, root, kind)
+        _TREES[key] = root
+    return _TREES[key]
+
+
+def _named(s, root: str, kind: str) -> None:
+    """Moves the folders that a partitioned write made to the names of a tree of recordings."""
+    path = s._jvm.org.apache.hadoop.fs.Path
+    made = path(f"{root}/.{kind}")
+    files = made.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    for one in files.globStatus(path(f"{root}/.{kind}/_prep=*/_name=*")):
+        own = one.getPath()
+        folder = path(f"{root}/{own.getParent().getName().split('=')[1]}/{own.getName().split('=')[1]}")
+        files.mkdirs(folder)
+        files.rename(own, path(folder, kind))
+    files.delete(made, True)
 
 
 def parts(s, root: str, kind: str):
