@@ -64,8 +64,8 @@ def value_ranks(counts: DataFrame, by: list[str], col: str, ranges: int = RANGES
 def mean_rank(df: DataFrame, by: list[str], col: str, out: str = "rank", ranges: int = RANGES) -> DataFrame:
     """Rank with mean ranks on ties; NULL values keep a NULL rank."""
     known = df.filter(F.col(col).isNotNull())
-    ranks = value_ranks(value_counts(known, by, col), by, col, ranges).drop("n").withColumnRenamed("rank", out)
-    return beside(df, ranks, [*by, col])
+    ranks = value_ranks(value_counts(known, by, col), by, col, ranges).drop("n").withColumnRenamed("rank", "_rank")
+    return beside(df, ranks, [*by, col]).withColumn(out, F.col("_rank")).drop("_rank")
 
 
 def group_median(df: DataFrame, by: list[str], col: str, out: str = "median", ranges: int = RANGES) -> DataFrame:
