@@ -170,9 +170,9 @@ add("e20_quantify_by_condition", lambda s, d: rounded(E.quantify_by_condition(fx
         FROM sig s JOIN h ON h.g = s.subject_id || s.cond JOIN ar USING (subject_id, cond) LEFT JOIN r USING (subject_id, cond) GROUP BY 1, 2""")
 QM = QC.replace("md AS (SELECT subject_id, median(value) AS med, mad(value) AS mad FROM sig GROUP BY 1)", "sm AS (SELECT subject_id, cond, frame, avg(abs(value)) OVER (PARTITION BY subject_id, cond ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS value FROM sig), md AS (SELECT subject_id, cond, median(value) AS med, mad(value) AS mad FROM sm GROUP BY 1, 2)", 1)
 QM = QM.replace("FROM sig s JOIN md USING (subject_id)", "FROM sm s JOIN md USING (subject_id, cond)").replace("FROM sig WINDOW", "FROM sm WINDOW").replace("AS v FROM sig)", "AS v FROM sm)")
-add("e20_movement_by_condition", lambda s, d: rounded(E.quantify_by_condition(E.movement(fx.signals(s, d), 1.0, 3.0), 1.0, 2, 1.0, pooled=False), 3), "sig",
-    f"""WITH {QM}, {HAZEN.replace('0.05, 0.25, 0.5, 0.9', '0.95')} SELECT s.subject_id, s.cond, round(avg(value), 3) + 0.0 AS mean, round(any_value(q), 3) + 0.0 AS p95, round(coalesce(any_value(frames), 0) / count(*), 3) + 0.0 AS active,
-          round(coalesce(any_value(bouts), 0) * 60.0 / count(*), 3) + 0.0 AS bouts_per_min, round(any_value(integral), 3) + 0.0 AS integral
+add("e20_movement_by_condition", lambda s, d: rounded(E.quantify_by_condition(E.movement(fx.signals(s, d), 1.0, 3.0), 1.0, 2, 1.0, pooled=False), 6), "sig",
+    f"""WITH {QM}, {HAZEN.replace('0.05, 0.25, 0.5, 0.9', '0.95')} SELECT s.subject_id, s.cond, round(avg(value), 6) + 0.0 AS mean, round(any_value(q), 6) + 0.0 AS p95, round(coalesce(any_value(frames), 0) / count(*), 6) + 0.0 AS active,
+          round(coalesce(any_value(bouts), 0) * 60.0 / count(*), 6) + 0.0 AS bouts_per_min, round(any_value(integral), 6) + 0.0 AS integral
         FROM sm s JOIN h ON h.g = s.subject_id || s.cond JOIN ar USING (subject_id, cond) LEFT JOIN r USING (subject_id, cond) GROUP BY 1, 2""")
 add("e23_oscillator_core", lambda s, d: rounded(E.oscillator_core(T(s, d), fx.positions(s, d).select("recording_id", "unit_id", (F.col("unit_id") * 37 % 128 / 1000.0).alias("dom")), 0.01, 0.02)), "traces positions",
     f"""SELECT recording_id, frame, {_r('coalesce(avg(value) FILTER ((unit_id * 37) % 128 BETWEEN 10 AND 20), avg(value))', 'core')} FROM traces GROUP BY 1, 2""")
