@@ -116,3 +116,12 @@ def test_query(spark):
     got = QUERIES["op13_spelling_variants"](spark, sf)
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert sorted(tuple(r) for r in got.collect()) == brute(brute_counts(rows))
+
+
+def test_odd_counts(spark):
+    """Repeated words, null words and null counts, and words far longer than any other."""
+    long = "ab" * 5000
+    rows = [("common", 30), ("common", 20), (None, 9), ("comnon", 10), ("comnon", None), (long, 7), (long + "c", 70), ("lonely", None)]
+    got = sorted(tuple(r) for r in spelling.spelling_variants(spark.createDataFrame(rows, "word string, n long")).collect())
+    want = {"common": 50, "comnon": 10, long: 7, long + "c": 70, "lonely": 0}
+    assert got == brute(want)

@@ -175,11 +175,12 @@ def spelling_variants(words: DataFrame, ratio: int = RATIO, hot: int = HOT) -> D
 
     Defined cases: words without near words have n_near 0, no form and themselves as root. Words of
     fewer than four code points have no two disjoint bigrams among their first three and raise a
-    ValueError. Repeated words and nulls do not occur in the counts that this takes. An empty table
-    gives an empty result.
+    ValueError. Rows that repeat a word are added up, a null n counts as 0, and null words are left
+    out. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     spark = words.sparkSession
-    words = staged(spark, words.select("word", "n"), "words")
+    known = words.filter(F.col("word").isNotNull()).select("word", F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n"))
+    words = staged(spark, known.groupBy("word").agg(F.sum("n").alias("n")), "words")
     if words.filter(F.length("word") < 4).limit(1).count():
         raise ValueError("words of fewer than four code points have no pivotal grams")
     pairs = near_words(spark, words, hot)
