@@ -202,15 +202,37 @@ def test_p_values(spark):
     assert f.p == pytest.approx(0.034965, abs=1e-5)
 
 
+def _likelihood(rows, ratio):
+    """Log likelihood at the best coefficients, from the whole covariance matrix."""
+    s, x, y = (np.array(c) for c in zip(*rows))
+    v = np.eye(len(y)) + ratio * (s[:, None] == s[None])
+    w, design = np.linalg.inv(v), np.stack([np.ones(len(x)), x], axis=1)
+    b = np.linalg.solve(design.T @ w @ design, design.T @ w @ y)
+    var = (y - design @ b) @ w @ (y - design @ b) / len(y)
+    return b, -0.5 * (len(y) * np.log(2 * np.pi * var) + np.linalg.slogdet(v)[1] + len(y)), np.sqrt(np.linalg.inv(design.T @ w @ design)[1, 1] * var)
+
+
 def test_random_intercept(spark):
+    """Three groups fitted together against the whole covariance matrix; groups without spread or rows."""
     rng = np.random.default_rng(5)
     rows = []
-    for s in range(25):
-        u = rng.normal(0, 1.0)
-        for x in rng.normal(size=12):
-            rows.append((s, float(x), float(2 + 0.7 * x + u + 0.5 * rng.normal())))
-    fit = S.random_intercept(spark.createDataFrame(rows, "s int, x double, y double"), "s", "x", "y")
-    assert abs(fit["b1"] - 0.7) < 0.1 and 1.5 < fit["ratio"] < 9 and fit["p"] < 1e-6 and fit["lr_p"] < 1e-6
+    for g, spread in enumerate((1.0, 0.3, 2.0)):
+        for s in range(25):
+            u = rng.normal(0, spread)
+            rows += [(g, s, float(x), float(2 + 0.7 * x + u + 0.5 * rng.normal())) for x in rng.normal(size=rng.integers(3, 12))]
+    more = [(3, s, 1.0, float(s)) for s in range(4)] + [(0, None, 1.0, 2.0), (None, 1, 1.0, 2.0), (1, 2, None, 2.0), (1, 2, 1.0, None)]
+    frame = spark.createDataFrame(rows + more, "g int, s int, x double, y double")
+    fits = {r.g: r for r in S.random_intercept(frame, ["g"], "s", "x", "y").collect()}
+    assert set(fits) == {0, 1, 2, 3} and fits[3].b1 is None and fits[3].ll is None and fits[3].lr is None and fits[3].n == 4
+    for g in range(3):
+        fit, own = fits[g], [r[1:] for r in rows if r[0] == g]
+        b, ll, se = _likelihood(own, fit.ratio)
+        assert (fit.b0, fit.b1) == pytest.approx(tuple(b)) and fit.ll == pytest.approx(ll) and fit.se == pytest.approx(se) and fit.n == len(own)
+        assert all(_likelihood(own, fit.ratio * f)[1] <= ll + 1e-6 for f in (0.5, 0.9, 0.99, 1.01, 1.1, 2))
+        assert abs(fit.b1 - 0.7) < 0.15 and fit.p < 1e-6 and fit.lr_p < 1e-6
+    whole = S.random_intercept(frame.filter("g = 0"), [], "s", "x", "y").collect()
+    assert len(whole) == 1 and whole[0].b1 == pytest.approx(fits[0].b1)
+    assert S.random_intercept(frame.limit(0), ["g"], "s", "x", "y").count() == 0
 
 
 def test_surrogates_are_seeded(spark):

@@ -537,8 +537,33 @@ add("t17_two_conditions", lambda s, d: rounded(S.paired_summary(_sessions(s, d),
 def _fit(s, d):
     """Log of the amplitude against log of the hour of each event, subjects as random intercepts."""
     e = fx.event_train(s, d).filter("amp > 0 and frame >= 0").select("recording_id", F.log("amp").alias("y"), F.log1p("frame").alias("x"))
-    fit = S.random_intercept(e, "recording_id", "x", "y")
-    return s.createDataFrame([(k, float(v)) for k, v in sorted(fit.items())], "term string, value double")
+    return S.random_intercept(e, [], "recording_id", "x", "y").drop("n", "subjects").unpivot([], ["b0", "b1", "se", "z", "p", "ratio", "ll", "lr", "lr_p"], "term", "value")
 
 
 add("t9_random_intercept", lambda s, d: rounded(_fit(s, d), 4))
+
+
+def placed_levels(s, d):
+    """Traces raised by their unit's place along x, with the time of each sample: recording_id, unit_id, x, y."""
+    own = T(s, d).join(fx.positions(s, d).select("recording_id", "unit_id", F.col("x").alias("place")), ["recording_id", "unit_id"])
+    return own.select("recording_id", "unit_id", (F.col("frame") / fx.FPS).alias("x"), (F.col("value") + F.col("place") / 200).alias("y"))
+
+
+def _mixed_sql() -> str:
+    """The passes of the search, each from the best ratio of the one before."""
+    ctes = ["d AS (SELECT recording_id AS g, unit_id AS u, frame / 2.0 AS x, value + positions.x / 200 AS y FROM traces JOIN positions USING (recording_id, unit_id))",
+            "ss AS (SELECT g, u, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM d WHERE y IS NOT NULL GROUP BY 1, 2)",
+            "c0 AS (SELECT DISTINCT g, slope, CAST(-3 AS DOUBLE) AS t FROM ss, (SELECT unnest([true, false]) AS slope))"]
+    for i in range(S._PASSES):
+        ctes.append(f"""a{i} AS (SELECT g, slope, t, sum(n) AS n, count(*) AS subjects, sum(ln(1 + n * exp(t))) AS ld, sum(n - s * n * n) AS nn, sum(x - s * n * x) AS nx, sum(y - s * n * y) AS ny, sum(xx - s * x * x) AS xx, sum(xy - s * x * y) AS xy, sum(yy - s * y * y) AS yy
+          FROM (SELECT *, exp(t) / (1 + n * exp(t)) AS s FROM (SELECT ss.*, slope, c.t + k * {S._STEP / S._SIDE**i!r} AS t FROM ss JOIN c{i} c USING (g), range({-S._SIDE}, {S._SIDE + 1}) q(k))) GROUP BY 1, 2, 3),
+        b{i} AS (SELECT *, CASE WHEN slope THEN (nn * xy - nx * ny) / (nn * xx - nx * nx) ELSE 0 END AS b1 FROM a{i}), v{i} AS (SELECT *, (ny - b1 * nx) / nn AS b0, (yy - (ny - b1 * nx) / nn * ny - b1 * xy) / n AS var FROM b{i}),
+        l{i} AS (SELECT *, -0.5 * (n * ln(2 * pi() * var) + ld + n) AS ll FROM v{i}), c{i + 1} AS (SELECT * FROM l{i} QUALIFY row_number() OVER (PARTITION BY g, slope ORDER BY round(ll, 8) DESC, t) = 1)""")
+    last = f"c{S._PASSES}"
+    return "WITH " + ", ".join(ctes) + f"""
+      SELECT a.g AS recording_id, CAST(a.n AS BIGINT) AS n, a.subjects, round(a.b0, 5) + 0.0 AS b0, round(a.b1, 5) + 0.0 AS b1, round(sqrt(a.nn / (a.nn * a.xx - a.nx * a.nx) * a.var), 5) + 0.0 AS se,
+        round(a.b1 / sqrt(a.nn / (a.nn * a.xx - a.nx * a.nx) * a.var), 5) + 0.0 AS z, round(exp(a.t), 5) + 0.0 AS ratio, round(a.ll, 5) + 0.0 AS ll, round(greatest(0.0, 2 * (a.ll - b.ll)), 5) + 0.0 AS lr
+      FROM {last} a JOIN {last} b ON b.g = a.g AND a.slope AND NOT b.slope"""
+
+
+add("t9_levels_by_place", lambda s, d: rounded(S.random_intercept(placed_levels(s, d), ["recording_id"], "unit_id", "x", "y", p=False), 5), "traces positions", _mixed_sql())

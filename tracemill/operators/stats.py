@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from ..sources.staging import staged
 from .ranks import group_median, mean_rank, value_counts, value_ranks
 from .windows import rank_within
 
@@ -216,53 +217,59 @@ def correlation(df: DataFrame, by: list[str], x: str, y: str, spearman: bool = F
     return out.withColumn("p", corr_p("r", "n")) if p else out
 
 
-def random_intercept(df: DataFrame, subject: str, x: str, y: str) -> dict:
-    """Maximum likelihood fit of y = b0 + b1 x + subject + error: b0, b1, se, z, p, ratio, ll, and the likelihood-ratio test of b1.
+#: Logarithms of the variance ratio that a pass tries on each side of the best so far, the first step between them, and passes.
+_SIDE, _STEP, _PASSES = 6, 1.5, 6
 
-    The data shrink to six sums per subject; these stay in Spark, and each step of the search for
-    the variance ratio is one aggregation of them, so any number of subjects works.
+
+def _profile(tried: DataFrame, keys: list[str]) -> DataFrame:
+    """Fits per (keys..., slope, t), the logarithm of the variance ratio, from the sums of the subjects; null where there is none.
+
+    Weighted sums over subjects: within a subject of n rows, the mean counts n / (1 + n ratio).
     """
-    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    sums = known.groupBy(subject).agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in (("x", F.col(x)), ("y", F.col(y)), ("xx", F.col(x) ** 2), ("xy", F.col(x) * F.col(y)), ("yy", F.col(y) ** 2))]).persist()
-
-    def pieces(ratios: list[float]) -> list:
-        """Weighted sums for several ratios in one pass: within a subject, the mean counts n / (1 + n ratio)."""
-        out = []
-        for i, r in enumerate(ratios):
-            s = r / (1 + F.col("n") * r)
-            for k, a, b in (("11", "n", "n"), ("1x", "n", "x"), ("1y", "n", "y"), ("xx", "x", "x"), ("xy", "x", "y"), ("yy", "y", "y")):
-                full = {"11": "n", "1x": "x", "1y": "y"}.get(k, k)
-                out.append(F.sum(F.col(full) - s * F.col(a) * F.col(b)).alias(f"s{k}_{i}"))
-            out.append(F.sum(F.log1p(F.col("n") * r)).alias(f"ld_{i}"))
-        return sums.agg(F.sum("n").alias("n"), *out).first()
-
-    def fit(row, i, slope=True):
-        g = lambda k: row[f"s{k}_{i}"]
-        n = row["n"]
-        if slope:
-            a = np.array([[g("11"), g("1x")], [g("1x"), g("xx")]])
-            v = np.array([g("1y"), g("xy")])
-        else:
-            a, v = np.array([[g("11")]]), np.array([g("1y")])
-        b = np.linalg.solve(a, v)
-        var = (g("yy") - v @ b) / n
-        return b, np.linalg.inv(a) * var, -0.5 * (n * math.log(2 * math.pi * var) + row[f"ld_{i}"] + n)
-
-    def best(slope):
-        low, high = -12.0, 6.0
-        for _ in range(6):
-            grid = np.linspace(low, high, 13)
-            row = pieces([math.exp(t) for t in grid])
-            ll = [fit(row, i, slope)[2] for i in range(len(grid))]
-            at, step = int(np.argmax(ll)), grid[1] - grid[0]
-            low, high = grid[at] - step, grid[at] + step
-        return (*fit(row, at, slope), math.exp(grid[at]))
-
-    b, cov, ll, ratio = best(True)
-    ll0 = best(False)[2]
-    sums.unpersist()
-    se, lr = math.sqrt(cov[1, 1]), max(0.0, 2 * (ll - ll0))
-    return {"b0": float(b[0]), "b1": float(b[1]), "se": se, "z": b[1] / se, "p": math.erfc(abs(b[1] / se) / math.sqrt(2)), "ratio": ratio, "ll": ll, "lr": lr, "lr_p": _gamma_q(0.5, lr / 2)}
+    ratio = F.exp("t")
+    pull = ratio / (1 + F.col("n") * ratio)
+    full = {"nn": "n", "nx": "x", "ny": "y"}
+    sums = [F.sum(F.col(full.get(k, k)) - pull * F.col(k[0]) * F.col(k[1])).alias(f"s_{k}") for k in ("nn", "nx", "ny", "xx", "xy", "yy")]
+    rows = tried.groupBy(*keys, "slope", "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("subjects"), F.sum(F.log1p(F.col("n") * ratio)).alias("ld"), *sums)
+    det = F.expr("s_nn * s_xx - s_nx * s_nx")
+    some = F.when(det > 1e-12 * F.col("s_nn") * F.col("s_xx"), det)
+    rows = rows.withColumn("det", some).withColumn("b1", F.when(F.col("slope"), F.expr("(s_nn * s_xy - s_nx * s_ny) / det")).otherwise(0.0))
+    rows = rows.withColumn("b0", F.expr("(s_ny - b1 * s_nx) / s_nn")).withColumn("var", F.expr("(s_yy - b0 * s_ny - b1 * s_xy) / n"))
+    rows = rows.withColumn("ll", F.when(F.col("var") > 0, -0.5 * (F.col("n") * F.log(2 * math.pi * F.col("var")) + F.col("ld") + F.col("n"))))
+    return rows.select(*keys, "slope", "t", "n", "subjects", "b0", "b1", F.expr("sqrt(s_nn / det * var)").alias("se"), "ll")
+
+
+def random_intercept(df: DataFrame, by: list[str], subject: str, x: str, y: str, p: bool = True) -> DataFrame:
+    """(by..., n, subjects, b0, b1, se, z, ratio, ll, lr[, p, lr_p]): maximum likelihood fit of y = b0 + b1 x + subject + error in each group.
+
+    ``ratio`` is the subjects' variance over the error's, z and p test b1 by its standard error, lr and
+    lr_p by the likelihood without it. The data shrink to six sums per subject. Each pass tries thirteen
+    ratios of every group at once and the next looks closer around the best, so all groups are fitted
+    together and nothing but tables of groups goes from pass to pass.
+
+    Rows with a null in x, y, the subject or a key are left out. A group without spread in x, or that
+    the line meets exactly, has null results. An empty table gives no rows.
+    """
+    known = df.dropna(subset=[*by, subject, x, y]).select(*by, F.col(subject).alias("_subject"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.lit(0).alias("_all"))
+    keys = [*by, "_all"]
+    sums = known.groupBy(*keys, "_subject").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_x").alias("x"), F.sum("_y").alias("y"), F.sum(F.expr("_x * _x")).alias("xx"), F.sum(F.expr("_x * _y")).alias("xy"), F.sum(F.expr("_y * _y")).alias("yy"))
+    sums = staged(df.sparkSession, sums, "subject-sums")
+    around = lambda t, step: F.transform(F.sequence(F.lit(-_SIDE), F.lit(_SIDE)), lambda i: t + i * step)
+    tried = sums.withColumn("slope", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("t", F.explode(around(F.lit(-3.0), _STEP)))
+    for i in range(_PASSES):
+        fits = _profile(tried, keys)
+        # nearly equal likelihoods count as ties, the smaller ratio wins
+        order = F.when(F.col("ll").isNotNull(), F.struct(F.round("ll", 8), -F.col("t")))
+        best = fits.groupBy(*keys, "slope").agg(F.max("n").alias("n"), F.max("subjects").alias("subjects"), F.max_by(F.struct("t", "b0", "b1", "se", "ll"), order).alias("fit"))
+        best = staged(df.sparkSession, best, "mixed-fits")
+        tried = sums.join(best.select(*keys, "slope", F.col("fit.t").alias("_t")), keys).withColumn("t", F.explode(around(F.coalesce("_t", F.lit(-3.0)), _STEP / _SIDE ** (i + 1)))).drop("_t")
+    with_slope = lambda c: F.max(F.when(F.col("slope"), F.col(f"fit.{c}"))).alias(c)
+    out = best.groupBy(*keys).agg(F.max("n").alias("n"), F.max("subjects").alias("subjects"), *map(with_slope, ("b0", "b1", "se", "t", "ll")), F.max(F.when(~F.col("slope"), F.col("fit.ll"))).alias("ll0"))
+    z = F.when(F.col("se") > 0, F.col("b1") / F.col("se")).alias("z")
+    out = out.select(*by, "n", "subjects", "b0", "b1", "se", z, F.exp("t").alias("ratio"), "ll", F.greatest(F.lit(0.0), F.when(F.col("ll").isNotNull(), 2 * (F.col("ll") - F.col("ll0")))).alias("lr"))
+    out = out.withColumn("lr", F.when(F.col("ll").isNotNull(), F.col("lr")))
+    return out.withColumn("p", normal_two_sided("z")).withColumn("lr_p", normal_two_sided(F.sqrt("lr"))) if p else out
 
 
 def p_stars(p: Column) -> Column:
