@@ -462,6 +462,38 @@ add("n34_ensembles", lambda s, d: rounded(O.ensembles(A(s, d), fx.FPS, [2, 3, 4,
 add("n34_cluster_ranking", lambda s, d: rounded(L.cluster_ranking(fx.positions(s, d).groupBy((F.col("unit_id") % 6).alias("sol")).agg(F.avg("x").alias("within"), F.avg("y").alias("acf_within"), F.avg("z").alias("freq_cv"), F.max("x").alias("silhouette")), []).select("sol", "score")), "positions",
     f"""WITH g AS (SELECT unit_id % 6 AS sol, avg(x) AS a, avg(y) AS b, avg(z) AS c, max(x) AS e FROM positions GROUP BY 1) SELECT sol, {_r('+ '.join(f"{sg} CASE WHEN stddev_samp({v}) OVER () > 0 THEN ({v} - avg({v}) OVER ()) / stddev_samp({v}) OVER () ELSE 0 END " for v, sg in (('a', ''), ('b', ''), ('c', '-'), ('e', ''))), 'score')} FROM g""")
 
+
+def rule_quality(s, d):
+    """Groupings of the units by rule for several K, evaluated on their traces, autocorrelations and dominant frequencies: recording_id, k and the columns of ``cluster_eval``."""
+    rules = fx.positions(s, d).select("recording_id", "unit_id", F.explode(F.array(*map(F.lit, (2, 3, 4)))).alias("solution")).withColumn("cluster", F.col("unit_id") * 7 % F.col("solution"))
+    quality = L.cluster_eval(A(s, d), rules, acf_arrays(s, d), R.dominant_freq(spectra(s, d), 0.1, 0.9).select("recording_id", "unit_id", "dom"))
+    return quality.withColumn("k", F.col("solution").cast("int")).drop("solution")
+
+
+RULE_QUALITY = f"""{SPEC}, dm AS (SELECT recording_id, unit_id, f AS dom FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, unit_id ORDER BY pxx DESC, f) AS k FROM sp WHERE f BETWEEN 0.1 AND 0.9) WHERE k = 1),
+  ac AS (SELECT recording_id, unit_id, frame, v AS value FROM ({ACF.format(first=0, last=20)})), {PAIRS_OF.format('cr', 'traces')}, {PAIRS_OF.format('ca', 'ac')},
+  cl AS (SELECT recording_id, unit_id, k, unit_id * 7 % k AS cluster FROM (SELECT DISTINCT recording_id, unit_id FROM traces), (SELECT CAST(unnest([2, 3, 4]) AS INTEGER) AS k)),
+  g AS (SELECT cr.recording_id, p.k, u, p.cluster AS cu, q.cluster AS cv, sum(r) AS sr, count(*) AS n FROM cr JOIN cl p ON p.recording_id = cr.recording_id AND p.unit_id = u JOIN cl q ON q.recording_id = cr.recording_id AND q.unit_id = v AND q.k = p.k GROUP BY ALL),
+  ga AS (SELECT ca.recording_id, p.k, p.cluster AS c, avg(r) AS r FROM ca JOIN cl p ON p.recording_id = ca.recording_id AND p.unit_id = u JOIN cl q ON q.recording_id = ca.recording_id AND q.unit_id = v AND q.k = p.k AND q.cluster = p.cluster GROUP BY 1, 2, 3),
+  gc AS (SELECT recording_id, k, cu AS c, sum(sr) / sum(n) AS r FROM g WHERE cu = cv GROUP BY 1, 2, 3),
+  fr AS (SELECT cl.recording_id, k, cluster AS c, count(*) AS size, CASE WHEN count(dom) FILTER (dom > 0) >= 2 THEN stddev_samp(dom) FILTER (dom > 0) / avg(dom) FILTER (dom > 0) END AS cv FROM cl LEFT JOIN dm ON dm.recording_id = cl.recording_id AND dm.unit_id = cl.unit_id GROUP BY 1, 2, 3),
+  si AS (SELECT recording_id, k, avg((b - a) / greatest(a, b)) AS sil FROM (SELECT recording_id, k, u, max(1 - sr / n) FILTER (cu = cv) AS a, min(1 - sr / n) FILTER (cu <> cv) AS b FROM g GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  rq AS (SELECT fr.recording_id, fr.k, count(*) AS clusters, count(*) FILTER (size >= 2) AS used, avg(gc.r) FILTER (size >= 2) AS within, avg(ga.r) FILTER (size >= 2) AS acf_within, avg(cv) FILTER (size >= 2) AS freq_cv, CASE WHEN count(*) >= 2 AND min(size) >= 2 THEN any_value(sil) END AS silhouette
+    FROM fr LEFT JOIN gc USING (recording_id, k, c) LEFT JOIN ga USING (recording_id, k, c) LEFT JOIN si USING (recording_id, k) GROUP BY 1, 2)"""
+_MEASURES = ("within", "acf_within", "freq_cv", "silhouette")
+
+
+def _z(column: str, over: str) -> str:
+    return f"coalesce(CASE WHEN stddev_samp({column}) OVER {over} > 0 THEN ({column} - avg({column}) OVER {over}) / stddev_samp({column}) OVER {over} END, 0)"
+
+
+add("n34_ranked_rules", lambda s, d: rounded(L.cluster_ranking(rule_quality(s, d)), 5), "traces",
+    f"""WITH {RULE_QUALITY} SELECT recording_id, k, clusters, used, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in _MEASURES)},
+        round({' + '.join(_z(c, 'w') for c in ('within', 'acf_within', 'silhouette'))} - {_z('freq_cv', 'w')}, 5) + 0.0 AS score FROM rq WINDOW w AS (PARTITION BY recording_id)""")
+add("n26_selection_of_rules", lambda s, d: rounded(L.k_selection(rule_quality(s, d), ["within", "acf_within", "silhouette"], ["freq_cv"]), 5), "traces",
+    f"""WITH {RULE_QUALITY}, m AS (SELECT k, {', '.join(f'avg({c}) AS {c}' for c in _MEASURES)} FROM rq GROUP BY 1), z AS (SELECT *, {', '.join(f"{_z(c, '()')} AS z_{c}" for c in _MEASURES)} FROM m)
+        SELECT k, {', '.join(f'round({c}, 5) + 0.0 AS {c}, round(z_{c}, 5) + 0.0 AS z_{c}' for c in _MEASURES)}, round(z_within + z_acf_within + z_silhouette - z_freq_cv, 5) + 0.0 AS score FROM z""")
+
 # surrogates
 
 
