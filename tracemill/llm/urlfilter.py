@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 
 @dataclass(frozen=True)
 class HostRule:
@@ -45,6 +47,8 @@ SPAM_GLOBS = (
     GlobRule("*/login*", "block"), GlobRule("*/cart/*", "block"),
 )
 DEFAULT_VERDICT = "allow"
+#: Rules of a table: characters that one automaton packs, and characters that a pass over the URLs sends to its tasks.
+BLOCK_CHARS, SENT_CHARS = 20_000, 4_000_000
 
 _OTHER, _LEAD, _SEP = 0, 1, 2
 
@@ -166,3 +170,109 @@ def filter_urls(
 
     parts = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     return parts.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, glob string")
+
+
+def _route(host: str) -> str:
+    """The last two labels of a host, on which it agrees with every rule host of two labels or more that fits it; empty for a single label."""
+    return ".".join(host.split(".")[-2:]) if "." in host else ""
+
+
+class RuleBlocks:
+    """Rules (host, path, pattern, verdict, place) as automata of bounded size.
+
+    Rules of a host of several labels only meet URLs with the same last two labels; a block holds rules
+    of neighbouring routes, and a route of many rules spans several. Globs and rules of a single label meet every URL.
+    """
+
+    def __init__(self, rules: list[tuple], block_chars: int = BLOCK_CHARS):
+        routed = sorted(((_route(r[0]) if r[2] is None else "", r) for r in rules), key=lambda x: (x[0], _key(x[1])))
+        self.blocks: list[list[tuple]] = []
+        self.of_route: dict[str, list[int]] = {}
+        held = block_chars
+        for route, r in routed:
+            size = len(r[2]) if r[2] is not None else len(r[0]) + len(r[1]) + 2
+            if held + size > block_chars:
+                self.blocks.append([])
+                held = 0
+            held += size
+            self.blocks[-1].append(r)
+            at = self.of_route.setdefault(route, [])
+            if not at or at[-1] != len(self.blocks) - 1:
+                at.append(len(self.blocks) - 1)
+        self.automata: dict[int, tuple[Automaton, list[tuple]]] = {}
+
+    def _automaton(self, i: int) -> tuple[Automaton, list[tuple]]:
+        """The automaton of a block and the order of its rules: what ``_key`` says, which also is what a URL's best so far is compared by."""
+        if i not in self.automata:
+            ranked = sorted(self.blocks[i], key=_key)
+            hosts = [HostRule(r[0], r[1], r[3]) for r in ranked if r[2] is None]
+            self.automata[i] = Automaton(hosts, [GlobRule(r[2], r[3]) for r in ranked if r[2] is not None]), [_key(r) for r in ranked]
+        return self.automata[i]
+
+    def improve(self, hosts: list[str], paths: list[str], best: list[tuple | None]) -> None:
+        """Puts each URL's best rule, as a key, in the place of a worse one."""
+        wanted: dict[int, list[int]] = {}
+        for u, host in enumerate(hosts):
+            route = _route(host)
+            for b in {*self.of_route.get("", ()), *self.of_route.get(route, ())}:
+                wanted.setdefault(b, []).append(u)
+        for b, urls in wanted.items():
+            automaton, keys = self._automaton(b)
+            fits = automaton.matches([hosts[u] for u in urls], [paths[u] for u in urls])
+            for at in np.flatnonzero(fits.any(axis=1)).tolist():
+                key, u = keys[int(fits[at].argmax())], urls[at]
+                if best[u] is None or key < best[u]:
+                    best[u] = key
+
+
+def _key(r: tuple) -> tuple:
+    """Sorts rules by what wins: host rules before globs, long host rules first, then place, name and verdict."""
+    host, path, pattern, verdict, place = r
+    return (0, -len(host + path), place, host + path, verdict) if pattern is None else (1, 0, place, pattern, verdict)
+
+
+def filter_urls_by_table(
+    pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, id_col: str = "page_id", url_col: str = "url",
+    block_chars: int = BLOCK_CHARS, sent_chars: int = SENT_CHARS,
+) -> DataFrame:
+    """``filter_urls`` by a table of any number of rules: host, path, pattern, verdict, place.
+
+    A row with a pattern is a glob, else one with a host is a host rule (a null path counts as the empty
+    one). The longest fitting host rule decides, of equal length the one of the smallest place; where
+    none fits, the fitting glob of the smallest place; else ``default``. Equal places go by name, then
+    verdict. The table is dealt into parts of about ``sent_chars`` characters; each part goes to the
+    tasks in one pass over the URLs, which carry their best rule from pass to pass.
+
+    Defined cases: rules without a verdict, or without host and pattern, are left out; a null place comes
+    last; repeated rules count once. An empty table of rules gives every page the default. Pages are
+    treated as in ``filter_urls``. Columns of other names are ignored in both tables.
+    """
+    spark = pages.sparkSession
+    known = rules.filter("verdict is not null and (host is not null or pattern is not null)").select(
+        F.when(F.col("pattern").isNull(), F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("host"),
+        F.when(F.col("pattern").isNull(), F.coalesce("path", F.lit(""))).alias("path"), "pattern", "verdict",
+        F.coalesce(F.col("place").cast("long"), F.lit((1 << 63) - 1)).alias("place")).distinct()
+    chars = F.coalesce(F.length("pattern"), F.length("host") + F.length("path"))
+    parts = max(1, -(-(known.agg(F.sum(chars)).first()[0] or 0) // sent_chars))
+    known = staged(spark, known.withColumn("part", F.pmod(F.xxhash64("host", "path", "pattern"), F.lit(parts))), "url-rules")
+    host, path = canonical_parts(url_col)
+    schema = "page_id long, host string, path string, kind int, size int, place long, name string, verdict string"
+    urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", ")[3:])))
+    for part in range(parts):
+        sent = spark.sparkContext.broadcast([tuple(r) for r in known.filter(F.col("part") == part).drop("part").collect()])  # about sent_chars characters
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            blocks = RuleBlocks(sent.value, block_chars)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string())
+            for batch in batches:
+                before = zip(*(batch.column(i).to_pylist() for i in range(3, 8)))
+                best = [None if b[0] is None else b for b in before]
+                blocks.improve(batch.column(1).to_pylist(), batch.column(2).to_pylist(), best)
+                told = [pa.array([None if b is None else b[i] for b in best], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *told], names=batch.schema.names)
+
+        urls = urls.mapInArrow(run, schema)
+        if part < parts - 1:
+            urls = staged(spark, urls, "urls")
+    rule, glob = (F.when(F.col("kind") == k, F.col("name")) for k in (0, 1))
+    return urls.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("verdict", F.lit(default)).alias("verdict"), glob.alias("glob"))
