@@ -247,8 +247,8 @@ def random_intercept(df: DataFrame, by: list[str], subject: str, x: str, y: str,
     ratios of every group at once and the next looks closer around the best, so all groups are fitted
     together and nothing but tables of groups goes from pass to pass.
 
-    Rows with a null in x, y, the subject or a key are left out. A group without spread in x, or that
-    the line meets exactly, has null results. An empty table gives no rows.
+    Rows with a null in x, y, the subject or a key are left out. A group without spread in x
+    has null results; where the line meets every row, its likelihood is that of rounding errors. An empty table gives no rows.
     """
     known = df.dropna(subset=[*by, subject, x, y]).select(*by, F.col(subject).alias("_subject"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.lit(0).alias("_all"))
     keys = [*by, "_all"]
@@ -267,8 +267,7 @@ def random_intercept(df: DataFrame, by: list[str], subject: str, x: str, y: str,
     with_slope = lambda c: F.max(F.when(F.col("slope"), F.col(f"fit.{c}"))).alias(c)
     out = best.groupBy(*keys).agg(F.max("n").alias("n"), F.max("subjects").alias("subjects"), *map(with_slope, ("b0", "b1", "se", "t", "ll")), F.max(F.when(~F.col("slope"), F.col("fit.ll"))).alias("ll0"))
     z = F.when(F.col("se") > 0, F.col("b1") / F.col("se")).alias("z")
-    out = out.select(*by, "n", "subjects", "b0", "b1", "se", z, F.exp("t").alias("ratio"), "ll", F.greatest(F.lit(0.0), F.when(F.col("ll").isNotNull(), 2 * (F.col("ll") - F.col("ll0")))).alias("lr"))
-    out = out.withColumn("lr", F.when(F.col("ll").isNotNull(), F.col("lr")))
+    out = out.select(*by, "n", "subjects", "b0", "b1", "se", z, F.exp("t").alias("ratio"), "ll", F.when(F.col("ll").isNotNull(), F.greatest(F.lit(0.0), 2 * (F.col("ll") - F.col("ll0")))).alias("lr"))
     return out.withColumn("p", normal_two_sided("z")).withColumn("lr_p", normal_two_sided(F.sqrt("lr"))) if p else out
 
 
