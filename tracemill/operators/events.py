@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as k
 from ..functions.batches import padded
 from ..sources.staging import bounded_batches, staged
-from .aggregates import fisher_z_mean, hazen, resultant, trapz
+from .aggregates import corr, fisher_z_mean, hazen, resultant, trapz
 from .clean import UNIT
 from .joins import events_in_windows, interpolate_to, leave_one_out_mean, peri_event
 from .pairs import dealt, permuted
@@ -204,14 +204,14 @@ def trial_pair_corr(trials: DataFrame) -> DataFrame:
     key = ["subject_id", "unit_id", "rel_frame"]
     other = trials.select(*key, F.col("trial").alias("b"), F.col("value").alias("_v"))
     both = trials.withColumnRenamed("trial", "a").join(other, key).filter("a < b")
-    return both.groupBy("subject_id", "unit_id", "a", "b").agg(F.corr("value", "_v").alias("r"))
+    return both.groupBy("subject_id", "unit_id", "a", "b").agg(corr("value", "_v").alias("r"))
 
 
 def trial_reliability(trials: DataFrame) -> DataFrame:
     """(subject_id, unit_id, fisher, median, others): mean trial correlation by Fisher z, its median, and the mean correlation with the other trials' mean."""
     key = ["subject_id", "unit_id"]
     pairs = trial_pair_corr(trials).groupBy(*key).agg(fisher_z_mean(F.col("r")).alias("fisher"), F.median("r").alias("median"))
-    loo = leave_one_out_mean(trials, [*key, "rel_frame"]).groupBy(*key, "trial").agg(F.corr("value", "others").alias("r")).groupBy(*key).agg(F.avg("r").alias("others"))
+    loo = leave_one_out_mean(trials, [*key, "rel_frame"]).groupBy(*key, "trial").agg(corr("value", "others").alias("r")).groupBy(*key).agg(F.avg("r").alias("others"))
     return pairs.join(loo, key)
 
 
@@ -225,10 +225,10 @@ def split_reliability(first: DataFrame, second: DataFrame, seeds: int = 1) -> Da
     """(subject_id, unit_id, r, null_r): correlation of two blocks' mean traces per unit, and with another unit's second block in its place."""
     key = ["subject_id", "unit_id"]
     b = second.select(*key, "rel_frame", F.col("value").alias("_b"))
-    own = first.join(b, [*key, "rel_frame"]).groupBy(*key).agg(F.corr("value", "_b").alias("r"))
+    own = first.join(b, [*key, "rel_frame"]).groupBy(*key).agg(corr("value", "_b").alias("r"))
     moved = permuted(first.select(*key).distinct(), seeds, ["subject_id"])
     other = b.withColumnRenamed("unit_id", "other")
-    null = first.join(moved, key).join(other, ["subject_id", "other", "rel_frame"]).groupBy(*key, "seed").agg(F.corr("value", "_b").alias("_r"))
+    null = first.join(moved, key).join(other, ["subject_id", "other", "rel_frame"]).groupBy(*key, "seed").agg(corr("value", "_b").alias("_r"))
     return own.join(null.groupBy(*key).agg(F.avg("_r").alias("null_r")), key, "left")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..sources.staging import staged
+from .aggregates import corr
 from .ranks import group_median, mean_rank, value_counts, value_ranks
 from .windows import rank_within
 
@@ -213,7 +214,7 @@ def correlation(df: DataFrame, by: list[str], x: str, y: str, spearman: bool = F
     if spearman:
         known = mean_rank(mean_rank(known, by, x, "_x"), by, y, "_y")
         x, y = "_x", "_y"
-    out = known.groupBy(*by).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    out = known.groupBy(*by).agg(corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("p", corr_p("r", "n")) if p else out
 
 
