@@ -2,6 +2,11 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 from tracemill.operators import events as E
 from tracemill.operators import pairs as N
 
@@ -18,3 +23,79 @@ def test_gradient_without_spread(spark):
     units = spark.createDataFrame([(0, u, 1.0, float(u)) for u in range(4)], "recording_id int, unit_id int, x double, y double")
     (row,) = N.spatial_gradient(units, "x", "y").collect()
     assert math.isnan(row.rho) and row.slope == 0.0
+
+
+def _many(spark, gaps: bool):
+    """Two recordings of 40 units on nine places, one of them with other lengths and, if told, missing values and a unit without spread."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for rec in range(2):
+        for u in range(40):
+            x = rng.normal(size=12 if rec and u % 10 == 3 else 16).tolist()
+            if gaps and u % 8 == 1:
+                x[u % 5] = None
+            if gaps and u == 4:
+                x = [2.5] * 16
+            rows.append((rec, u, x, float(u % 3 * 4), None if u == 7 else float(u % 9 // 3 * 5)))
+    arrays = spark.createDataFrame([r[:3] for r in rows], "recording_id int, unit_id long, trace array<double>")
+    return arrays, spark.createDataFrame([(r[0], r[1], r[3], r[4]) for r in rows], "recording_id int, unit_id long, x double, y double"), rows
+
+
+def _brute(rows, step, place, split=None):
+    """Sums and counts per recording, side and bin, pair by pair."""
+    out: dict = {}
+    for i, (rec, u, x, *_) in enumerate(rows):
+        for other, v, y, *_ in rows[:i]:
+            p, q = place(rec, u), place(rec, v)
+            if rec != other or p is None or q is None or None in (*p, *q):
+                continue
+            both = [(a, b) for a, b in zip(x, y) if a is not None and b is not None]
+            a, b = (np.array(c) for c in zip(*both))
+            if np.ptp(a) == 0 or np.ptp(b) == 0 or (split is not None and (p[1] >= split) != (q[1] >= split)):
+                continue
+            key = (rec, 0 if split is None else int(p[1] >= split), int(math.hypot(p[0] - q[0], p[1] - q[1]) // step))
+            total, n = out.get(key, (0.0, 0))
+            out[key] = (total + np.corrcoef(a, b)[0, 1], n + 1)
+    return out
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+@pytest.mark.parametrize("split", [None, 4.0])
+def test_sums_by_place_equal_sums_by_pair(spark, monkeypatch, gaps, split):
+    arrays, positions, rows = _many(spark, gaps)
+    want = _brute(rows, 3.0, lambda r, u: rows[r * 40 + u][3:5], split)
+    units = arrays.join(positions.select("recording_id", "unit_id", F.array("x").alias("xs"), F.array("y").alias("ys")), ["recording_id", "unit_id"])
+    for tile, by_place in ((256, True), (4, True), (4, False), (256, None)):
+        for name, value in (("TILE", tile), ("PLACES", tile), ("PLACED", 4 * tile)):
+            monkeypatch.setattr(N, name, value)
+        got = {(r.recording_id, r.side, r.bin): (r.total, r.n) for r in N._distance_sums(units, 3.0, split, None, by_place).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+
+
+def test_random_subset_holds_no_list_of_the_band(spark):
+    # a drawn row carries its own place only: its width does not grow with the band
+    arrays, positions, rows = _many(spark, False)
+    drawn = N.random_subsets(positions, positions.filter("unit_id % 2 = 0"), 3)
+    found = drawn.collect()
+    assert not any("array" in t for _, t in drawn.dtypes) and len(found) == 2 * 3 * 20
+    assert "collect_list" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.recording_id, r.seed) for r in found} == {(r, s) for r in range(2) for s in (1, 2, 3)}
+    assert all(r.unit_id % 2 == 0 for r in found)
+
+
+def test_pair_rows_are_copied_for_few_blocks(spark):
+    # 600 units in tiles of 8 would be 75 blocks of their own
+    rows = [(0, u, [float(u % 7), float(u % 11), float(u % 5)]) for u in range(600)]
+    arrays = spark.createDataFrame(rows, "recording_id int, unit_id long, trace array<double>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def kernel(a, b, r, count):
+        seen.add(len(a["unit_id"]) + len(b["unit_id"]))
+        return {"n": [int(count.sum())]}
+
+    pairs = N.block_pairs(arrays, kernel, {"n": ("long", pa.int64())})
+    lanes = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.agg(F.sum("n")).first()[0] == 600 * 599 // 2 and "_meets" in lanes
+    blocks = arrays.groupBy("recording_id").agg(N._blocks_for(F.lit(60_000), F.lit(64), None).alias("few"), N._blocks_for(F.lit(600_000_000), F.lit(64), None).alias("many")).first()
+    assert blocks.few == 16 and 600_000_000 / blocks.many * 64 * 8 <= N.BLOCK_BYTES
