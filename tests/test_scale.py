@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import events as E
+from tracemill.operators import joins as J
+from tracemill.operators import latent as L
 from tracemill.operators import pairs as N
 
 
@@ -99,3 +101,60 @@ def test_pair_rows_are_copied_for_few_blocks(spark):
     assert pairs.agg(F.sum("n")).first()[0] == 600 * 599 // 2 and "_meets" in lanes
     blocks = arrays.groupBy("recording_id").agg(N._blocks_for(F.lit(60_000), F.lit(64), None).alias("few"), N._blocks_for(F.lit(600_000_000), F.lit(64), None).alias("many")).first()
     assert blocks.few == 16 and 600_000_000 / blocks.many * 64 * 8 <= N.BLOCK_BYTES
+
+
+def test_split_reliability_of_whole_rows(spark):
+    """Missing values, frames that one block lacks and a unit without spread, against the definition."""
+    rng = np.random.default_rng(2)
+    cells = {side: {(s, u, f): (1.0 if u == 5 else None if (u + f) % 7 == 0 else float(rng.normal())) for s in range(2) for u in range(9) for f in range(6) if (u, f) != (3, side)} for side in (0, 1)}
+    first, second = (spark.createDataFrame([(*key, v) for key, v in cells[side].items()], "subject_id int, unit_id long, rel_frame int, value double") for side in (0, 1))
+
+    def corr(s, u, v):
+        both = [(cells[0][s, u, f], cells[1][s, v, f]) for f in range(6) if cells[0].get((s, u, f)) is not None and cells[1].get((s, v, f)) is not None]
+        a, b = (np.array(c) for c in zip(*both))
+        return np.corrcoef(a, b)[0, 1] if np.ptp(a) > 0 and np.ptp(b) > 0 else math.nan
+
+    table = E.split_reliability(first, second, 5)
+    joins = [line for line in table._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert not any(c in line for line in joins for c in ("other#", "rel_frame#", "unit_id#"))
+    for r in table.collect():
+        units = sorted(range(9))
+        key = lambda u, seed: (u * 7919 + seed * 104729 + u * u % 7907 * seed) % 1000003
+        null = np.mean([corr(r.subject_id, r.unit_id, sorted(units, key=lambda u: (key(u, seed), u))[r.unit_id]) for seed in range(1, 6)])
+        assert np.allclose([r.r, r.null_r], [corr(r.subject_id, r.unit_id, r.unit_id), null], atol=1e-9, equal_nan=True)
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_cluster_sums_by_vectors_equal_sums_by_pair(spark, monkeypatch, gaps):
+    arrays, _, rows = _many(spark, gaps)
+    monkeypatch.setattr(L, "block_pairs", lambda units, *more, **named: pairs.append(named.get("loose")) or N.block_pairs(units, *more, **named))
+    pairs: list = []
+    clusters = spark.createDataFrame([(r, str(k), u, u * 7 % k) for r in range(2) for u in range(38) for k in (2, 3)], "recording_id int, solution string, unit_id long, cluster int")
+    want: dict = {}
+    for rec, u, x, *_ in rows:
+        for other, v, y, *_ in rows:
+            if rec != other or u == v or max(u, v) > 37:
+                continue
+            a, b = (np.array(c) for c in zip(*[(p, q) for p, q in zip(x, y) if p is not None and q is not None]))
+            if np.ptp(a) == 0 or np.ptp(b) == 0:
+                continue
+            for k in (2, 3):
+                key = (rec, str(k), u, u * 7 % k, v * 7 % k)
+                total, n = want.get(key, (0.0, 0))
+                want[key] = (total + np.corrcoef(a, b)[0, 1], n + 1)
+    got = {(r.recording_id, r.solution, r.u, r.cu, r.cv): (r.r, r.n) for r in L.cluster_sums(arrays, clusters).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+    assert all(p == "loose" for p in pairs)  # never all pairs
+    # whole traces of equal length need no pairs at all
+    pairs.clear()
+    L.cluster_sums(arrays.filter("size(trace) = 16 and not exists(trace, x -> x is null)"), clusters).count()
+    assert not pairs
+
+
+def test_pairs_of_one_recording_go_to_many_tasks(spark):
+    units = spark.createDataFrame([(0, u, float(u % 10)) for u in range(200)], "recording_id int, unit_id long, x double")
+    for table, want in ((J.unit_pairs(units, ["x"]), {(a, b) for a in range(200) for b in range(a + 1, 200)}), (J.rectangle_pairs(units, ["x"], F.col("x") < 5), {(a, b) for a in range(200) for b in range(200) if a % 10 < 5 <= b % 10})):
+        found = [(r.a, r.b) for r in table.collect()]
+        assert len(found) == len(want) and set(found) == want
+        assert "_p" in table._jdf.queryExecution().optimizedPlan().toString()

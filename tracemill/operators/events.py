@@ -222,14 +222,41 @@ def significant_reliability(pairs: DataFrame, method: str = "fdr", alpha: float
 
 
 def split_reliability(first: DataFrame, second: DataFrame, seeds: int = 1) -> DataFrame:
-    """(subject_id, unit_id, r, null_r): correlation of two blocks' mean traces per unit, and with another unit's second block in its place."""
+    """(subject_id, unit_id, r, null_r): correlation of two blocks' mean traces per unit, and with another unit's second block in its place.
+
+    A unit's mean trace (one value per frame) is one row, so what is drawn is rows of units, not of frames.
+    """
     key = ["subject_id", "unit_id"]
     b = second.select(*key, "rel_frame", F.col("value").alias("_b"))
-    own = first.join(b, [*key, "rel_frame"]).groupBy(*key).agg(corr("value", "_b").alias("r"))
+    own = first.join(b.hint("merge"), [*key, "rel_frame"]).groupBy(*key).agg(corr("value", "_b").alias("r"))
+    frames = first.select("subject_id", "rel_frame").unionByName(second.select("subject_id", "rel_frame")).groupBy("subject_id").agg(F.sort_array(F.collect_set("rel_frame")).alias("_frames"))
+
+    def wide(df: DataFrame, unit: str, name: str) -> DataFrame:
+        """Values per unit in the order of the subject's frames, and which of them have a row."""
+        one = df.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("rel_frame", F.struct(F.col("value").cast("double").alias("v"))))).alias("_m"))
+        cells = F.transform("_frames", lambda f: F.try_element_at("_m", f))
+        rows = one.join(frames.hint("merge"), "subject_id").select("subject_id", F.col("unit_id").alias(unit), F.transform(cells, lambda c: c["v"]).alias(name), F.transform(cells, lambda c: c.isNotNull()).alias(f"{name}_row"))
+        return rows.hint("merge")
+
     moved = permuted(first.select(*key).distinct(), seeds, ["subject_id"])
-    other = b.withColumnRenamed("unit_id", "other")
-    null = first.join(moved, key).join(other, ["subject_id", "other", "rel_frame"]).groupBy(*key, "seed").agg(corr("value", "_b").alias("_r"))
-    return own.join(null.groupBy(*key).agg(F.avg("_r").alias("null_r")), key, "left")
+    rows = moved.join(wide(second, "other", "_y"), ["subject_id", "other"]).join(wide(first, "unit_id", "_x"), key)
+    rows = rows.select(*key, "_x", "_y", F.exists(F.zip_with("_x_row", "_y_row", lambda p, q: p & q), lambda x: x).alias("_some")).filter("_some").drop("_some")
+    bounded_batches(first.sparkSession)
+    kinds = dict(first.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (padded(batch.column(i)) for i in (2, 3))
+            known = np.isfinite(x) & np.isfinite(y)
+            n = known.sum(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                spread = [np.where(known, v, -np.inf).max(axis=1, initial=-np.inf) > np.where(known, v, np.inf).min(axis=1, initial=np.inf) for v in (x, y)]
+                x, y = (np.where(known, v - np.where(known, v, 0.0).sum(axis=1, keepdims=True) / n[:, None], 0.0) for v in (x, y))
+                r = np.where(spread[0] & spread[1], (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)), np.nan)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(r, mask=n == 0)], names=[*key, "_r"])
+
+    null = rows.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in key], "_r double"]))
+    return own.join(null.groupBy(*key).agg(F.avg("_r").alias("null_r")).hint("merge"), key, "left")
 
 
 def responsive_units(trials: DataFrame, stim_from: int, sds: float = 2.0) -> DataFrame:
