@@ -23,7 +23,7 @@ from ..sources.staging import bounded_batches, staged
 from .aggregates import hazen, resultant
 from .clean import UNIT, zscore_column
 from .joins import assignment_agreement
-from .pairs import BROADCAST_RECORDINGS, _standardised, block_pairs, dealt
+from .pairs import BROADCAST_RECORDINGS, _standardised, block_pairs, dealt, whole_and_loose
 from .signal import analytic_signal, bandpass, dominant_freq, long_phases, welch_spectra
 from .windows import runs
 
@@ -750,11 +750,48 @@ def cosine_assign(arrays: DataFrame, components: int) -> DataFrame:
 def cluster_sums(arrays: DataFrame, clusters: DataFrame) -> DataFrame:
     """(recording_id, solution, u, cu, cv, r, n): per unit and cluster the summed correlation with the cluster's other units, and how many they are.
 
-    ``clusters`` (recording_id, solution, unit_id, cluster) may hold many solutions; the correlations of two blocks serve all of them.
+    ``clusters`` (recording_id, solution, unit_id, cluster) may hold many solutions. The correlations of a unit
+    with all whole traces of a cluster add up to one product with the sum of their vectors, so each unit meets
+    the clusters instead of the units. Pairs with a loose trace (see ``pairs.whole_and_loose``) go one by one.
     """
-    own = clusters.groupBy(*UNIT).agg(F.collect_list(F.struct(F.col("solution").cast("string").alias("solution"), F.col("cluster").cast("long").alias("cluster"))).alias("c"))
-    units = arrays.join(own, UNIT).select("recording_id", "unit_id", "trace", F.col("c.solution").alias("solutions"), F.col("c.cluster").alias("clusters"))
-
+    spark = arrays.sparkSession
+    clusters = clusters.select("recording_id", F.col("solution").cast("string").alias("solution"), "unit_id", F.col("cluster").cast("long").alias("cluster"))
+    own = clusters.groupBy(*UNIT).agg(F.collect_list(F.struct("solution", "cluster")).alias("c"))
+    units = staged(spark, whole_and_loose(arrays.select(*UNIT, "trace").join(own, UNIT).select("recording_id", "unit_id", "trace", F.col("c.solution").alias("solutions"), F.col("c.cluster").alias("clusters"))), "cluster-units")
+    sums = _whole_cluster_sums(units.filter("loose = 0").drop("loose"))
+    if units.filter("loose = 1").limit(1).count():
+        sums = sums.unionByName(_pair_cluster_sums(units))
+        sums = sums.groupBy("recording_id", "solution", "u", "cu", "cv").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
+    return sums
+
+
+def _whole_cluster_sums(units: DataFrame) -> DataFrame:
+    """``cluster_sums`` of whole units, by the vectors of the clusters."""
+    of = F.explode(F.arrays_zip(F.col("solutions").alias("solution"), F.col("clusters").alias("cluster"))).alias("c")
+    long = units.select("recording_id", of, "trace").select("recording_id", "c.solution", F.col("c.cluster").alias("cluster"), "trace")
+    key = ["recording_id", "solution", "cluster"]
+    vectors = staged(units.sparkSession, group_frame_sums(long, key).join(long.groupBy(*key).agg(F.count(F.lit(1)).alias("size")), key), "cluster-vectors")
+    own = units.select("recording_id", "unit_id", "trace", of).select("recording_id", "unit_id", "trace", "c.solution", F.col("c.cluster").alias("cu"))
+    # a recording's clusters are a short list per solution, which each of its units meets in one row
+    lists = vectors.groupBy("recording_id", "solution").agg(F.collect_list(F.struct("cluster", "size", "y")).alias("v"))
+    same = ["recording_id", "solution"]
+    rows = own.join(F.broadcast(lists) if _few_bytes(vectors) else lists, same)
+    product = lambda y: F.aggregate(F.zip_with("trace", y, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    met = rows.select(*same, F.col("unit_id").alias("u"), "cu", "trace", F.explode("v").alias("w")).select(*same, "u", "cu", F.col("w.cluster").alias("cv"), product(F.col("w.y")).alias("r"), F.col("w.size").alias("n"))
+    mine = (F.col("cu") == F.col("cv")).cast("int")  # less the unit itself, whose product with itself is 1
+    return met.select(*same, "u", "cu", "cv", (F.col("r") - mine).alias("r"), (F.col("n") - mine).alias("n")).filter("n > 0")
+
+
+#: Bytes up to which the vectors of all clusters are broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def _few_bytes(vectors: DataFrame) -> bool:
+    return (vectors.agg(F.sum(F.size("y") * F.lit(8).cast("long")).alias("n")).first().n or 0) <= BROADCAST_BYTES
+
+
+def _pair_cluster_sums(units: DataFrame) -> DataFrame:
+    """``cluster_sums`` pair by pair, for the pairs that have a loose unit."""
     def of(table: dict) -> dict[str, np.ndarray]:
         """Cluster of each unit by solution, -1 for none."""
         out: dict[str, np.ndarray] = {}
@@ -779,9 +816,9 @@ def cluster_sums(arrays: DataFrame, clusters: DataFrame) -> DataFrame:
                         out[key] += list(v)
         return out
 
-    unit = dict(arrays.dtypes)["unit_id"]
+    unit = dict(units.dtypes)["unit_id"]
     kinds = {"solution": ("string", pa.string()), "u": (unit, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[unit]), "cu": ("long", pa.int64()), "cv": ("long", pa.int64()), "r": ("double", pa.float64()), "n": ("long", pa.int64())}
-    return block_pairs(units, kernel, kinds).groupBy("recording_id", "solution", "u", "cu", "cv").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
+    return block_pairs(units, kernel, kinds, loose="loose").groupBy("recording_id", "solution", "u", "cu", "cv").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
 
 
 def within_by_cluster(sums: DataFrame, name: str = "within") -> DataFrame:
