@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.functions import kernels as k
 from tracemill.operators import events as E
 from tracemill.operators import joins as J
 from tracemill.operators import latent as L
@@ -158,3 +159,13 @@ def test_pairs_of_one_recording_go_to_many_tasks(spark):
         found = [(r.a, r.b) for r in table.collect()]
         assert len(found) == len(want) and set(found) == want
         assert "_p" in table._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prominence_compared_at_six_digits():
+    # r21's SQL lists prominences with six digits and compares those with half the MAD
+    x = np.array([0.0, 0.0240414, 0.0, 1.0, 0.0])
+    assert k.find_peaks(x, prominence=0.0240419)[0].tolist() == [3]
+    assert k.find_peaks(x, prominence=0.0240419, digits=6)[0].tolist() == [3]
+    x[1] = 0.024041626
+    assert k.find_peaks(x, prominence=0.0240419)[0].tolist() == [3]
+    assert k.find_peaks(x, prominence=0.0240419, digits=6)[0].tolist() == [1, 3]

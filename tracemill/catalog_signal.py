@@ -114,7 +114,7 @@ add("r19_side_xcorr", lambda s, d: rounded(R.side_xcorr(T(s, d), sides(s, d), 20
         SELECT recording_id, {_r('max(r) FILTER (lag = 0)', 'zero')}, {_r('max(r)', 'peak')}, CAST(arg_max(lag, round(r, 12)) AS INTEGER) AS peak_lag, {_r('sum((r + pr) / 2) FILTER (lag BETWEEN -4 AND 5)', 'auc')} FROM y GROUP BY 1""")
 add("r19_zero_lag", lambda s, d: rounded(R.side_xcorr(T(s, d), sides(s, d), 20, 5).select("recording_id", "zero")), "traces positions",
     f"""WITH {SIDES}, m AS (SELECT t.recording_id, frame, avg(value) FILTER (side = 0) AS a, avg(value) FILTER (side = 1) AS b FROM traces t JOIN sd ON sd.recording_id = t.recording_id AND sd.unit_id = t.unit_id GROUP BY 1, 2) SELECT recording_id, {_r('corr(a, b)', 'zero')} FROM m GROUP BY 1""")
-add("r21_beat_rate", lambda s, d: rounded(R.beat_rate(A(s, d), fx.FPS, 3).select("recording_id", "unit_id", "beats", "rate")), "traces",
+add("r21_beat_rate", lambda s, d: rounded(R.beat_rate(A(s, d), fx.FPS, 3, digits=6).select("recording_id", "unit_id", "beats", "rate")), "traces",
     "WITH RECURSIVE sm AS (SELECT recording_id, unit_id, frame, avg(value) OVER " + UNITW + " ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM traces), fl AS (SELECT recording_id, unit_id, mad(v) * 0.5 AS least FROM sm GROUP BY 1, 2), f AS ("
     + PEAKS.format(src="SELECT * FROM sm", height=-9, prominence=0, distance=1)
     + f""") SELECT fl.recording_id, fl.unit_id, count(f.frame) AS beats, {_r('CASE WHEN count(f.frame) > 1 THEN 2.0 * (count(f.frame) - 1) / (max(f.frame) - min(f.frame)) END', 'rate')}
