@@ -169,3 +169,36 @@ def test_prominence_compared_at_six_digits():
     x[1] = 0.024041626
     assert k.find_peaks(x, prominence=0.0240419)[0].tolist() == [3]
     assert k.find_peaks(x, prominence=0.0240419, digits=6)[0].tolist() == [1, 3]
+
+
+@pytest.mark.parametrize("sent", [1 << 28, 0])
+def test_kmeans_sends_its_centres_once_a_pass(spark, monkeypatch, sent):
+    """Against the definition, start by start; centres are broadcast once per recording, or not at all where they are large."""
+    rng = np.random.default_rng(8)
+    traces = {(r, u): rng.normal(size=10 + r) + 2 * np.sin(np.arange(10 + r) * (1 + u % 3)) for r in range(2) for u in range(3 if r else 150)}
+    arrays = spark.createDataFrame([(*at, x.tolist()) for at, x in traces.items()], "recording_id int, unit_id long, trace array<double>")
+    seen: list = []
+    keep = L.staged
+    monkeypatch.setattr(L, "staged", lambda spark, df, label: (label == "kmeans-centres" and seen.append(df._jdf.queryExecution().executedPlan().toString())) or keep(spark, df, label))
+    monkeypatch.setattr(L, "SENT_BYTES", sent)
+    ks, seeds, want = [2, 5], 3, {}
+    got = {(r.recording_id, r.k, r.unit_id): r.cluster for r in L.kmeans_rows(arrays, ks, seeds).collect()}
+    assert len(seen) > 2 and all(("BroadcastExchange" in p, "explode" in p) == (sent > 0, sent == 0) for p in seen[1:])
+    order = arrays.select("recording_id", "unit_id", F.explode(F.lit(np.arange(seeds).tolist())).alias("seed")).withColumn("h", F.xxhash64("unit_id", F.col("seed").cast("int"))).collect()
+    for rec in range(2):
+        units = sorted(u for r, u in traces if r == rec)
+        x = np.array([traces[rec, u] - traces[rec, u].mean() for u in units])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for k in ks:
+            ends = []
+            for seed in range(seeds):
+                first = [units.index(u) for _, u in sorted((r.h, r.unit_id) for r in order if r.recording_id == rec and r.seed == seed)][:k]
+                centres, own = x[first], None
+                while own is None or (own != (x @ centres.T).argmax(axis=1)).any():
+                    own = (x @ centres.T).argmax(axis=1)
+                    sums = np.array([x[own == c].sum(axis=0) for c in range(len(centres))])
+                    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+                    centres = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-300), centres)
+                ends.append((round(float((1 - (x @ centres.T).max(axis=1)).sum()), 9), seed, own))
+            want |= {(rec, k, u): int(c) for u, c in zip(units, min(ends, key=lambda e: e[:2])[2])}
+    assert got == want

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.batches import padded, runs_of
+from ..functions.batches import CHUNK, padded, runs_of
 from ..sources.staging import bounded_batches, staged
 from .aggregates import hazen, resultant
 from .clean import UNIT, zscore_column
@@ -594,80 +594,136 @@ def loop_normals(path: DataFrame, found: DataFrame) -> DataFrame:
     return sums.mapInPandas(normal, f"recording_id {dict(path.dtypes)['recording_id']}, loop long, nx double, ny double, nz double")
 
 
+#: Bytes that the centres of k-means may add up to over all passes and still be broadcast in each.
+SENT_BYTES = 256 << 20
+
+
 def kmeans_rows(arrays: DataFrame, ks: list[int], seeds: int = 20, iterations: int = 100) -> DataFrame:
     """(recording_id, k, unit_id, cluster): k-means by correlation distance on standardised rows, for each K; per recording and K the best of several starts.
 
     All recordings, Ks and starts move together: a pass meets each block of units with all centres of its
     recording and sums, per start and cluster, what is nearest. Starts are units in the order of a hash of
     unit and seed. It ends when no cost falls any more. A recording with fewer units than K has so many clusters.
+    A pass is one exchange of partial sums by recording and start. The centres are broadcast where those of all
+    passes together stay below ``SENT_BYTES``; beyond that they meet the blocks in a shuffle join.
     """
     spark = arrays.sparkSession
     units = staged(spark, _standardised(arrays), "kmeans-units")
-    kind, _ = _kind(units)
-    most, edges = max(ks), np.cumsum([0, *ks])
+    kind, arrow = _kind(units)
+    key, most, edges = ["recording_id", "seed"], max(ks), np.cumsum([0, *ks])
     picks = units.select("recording_id", "unit_id", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
-    nth = F.row_number().over(Window.partitionBy("recording_id", "seed").orderBy(F.xxhash64("unit_id", "seed"), "unit_id"))
-    picks = picks.withColumn("c", nth).filter(F.col("c") <= most).withColumn("c", F.col("c") - 1).join(units, UNIT)
-    lists = picks.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("seed", "c", "trace"))).alias("s"))
-    starts = lists.select("recording_id", F.col("s.trace").alias("traces"), F.col("s.seed").alias("of"))
-
-    def begin(p: pd.DataFrame) -> pd.DataFrame:
-        traces, of = np.stack([np.array(t) for t in p["traces"].iloc[0]]), np.array(p["of"].iloc[0])
-        out = np.full((seeds, edges[-1], traces.shape[1]), np.nan)
-        for seed in range(seeds):
-            own = traces[of == seed]
-            for k, at in zip(ks, edges):
-                out[seed, at : at + min(k, len(own))] = own[:k]
-        return pd.DataFrame({"recording_id": [p["recording_id"].iloc[0]], "t": [traces.shape[1]], "centres": [out.ravel()], "cost": [float("inf")]})
-
-    state = staged(spark, starts.groupBy("recording_id").applyInPandas(begin, f"recording_id {kind}, t int, centres array<double>, cost double"), "kmeans-centres")
-    blocks = staged(spark, dealt(units, 128).groupBy("recording_id", "blk").agg(F.collect_list(F.struct("unit_id", "trace")).alias("u")), "kmeans-blocks")
-    blocks = blocks.select("recording_id", "blk", F.pmod("blk", F.lit(SALTS)).alias("salt"), F.col("u.unit_id").alias("ids"), F.col("u.trace").alias("traces"))
-    told = lambda s, *more: s.select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "centres", *more)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("unit_id", "seed"), "unit_id"))
+    picks = picks.withColumn("c", nth).filter(F.col("c") <= most).join(units, UNIT)
+    starts = picks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("c", "trace"))).alias("s")).select(*key, F.col("s.trace").alias("traces"))
 
-    def nearest(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Rows, and for each K the distances [start, row, cluster] and the nearest cluster; centres that are not there are never nearest."""
+    def begin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for rec, seed, traces in p.itertuples(index=False):
+                own = np.stack([np.array(t) for t in traces])
+                out = np.full((edges[-1], own.shape[1]), np.nan)
+                for k, at in zip(ks, edges):
+                    out[at : at + min(k, len(own))] = own[:k]
+                rows.append((rec, seed, out.ravel(), [], float("inf"), float("inf")))
+            yield pd.DataFrame(rows, columns=["recording_id", "seed", "centres", "costs", "cost", "before"])
+
+    schema = f"recording_id {kind}, seed int, centres array<double>, costs array<double>, cost double, before double"
+    state = staged(spark, starts.mapInPandas(begin, schema), "kmeans-centres")
+    frames = units.agg(F.max(F.size("trace"))).first()[0] or 1
+    blocks = dealt(units, max(128, min(1024, CHUNK // frames))).groupBy("recording_id", "blk").agg(F.collect_list(F.struct("unit_id", "trace")).alias("u"))
+    blocks = staged(spark, blocks.sortWithinPartitions("recording_id"), "kmeans-blocks")
+    blocks = blocks.select("recording_id", "blk", F.pmod("blk", F.lit(SALTS)).alias("salt"), F.col("u.unit_id").alias("ids"), F.col("u.trace").alias("traces"))
+    sent = (state.agg(F.sum(F.size("centres") * F.lit(8).cast("long"))).first()[0] or 0) * iterations <= SENT_BYTES
+
+    def meet(state: DataFrame, *cells: str) -> DataFrame:
+        """The blocks, each with what all starts of its recording hold, start by start."""
+        told = state.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("seed", *cells))).alias("s"))
+        told = told.select("recording_id", *[F.flatten(F.col("s")[c]).alias(c) for c in cells])
+        if sent:
+            return blocks.join(F.broadcast(told), "recording_id")
+        return blocks.join(told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["recording_id", "salt"])
+
+    def nearest(table: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Rows, and for each K the nearest cluster [start, row] and its distance; centres that are not there are never nearest."""
         x = padded(table.column("traces").combine_chunks().flatten())
-        centres = table.column("centres")[0].values.to_numpy().reshape(seeds, edges[-1], x.shape[1])
-        gap = np.nan_to_num(1 - np.matmul(x[None], centres.transpose(0, 2, 1)), nan=np.inf)
-        gaps = [gap[:, :, a:b] for a, b in zip(edges, edges[1:])]
-        return x, gaps, [g.argmin(axis=2) for g in gaps]
+        gap = 1 - table.column("centres")[0].values.to_numpy(zero_copy_only=False).reshape(-1, x.shape[1]) @ x.T
+        np.copyto(gap, np.inf, where=np.isnan(gap))
+        gap = gap.reshape(seeds, edges[-1], len(x))
+        found = []
+        for a, b in zip(edges, edges[1:]):  # cluster by cluster, as an argmin over so short an axis is slow
+            least, own = gap[:, a].copy(), np.zeros((seeds, len(x)), np.int32)
+            for c in range(a + 1, b):
+                np.copyto(own, c - a, where=gap[:, c] < least)
+                np.minimum(least, gap[:, c], out=least)
+            found.append((own, least))
+        return x, found
 
     def product(table: pa.Table) -> np.ndarray:
-        """Per start and cluster the summed rows, then the costs by K and start."""
-        x, gaps, own = nearest(table)
-        flags = np.concatenate([(o[:, :, None] == np.arange(g.shape[2])).astype(float) for g, o in zip(gaps, own)], axis=2)
-        sums = np.matmul(flags.transpose(0, 2, 1), x[None])
-        costs = [np.take_along_axis(g, o[:, :, None], 2).sum(axis=(1, 2)) for g, o in zip(gaps, own)]
-        return np.concatenate([sums.ravel(), *costs])
-
-    def move(p: pd.DataFrame) -> pd.DataFrame:
-        t, many = int(p["t"].iloc[0]), seeds * len(ks)
-        y, was = np.array(p["y"].iloc[0]), np.array(p["centres"].iloc[0]).reshape(seeds, edges[-1], t)
-        sums, cost = y[:-many].reshape(was.shape), y[-many:].reshape(len(ks), seeds)
-        norm = np.linalg.norm(sums, axis=2, keepdims=True)
-        centres = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-300), was)  # an empty cluster stays where it was
-        best = np.argmin(np.round(cost, 9), axis=1).tolist()
-        return pd.DataFrame({"recording_id": [p["recording_id"].iloc[0]], "t": [t], "centres": [centres.ravel()], "cost": [float(cost.sum())], "best": [best], "was": [was.ravel()]})
-
-    schema = f"recording_id {kind}, t int, centres array<double>, cost double, best array<int>, was array<double>"
+        """[start, ...]: per cluster the summed rows, then the costs by K."""
+        x, found = nearest(table)
+        flags = np.concatenate([own[:, None] == np.arange(k)[:, None] for k, (own, _) in zip(ks, found)], axis=1).astype(float)
+        sums = flags.reshape(-1, len(x)) @ x
+        return np.concatenate([sums.reshape(seeds, -1), *[least.sum(axis=1)[:, None] for _, least in found]], axis=1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for rec, y in total.items():
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(seeds + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([rec] * seeds, arrow), pa.array(np.arange(seeds, dtype=np.int32)), pa.array([1] * seeds, pa.int32()), cells], names=[*key, "new", "y"])
+            total.clear()
+
+        for table in runs_of(batches, 2):
+            rec, y = table.column(0)[0].as_py(), product(table)
+            total[rec] = total[rec] + y if rec in total else y
+            if len(total) > HELD_SUMS:  # recordings come in order, few at a time
+                yield from out()
+        yield from out()
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A start's old centres and cost come first, then the partial sums; they become its new centres."""
+        last = was = total = None
+
+        def out() -> pa.RecordBatch:
+            sums, costs = total[: -len(ks)].reshape(edges[-1], -1), total[-len(ks) :]
+            norm = np.linalg.norm(sums, axis=1, keepdims=True)
+            centres = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-300), was[:-1].reshape(sums.shape))  # an empty cluster stays where it was
+            cells = [pa.array([v], pa.list_(pa.float64())) for v in (centres.ravel(), costs)]
+            return pa.RecordBatch.from_arrays([pa.array([last[0]], arrow), pa.array([last[1]], pa.int32()), *cells, pa.array([costs.sum()]), pa.array([was[-1]])], names=[*key, "centres", "costs", "cost", "before"])
+
+        for batch in batches:
+            for i, (rec, seed, new) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)])):
+                y = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+                if not new:
+                    if last is not None:
+                        yield out()
+                    last, was, total = (rec, seed), y.copy(), 0.0
+                else:
+                    total = total + y
+        if last is not None:
+            yield out()
+
+    bounded_batches(spark)
+    before = state
     for _ in range(iterations):
-        rows = blocks.join(told(state), ["recording_id", "salt"]).select("recording_id", "blk", "traces", "centres")
-        sums = _added_up(_sums(rows, "traces", product)).join(state.select("recording_id", "t", "centres"), "recording_id")
-        state, before = staged(spark, sums.groupBy("recording_id").applyInPandas(move, schema), "kmeans-centres"), state
-        falls = state.join(before.select("recording_id", F.col("cost").alias("before")), "recording_id").filter(F.col("cost") < F.col("before") * (1 - 1e-9))
-        if not falls.limit(1).count():
+        sums = meet(state, "centres").select("recording_id", "blk", "traces", "centres").mapInArrow(add, f"recording_id {kind}, seed int, new int, y array<double>")
+        both = sums.unionByName(state.select(*key, F.lit(0).alias("new"), F.concat("centres", F.array("cost")).alias("y")))
+        state, before = staged(spark, both.repartition(*key).sortWithinPartitions(*key, "new").mapInArrow(move, schema), "kmeans-centres"), state
+        costs = state.groupBy("recording_id").agg(F.sum("cost").alias("cost"), F.sum("before").alias("before"))
+        if not costs.filter(F.col("cost") < F.col("before") * (1 - 1e-9)).limit(1).count():
             break
     # the costs are those of the centres before the last move
-    last = state.select("recording_id", "best", F.col("was").alias("centres"))
-    rows = blocks.join(told(last, "best"), ["recording_id", "salt"]).select("recording_id", "blk", "ids", "traces", "centres", "best")
+    last = before.select(*key, "centres").join(state.select(*key, "costs").hint("merge"), key)
+    rows = meet(last, "centres", "costs").select("recording_id", "blk", "ids", "traces", "centres", "costs")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, 2):
-            ids, best = table.column("ids").combine_chunks().flatten(), table.column("best")[0].as_py()
-            for k, start, own in zip(ks, best, nearest(table)[2]):
+            ids, costs = table.column("ids").combine_chunks().flatten(), table.column("costs")[0].values.to_numpy().reshape(seeds, len(ks))
+            best = np.argmin(np.round(costs, 9), axis=0)
+            for k, start, (own, _) in zip(ks, best, nearest(table)[1]):
                 rec = pa.array([table.column(0)[0].as_py()] * len(ids), table.schema.field(0).type)
-                yield pa.RecordBatch.from_arrays([rec, pa.array([k] * len(ids), pa.int32()), ids, pa.array(own[start], pa.int32())], names=["recording_id", "k", "unit_id", "cluster"])
+                yield pa.RecordBatch.from_arrays([rec, pa.array([k] * len(ids), pa.int32()), ids, pa.array(own[start])], names=["recording_id", "k", "unit_id", "cluster"])
 
     return rows.mapInArrow(assign, f"recording_id {kind}, k int, unit_id {dict(arrays.dtypes)['unit_id']}, cluster int")
 
