@@ -202,3 +202,27 @@ def test_kmeans_sends_its_centres_once_a_pass(spark, monkeypatch, sent):
                 ends.append((round(float((1 - (x @ centres.T).max(axis=1)).sum()), 9), seed, own))
             want |= {(rec, k, u): int(c) for u, c in zip(units, min(ends, key=lambda e: e[:2])[2])}
     assert got == want
+
+
+def test_noise_of_a_trace_is_found_once(spark, tmp_path):
+    """The noise model reads its scaled traces many times; the kernel behind them runs once per trace, and the transients meet no long table."""
+    import __spark_entry__
+
+    rng = np.random.default_rng(4)
+    rows = [(u, rng.normal(size=64).tolist(), u % 2) for u in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    seen = spark.sparkContext.accumulator(0)
+    keep = E.baseline_noise
+
+    def counted(arrays):
+        noted = keep(arrays)
+        return noted.mapInArrow(lambda batches: (seen.add(b.num_rows) or b for b in batches), noted.schema)
+
+    E.baseline_noise = counted
+    try:
+        table = __spark_entry__.queries()["e7_significant_transients"](spark, str(tmp_path))
+        table.collect()
+    finally:
+        E.baseline_noise = keep
+    assert seen.value == 30
+    assert "SortMergeJoin" not in table._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]

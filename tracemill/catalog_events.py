@@ -224,19 +224,24 @@ add("e6_transition_counts", lambda s, d: E.transition_counts(scaled_by_sd(s, d),
 add("e6_noise_covariance", lambda s, d: rounded(E.noise_covariance(scaled_by_sd(s, d))), "traces", f"WITH {SCALED} SELECT recording_id, {_r('coalesce(covar_samp(x, y), 0)', 'covariance')} FROM tr WHERE x < 0 AND y < 0 GROUP BY 1")
 
 
-def maps(s, d):
-    return E.odds_maps(scaled(s, d), fx.FPS, BINS)
+def maps(own):
+    return E.odds_maps(own, fx.FPS, BINS)
 
 
-def raster(s, d):
-    """Frames of significant transients, with the traces: recording_id, unit_id, frame, value, on."""
+def significant_cells(s, d):
     own = scaled(s, d)
-    on = E.significant_transients(own, maps(s, d), BINS).select("recording_id", "unit_id", F.posexplode("trace").alias("frame", "flag"))
-    return T(s, d).join(on, ["recording_id", "unit_id", "frame"]).select("recording_id", "unit_id", "frame", "value", (F.col("flag") > 0).alias("on"))
+    return E.significant_cells(E.transition_counts(own, BINS), maps(own), BINS)
 
 
-add("e6_significant_cells", lambda s, d: E.significant_cells(E.transition_counts(scaled(s, d), BINS), maps(s, d), BINS))
-add("e7_significant_transients", lambda s, d: raster(s, d).filter("on").select("recording_id", "unit_id", "frame"))
+def transients(s, d):
+    """Frames of significant transients."""
+    own = scaled(s, d)
+    on = E.significant_transients(own, maps(own), BINS).select("recording_id", "unit_id", F.posexplode("trace").alias("frame", "flag"))
+    return on.filter("flag > 0").select("recording_id", "unit_id", "frame")
+
+
+add("e6_significant_cells", significant_cells)
+add("e7_significant_transients", transients)
 
 # low against high windows
 

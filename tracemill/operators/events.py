@@ -371,8 +371,9 @@ def baseline_noise(arrays: DataFrame) -> DataFrame:
 
 
 def scaled_by_noise(arrays: DataFrame, noise: DataFrame) -> DataFrame:
-    """(recording_id, unit_id, trace): traces around their noise's centre, in its widths."""
-    return arrays.join(noise.filter("sigma > 0").select(*UNIT, "mu", "sigma"), UNIT).select(*UNIT, F.transform("trace", lambda x: (x - F.col("mu")) / F.col("sigma")).alias("trace"))
+    """(recording_id, unit_id, trace): traces around their noise's centre, in its widths. Staged, as maps and transients read it many times."""
+    scaled = arrays.join(noise.filter("sigma > 0").select(*UNIT, "mu", "sigma"), UNIT).select(*UNIT, F.transform("trace", lambda x: (x - F.col("mu")) / F.col("sigma")).alias("trace"))
+    return staged(arrays.sparkSession, scaled, "scaled-traces")
 
 
 def _transitions(scaled: DataFrame) -> DataFrame:
