@@ -228,3 +228,49 @@ def test_noise_of_a_trace_is_found_once(spark, tmp_path):
         E.baseline_noise = keep
     assert seen.value == 30
     assert "SortMergeJoin" not in table._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_whole_units_are_evaluated_without_sums_by_unit(spark, monkeypatch, gaps):
+    """Silhouettes and coherence by block equal those from the sums of each unit with each cluster, which only loose units need."""
+    arrays, *_ = _many(spark, gaps)
+    arrays = arrays if gaps else arrays.filter("size(trace) = 16 and not exists(trace, x -> x is null)")
+    labels: list = []
+    keep = L.staged
+    monkeypatch.setattr(L, "staged", lambda spark, df, label: labels.append(label) or keep(spark, df, label))
+    clusters = arrays.filter("unit_id <= 37").select("recording_id", F.explode(F.array(F.lit(2), F.lit(3))).alias("solution"), "unit_id").withColumn("cluster", F.expr("case when unit_id = 5 then 9 else unit_id * 7 % solution end"))
+    dom = arrays.select("recording_id", "unit_id", (F.col("unit_id") + 1).cast("double").alias("dom"))
+    whole = L.cluster_eval(arrays, clusters.filter("unit_id <> 5"), arrays, dom).collect()
+    assert ("cluster-sums" in labels) == gaps
+    alone = L.cluster_eval(arrays, clusters, arrays, dom).collect()  # a cluster of one unit
+    for found, given in ((whole, clusters.filter("unit_id <> 5")), (alone, clusters)):
+        sums = L.cluster_sums(arrays, given)
+        silhouettes = {(r.recording_id, r.solution): r.silhouette for r in L._silhouettes(sums).collect()}
+        within: dict = {}
+        for r in L.within_by_cluster(sums).collect():
+            within.setdefault((r.recording_id, r.solution), []).append(r.within)
+        assert len(found) == len(silhouettes)
+        for r in found:
+            key = r.recording_id, r.solution
+            assert r.within == pytest.approx(np.mean(within[key]), abs=1e-9) and r.acf_within == pytest.approx(r.within, abs=1e-9)
+            assert r.silhouette == (pytest.approx(silhouettes[key], abs=1e-9) if found is whole else None)
+
+
+def test_starts_at_rest_take_no_part_in_later_passes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    arrays = spark.createDataFrame([(0, u, rng.normal(size=8).tolist()) for u in range(200)], "recording_id int, unit_id long, trace array<double>")
+    states: list = []
+    keep = L.staged
+
+    def seen(spark, df, label):
+        out = keep(spark, df, label)
+        if label == "kmeans-centres":
+            states.append({(r.k, r.seed): r for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(L, "staged", seen)
+    L.kmeans_rows(arrays, [2, 4], 4)
+    moving = [sum(r.going for r in s.values()) for s in states]
+    assert moving[0] == 8 and moving[-1] == 0 and any(0 < n < 8 for n in moving) and moving == sorted(moving, reverse=True)
+    for a, b in zip(states[1:], states[2:]):
+        assert all(b[key].centres == r.centres and b[key].cost == r.cost for key, r in a.items() if not r.going)

@@ -10,7 +10,7 @@ products, and small solves in a grouped function over one row per recording or w
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -595,137 +595,163 @@ def loop_normals(path: DataFrame, found: DataFrame) -> DataFrame:
 
 
 #: Bytes that the centres of k-means may add up to over all passes and still be broadcast in each.
-SENT_BYTES = 256 << 20
+SENT_BYTES = 384 << 20
+#: How far a number of a centre may move for its start to have come to rest; a unit that changes its cluster moves it much further than rounding does.
+AT_REST = 1e-12
 
 
 def kmeans_rows(arrays: DataFrame, ks: list[int], seeds: int = 20, iterations: int = 100) -> DataFrame:
     """(recording_id, k, unit_id, cluster): k-means by correlation distance on standardised rows, for each K; per recording and K the best of several starts.
 
-    All recordings, Ks and starts move together: a pass meets each block of units with all centres of its
+    All recordings, Ks and starts move together: a pass meets each block of units with the centres of its
     recording and sums, per start and cluster, what is nearest. Starts are units in the order of a hash of
-    unit and seed. It ends when no cost falls any more. A recording with fewer units than K has so many clusters.
+    unit and seed. A start whose centres stay where they are takes no part in later passes, and the last pass is
+    that in which none moves. A recording with fewer units than K has so many clusters.
     A pass is one exchange of partial sums by recording and start. The centres are broadcast where those of all
     passes together stay below ``SENT_BYTES``; beyond that they meet the blocks in a shuffle join.
     """
     spark = arrays.sparkSession
     units = staged(spark, _standardised(arrays), "kmeans-units")
     kind, arrow = _kind(units)
-    key, most, edges = ["recording_id", "seed"], max(ks), np.cumsum([0, *ks])
+    key, most = ["recording_id", "k", "seed"], max(ks)
     picks = units.select("recording_id", "unit_id", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("unit_id", "seed"), "unit_id"))
+    nth = F.row_number().over(Window.partitionBy("recording_id", "seed").orderBy(F.xxhash64("unit_id", "seed"), "unit_id"))
     picks = picks.withColumn("c", nth).filter(F.col("c") <= most).join(units, UNIT)
-    starts = picks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("c", "trace"))).alias("s")).select(*key, F.col("s.trace").alias("traces"))
+    starts = picks.groupBy("recording_id", "seed").agg(F.sort_array(F.collect_list(F.struct("c", "trace"))).alias("s")).select("recording_id", "seed", F.explode(F.array(*map(F.lit, ks))).alias("k"), F.col("s.trace").alias("s"))
+    starts = starts.select(*key, F.least("k", F.size("s")).alias("held"), F.flatten(F.slice("s", 1, F.col("k"))).alias("centres"), F.lit(float("inf")).alias("cost"), F.lit(True).alias("going"))
+    state = staged(spark, starts, "kmeans-centres")
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                traces = pa.array([padded(batch.column(3)[i].values).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, 1) for c in batch.columns[:3]], traces], names=["recording_id", "blk", "ids", "traces"])
 
-    def begin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for rec, seed, traces in p.itertuples(index=False):
-                own = np.stack([np.array(t) for t in traces])
-                out = np.full((edges[-1], own.shape[1]), np.nan)
-                for k, at in zip(ks, edges):
-                    out[at : at + min(k, len(own))] = own[:k]
-                rows.append((rec, seed, out.ravel(), [], float("inf"), float("inf")))
-            yield pd.DataFrame(rows, columns=["recording_id", "seed", "centres", "costs", "cost", "before"])
-
-    schema = f"recording_id {kind}, seed int, centres array<double>, costs array<double>, cost double, before double"
-    state = staged(spark, starts.mapInPandas(begin, schema), "kmeans-centres")
     frames = units.agg(F.max(F.size("trace"))).first()[0] or 1
     blocks = dealt(units, max(128, min(1024, CHUNK // frames))).groupBy("recording_id", "blk").agg(F.collect_list(F.struct("unit_id", "trace")).alias("u"))
-    blocks = staged(spark, blocks.sortWithinPartitions("recording_id"), "kmeans-blocks")
-    blocks = blocks.select("recording_id", "blk", F.pmod("blk", F.lit(SALTS)).alias("salt"), F.col("u.unit_id").alias("ids"), F.col("u.trace").alias("traces"))
+    unit = dict(arrays.dtypes)["unit_id"]
+    blocks = blocks.select("recording_id", "blk", F.col("u.unit_id").alias("ids"), F.col("u.trace").alias("traces"))
+    # neighbouring blocks share a task, so that a pass has few partial sums; a block's traces are the bytes of one matrix, which is read fastest
+    blocks = blocks.repartitionByRange("recording_id", "blk").sortWithinPartitions("recording_id", "blk").mapInArrow(flat, f"recording_id {kind}, blk int, ids array<{unit}>, traces binary")
+    blocks = staged(spark, blocks, "kmeans-blocks").withColumn("salt", F.pmod("blk", F.lit(SALTS)))
     sent = (state.agg(F.sum(F.size("centres") * F.lit(8).cast("long"))).first()[0] or 0) * iterations <= SENT_BYTES
 
-    def meet(state: DataFrame, *cells: str) -> DataFrame:
-        """The blocks, each with what all starts of its recording hold, start by start."""
-        told = state.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("seed", *cells))).alias("s"))
-        told = told.select("recording_id", *[F.flatten(F.col("s")[c]).alias(c) for c in cells])
+    def meet(state: DataFrame) -> DataFrame:
+        """The blocks, each with the centres of its recording in order of K and start."""
+        told = state.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("k", "seed", "held", "centres"))).alias("s"))
+        told = told.select("recording_id", F.col("s.k").alias("of_k"), F.col("s.seed").alias("of_seed"), F.col("s.held").alias("of_held"), F.flatten("s.centres").alias("centres"))
         if sent:
             return blocks.join(F.broadcast(told), "recording_id")
         return blocks.join(told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["recording_id", "salt"])
 
-    def nearest(table: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Rows, and for each K the nearest cluster [start, row] and its distance; centres that are not there are never nearest."""
-        x = padded(table.column("traces").combine_chunks().flatten())
-        gap = 1 - table.column("centres")[0].values.to_numpy(zero_copy_only=False).reshape(-1, x.shape[1]) @ x.T
-        np.copyto(gap, np.inf, where=np.isnan(gap))
-        gap = gap.reshape(seeds, edges[-1], len(x))
-        found = []
-        for a, b in zip(edges, edges[1:]):  # cluster by cluster, as an argmin over so short an axis is slow
-            least, own = gap[:, a].copy(), np.zeros((seeds, len(x)), np.int32)
-            for c in range(a + 1, b):
-                np.copyto(own, c - a, where=gap[:, c] < least)
-                np.minimum(least, gap[:, c], out=least)
-            found.append((own, least))
-        return x, found
-
-    def product(table: pa.Table) -> np.ndarray:
-        """[start, ...]: per cluster the summed rows, then the costs by K."""
-        x, found = nearest(table)
-        flags = np.concatenate([own[:, None] == np.arange(k)[:, None] for k, (own, _) in zip(ks, found)], axis=1).astype(float)
-        sums = flags.reshape(-1, len(x)) @ x
-        return np.concatenate([sums.reshape(seeds, -1), *[least.sum(axis=1)[:, None] for _, least in found]], axis=1)
+    def rows_of(table: pa.Table) -> np.ndarray:
+        return np.frombuffer(table.column("traces")[0].as_buffer()).reshape(len(table.column("ids")[0]), -1)
+
+    def started(table: pa.Table) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+        """Of each K: its starts, how many centres one of them holds, and these centres, the first of all starts first."""
+        of_k, of_seed, of_held, centres = (table.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("of_k", "of_seed", "of_held", "centres"))
+        centres, at = centres.reshape(of_held.sum(), -1), 0
+        for k in np.unique(of_k).tolist():
+            own = of_k == k
+            n, held = int(own.sum()), int(of_held[own][0])
+            yield k, of_seed[own], held, centres[at : at + n * held].reshape(n, held, -1).transpose(1, 0, 2).reshape(n * held, -1)
+            at += n * held
+
+    def labels(x: np.ndarray, centres: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each [start, row] the nearest cluster, the first on ties, and the product with its centre."""
+        near = (centres @ x.T).reshape(size, -1, len(x))
+        best, own = near[0], np.zeros(near.shape[1:], np.int8 if size < 128 else np.int32)
+        for c in range(1, size):  # cluster by cluster, as an argmax over so short an axis is slow
+            np.copyto(own, c, where=near[c] > best)
+            np.maximum(best, near[c], out=best)
+        return own, best
+
+    def product(table: pa.Table) -> dict:
+        """Of each K: its starts, their centres and, per start, the summed rows of its clusters and the cost."""
+        x, out = rows_of(table), {}
+        for k, of, held, centres in started(table):
+            total, step = 0.0, max(16, CHUNK // 64 // len(centres))  # so few rows at a time that they stay in the processor's cache
+            for part in (x[one : one + step] for one in range(0, len(x), step)):
+                own, best = labels(part, centres, held)
+                flags = np.empty((len(of), held, len(part)))
+                for c in range(held):
+                    np.equal(own, c, out=flags[:, c], casting="unsafe")
+                sums = (flags.reshape(-1, len(part)) @ part).reshape(len(of), -1)
+                total = total + np.concatenate([sums, (len(part) - best.sum(axis=1))[:, None]], axis=1)
+            out[k] = of, held, total
+        return out
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for rec, y in total.items():
-                cells = pa.ListArray.from_arrays(pa.array(np.arange(seeds + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([rec] * seeds, arrow), pa.array(np.arange(seeds, dtype=np.int32)), pa.array([1] * seeds, pa.int32()), cells], names=[*key, "new", "y"])
+            for rec, of_ks in total.items():
+                for k, (of, held, y) in of_ks.items():
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([rec] * len(of), arrow), *[pa.array(c, pa.int32()) for c in ([k] * len(of), of, [held] * len(of), [1] * len(of))], cells], names=[*key, "held", "new", "y"])
             total.clear()
 
         for table in runs_of(batches, 2):
             rec, y = table.column(0)[0].as_py(), product(table)
-            total[rec] = total[rec] + y if rec in total else y
+            total[rec] = {k: (*of, total[rec][k][2] + v) for k, (*of, v) in y.items()} if rec in total else y
             if len(total) > HELD_SUMS:  # recordings come in order, few at a time
                 yield from out()
         yield from out()
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A start's old centres and cost come first, then the partial sums; they become its new centres."""
+        """A start's old centres and cost come first, then the partial sums; they become its new centres. One at rest gets no sums and stays as it is."""
         last = was = total = None
 
-        def out() -> pa.RecordBatch:
-            sums, costs = total[: -len(ks)].reshape(edges[-1], -1), total[-len(ks) :]
+        def out() -> tuple:
+            if total is None:
+                return *last, was[:-1], was[-1], False
+            sums, old = total[:-1].reshape(last[-1], -1), was[:-1].reshape(last[-1], -1)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
-            centres = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-300), was[:-1].reshape(sums.shape))  # an empty cluster stays where it was
-            cells = [pa.array([v], pa.list_(pa.float64())) for v in (centres.ravel(), costs)]
-            return pa.RecordBatch.from_arrays([pa.array([last[0]], arrow), pa.array([last[1]], pa.int32()), *cells, pa.array([costs.sum()]), pa.array([was[-1]])], names=[*key, "centres", "costs", "cost", "before"])
+            centres = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-300), old)  # an empty cluster stays where it was
+            going = bool((np.abs(centres - old) > AT_REST).any())
+            return *last, (centres if going else old).ravel(), total[-1], going
+
+        def moved(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (arrow, pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=[*key, "held", "centres", "cost", "going"])
 
         for batch in batches:
-            for i, (rec, seed, new) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)])):
-                y = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+            rows = []
+            for i, (*of, new) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(5)])):
+                y = batch.column(5)[i].values.to_numpy(zero_copy_only=False)
                 if not new:
                     if last is not None:
-                        yield out()
-                    last, was, total = (rec, seed), y.copy(), 0.0
+                        rows.append(out())
+                    last, was, total = of, y, None
                 else:
-                    total = total + y
+                    total = y.copy() if total is None else total + y
+            if rows:
+                yield moved(rows)
         if last is not None:
-            yield out()
+            yield moved([out()])
 
     bounded_batches(spark)
+    schema = f"recording_id {kind}, k int, seed int, held int, centres array<double>, cost double, going boolean"
     before = state
     for _ in range(iterations):
-        sums = meet(state, "centres").select("recording_id", "blk", "traces", "centres").mapInArrow(add, f"recording_id {kind}, seed int, new int, y array<double>")
-        both = sums.unionByName(state.select(*key, F.lit(0).alias("new"), F.concat("centres", F.array("cost")).alias("y")))
+        sums = meet(state.filter("going")).select("recording_id", "blk", "ids", "traces", "of_k", "of_seed", "of_held", "centres").mapInArrow(add, f"recording_id {kind}, k int, seed int, held int, new int, y array<double>")
+        both = sums.unionByName(state.select(*key, "held", F.lit(0).alias("new"), F.concat("centres", F.array("cost")).alias("y")))
         state, before = staged(spark, both.repartition(*key).sortWithinPartitions(*key, "new").mapInArrow(move, schema), "kmeans-centres"), state
-        costs = state.groupBy("recording_id").agg(F.sum("cost").alias("cost"), F.sum("before").alias("before"))
-        if not costs.filter(F.col("cost") < F.col("before") * (1 - 1e-9)).limit(1).count():
+        if not state.filter("going").select("k").take(1):
             break
     # the costs are those of the centres before the last move
-    last = before.select(*key, "centres").join(state.select(*key, "costs").hint("merge"), key)
-    rows = meet(last, "centres", "costs").select("recording_id", "blk", "ids", "traces", "centres", "costs")
+    last = before.select(*key, "held", "centres").join(state.select(*key, "cost").hint("merge"), key)
+    best = last.groupBy("recording_id", "k").agg(F.min_by(F.struct("seed", "held", "centres"), F.struct(F.round("cost", 9), "seed")).alias("b")).select("recording_id", "k", "b.*")
+    rows = meet(best).select("recording_id", "blk", "ids", "traces", "of_k", "of_seed", "of_held", "centres")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, 2):
-            ids, costs = table.column("ids").combine_chunks().flatten(), table.column("costs")[0].values.to_numpy().reshape(seeds, len(ks))
-            best = np.argmin(np.round(costs, 9), axis=0)
-            for k, start, (own, _) in zip(ks, best, nearest(table)[1]):
+            ids, x = table.column("ids").combine_chunks().flatten(), rows_of(table)
+            for k, _, held, centres in started(table):
                 rec = pa.array([table.column(0)[0].as_py()] * len(ids), table.schema.field(0).type)
-                yield pa.RecordBatch.from_arrays([rec, pa.array([k] * len(ids), pa.int32()), ids, pa.array(own[start])], names=["recording_id", "k", "unit_id", "cluster"])
+                yield pa.RecordBatch.from_arrays([rec, pa.array([k] * len(ids), pa.int32()), ids, pa.array(labels(x, centres, held)[0][0], pa.int32())], names=["recording_id", "k", "unit_id", "cluster"])
 
-    return rows.mapInArrow(assign, f"recording_id {kind}, k int, unit_id {dict(arrays.dtypes)['unit_id']}, cluster int")
+    return rows.mapInArrow(assign, f"recording_id {kind}, k int, unit_id {unit}, cluster int")
 
 
 def varimax_components(pcs: DataFrame, share: float = 0.8, most: int = 8) -> DataFrame:
@@ -735,26 +761,42 @@ def varimax_components(pcs: DataFrame, share: float = 0.8, most: int = 8) -> Dat
     return reached.select("recording_id", F.greatest(F.least(F.coalesce("q", F.lit(most)), F.lit(most)), F.lit(2)).alias("q"))
 
 
+def loading_rows(load: DataFrame) -> DataFrame:
+    """(recording_id, unit_id, l): the loadings of each unit in the order of their components."""
+    wide = load.groupBy(*UNIT).agg(F.sort_array(F.collect_list(F.struct("pc", "loading"))).alias("l"))
+    return wide.select(*UNIT, F.col("l.loading").alias("l"))
+
+
 def varimax_assign(load: DataFrame, iterations: int = 100, tol: float = 1e-6) -> DataFrame:
-    """(recording_id, unit_id, mode): component with the largest absolute varimax-rotated loading; ``load`` is meant to be of unit norm.
+    """(recording_id, unit_id, mode): component with the largest absolute varimax-rotated loading; ``load`` is meant to be of unit norm."""
+    return varimax_modes(staged(load.sparkSession, loading_rows(load), "varimax-loadings"), iterations, tol)
+
+
+def varimax_modes(wide: DataFrame, iterations: int = 100, tol: float = 1e-6) -> DataFrame:
+    """``varimax_assign`` of rows as ``loading_rows`` gives them, which are read twice.
 
     The criterion depends on the loadings only through their second and fourth moments over the
     units: one pass sums those (K^4 numbers per recording), and the rotation is found from them.
     """
-    wide = load.groupBy(*UNIT).agg(F.sort_array(F.collect_list(F.struct("pc", "loading"))).alias("l")).select(*UNIT, F.col("l.loading").alias("l"))
-    wide = staged(load.sparkSession, wide, "varimax-loadings")
-    kind = dict(load.dtypes)["recording_id"]
+    kind = dict(wide.dtypes)["recording_id"]
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(r, n, m2.ravel().tolist(), m4.ravel().tolist()) for r, (n, m2, m4) in total.items()], columns=["recording_id", "n", "m2", "m4"])
+
         for p in batches:
             for rec, own in p.groupby("recording_id"):
                 a = np.stack(own["l"])
-                two = np.einsum("ua,ub->uab", a, a)
-                new = (len(a), two.sum(axis=0), np.einsum("uab,ucd->abcd", two, two))
+                two = np.einsum("ua,ub->uab", a, a).reshape(len(a), -1)
+                new = (len(a), two.sum(axis=0), two.T @ two)
                 old = total.get(rec, (0, 0.0, 0.0))
                 total[rec] = tuple(x + y for x, y in zip(old, new))
-        yield pd.DataFrame([(r, n, m2.ravel().tolist(), m4.ravel().tolist()) for r, (n, m2, m4) in total.items()], columns=["recording_id", "n", "m2", "m4"])
+            if len(total) > 32 * HELD_SUMS:
+                yield out()
+                total.clear()
+        yield out()
 
     def rotate(p: pd.DataFrame) -> pd.DataFrame:
         n = p["n"].sum()
@@ -803,6 +845,17 @@ def cosine_assign(arrays: DataFrame, components: int) -> DataFrame:
     return m.select(*UNIT, "mode", (F.col("strength") * F.col("sign")).alias("r"))
 
 
+def _labels_of_units(clusters: DataFrame) -> DataFrame:
+    """(recording_id, unit_id, solutions, clusters): the labels of each unit in one row."""
+    own = clusters.groupBy(*UNIT).agg(F.collect_list(F.struct(F.col("solution").cast("string").alias("solution"), F.col("cluster").cast("long").alias("cluster"))).alias("c"))
+    return own.select(*UNIT, F.col("c.solution").alias("solutions"), F.col("c.cluster").alias("clusters"))
+
+
+def _labelled_units(arrays: DataFrame, labels: DataFrame) -> DataFrame:
+    """Whole and loose units (see ``pairs.whole_and_loose``) with their labels."""
+    return staged(arrays.sparkSession, whole_and_loose(arrays.select(*UNIT, "trace").join(labels, UNIT).select(*UNIT, "trace", "solutions", "clusters")), "cluster-units")
+
+
 def cluster_sums(arrays: DataFrame, clusters: DataFrame) -> DataFrame:
     """(recording_id, solution, u, cu, cv, r, n): per unit and cluster the summed correlation with the cluster's other units, and how many they are.
 
@@ -810,10 +863,10 @@ def cluster_sums(arrays: DataFrame, clusters: DataFrame) -> DataFrame:
     with all whole traces of a cluster add up to one product with the sum of their vectors, so each unit meets
     the clusters instead of the units. Pairs with a loose trace (see ``pairs.whole_and_loose``) go one by one.
     """
-    spark = arrays.sparkSession
-    clusters = clusters.select("recording_id", F.col("solution").cast("string").alias("solution"), "unit_id", F.col("cluster").cast("long").alias("cluster"))
-    own = clusters.groupBy(*UNIT).agg(F.collect_list(F.struct("solution", "cluster")).alias("c"))
-    units = staged(spark, whole_and_loose(arrays.select(*UNIT, "trace").join(own, UNIT).select("recording_id", "unit_id", "trace", F.col("c.solution").alias("solutions"), F.col("c.cluster").alias("clusters"))), "cluster-units")
+    return _sums_of(_labelled_units(arrays, _labels_of_units(clusters)))
+
+
+def _sums_of(units: DataFrame) -> DataFrame:
     sums = _whole_cluster_sums(units.filter("loose = 0").drop("loose"))
     if units.filter("loose = 1").limit(1).count():
         sums = sums.unionByName(_pair_cluster_sums(units))
@@ -821,12 +874,55 @@ def cluster_sums(arrays: DataFrame, clusters: DataFrame) -> DataFrame:
     return sums
 
 
+def _by_solution(solutions: pa.ListArray, clusters: pa.ListArray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """For each solution: the rows that it labels, and their clusters."""
+    names = solutions.flatten().dictionary_encode()
+    code, cluster = names.indices.fill_null(-1).to_numpy(), clusters.flatten().to_numpy()
+    row = np.repeat(np.arange(len(solutions)), solutions.value_lengths().to_numpy())
+    for i, name in enumerate(names.dictionary.to_pylist()):
+        own = np.flatnonzero(code == i)
+        yield name, row[own], cluster[own]
+
+
+def _cluster_vectors(units: DataFrame) -> DataFrame:
+    """(recording_id, solution, cluster, y, size): of each cluster the summed vectors of its whole units, and how many they are."""
+    (kind, arrow), key = _kind(units), ["recording_id", "solution", "cluster"]
+    bounded_batches(units.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*total), (arrow, pa.string(), pa.int64()))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(list(total.values()), pa.list_(pa.float64()))], names=[*key, "y"])
+
+        for batch in batches:
+            recs = np.array(batch.column(0).to_pylist())
+            for rec in np.unique(recs).tolist():
+                own = batch.filter(pa.array(recs == rec))
+                x = padded(own.column(1))
+                x = np.concatenate([x, np.ones((len(x), 1))], axis=1)  # the last number counts
+                for name, row, cluster in _by_solution(own.column(2), own.column(3)):
+                    order = np.argsort(cluster, kind="stable")
+                    found, first = np.unique(cluster[order], return_index=True)
+                    for c, y in zip(found.tolist(), np.add.reduceat(x[row[order]], first, axis=0)):
+                        total[rec, name, c] = total[rec, name, c] + y if (rec, name, c) in total else y
+                if len(total) * x.shape[1] > 4 * CHUNK:
+                    yield out()
+                    total.clear()
+        if total:
+            yield out()
+
+    parts = units.select("recording_id", "trace", "solutions", "clusters").mapInArrow(run, f"recording_id {kind}, solution string, cluster long, y array<double>")
+    both = _met(_met(_salted(parts), [*key, "salt"]), key)
+    vectors = both.select(*key, F.slice("y", F.lit(1), F.size("y") - 1).alias("y"), F.element_at("y", -1).cast("long").alias("size"))
+    return staged(units.sparkSession, vectors, "cluster-vectors")
+
+
 def _whole_cluster_sums(units: DataFrame) -> DataFrame:
     """``cluster_sums`` of whole units, by the vectors of the clusters."""
     of = F.explode(F.arrays_zip(F.col("solutions").alias("solution"), F.col("clusters").alias("cluster"))).alias("c")
-    long = units.select("recording_id", of, "trace").select("recording_id", "c.solution", F.col("c.cluster").alias("cluster"), "trace")
-    key = ["recording_id", "solution", "cluster"]
-    vectors = staged(units.sparkSession, group_frame_sums(long, key).join(long.groupBy(*key).agg(F.count(F.lit(1)).alias("size")), key), "cluster-vectors")
+    vectors = _cluster_vectors(units)
     own = units.select("recording_id", "unit_id", "trace", of).select("recording_id", "unit_id", "trace", "c.solution", F.col("c.cluster").alias("cu"))
     # a recording's clusters are a short list per solution, which each of its units meets in one row
     lists = vectors.groupBy("recording_id", "solution").agg(F.collect_list(F.struct("cluster", "size", "y")).alias("v"))
@@ -838,6 +934,79 @@ def _whole_cluster_sums(units: DataFrame) -> DataFrame:
     return met.select(*same, "u", "cu", "cv", (F.col("r") - mine).alias("r"), (F.col("n") - mine).alias("n")).filter("n > 0")
 
 
+def _whole_within(vectors: DataFrame) -> DataFrame:
+    """``within_by_cluster`` of whole units: the square of a cluster's vector is the sum over all its pairs, and 1 for each unit with itself."""
+    square = F.aggregate("y", F.lit(0.0), lambda s, x: s + x * x)
+    return vectors.filter("size > 1").select("recording_id", "solution", "cluster", ((square - F.col("size")) / (F.col("size") * (F.col("size") - 1))).alias("within"))
+
+
+def _whole_silhouettes(units: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(recording_id, solution, silhouette): mean silhouette of whole units. A block of units meets the vectors of its recording at once, and gives one sum per solution."""
+    kind, arrow = _kind(units)
+    longest = units.agg(F.max(F.size("trace"))).first()[0] or 1
+    blocks = dealt(units, max(128, min(1024, CHUNK // longest))).groupBy("recording_id", "blk").agg(F.collect_list(F.struct("trace", "solutions", "clusters")).alias("u"))
+    lists = vectors.groupBy("recording_id").agg(F.collect_list(F.struct("solution", "cluster", "size", "y")).alias("v"))
+    lists = lists.select("recording_id", F.col("v.solution").alias("names"), F.col("v.cluster").alias("of"), F.col("v.size").alias("sizes"), F.flatten("v.y").alias("y"))
+    if _few_bytes(vectors):
+        rows = blocks.join(F.broadcast(lists), "recording_id")
+    else:
+        salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        rows = blocks.withColumn("salt", F.pmod("blk", F.lit(SALTS))).join(salted, ["recording_id", "salt"])
+    bounded_batches(units.sparkSession)
+
+    def block(rec, traces, solutions, clusters, names, of, sizes, y) -> Iterator[tuple]:
+        x, of, sizes = padded(traces.values), of.values.to_numpy(), sizes.values.to_numpy()
+        y, places = y.values.to_numpy().reshape(len(of), -1), {}
+        for i, name in enumerate(names.values.to_pylist()):
+            places.setdefault(name, []).append(i)
+        for name, row, cluster in _by_solution(solutions.values, clusters.values):
+            at = np.array(places[name])
+            at = at[np.argsort(of[at])]
+            mine, n, total, count = np.searchsorted(of[at], cluster), sizes[at].astype(float), 0.0, 0
+            step = max(1, CHUNK // len(at))
+            for one in range(0, len(row), step):
+                own, units_at = mine[one : one + step], np.arange(len(mine[one : one + step]))
+                r = y[at] @ x[row[one : one + step]].T
+                alone = n[own] < 2
+                a = np.where(alone, np.nan, 1 - (r[own, units_at] - 1) / np.where(alone, 1, n[own] - 1))
+                gap = 1 - r / n[:, None]
+                gap[own, units_at] = np.inf
+                b = gap.min(axis=0)
+                known = np.isfinite(a) & np.isfinite(b)
+                s = (b - a)[known] / np.maximum(a, b)[known]
+                total, count = total + s.sum(), count + len(s)
+            yield rec, name, float(total), count
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for i in range(batch.num_rows) for r in block(batch.column(0)[i].as_py(), *[c[i] for c in batch.columns[1:]])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (arrow, pa.string(), pa.float64(), pa.int64()))], names=["recording_id", "solution", "s", "n"])
+
+    rows = rows.select("recording_id", "u.trace", "u.solutions", "u.clusters", "names", "of", "sizes", "y")
+    sums = rows.mapInArrow(run, f"recording_id {kind}, solution string, s double, n long").groupBy("recording_id", "solution").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return sums.select("recording_id", "solution", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("silhouette"))
+
+
+def _coherence(arrays: DataFrame, labels: DataFrame) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``within_by_cluster`` of labelled units, and what gives their silhouettes: from the vectors of clusters, or from sums of correlations where some units are loose."""
+    units = _labelled_units(arrays, labels)
+    if units.filter("loose = 1").limit(1).count():
+        sums = staged(arrays.sparkSession, _sums_of(units), "cluster-sums")
+        return within_by_cluster(sums), lambda: _silhouettes(sums)
+    whole = units.drop("loose")
+    vectors = _cluster_vectors(whole)
+    return _whole_within(vectors), lambda: _whole_silhouettes(whole, vectors)
+
+
+def _silhouettes(sums: DataFrame) -> DataFrame:
+    """(recording_id, solution, silhouette): mean silhouette from summed correlations of units with clusters."""
+    rec, gap = ["recording_id", "solution"], 1 - F.col("r") / F.col("n")
+    mine, other = F.max(F.when(F.col("cu") == F.col("cv"), gap)), F.min(F.when(F.col("cu") != F.col("cv"), gap))
+    s = sums.groupBy(*rec, "u").agg(mine.alias("a"), other.alias("b"))
+    return s.groupBy(*rec).agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+
+
 #: Bytes up to which the vectors of all clusters are broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -893,18 +1062,17 @@ def cluster_eval(arrays: DataFrame, clusters: DataFrame, acfs: DataFrame, dom: D
     spark = arrays.sparkSession
     rec, key = ["recording_id", "solution"], ["recording_id", "solution", "cluster"]
     clusters = clusters.select("recording_id", F.col("solution").cast("string").alias("solution"), "unit_id", F.col("cluster").cast("long").alias("cluster"))
-    sums = staged(spark, cluster_sums(arrays, clusters), "cluster-sums")
+    labels = staged(spark, _labels_of_units(clusters), "cluster-labels")
     sizes = clusters.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
-    freq = dom.filter("dom > 0").join(clusters, UNIT).groupBy(*key).agg(F.when(F.count("dom") >= 2, F.stddev_samp("dom") / F.avg("dom")).alias("freq_cv"))
-    per = sizes.join(within_by_cluster(sums), key, "left").join(within_by_cluster(cluster_sums(acfs, clusters), "acf_within"), key, "left").join(freq, key, "left")
+    each = F.explode(F.arrays_zip(F.col("solutions").alias("solution"), F.col("clusters").alias("cluster"))).alias("c")
+    freq = dom.filter("dom > 0").join(labels, UNIT).select("recording_id", "dom", each).select("recording_id", "dom", "c.*")
+    freq = freq.groupBy(*key).agg(F.when(F.count("dom") >= 2, F.stddev_samp("dom") / F.avg("dom")).alias("freq_cv"))
+    (within, silhouettes), (acf_within, _) = _coherence(arrays, labels), _coherence(acfs, labels)
+    per = sizes.join(within, key, "left").join(acf_within.withColumnRenamed("within", "acf_within"), key, "left").join(freq, key, "left")
     large = lambda c: F.avg(F.when(F.col("size") >= least, F.col(c))).alias(c)
     out = per.groupBy(*rec).agg(F.count(F.lit(1)).alias("clusters"), F.count(F.when(F.col("size") >= least, 1)).alias("used"), large("within"), large("acf_within"), large("freq_cv"), F.min("size").alias("_least"))
-    gap = 1 - F.col("r") / F.col("n")
-    mine, other = F.max(F.when(F.col("cu") == F.col("cv"), gap)), F.min(F.when(F.col("cu") != F.col("cv"), gap))
-    s = sums.groupBy(*rec, "u").agg(mine.alias("a"), other.alias("b"))
-    sil = s.groupBy(*rec).agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
     told = F.when((F.col("clusters") >= 2) & (F.col("_least") >= 2), F.col("silhouette"))
-    return out.join(sil, rec, "left").select(*rec, "clusters", "used", "within", "acf_within", "freq_cv", told.alias("silhouette"))
+    return out.join(silhouettes(), rec, "left").select(*rec, "clusters", "used", "within", "acf_within", "freq_cv", told.alias("silhouette"))
 
 
 def cluster_acf(acfs: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import latent, signal, windows
 from ..operators.clean import UNIT
+from ..operators.pairs import _standardised
 from ..sources.staging import staged
 
 
@@ -110,18 +111,20 @@ def ensembles(arrays: DataFrame, fps: float, ks: list[int], seeds: int, acf_lags
     acfs = staged(spark, signal.acf(arrays, acf_lags).filter("error is null").select(*UNIT, F.col("acf").alias("trace")), "ensemble-acf")
     spectra = signal.welch_spectra(arrays, fps, welch_frames, welch_frames // 2, welch_frames)
     dom = staged(spark, signal.dominant_freq(spectra, *band), "ensemble-dom")
-    found: list[DataFrame] = []
-    labelled = lambda df, method, k, mode: df.select("recording_id", F.lit(method).alias("method"), k.alias("k"), "unit_id", F.col(mode).cast("int").alias("cluster"))
-    for name, of in (("trace", arrays), ("acf", acfs)):
-        found.append(labelled(latent.kmeans_rows(of, ks, seeds), f"{name} k-means", F.col("k"), "cluster"))
-        pcs = latent.pca(of, max(8, *ks))
-        load = staged(spark, latent.loadings(of, pcs, unit_norm=True), "ensemble-loadings")
-        found += [labelled(latent.varimax_assign(load.filter(F.col("pc") < k)), f"{name} varimax", F.lit(k), "mode") for k in ks]
-        q = latent.varimax_components(pcs)
-        labels = latent.varimax_assign(load.join(q, "recording_id").filter(F.col("pc") < F.col("q")).drop("q")).join(q, "recording_id")
-        found.append(labelled(labels, f"{name} varimax 80 %", F.col("q"), "mode"))
-    cosine = staged(spark, latent.cosine_correlations(arrays, max(ks)), "ensemble-cosine")
-    found += [labelled(latent.mode_assignment(cosine.filter(F.col("pc") < k)), "cosine modes", F.lit(k), "mode") for k in ks]
+    # a recording's traces and its autocorrelations are recordings of their own, so that all goes through the same passes
+    named = lambda df, name: _standardised(df).withColumn("recording_id", F.concat_ws("/", F.lit(name), "recording_id"))
+    both = staged(spark, named(arrays, "trace").unionByName(named(acfs, "acf")), "ensemble-units")
+    pcs = latent.pca(both, max(8, *ks), standardise=False)
+    load = staged(spark, latent.loading_rows(latent.loadings(both, pcs, unit_norm=True, standardise=False)), "ensemble-loadings")
+    ways = F.array(*[F.struct(F.lit("varimax").alias("way"), F.lit(k).alias("k")) for k in ks], F.struct(F.lit("varimax 80 %").alias("way"), F.col("q").alias("k")))
+    load = load.join(latent.varimax_components(pcs), "recording_id").select("recording_id", "unit_id", "l", F.explode(ways).alias("w"))
+    modes = latent.varimax_modes(load.select(F.concat_ws("/", "w.way", "w.k", "recording_id").alias("recording_id"), "unit_id", F.slice("l", F.lit(1), F.col("w.k")).alias("l")))
+    kind, part = dict(arrays.dtypes)["recording_id"], lambda n, i: F.split("recording_id", "/", n)[i]
+    columns = lambda n, way, k, mode: [part(n, n - 1).cast(kind).alias("recording_id"), F.concat_ws(" ", part(n, n - 2), way).alias("method"), k.cast("int").alias("k"), "unit_id", F.col(mode).cast("int").alias("cluster")]
+    found = [latent.kmeans_rows(both, ks, seeds).select(columns(2, F.lit("k-means"), F.col("k"), "cluster")), modes.select(columns(4, part(4, 0), part(4, 1), "mode"))]
+    best = lambda k: F.max(F.when(F.col("pc") < k, F.struct(F.abs("loading").alias("a"), (-F.col("pc")).alias("m"))))["m"]
+    cosine = latent.cosine_correlations(arrays, max(ks)).groupBy(*UNIT).agg(F.array(*[F.struct(F.lit(k).alias("k"), (-best(k)).cast("int").alias("cluster")) for k in ks]).alias("c"))
+    found.append(cosine.select("recording_id", F.lit("cosine modes").alias("method"), "unit_id", F.inline("c")).select("recording_id", "method", "k", "unit_id", "cluster"))
     solutions = staged(spark, reduce(DataFrame.unionByName, found).withColumn("solution", F.concat_ws("/", "method", "k")), "ensemble-labels")
     quality = latent.cluster_eval(arrays, solutions, acfs, dom)
     return latent.cluster_ranking(quality.join(solutions.select("recording_id", "solution", "method", "k").distinct(), ["recording_id", "solution"]).drop("solution"))
