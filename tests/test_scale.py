@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill import catalog_events as C
 from tracemill.functions import kernels as k
 from tracemill.operators import events as E
 from tracemill.operators import joins as J
@@ -274,3 +275,30 @@ def test_starts_at_rest_take_no_part_in_later_passes(spark, monkeypatch):
     assert moving[0] == 8 and moving[-1] == 0 and any(0 < n < 8 for n in moving) and moving == sorted(moving, reverse=True)
     for a, b in zip(states[1:], states[2:]):
         assert all(b[key].centres == r.centres and b[key].cost == r.cost for key, r in a.items() if not r.going)
+
+
+def test_summary_of_transients_counts_their_runs(spark):
+    sf = "/root/testdata/sf0.001"
+    values = {(r.recording_id, r.unit_id): r.trace for r in C.fx.trace_arrays(spark, sf).collect()}
+    flagged = {(r.recording_id, r.unit_id, r.frame) for r in C.QUERIES["e7_significant_transients"](spark, sf).collect()}
+    windows = {(r.recording_id, r.label): range(r.start, r.end + 1) for r in C.picked(spark, sf).collect()}
+    want = {}
+    for (rec, label), frames in windows.items():
+        own = [[f for f in frames if (rec, u, f) in flagged] for r, u in values if r == rec]
+        starts = [sum(f - 1 not in fs for f in fs) for fs in own]
+        peaks = [max(values[rec, u][f] for f in run) for r, u in values if r == rec for run in _runs([f for f in frames if (rec, u, f) in flagged])]
+        want[rec, label] = (sum(starts), sum(n > 0 for n in starts) / len(starts), sum(peaks) / len(peaks) if peaks else None)
+    got = {(r.recording_id, r.label): (r.total, r.active, r.amp) for r in C.QUERIES["e9_transient_summary"](spark, sf).collect()}
+    assert flagged and set(got) == set(want)
+    for at, row in want.items():
+        assert got[at] == pytest.approx(row, abs=2e-5)
+
+
+def _runs(frames):
+    out = []
+    for f in frames:
+        if out and out[-1][-1] == f - 1:
+            out[-1].append(f)
+        else:
+            out.append([f])
+    return out

@@ -15,6 +15,7 @@ from .operators import sorts as K
 from .operators import stats as S
 from .plans import behaviour, low_high
 from .sources import fixtures as fx
+from .sources.staging import staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -233,13 +234,26 @@ def significant_cells(s, d):
     return E.significant_cells(E.transition_counts(own, BINS), maps(own), BINS)
 
 
+def transient_flags(s, d):
+    """(recording_id, unit_id, trace): 1.0 at frames of significant transients, else 0.0."""
+    own = scaled(s, d)
+    return E.significant_transients(own, maps(own), BINS)
+
+
 def transients(s, d):
     """Frames of significant transients."""
-    own = scaled(s, d)
-    on = E.significant_transients(own, maps(own), BINS).select("recording_id", "unit_id", F.posexplode("trace").alias("frame", "flag"))
+    on = transient_flags(s, d).select("recording_id", "unit_id", F.posexplode("trace").alias("frame", "flag"))
     return on.filter("flag > 0").select("recording_id", "unit_id", "frame")
 
 
+def raster(s, d):
+    """Traces with their significant transients: recording_id, unit_id, frame, value, on. Staged, as the features of events read it many times."""
+    flags = transient_flags(s, d).withColumnRenamed("trace", "flags")
+    both = fx.trace_arrays(s, d).join(flags, ["recording_id", "unit_id"]).select("recording_id", "unit_id", F.arrays_zip("trace", "flags").alias("samples"))
+    rows = staged(s, both, "transients").select("recording_id", "unit_id", F.posexplode("samples").alias("frame", "sample"))
+    return rows.select("recording_id", "unit_id", "frame", F.col("sample.trace").alias("value"), (F.col("sample.flags") > 0).alias("on"))
+
+
 add("e6_significant_cells", significant_cells)
 add("e7_significant_transients", transients)
 
@@ -259,8 +273,13 @@ def found_events(s, d, samples=simple_raster):
     return E.window_events(samples(s, d), picked(s, d), fx.FPS, 8)
 
 
-def event_features(s, d, samples=simple_raster):
-    return E.unit_event_features(found_events(s, d, samples), fx.positions(s, d), picked(s, d), fx.FPS)
+def event_features(s, d, found=None):
+    return E.unit_event_features(found_events(s, d) if found is None else found, fx.positions(s, d), picked(s, d), fx.FPS)
+
+
+def transient_summary(s, d):
+    found = found_events(s, d, raster)
+    return E.event_summary(event_features(s, d, found), found)
 
 
 PICKED = f"""{SE}, wins AS (SELECT recording_id, CAST(k * 8 AS INTEGER) AS start, CAST(k * 8 + 23 AS INTEGER) AS "end" FROM (SELECT DISTINCT recording_id FROM se), range(6) q(k)),
@@ -288,7 +307,7 @@ add("e9_change_correlation", lambda s, d: rounded(E.change_correlation(event_fea
         r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM x JOIN m USING (recording_id) WHERE x IS NOT NULL AND y IS NOT NULL) SELECT {_r('corr(rx, ry)', 'r')}, count(*) AS n FROM r""")
 add("e9_pooled_active", lambda s, d: E.pooled_active_test(event_features(s, d)).drop("p"), NAMES,
     f"WITH {EVENTS} SELECT count(*) FILTER (label = 'low' AND n > 0) AS a, count(*) FILTER (label = 'low' AND n = 0) AS b, count(*) FILTER (label = 'high' AND n > 0) AS c, count(*) FILTER (label = 'high' AND n = 0) AS d FROM ft")
-add("e9_transient_summary", lambda s, d: rounded(E.event_summary(event_features(s, d, raster), found_events(s, d, raster)), 5))
+add("e9_transient_summary", lambda s, d: rounded(transient_summary(s, d), 5))
 add("r25_trial_windows", lambda s, d: rounded(E.trial_windows(peri(s, d), 3)), "traces ev",
     f"WITH {SE}, {PERI} SELECT recording_id, unit_id, {_r('avg(value) FILTER (lag BETWEEN -3 AND -1)', 'base')}, {_r('avg(value) FILTER (lag BETWEEN 0 AND 2)', 'stim')}, {_r('avg(value) FILTER (lag BETWEEN 3 AND 5)', 'tone')} FROM pe GROUP BY 1, 2")
 
