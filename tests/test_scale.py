@@ -302,3 +302,15 @@ def _runs(frames):
         else:
             out.append([f])
     return out
+
+
+def test_heights_compared_at_six_digits(spark):
+    # e3's SQL compares heights with their median and with 1.5 after rounding them to six digits
+    traces = [np.tile([-1.0, 1.0], 16) for _ in range(2)]  # median 0, MAD 1
+    traces[0][[5, 15, 25]] = [1.9999999, 2.0000001, 3.0]
+    traces[1][[5, 15, 25]] = [1.3, 1.2, 1.4999998]
+    rows = spark.createDataFrame([(0, u, x.tolist()) for u, x in enumerate(traces)], "recording_id int, unit_id int, trace array<double>")
+    found = lambda **how: sorted((r.unit_id, r.frame) for r in E.mad_events(rows, 2.0, 1.1, 1.0, 2.0, 0.5, 1.5, **how).collect())
+    assert found() == [(0, 15), (0, 25)]
+    assert found(digits=6) == [(0, 5), (0, 15), (0, 25), (1, 25)]
+    assert k.rounded(np.array([0.5, -0.5, 1.25, -1.25, 0.04]), 1).tolist() == [0.5, -0.5, 1.3, -1.3, 0.0]

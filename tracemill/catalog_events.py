@@ -39,7 +39,7 @@ add("e3_mad_scores", lambda s, d: rounded(E.mad_scores(T(s, d)).select("recordin
     f"""WITH m AS (SELECT recording_id, unit_id, median(value) AS med, mad(value) AS mad, stddev_samp(value) AS sd FROM traces GROUP BY ALL)
         SELECT t.recording_id, t.unit_id, t.frame, {_r('(value - med) / CASE WHEN mad > 0 THEN mad WHEN sd > 0 THEN sd ELSE 1 END', 'z')} FROM traces t JOIN m ON m.recording_id = t.recording_id AND m.unit_id = t.unit_id""")
 Z_SQL = """SELECT t.recording_id, t.unit_id, t.frame, (value - med) / CASE WHEN mad > 0 THEN mad WHEN sd > 0 THEN sd ELSE 1 END AS v FROM traces t JOIN (SELECT recording_id, unit_id, median(value) AS med, mad(value) AS mad, stddev_samp(value) AS sd FROM traces GROUP BY 1, 2) m ON m.recording_id = t.recording_id AND m.unit_id = t.unit_id"""
-add("e3_mad_events", lambda s, d: rounded(E.mad_events(fx.trace_arrays(s, d), fx.FPS, 1.0, 1.0, 2.0, 0.5, 1.5).select("recording_id", "unit_id", "frame", "value")), "traces",
+add("e3_mad_events", lambda s, d: rounded(E.mad_events(fx.trace_arrays(s, d), fx.FPS, 1.0, 1.0, 2.0, 0.5, 1.5, digits=6).select("recording_id", "unit_id", "frame", "value")), "traces",
     "WITH RECURSIVE f AS (" + PEAKS.format(src=Z_SQL, height=1.0, prominence=1.0, distance=4) + f"""), o AS (SELECT recording_id, unit_id, value, row_number() OVER (PARTITION BY recording_id, unit_id ORDER BY value) AS i, count(*) OVER (PARTITION BY recording_id, unit_id) AS n, lead(value) OVER (PARTITION BY recording_id, unit_id ORDER BY value) AS nx FROM f),
       q AS (SELECT recording_id, unit_id, value + coalesce((least(greatest(0.5 * n + 0.5, 1), n) - i) * (nx - value), 0) AS q FROM o WHERE floor(least(greatest(0.5 * n + 0.5, 1), n)) = i)
       SELECT f.recording_id, f.unit_id, f.frame, {_r('value', 'value')} FROM f JOIN q ON q.recording_id = f.recording_id AND q.unit_id = f.unit_id WHERE value >= greatest(q, 1.5)""")

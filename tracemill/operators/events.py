@@ -54,11 +54,12 @@ def strong_peaks(peaks: DataFrame, by: list[str] = UNIT, col: str = "z", share:
     return peaks.join(q, by).filter(F.col(col) >= F.greatest("q", F.lit(least))).drop("q")
 
 
-def mad_events(arrays: DataFrame, fps: float, height: float = 4.0, prominence: float = 2.5, gap_sec: float = 3.5, share: float = 0.9, least: float = 10.0) -> DataFrame:
+def mad_events(arrays: DataFrame, fps: float, height: float = 4.0, prominence: float = 2.5, gap_sec: float = 3.5, share: float = 0.9, least: float = 10.0, digits: int | None = None) -> DataFrame:
     """(recording_id, unit_id, frame, value, prominence): strong peaks of the MAD scores of each trace.
 
     Peaks by height, prominence and distance; of these the ones at or above the unit's percentile of
-    peak heights and ``least``. Missing values count as 0.
+    peak heights and ``least``; with ``digits`` heights are compared with those as rounded to them.
+    Missing values count as 0.
     """
     distance = max(1, round(gap_sec * fps))
     rows = arrays.select(*UNIT, F.transform("trace", lambda x: F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0))).alias("trace"))
@@ -66,7 +67,8 @@ def mad_events(arrays: DataFrame, fps: float, height: float = 4.0, prominence: f
     def fn(x):
         z = k.mad_scores(x)
         at, prom = k.find_peaks(z, height, prominence, distance)
-        high = z[at] >= max(k.hazen(z[at], share), least) if len(at) else np.zeros(0, bool)
+        tall = z[at] if digits is None else k.rounded(z[at], digits)
+        high = tall >= max(k.hazen(tall, share), least) if len(at) else np.zeros(0, bool)
         return {"at": at[high].tolist(), "heights": z[at][high], "proms": np.asarray(prom)[high]}
 
     found = per_trace(rows, fn, "at array<int>, heights array<double>, proms array<double>").filter("error is null")
