@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -13,6 +14,7 @@ from tracemill.operators import events as E
 from tracemill.operators import joins as J
 from tracemill.operators import latent as L
 from tracemill.operators import pairs as N
+from tracemill.operators import stats as S
 
 
 def test_change_correlation_without_spread(spark):
@@ -314,3 +316,15 @@ def test_heights_compared_at_six_digits(spark):
     assert found() == [(0, 15), (0, 25)]
     assert found(digits=6) == [(0, 5), (0, 15), (0, 25), (1, 25)]
     assert k.rounded(np.array([0.5, -0.5, 1.25, -1.25, 0.04]), 1).tolist() == [0.5, -0.5, 1.3, -1.3, 0.0]
+
+
+def test_step_up_limit_as_decimals_multiply(spark):
+    # t6's SQL: i * 0.05 is a decimal there, rounded only when it is divided; families whose p lies right at the limit of place i of m
+    tests = [(f"{m}-{i}", u, 10000 * i // m / 200000.0 if u < i else 1.0) for m in range(2, 41) for i in range(1, m + 1) if 10000 * i % m == 0 for u in range(m)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pv (g VARCHAR, u INTEGER, p DOUBLE)")
+    con.execute("INSERT INTO pv SELECT unnest($1), unnest($2), unnest($3)", [list(c) for c in zip(*tests)])
+    want = con.execute("""SELECT g, u, coalesce(i <= k, false) FROM (SELECT *, max(CASE WHEN p <= i * 0.05 / m THEN i END) OVER (PARTITION BY g) AS k FROM (
+        SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) AS i, count(*) OVER (PARTITION BY g) AS m FROM pv))""").fetchall()
+    got = S.fdr_mask(spark.createDataFrame(tests, "g string, u int, p double"), ["g"], "p").select("g", "u", "significant").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({w[2] for w in want}) == 2

@@ -7,6 +7,7 @@ is a vectorised function over one row per test.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -175,7 +176,10 @@ def holm(tests: DataFrame, by: list[str], p: str, out: str = "p_holm") -> DataFr
 
 
 def fdr_mask(tests: DataFrame, by: list[str], p: str, alpha: float = 0.05, method: str = "fdr") -> DataFrame:
-    """Adds ``significant`` within each family: step-up (fdr), bonferroni, or none."""
+    """Adds ``significant`` within each family: step-up (fdr), bonferroni, or none.
+
+    The step-up limit of place i is i * alpha / m, with i * alpha rounded once: as decimals multiply, 3 * 0.05 is 0.15.
+    """
     whole = Window.partitionBy(*by)
     m = F.count(p).over(whole)
     if method == "none":
@@ -183,7 +187,9 @@ def fdr_mask(tests: DataFrame, by: list[str], p: str, alpha: float = 0.05, metho
     if method == "bonferroni":
         return tests.withColumn("_m", m).withColumn("significant", F.col(p) <= alpha / F.col("_m")).drop("_m")
     ranked = tests.withColumn("_i", F.row_number().over(whole.orderBy(F.col(p).asc_nulls_last()))).withColumn("_m", m)
-    last = F.max(F.when(F.col(p) <= F.col("_i") * alpha / F.col("_m"), F.col("_i"))).over(whole)
+    part = Fraction(str(alpha))
+    limit = F.col("_i") * float(part.numerator) / float(part.denominator) / F.col("_m")
+    last = F.max(F.when(F.col(p) <= limit, F.col("_i"))).over(whole)
     return ranked.withColumn("_k", last).withColumn("significant", F.coalesce(F.col("_i") <= F.col("_k"), F.lit(False))).drop("_i", "_m", "_k")
 
 
