@@ -4,6 +4,7 @@ from math import floor
 
 import numpy as np
 
+from tracemill.llm import topk
 from tracemill.llm.topk import SlicedBlock, order_key, top_k
 
 
@@ -57,3 +58,24 @@ def test_components_of_any_size(spark):
 def test_order_of_keys():
     scores = sorted({s * 2**e + d for s in (-1, 1) for e in (0, 7, 8, 63, 64, 900) for d in (-1, 0, 1)} | {0})
     assert sorted(scores, key=order_key) == scores
+
+
+def test_vectors_are_not_broadcast(spark):
+    # blocks of queries, once per lane of index blocks, were broadcast through the driver
+    frame = spark.createDataFrame([(i, [float(i % 7), 1.0, -0.5]) for i in range(400)], "vec_id long, embedding array<float>").repartition(4)
+    lines = top_k(frame, lambda c: c % 50 == 0, block_rows=20)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    for n, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((i for i in range(n + 1, len(lines)) if depth(lines[i]) <= depth(line)), len(lines))
+            assert "payload" not in "".join(lines[n:below])
+
+
+def test_lanes_of_many_blocks_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LANES", 2)
+    monkeypatch.setattr(topk, "BROADCAST_DIMS", 1)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(1 + i % 3)]) for i in range(500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(map(tuple, top_k(frame, lambda c: c % 25 == 0, block_rows=40, block_queries=2).collect()))
+    assert got == brute(rows, lambda i: i % 25 == 0)

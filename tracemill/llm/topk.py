@@ -10,8 +10,9 @@ tied at the boundary are settled exactly, by id. Each block yields k rows per qu
 merged at the end. Vectors whose products could pass 64 bits have small blocks of their own, with
 integers of any size.
 
-The stated queries meet the rows in blocks: query blocks are dealt to groups of row blocks by a
-key, so no task holds more than a block of each side.
+The stated queries meet the rows in blocks: row blocks are dealt to lanes, and query blocks go to
+each lane of their length. A task gets the row blocks of a lane once, holds them, and query blocks
+pass by one at a time; nothing but the list of lanes goes through the driver.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, staged
 
 #: Rows of an index block, of one with large components, and of a query block.
 BLOCK_ROWS, LARGE_ROWS, BLOCK_QUERIES = 16_384, 512, 128
+#: Lanes that index blocks are dealt to, by lengths of vectors up to which the list of lanes is broadcast.
+LANES, BROADCAST_DIMS = 4096, 1000
 
 
 def narrow_limit(dim: int) -> int:
@@ -179,6 +182,21 @@ def _blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
     return rows.mapInArrow(run, "dim int, block long, n long, ids binary, payload binary")
 
 
+def _best(index: SlicedBlock, names: np.ndarray, q_block: int, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best rows of an index block, whose rows have these names, for each query of a block."""
+    found: list[tuple[int, int, int, bytes, int]] = []
+    for n, (query_id, query) in enumerate(zip(query_ids.tolist(), queries)):
+        others = index.all.copy()
+        for own in range(*np.searchsorted(names, [query_id, query_id + 1]).tolist()):
+            others[own >> 6] &= ~np.uint64(1 << (own & 63))
+        best = index.top(query, k, others)
+        scores = inner(index.values[best], query)
+        found += [(q_block + (n << 48), query_id, v, order_key(s), min(max(s, _LEAST), _MOST)) for v, s in zip(names[best].tolist(), scores)]
+    columns = list(zip(*found)) if found else [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["q", "query_id", "vec_id", "order", "score"])
+
+
 def top_k(
     vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding",
     block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES,
@@ -197,37 +215,34 @@ def top_k(
     empty result. Other columns are ignored.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = _whole(vectors, id_col, vector_col)
     index = staged(spark, _blocks(rows, block_rows, scale), "topk-index")
     queries = staged(spark, _blocks(rows.filter(is_query(F.col("vec_id"))), block_queries, scale), "topk-queries")
-    groups = max(1, index.count())
-    lanes = min(groups, 4096)
-    left = index.select("dim", F.pmod(F.hash("block"), F.lit(lanes)).alias("lane"), F.col("ids").alias("row_ids"), F.col("payload").alias("row_payload"))
-    right = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("block").alias("q_block"), "ids", "payload")
-    pairs = right.join(left, ["dim", "lane"])
+    lane = F.pmod(F.hash("block"), F.lit(LANES))
+    lanes = index.groupBy("dim").agg(F.collect_set(lane).alias("lanes"))
+    dims, tasks = lanes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lanes")), F.lit(0))).first()
+    # in a lane the index blocks come first, then the query blocks that meet them
+    own = index.select("dim", lane.alias("lane"), F.lit(0).alias("side"), "block", "ids", "payload")
+    meeting = queries.join(F.broadcast(lanes) if dims <= BROADCAST_DIMS else lanes.hint("merge"), "dim")
+    meeting = meeting.select("dim", F.explode("lanes").alias("lane"), F.lit(1).alias("side"), "block", "ids", "payload")
+    lined = own.unionByName(meeting).repartition(max(1, min(2 * tasks, LANES)), "dim", "lane").sortWithinPartitions("dim", "lane", "side", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, SlicedBlock, np.ndarray] | None = None
+        at: tuple[int, int] | None = None
+        held: list[tuple[SlicedBlock, np.ndarray]] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, row_ids, row_payload, q_block, ids, payload = (c[i].as_py() for c in batch.columns)
-                if last is None or last[0] != row_ids:
-                    names = np.frombuffer(row_ids, "<i8")
-                    last = row_ids, SlicedBlock(quantise(np.frombuffer(row_payload, "<f8").reshape(len(names), dim), scale)), names
-                _, index_block, names = last
-                query_ids = np.frombuffer(ids, "<i8")
-                found: list[tuple[int, int, int, bytes, int]] = []
-                for n, (query_id, query) in enumerate(zip(query_ids.tolist(), quantise(np.frombuffer(payload, "<f8").reshape(len(query_ids), dim), scale))):
-                    others = index_block.all.copy()
-                    for own in range(*np.searchsorted(names, [query_id, query_id + 1]).tolist()):
-                        others[own >> 6] &= ~np.uint64(1 << (own & 63))
-                    best = index_block.top(query, k, others)
-                    scores = inner(index_block.values[best], query)
-                    found += [(q_block + (n << 48), query_id, v, order_key(s), min(max(s, _LEAST), _MOST)) for v, s in zip(names[best].tolist(), scores)]
-                columns = list(zip(*found)) if found else [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["q", "query_id", "vec_id", "order", "score"])
-
-    hits = pairs.select("dim", "row_ids", "row_payload", "q_block", "ids", "payload").mapInArrow(run, "q long, query_id long, vec_id long, `order` binary, score long")
+                dim, lane, side, q_block, ids, payload = (c[i].as_py() for c in batch.columns)
+                if at != (dim, lane):
+                    at, held = (dim, lane), []
+                names = np.frombuffer(ids, "<i8")
+                values = quantise(np.frombuffer(payload, "<f8").reshape(len(names), dim), scale)
+                if not side:
+                    held.append((SlicedBlock(values), names))
+                for index_block, own_names in held if side else ():
+                    yield _best(index_block, own_names, q_block, names, values, k)
+
+    hits = lined.mapInArrow(run, "q long, query_id long, vec_id long, `order` binary, score long")
     best = Window.partitionBy("query_id", "q").orderBy(F.desc("order"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
