@@ -328,3 +328,13 @@ def test_step_up_limit_as_decimals_multiply(spark):
         SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) AS i, count(*) OVER (PARTITION BY g) AS m FROM pv))""").fetchall()
     got = S.fdr_mask(spark.createDataFrame(tests, "g string, u int, p double"), ["g"], "p").select("g", "u", "significant").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len({w[2] for w in want}) == 2
+
+
+def test_tasks_grow_with_the_pairs_they_make(spark, monkeypatch):
+    monkeypatch.setattr(N, "TASK_PAIRS", 50_000)
+    rows = [(g, u, [float(u % 7), float(u % 11), float(u * u % 5)]) for g in range(2) for u in range(1100)]
+    pairs = N.pair_corr(spark.createDataFrame(rows, "recording_id int, unit_id long, trace array<double>"))
+    parts = [n for n, in pairs.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1))).select("count(1)").collect()]
+    # five blocks a recording, 30 pairs of them, which adaptive execution put into one task
+    assert sum(parts) == 2 * 1100 * 1099 // 2 and len(parts) > 10 and max(parts) < sum(parts) / 4
+    assert N.pair_corr(spark.createDataFrame([], "recording_id int, unit_id long, trace array<double>")).count() == 0
